@@ -107,19 +107,19 @@ def parse_model_output(df: DataFrame, raw: str, content: str | None = None, rule
     Broken JSON gives the defaults, the text "null" and JSON null give NULL, and values
     outside the enumerations fall back to the default while a flag records them.
     """
-    parsed = df.withColumn("_json", F.trim(strip_fences(raw)))
-    # get_json_object keeps numbers and text alike and yields NULL for broken input.
-    fields = {f: F.get_json_object("_json", f"$.{f}") for f in ("intent", "churn_signal", "competitor", "key_quote")}
+    parsed = df.withColumn("_json", F.try_parse_json(F.trim(strip_fences(raw))))
+    fields = {f: F.try_variant_get("_json", f"$.{f}", "string") for f in ("intent", "churn_signal", "competitor", "key_quote")}
     parsed = parsed.withColumns({f"_{f}": c for f, c in fields.items()})
     intent, signal = F.col("_intent"), F.col("_churn_signal")
+    strange = F.coalesce(~intent.isin(*INTENTS), F.lit(False)) | F.coalesce(~signal.isin(*CHURN_SIGNALS), F.lit(False))
     out = parsed.withColumns(
         {
             "primary_intent": known_or(intent, INTENTS, "general"),
             "churn_signal": known_or(signal, CHURN_SIGNALS, "none"),
             "competitor": F.nullif(F.col("_competitor"), F.lit("null")),
             "key_quote": F.col("_key_quote"),
-            "parsed": F.coalesce(F.try_parse_json("_json").isNotNull(), F.lit(False)),
-            "unknown_value": F.coalesce(~intent.isin(*INTENTS), F.lit(False)) | F.coalesce(~signal.isin(*CHURN_SIGNALS), F.lit(False)),
+            "parsed": F.col("_json").isNotNull(),
+            "unknown_value": strange,
         }
     )
     if content and rules:
