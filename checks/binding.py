@@ -16,7 +16,7 @@ from holdfast.operators.nba import as_recommendations, recommend
 from holdfast.operators.scorecard import retention_card, score_customers
 from holdfast.plans.daily import Facts
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import fresh_dir
+from holdfast.sources.workspace import fresh_dir, spread_small
 
 AS_OF = dt.date(2001, 8, 1)
 # Critical does not occur in the small tables with the standard thresholds.
@@ -161,7 +161,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = fresh_dir(spark, name)
-        build().write.parquet(path)
+        table = build()
+        spread_small(table, table.columns[0]).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

@@ -11,6 +11,7 @@ from holdfast.functions import columns as C
 from holdfast.functions import text as X
 from holdfast.operators import decisions, enrichment, ids, nba, pick, quality
 from holdfast.operators.customer360 import claim_agg, payment_agg, policy_agg, with_coverage
+from holdfast.operators.skew import join_to_unique
 from holdfast.operators.writeback import fill_missing
 from holdfast.plans import metrics, questions
 
@@ -137,8 +138,10 @@ def inner_join(d):
 
 @query("c03_join_with_predicates", sql("select customer_id, claim_id, churn_risk_score from scored join evidence using (customer_id) where claim_status = 'Pending' and days_since_claim > 30"))
 def join_with_predicates(d):
-    late = nba.claim_evidence(d.claims, d.insights, AS_OF).filter((F.col("claim_status") == "Pending") & (F.col("days_since_claim") > 30))
-    return d.snapshot.join(late, "customer_id").select("customer_id", "claim_id", "churn_risk_score")
+    pending = d.claims.filter((F.col("status") == "Pending") & (C.days_between("claim_date", C.as_date(AS_OF)) > 30))
+    customers = d.snapshot.select("customer_id", "churn_risk_score")
+    joined = join_to_unique(pending.select("customer_id", "claim_id"), customers, "customer_id", ["claim_id"], "inner")
+    return joined.select("customer_id", "claim_id", "churn_risk_score")
 
 
 @query("c04_join_latest", sql("select customer_id, claim_id, complaint_ix_id, complaint_quote from evidence"))
@@ -153,7 +156,7 @@ def anti_join(d):
 
 @query("c06_semi_join", sql("select customer_id, segment from customers where customer_id in (select customer_id from insights where churn_signal <> 'none')"))
 def semi_join(d):
-    flagged = d.insights.filter(F.col("churn_signal") != "none").select("customer_id")
+    flagged = d.insights.filter(F.col("churn_signal") != "none").select("customer_id").distinct()
     return d.customers.join(flagged, "customer_id", "left_semi").select("customer_id", "segment")
 
 

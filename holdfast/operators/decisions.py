@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.columns import exact_avg, is_blank, stable_id
 from holdfast.operators.pick import best_fields
+from holdfast.operators.skew import join_to_unique
 
 LOG_COLUMNS = (
     "log_id", "recommendation_id", "customer_id", "action_code", "decision", "original_action", "final_action", "manager_notes",
@@ -25,9 +26,8 @@ def record_decisions(recommendations: DataFrame, decisions: DataFrame) -> DataFr
     """
     decision = F.upper("decision")
     edited = (decision == "EDIT") & ~is_blank("edited_action")
-    joined = decisions.join(
-        recommendations.select("recommendation_id", "customer_id", "action_code", "recommended_action"), "recommendation_id"
-    )
+    decided = recommendations.select("recommendation_id", "customer_id", "action_code", "recommended_action")
+    joined = join_to_unique(decisions, decided, "recommendation_id", ["decided_at", "decided_by", "decision"], "inner")
     return joined.select(
         stable_id("LOG", "recommendation_id", decision, "decided_at").alias("log_id"),
         "recommendation_id",
@@ -50,7 +50,8 @@ def one_decision(spark, recommendation_id: str, decision: str, decided_by: str,
 
 def pending(recommendations: DataFrame, log: DataFrame) -> DataFrame:
     """Recommendations without any decision."""
-    return recommendations.join(log.select("recommendation_id"), "recommendation_id", "left_anti")
+    decided = log.select("recommendation_id").distinct()  # shrinks many decisions of one id on the map side
+    return recommendations.join(decided, "recommendation_id", "left_anti")
 
 
 def pending_with_names(recommendations: DataFrame, log: DataFrame, catalog: DataFrame) -> DataFrame:

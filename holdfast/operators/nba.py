@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from holdfast.functions.columns import as_date, count_flags, days_between, int_text, map_value, money_text, number_text
 from holdfast.operators.ids import highest_number, with_ids
 from holdfast.operators.pick import best_fields
+from holdfast.operators.skew import join_to_unique
 from holdfast.schemas import ACTION_CATALOG
 
 # The action catalogue.
@@ -74,33 +75,25 @@ def latest_complaint(insights: DataFrame) -> DataFrame:
     return picked.withColumnsRenamed({"interaction_id": "complaint_ix_id", "key_quote": "complaint_quote"})
 
 
-def claim_evidence(claims: DataFrame, insights: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """Every claim with its age and the customer's latest complaint.
-
-    The complaint side holds one row per customer, so the join never fans out; a hot
-    customer on the claim side is split by the adaptive skew join.
-    """
-    return (
-        claims.select(
-            "customer_id",
-            "claim_id",
-            "claim_amount",
-            F.col("status").alias("claim_status"),
-            "claim_date",
-            "rejection_reason",
-            "category",
-            days_between("claim_date", as_date(as_of)).alias("days_since_claim"),
-        )
-        .join(latest_complaint(insights), "customer_id", "left")
+def _claims_with_age(claims: DataFrame, as_of: dt.date | str) -> DataFrame:
+    return claims.select(
+        "customer_id",
+        "claim_id",
+        "claim_amount",
+        F.col("status").alias("claim_status"),
+        "claim_date",
+        "rejection_reason",
+        "category",
+        days_between("claim_date", as_date(as_of)).alias("days_since_claim"),
     )
 
 
-def _escalation() -> Column:
-    return (F.col("claim_status") == "Pending") & (F.col("days_since_claim") > ESCALATE_AFTER_DAYS)
-
+def claim_evidence(claims: DataFrame, insights: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """Every claim with its age and the customer's latest complaint.
 
-def _review() -> Column:
-    return (F.col("claim_status") == "Rejected") & F.col("complaint_ix_id").isNotNull()
+    The complaint side holds one row per customer, so the join never fans out.
+    """
+    return join_to_unique(_claims_with_age(claims, as_of), latest_complaint(insights), "customer_id", ["claim_id"])
 
 
 def oldest_actionable_claims(claims: DataFrame, as_of: dt.date | str) -> DataFrame:
@@ -249,20 +242,24 @@ def rule_offers(scored: DataFrame, code: str) -> DataFrame:
 def claim_offers(scored: DataFrame, claims: DataFrame, insights: DataFrame, as_of: dt.date | str, code: str) -> DataFrame:
     """One offer per qualifying claim for CLAIM_ESCALATION or CLAIM_REVIEW."""
     c = F.col
-    # The status filter reaches the claim scan; only qualifying claims meet the 360 frame.
+    customers = scored.select("customer_id", "churn_risk_score", "total_active_premium").join(
+        latest_complaint(insights), "customer_id", "left"
+    )
+    rows = _claims_with_age(claims, as_of)
+    # The status filter reaches the claim scan; only qualifying claims meet the customers.
     if code == "CLAIM_ESCALATION":
-        applies = _escalation()
-        action, evidence = _escalation_texts(
+        rows = rows.filter((c("claim_status") == "Pending") & (c("days_since_claim") > ESCALATE_AFTER_DAYS))
+        texts = _escalation_texts(
             c("claim_id"), c("category"), c("claim_amount"), c("days_since_claim"), c("complaint_quote")
         )
     else:
-        applies = _review()
-        action, evidence = _review_texts(
+        rows = rows.filter(c("claim_status") == "Rejected")
+        customers = customers.filter(c("complaint_ix_id").isNotNull())
+        texts = _review_texts(
             c("claim_id"), c("category"), c("claim_amount"), c("rejection_reason"), c("complaint_ix_id"), c("complaint_quote")
         )
-    evidence_rows = claim_evidence(claims, insights, as_of).filter(applies)
-    rule = Rule(code, applies, action, evidence)
-    return _offers(scored.join(evidence_rows, "customer_id"), rule.offer())
+    joined = join_to_unique(rows, customers, "customer_id", ["claim_id"], "inner")
+    return _offers(joined, Rule(code, F.lit(True), *texts).offer())
 
 
 def eligible_actions(scored: DataFrame, claims: DataFrame, insights: DataFrame, as_of: dt.date | str) -> DataFrame:
@@ -430,7 +427,7 @@ def callback_offers(scored: DataFrame, insights: DataFrame, recommendations: Dat
     """The daily rule: a callback for customers that have insights but no recommendation yet."""
     c, lit = F.col, F.lit
     new_customers = (
-        insights.select("customer_id").distinct().join(recommendations.select("customer_id"), "customer_id", "left_anti")
+        insights.select("customer_id").distinct().join(recommendations.select("customer_id").distinct(), "customer_id", "left_anti")
     )
     watched = scored.filter(c("risk_level").isin(*WATCHED) & (c("negative_interaction_count") >= 1))
     return watched.join(new_customers, "customer_id", "left_semi").select(

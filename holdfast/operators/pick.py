@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.skew import join_to_unique
+
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key in ``order`` (give a full tie-break).
@@ -54,13 +56,16 @@ def group_arrays(
     holds an unbounded group and every row is kept.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > limit)
-    # Each chunk gets limit/2 rows on average, which leaves room for uneven hashing.
-    chunk = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(row_id), F.ceil(F.col("_n") * 2 / limit))
-    )
-    tagged = df.join(large, key, "left").withColumn("chunk", chunk.cast("int"))
-    # The join leaves the rows partitioned by key alone; chunks of a hot key must part.
-    spread = tagged.repartition(key, "chunk")
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= limit:
+        spread = df.withColumn("chunk", F.lit(0))
+    else:
+        tagged = join_to_unique(df, sizes.filter(F.col("_n") > limit), key, [row_id])
+        # Each chunk gets limit/2 rows on average, which leaves room for uneven hashing.
+        chunk = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
+            F.pmod(F.xxhash64(row_id), F.ceil(F.col("_n") * 2 / limit))
+        )
+        # Placed by chunk, not by key alone, so the chunks of a large key go to different tasks.
+        spread = tagged.withColumn("chunk", chunk.cast("int")).repartition(key, "chunk")
     packed = F.sort_array(F.collect_list(F.struct(*order_fields, F.col(row_id), item.alias("item"))))
     return spread.groupBy(key, "chunk").agg(F.transform(packed, lambda p: p["item"]).alias(name))

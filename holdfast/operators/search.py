@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 from holdfast.functions.columns import col
 from holdfast.functions.text import WORDS, tokens
 from holdfast.operators.pick import top_per_key
+from holdfast.sources.workspace import spread_small
 
 K1, B = 1.2, 0.75
 SEARCH_LIMIT = 5
 # Upper bound of (query, term) pairs that one scoring pass ships to the executors (tens of MB).
-MAX_BROADCAST_PAIRS = 2_000_000
+MAX_BROADCAST_PAIRS = 1_000_000
 SCORE_DIGITS = 6
 
 
@@ -162,6 +163,7 @@ def _rank_partition(matcher, k: int, digits: int):
         import pandas as pd
 
         words, starts, query_at, idf, ids, mean, k1, b = matcher.value
+        everyone = np.arange(len(ids))
         best = [[] for _ in ids]
         floor = np.zeros(len(ids))  # score of the current k-th document, 0 until k are known
         for batch in batches:
@@ -179,9 +181,15 @@ def _rank_partition(matcher, k: int, digits: int):
                 weight = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
                 width = starts[at + 1] - starts[at]
                 hit = np.concatenate([query_at[starts[i] : starts[i + 1]] for i in at])
-                score = np.round(np.bincount(hit, np.repeat(weight, width), minlength=len(ids)), digits)
-                for q in np.nonzero((score > 0) & (score >= floor))[0]:
-                    insort(best[q], (-score[q], doc))
+                if len(ids) <= 4 * len(hit):
+                    asked, score = everyone, np.bincount(hit, np.repeat(weight, width), minlength=len(ids))
+                else:  # many queries, few of them touched
+                    asked, slot = np.unique(hit, return_inverse=True)
+                    score = np.bincount(slot, np.repeat(weight, width))
+                score = np.round(score, digits)
+                good = (score > 0) & (score >= floor[asked])
+                for q, s in zip(asked[good], score[good]):
+                    insort(best[q], (-s, doc))
                     if len(best[q]) > k:
                         best[q].pop()
                     if len(best[q]) == k:
@@ -210,6 +218,7 @@ def search_batch(
     ``max_pairs`` it is cut into slices of bounded size, one corpus pass each.
     """
     spark = docs.sparkSession
+    docs = spread_small(docs, doc_id)
     wanted = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(word_array(query_text)).alias("_terms"))
     pairs = wanted.agg(F.coalesce(F.sum(F.size("_terms")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, math.ceil(pairs / max_pairs))

@@ -14,6 +14,8 @@ from holdfast.operators.pick import top_per_key
 # Upper bound of query numbers (vectors x dimensions) shipped to the executors per pass.
 MAX_BROADCAST_NUMBERS = 8_000_000
 SCORE_DIGITS = 6
+# Scores a task holds in memory at a time.
+SCORES_AT_ONCE = 16_000_000
 
 
 def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> DataFrame:
@@ -24,30 +26,31 @@ def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> D
     return means.groupBy(group).agg(F.transform(ordered, lambda p: p["x"]).alias(embedding))
 
 
-def _best_rows(queries, k: int, digits: int):
+def _best_rows(queries, k: int, digits: int, at_once: int = SCORES_AT_ONCE):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
         ids, matrix = queries.value
+        step = max(1, at_once // max(1, len(ids)))
         best = [(np.empty(0), np.empty(0, dtype=object)) for _ in ids]
         for batch in batches:
-            if batch.empty:
-                continue
-            names = batch["vec_id"].to_numpy()
-            rows = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(rows, axis=1)
-            usable = norms > 0  # the cosine of a zero vector is undefined
-            names, rows = names[usable], rows[usable] / norms[usable, None]
-            scores = np.round(rows @ matrix.T, digits)
-            for q in range(len(ids)):
-                known, owner = best[q]
-                floor = known[-1] if len(known) == k else -np.inf
-                take = scores[:, q] >= floor
-                known = np.concatenate([known, scores[take, q]])
-                owner = np.concatenate([owner, names[take]])
-                order = np.lexsort((owner, -known))[:k]
-                best[q] = known[order], owner[order]
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                names = part["vec_id"].to_numpy()
+                rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(rows, axis=1)
+                usable = norms > 0  # the cosine of a zero vector is undefined
+                names, rows = names[usable], rows[usable] / norms[usable, None]
+                scores = np.round(rows @ matrix.T, digits)
+                for q in range(len(ids)):
+                    known, owner = best[q]
+                    floor = known[-1] if len(known) == k else -np.inf
+                    take = scores[:, q] >= floor
+                    known = np.concatenate([known, scores[take, q]])
+                    owner = np.concatenate([owner, names[take]])
+                    order = np.lexsort((owner, -known))[:k]
+                    best[q] = known[order], owner[order]
         rows = [(ids[q], name, float(s)) for q, kept in enumerate(best) for s, name in zip(*kept)]
         yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 

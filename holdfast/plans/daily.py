@@ -18,8 +18,11 @@ from holdfast.operators.scorecard import LEVELS, score_customers
 from holdfast.operators.writeback import fill_missing, replace_rows
 from holdfast.schemas import RUN_LOG
 from holdfast.sources.tables import Tables
+from holdfast.sources.workspace import checkpointed
 
 SNAPSHOT, INSIGHTS, RECOMMENDATIONS, LOG = "customer_360", "interaction_insights", "nba_recommendations", "task_run_log"
+# Keys of this many customers stay within tens of MB when broadcast.
+FEW_CUSTOMERS = 1_000_000
 _STAMPS = ("snapshot_date", "insights_through")
 
 
@@ -37,8 +40,8 @@ class Facts:
         return customer_360(self.customers, self.policies, self.claims, self.payments, self.insights, as_of)
 
     def only(self, keys: DataFrame) -> Facts:
-        """The same inputs for some customers; keys are one row per customer."""
-        kept = keys.select("customer_id")
+        """The same inputs for a few customers; ``keys`` travels to every task, so check its size first."""
+        kept = F.broadcast(keys.select("customer_id"))
         return Facts(
             *[
                 df.join(kept, "customer_id", "left_semi")
@@ -78,10 +81,22 @@ def affected_customers(
     return out.distinct()
 
 
-def refresh_snapshot(snapshot: DataFrame, facts: Facts, affected: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """Recompute the affected customers; the others only have their renewal countdown moved."""
+def refresh_snapshot(
+    snapshot: DataFrame, facts: Facts, affected: DataFrame, as_of: dt.date | str, few: int = FEW_CUSTOMERS
+) -> DataFrame:
+    """Recompute the affected customers; the others only have their renewal countdown moved.
+
+    A few affected customers are broadcast to cut the fact tables down before any
+    shuffle. With many of them the aggregates are built as usual (which never gathers
+    the raw rows of a customer) and the finished rows are kept for the affected ones.
+    """
+    affected = checkpointed(affected)
     aged = snapshot.withColumn("days_to_renewal", days_between(as_date(as_of), "nearest_renewal_date"))
-    return replace_rows(aged, facts.only(affected).frame(as_of), affected, "customer_id")
+    if affected.count() <= few:
+        recomputed = facts.only(affected).frame(as_of)
+    else:
+        recomputed = facts.frame(as_of).join(affected, "customer_id", "left_semi")
+    return replace_rows(aged, recomputed, affected, "customer_id")
 
 
 # --- the run ---------------------------------------------------------------------------------------
