@@ -133,7 +133,7 @@ def left_joins(d):
 @query("c02_inner_join", sql("select interaction_id, length(content) as characters, primary_intent from interactions join (select interaction_id, primary_intent from insights) using (interaction_id)"))
 def inner_join(d):
     found = d.insights.select("interaction_id", "primary_intent")
-    return d.interactions.join(found, "interaction_id").select("interaction_id", F.length("content").alias("characters"), "primary_intent")
+    return d.interactions.join(found, "interaction_id").select("interaction_id", F.length("content").cast("bigint").alias("characters"), "primary_intent")
 
 
 @query("c03_join_with_predicates", sql("select customer_id, claim_id, churn_risk_score from scored join evidence using (customer_id) where claim_status = 'Pending' and days_since_claim > 30"))
