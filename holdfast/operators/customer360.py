@@ -83,22 +83,31 @@ def payment_agg(payments: DataFrame) -> DataFrame:
     )
 
 
+def competitors_named(insights: DataFrame) -> DataFrame:
+    """(customer_id, competitors_named): distinct names in order, for customers who named any.
+
+    Names come from a competitor list, so the set of one customer is bounded by it.
+    """
+    named = insights.filter(F.col("competitor").isNotNull())
+    names = F.array_join(F.sort_array(F.collect_set("competitor")), ", ")
+    return named.groupBy("customer_id").agg(names.alias("competitors_named"))
+
+
 def interaction_agg(insights: DataFrame, as_of: dt.date | str) -> DataFrame:
     score, signal = F.col("sentiment_score"), F.col("churn_signal")
     recent = F.col("interaction_ts") >= day_start(as_of, RECENT_DAYS)
-    agg = insights.groupBy("customer_id").agg(
+    counts = insights.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_interactions"),
         exact_avg(score).alias("avg_sentiment"),
         F.count_if(F.col("sentiment_label") == "negative").alias("negative_interaction_count"),
         F.count("competitor").alias("competitor_mention_count"),
         F.count_if(signal == "cancellation_intent").alias("cancellation_intent_count"),
         F.count_if(signal != "none").alias("churn_signal_count"),
-        # Names come from the competitor list, so the set of one customer is bounded by it.
-        F.sort_array(F.collect_set("competitor")).alias("_names"),
         exact_avg(F.when(recent, score)).alias("recent_avg_sentiment"),
     )
-    names = F.when(F.size("_names") > 0, F.array_join("_names", ", "))
-    return agg.withColumn("competitors_named", names).drop("_names")
+    # Collecting names cannot use the hash aggregate, so it runs over the few rows that
+    # have one, and the counts over all rows stay inside generated code.
+    return counts.join(competitors_named(insights), "customer_id", "left")
 
 
 def customer_360(
