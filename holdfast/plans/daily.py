@@ -146,22 +146,25 @@ def unseen_insights(tables: Tables) -> DataFrame:
     return insights.filter(seen.isNull() | (F.col("enriched_at") > seen))
 
 
+def snapshot_date(tables: Tables) -> str | None:
+    if not tables.exists(SNAPSHOT):
+        return None
+    return tables.read(SNAPSHOT).agg(F.max("snapshot_date").cast("string")).first()[0]
+
+
 def refresh(tables: Tables, as_of: dt.date | str) -> DataFrame:
     """Bring the stored snapshot up to date, from scratch when there is none.
 
     The snapshot remembers how far into the insights it reaches, so a run that died
     between the two writes is caught up by the next one.
     """
-    facts = read_facts(tables)
+    facts, before = read_facts(tables), snapshot_date(tables)
     through = facts.insights.agg(F.max("enriched_at").alias("through")).scalar()
     frame = facts.frame(as_of)
-    if tables.exists(SNAPSHOT):
-        stored = tables.read(SNAPSHOT)
-        before = stored.agg(F.max("snapshot_date").cast("string")).first()[0]
-        if before:
-            snapshot = stored.drop(*_STAMPS)
-            affected = affected_customers(snapshot, facts, unseen_insights(tables), before, as_of)
-            frame = refresh_snapshot(snapshot, facts, affected, as_of)
+    if before:
+        snapshot = tables.read(SNAPSHOT).drop(*_STAMPS)
+        affected = affected_customers(snapshot, facts, unseen_insights(tables), before, as_of)
+        frame = refresh_snapshot(snapshot, facts, affected, as_of)
     return tables.replace(SNAPSHOT, frame.withColumns({"snapshot_date": as_date(as_of), "insights_through": through}))
 
 
@@ -176,9 +179,11 @@ def run_id_of(moment: dt.datetime) -> str:
 
 
 def _nothing_to_do(tables: Tables, texts: int) -> bool:
-    if texts or not (tables.exists(INSIGHTS) and tables.exists(SNAPSHOT)):
-        return texts == 0 and not tables.exists(INSIGHTS)
-    return unseen_insights(tables).isEmpty()
+    if texts:
+        return False
+    if not tables.exists(INSIGHTS):
+        return True
+    return tables.exists(SNAPSHOT) and unseen_insights(tables).isEmpty()
 
 
 def add_recommendations(tables: Tables, as_of: dt.date | str, levels: Sequence[tuple[str, int]] = LEVELS) -> int:
@@ -218,6 +223,9 @@ def run_daily(
     texts, blank = sizes["texts"], sizes["rows"] - sizes["texts"]
     entry["new_interactions"] = texts
     if _nothing_to_do(tables, texts):
+        # The stored 360 still has to follow the calendar on a quiet day.
+        if snapshot_date(tables) not in (None, str(as_of)):
+            refresh(tables, as_of)
         entry |= {"status": "COMPLETED", "run_end": clock(), "details": "No new interactions. Skipped."}
         log_run(tables, **entry)
         return entry

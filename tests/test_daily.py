@@ -86,6 +86,20 @@ def test_blank_texts_do_not_keep_the_run_busy(spark, tmp_path):
     assert filled.filter(F.col("sentiment_score").isNotNull()).count() == 8
 
 
+def test_quiet_day_moves_the_snapshot(spark, tmp_path):
+    store, now = raw(spark, tmp_path), clock()
+    store.replace("interactions", calls(spark, 5))
+    daily.run_daily(store, AS_OF, INSURANCE_RULES, clock=now)
+    later = AS_OF + dt.timedelta(days=2)
+    entry = daily.run_daily(store, later, INSURANCE_RULES, clock=now)
+    assert entry["details"] == "No new interactions. Skipped."
+    full = daily.read_facts(store).frame(later)
+    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "insights_through")
+    assert full.exceptAll(snapshot).count() == 0 and snapshot.exceptAll(full).count() == 0
+    delayed = snapshot.filter("customer_id = 'C1'").first()["delayed_claims"]
+    assert delayed == 1  # the claim was 30 days old before
+
+
 def test_failed_step_is_recorded_and_the_rest_runs(spark, tmp_path, monkeypatch):
     store, now = raw(spark, tmp_path), clock()
     store.replace("interactions", calls(spark, 10))
