@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm.exact_dedup import exact_duplicates
+from holdfast.llm.mixing import SEED, mix_by_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +42,41 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of all documents by a two-pass Bloom filter."""
     return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_mix_sources",
+    rf"""
+    with docs as (
+      select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+             ('0x' || left(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 15))::bigint as seed
+      from documents),
+    sources as (
+      select source, sum(size)::bigint as source_size,
+             [5, 2, 1][1 + (row_number() over (order by encode(source) nulls last) - 1) % 3] as weight
+      from docs group by source),
+    -- Shares that stop at three times the size are the sources with the smallest size for their weight.
+    ordered as (
+      select *, sum(source_size) over () - coalesce(sum(3 * source_size) over before, 0) as room,
+             sum(weight) over () - coalesce(sum(weight) over before, 0) as of_weight
+      from sources
+      window before as (order by source_size::double / weight, source rows between unbounded preceding and 1 preceding)),
+    level as (
+      select room, of_weight from ordered where weight * room <= 3 * source_size * of_weight
+      order by source_size::double / weight, source limit 1),
+    targets as (
+      select source, source_size, least(3.0 * source_size, (weight * room)::double / of_weight::double) as target
+      from sources, level),
+    placed as (
+      select doc_id, size, source_size, target, round(target)::bigint as want,
+             sum(size) over (partition by source order by seed, size) as upto
+      from docs join targets using (source))
+    select doc_id, size, source_size, target,
+           case when source_size = 0 then 0 else
+             size * (want // source_size + (2 * upto - size <= 2 * (want % source_size))::int) end::bigint as taken
+    from placed
+    """,
+)
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 by source."""
+    return mix_by_source(_table(spark, sf_dir, "documents"))
