@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from holdfast.llm.bpe import token_digests
 from holdfast.llm.exact_dedup import exact_duplicates
 from holdfast.llm.mixing import SEED, mix_by_source
 
+# Vocabulary files stay outside the repository; this names the one the queries use.
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -80,3 +84,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 by source."""
     return mix_by_source(_table(spark, sf_dir, "documents"))
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the installed package of public vocabularies keeps a file; every node has that package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op1_bpe_round_trip")
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return token_digests(_table(spark, sf_dir, "documents"), vocabulary_path())
