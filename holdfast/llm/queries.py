@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from holdfast.llm.bpe import token_digests
 from holdfast.llm.exact_dedup import exact_duplicates
 from holdfast.llm.mixing import SEED, mix_by_source
+from holdfast.llm.pii import personal_data
+from holdfast.llm.url_rules import judge_urls
 
 # Vocabulary files stay outside the repository; this names the one the queries use.
 VOCABULARY = "word_bpe_49k.json"
@@ -97,3 +99,39 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return token_digests(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query(
+    "op2_url_filter",
+    r"""
+    with cut as (
+      select page_id, contains(coalesce(url, ''), '://') as whole,
+             regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') as host,
+             regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*(/[^?#]*)?', 1) as path
+      from pages),
+    parts as (
+      select page_id, case when whole then translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+             case when whole then path else '' end as path from cut),
+    -- Fixed values: the rules.
+    rules(rule_host, rule_path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+      ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    best as (
+      select page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+             max_by(verdict, length(rule_host || rule_path)) as verdict
+      from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+      group by page_id)
+    select page_id, host, path, rule,
+           coalesce(verdict, case when regexp_matches(host || path,
+             '^([^/]*[.-])?(adult|casino|bets|cheap-pills|ads-track|spam)([.-][^/]*)?/') then 'block' else 'allow' end) as verdict
+    from parts left join best using (page_id)
+    """,
+)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by host rules and block patterns."""
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+@query("op3_personal_data")
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return personal_data(_table(spark, sf_dir, "documents"))
