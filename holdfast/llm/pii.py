@@ -4,9 +4,10 @@ An Aho-Corasick automaton finds the places where personal data can be: at-signs,
 identifier. From each place a local parser, linear in what it reads, expands and validates the boundaries. Digit
 runs, which announce themselves, are found by one scan.
 
-Base kinds (email, ip, card, phone) are exactly the leftmost matches of their patterns; the method adds ``url`` (scheme to
-the end of the address), ``account`` (identifier after a cue word) and ``secret`` (quoted value after a cue and ``=``).
-Kinds overlap freely, spans within a kind don't.
+Base spans (email, ip, card, phone) are exactly the valid leftmost matches of their patterns. The method adds cards and
+phones that stand beside other numbers, where the pattern takes both together and fails, and three more kinds:
+``url`` (scheme to the end of the address), ``account`` (identifier after a cue word) and ``secret`` (value after a cue and
+``=``, or a key with a known prefix). Kinds overlap freely, spans within a kind don't.
 
 Cases: a null or empty text has no spans; offsets are code points, ends exclusive; a text of any length takes linear time.
 """
@@ -31,6 +32,7 @@ ADDED_KINDS = ("url", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ftps://", "mailto:", "tel:")
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "passport", "ssn", "social security", "card number", "customer id", "tax id")
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "api key", "apikey")
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 
 Span = tuple[int, int]
 
@@ -39,6 +41,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9]([ ().0-9-]++)")
+_GROUP = re.compile(r"[0-9]+")
+_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,200}")
 _ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _ACCOUNT = re.compile(r"(?: ?(?:no|number|nr|id))?[.:#]{0,2}[ ]{0,2}([A-Za-z]{0,2}[0-9](?:[ -]?[A-Za-z0-9]){5,33})")
 _SECRET = re.compile(r"[ ]{0,2}[=:][ ]{0,2}(?:\"([^\"\s]{8,512})\"|'([^'\s]{8,512})'|([A-Za-z0-9_./+=-]{16,512}))")
@@ -53,6 +57,8 @@ def _anchors() -> ahocorasick.Automaton:
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
                 found.add_word(form, (kind, len(form)))
+    for prefix in KEY_PREFIXES:
+        found.add_word(prefix, ("key", len(prefix)))
     found.make_automaton()
     return found
 
@@ -98,34 +104,63 @@ def _small(number: str) -> bool:
     return len(short) <= 3 and int(short or "0") <= 255
 
 
-def _cards(text: str) -> list[Span]:
-    out = []
+def _cards(text: str) -> tuple[list[Span], list[Span]]:
+    """(base, added): whole runs that are valid, and valid groups within runs that are not."""
+    base, added = [], []
     for m in _DIGITS.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and _luhn(digits):
-                out.append(m.span())
+                base.append(m.span())
+            else:
+                added += _grouped_cards(text, *m.span())
+    return base, added
+
+
+def _grouped_cards(text: str, begin: int, end: int) -> list[Span]:
+    """Card numbers among the groups of a run that also holds other numbers: whole groups of four digits or more."""
+    groups, out, i = [g.span() for g in _GROUP.finditer(text, begin, end)], [], 0
+    while i < len(groups):
+        digits, j, found = "", i, 0
+        while j < len(groups) and 4 <= groups[j][1] - groups[j][0] <= 19 and len(digits) < 16:
+            digits += text[groups[j][0] : groups[j][1]]
+            j += 1
+            if 16 <= len(digits) <= 19 and _luhn(digits):
+                found = j
+        if found:
+            out.append((groups[i][0], groups[found - 1][1]))
+        i = found or i + 1
     return out
 
 
-def _phone(text: str, at: int) -> tuple[Span | None, int]:
-    """(span if valid, where the match ends) at a plus sign: from its first digit to the last digit of the run."""
+def _phone(text: str, at: int) -> tuple[Span | None, bool, int]:
+    """(span, whether it is a base one, where the base match ends) at a plus sign.
+
+    The base match goes from the first digit to the last one of the run. If it has too many digits, the
+    longest row of whole groups that has not is added instead.
+    """
     m = _PHONE.match(text, at)
     if not m:
-        return None, at
+        return None, False, at
     run = m[1]
     kept = len(run.rstrip(" ().-"))
     if kept < 2:  # a character between the first and the last digit is needed
-        return None, at
+        return None, False, at
     end = m.start(1) + kept
-    digits = sum(map(str.isdigit, text[at:end]))
-    return ((at, end) if 8 <= digits <= 15 else None), end
-
-
-def find_spans(text: str) -> dict[str, list[Span]]:
-    """All spans by kind, in order."""
-    spans: dict[str, list[Span]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
-    done = dict.fromkeys(spans, 0)
+    digits, last = 0, None
+    for group in _GROUP.finditer(text, at, end):
+        digits += group.end() - group.start()
+        if digits > 15:
+            return ((at, last) if last else None), False, end
+        last = group.end() if digits >= 8 else None
+    return ((at, end) if digits >= 8 else None), True, end
+
+
+def find_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
+    """(base, added) spans by kind, in order."""
+    spans: dict[str, list[Span]] = {k: [] for k in BASE_KINDS}
+    more: dict[str, list[Span]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
+    done = dict.fromkeys(more, 0)
     for last, (kind, length) in _anchors().iter(text):
         begin = last - length + 1
         if kind == "@":
@@ -134,12 +169,16 @@ def find_spans(text: str) -> dict[str, list[Span]]:
                 done["email"] = span[1]
         elif kind == "+":
             if begin >= done["phone"]:
-                span, end = _phone(text, begin)
+                span, is_base, end = _phone(text, begin)
                 done["phone"] = max(done["phone"], end)
                 if span:
-                    spans["phone"].append(span)
-        elif begin >= done[kind] and (begin == 0 or not text[begin - 1].isalnum()):
-            if kind == "url":
+                    (spans if is_base else more)["phone"].append(span)
+        elif begin >= done["secret" if kind == "key" else kind] and (begin == 0 or not text[begin - 1].isalnum()):
+            if kind == "key":
+                m = _KEY.match(text, begin)
+                span = m.span() if m else None
+                kind = "secret"
+            elif kind == "url":
                 m = _ADDRESS.match(text, last + 1)
                 span = (begin, m.start() + len(m[0].rstrip(".,;:!?)]"))) if m else None
                 span = span if span and span[1] > last + 1 else None
@@ -147,24 +186,25 @@ def find_spans(text: str) -> dict[str, list[Span]]:
                 m = (_ACCOUNT if kind == "account" else _SECRET).match(text, last + 1)
                 span = m.span(m.lastindex) if m else None
             if span:
-                spans[kind].append(span)
+                more[kind].append(span)
                 done[kind] = span[1]
     if any(map(text.__contains__, "0123456789")):
-        spans["ip"], spans["card"] = _ips(text), _cards(text)
-    return spans
+        spans["ip"] = _ips(text)
+        spans["card"], more["card"] = _cards(text)
+    return spans, more
 
 
-def _listed(spans: dict[str, list[Span]], kinds) -> str:
-    return ",".join([f"{k}:{a}:{b}" for k in kinds for a, b in spans[k]])
+def _listed(*found: dict[str, list[Span]]) -> str:
+    return ",".join([f"{k}:{a}:{b}" for k in (*BASE_KINDS, *ADDED_KINDS) for a, b in sorted(s for x in found for s in x.get(k, ()))])
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column(1).to_pylist():
-            spans = find_spans(text or "")
-            base = hashlib.sha256(_listed(spans, BASE_KINDS).encode()).hexdigest()
-            rows.append((*(len(spans[k]) for k in BASE_KINDS), base, _listed(spans, (*BASE_KINDS, *ADDED_KINDS))))
+            base, more = find_spans(text or "")
+            digest = hashlib.sha256(_listed(base).encode()).hexdigest()
+            rows.append((*(len(base[k]) for k in BASE_KINDS), digest, _listed(base, more)))
         columns = [*zip(*rows, strict=True)] if rows else [()] * 6
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         yield pa.RecordBatch.from_arrays(
@@ -182,7 +222,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def masked(text: str | None) -> str:
     """The text with each span replaced by its kind in angle brackets; of overlapping spans the first, then longest, names it."""
     text = text or ""
-    found = sorted((a, -b, k) for k, spans in find_spans(text).items() for a, b in spans)
+    found = sorted((a, -b, k) for by_kind in find_spans(text) for k, spans in by_kind.items() for a, b in spans)
     out, at = [], 0
     for begin, end, kind in found:
         if begin >= at:
