@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm.bpe import token_digests
 from holdfast.llm.exact_dedup import exact_duplicates
+from holdfast.llm.main_text import main_texts
 from holdfast.llm.mixing import SEED, mix_by_source
 from holdfast.llm.pii import personal_data
 from holdfast.llm.url_rules import judge_urls
@@ -135,3 +136,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return personal_data(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return main_texts(_table(spark, sf_dir, "pages"))
