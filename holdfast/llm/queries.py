@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from holdfast.llm.bpe import token_digests
 from holdfast.llm.exact_dedup import exact_duplicates
 from holdfast.llm.main_text import main_texts
 from holdfast.llm.mixing import SEED, mix_by_source
 from holdfast.llm.pii import personal_data
+from holdfast.llm.topk import top_k
 from holdfast.llm.url_rules import judge_urls
 
 # Vocabulary files stay outside the repository; this names the one the queries use.
@@ -142,3 +144,22 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
     return main_texts(_table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op6_top_k",
+    """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
+      where vec_id is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pairs as (
+      select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+    select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+    from pairs qualify rank <= 5
+    """,
+)
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector."""
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
