@@ -13,6 +13,7 @@ from holdfast.llm.main_text import main_texts
 from holdfast.llm.mixing import SEED, mix_by_source
 from holdfast.llm.pii import personal_data
 from holdfast.llm.topk import top_k
+from holdfast.llm.toxicity import toxicity
 from holdfast.llm.url_rules import judge_urls
 
 # Vocabulary files stay outside the repository; this names the one the queries use.
@@ -163,3 +164,9 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for every fiftieth vector."""
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories for every document."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
