@@ -11,6 +11,7 @@ from holdfast.llm.bpe import token_digests
 from holdfast.llm.exact_dedup import exact_duplicates
 from holdfast.llm.main_text import main_texts
 from holdfast.llm.mixing import SEED, mix_by_source
+from holdfast.llm.ngram_join import similar_documents
 from holdfast.llm.pii import personal_data
 from holdfast.llm.topk import top_k
 from holdfast.llm.toxicity import toxicity
@@ -170,3 +171,11 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of the chain's categories for every document."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op9_ngram_join",
+)
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 3-word shingles."""
+    return similar_documents(_table(spark, sf_dir, "documents"))
