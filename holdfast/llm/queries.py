@@ -13,6 +13,7 @@ from holdfast.llm.main_text import main_texts
 from holdfast.llm.mixing import SEED, mix_by_source
 from holdfast.llm.ngram_join import similar_documents
 from holdfast.llm.pii import personal_data
+from holdfast.llm.substrings import substring_dedup
 from holdfast.llm.topk import top_k
 from holdfast.llm.toxicity import toxicity
 from holdfast.llm.url_rules import judge_urls
@@ -179,3 +180,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by 3-word shingles."""
     return similar_documents(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows of smaller ids."""
+    return substring_dedup(_table(spark, sf_dir, "documents"))
