@@ -122,7 +122,9 @@ def _node_batches(n: int):
                 elements = sets.of(text)
                 sizes.append(len(elements))
                 nodes.append(sets.node(elements) if len(elements) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "row_key", "n", "node"]
+            )
 
     return run
 
@@ -345,8 +347,14 @@ def _with_labels(rows: DataFrame, labels: DataFrame, column: str, name: str) ->
 
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links from ``percent`` per cent Jaccard similarity on."""
+    return _classes(docs, n, percent, id_col, text_col).drop("row_key")
+
+
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row_key (a hash of id and text), n_shingles, component_id."""
     bands, texts = Bands(percent), id_and_text(docs, id_col, text_col)
-    nodes = stored(texts.mapInArrow(_node_batches(n), "doc_id bigint, n bigint, node bigint"), "join-nodes")
+    keyed = texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    nodes = stored(keyed.mapInArrow(_node_batches(n), "doc_id bigint, row_key bigint, n bigint, node bigint"), "join-nodes")
     sigs = texts.mapInArrow(_signature_batches(n, bands), "sig bigint, node bigint, n int, band short")
     buckets = sigs.repartition("sig").sortWithinPartitions("sig", "node")
     found = stored(buckets.mapInArrow(_bucket_batches(bands), "a bigint, b bigint, bucket bigint, band short"), "join-buckets")
@@ -413,4 +421,25 @@ def _components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     by_node = stored(labelled.join(least, "label").select("node", "component_id"), "join-classes")
     rows = nodes.join(by_node, "node", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns. Rows without id stay.
+
+    A filter of the rows to drop lets nearly all others pass straight; only rows that may be among them are joined
+    by id and text, since rows with one id can have different texts.
+    """
+    key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
+    classes = _classes(docs, n, percent, id_col, text_col)
+    gone = stored(classes.filter("doc_id <> component_id").select(F.col("row_key").alias("_join_key")).distinct(), "join-gone")
+    seen = repeat_filter.build(gone.mapInArrow(_mixed_ids, "h bigint"), gone.count(), least=1)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_go(keys: pa.Array) -> pa.Array:
+        return pa.array(seen.test(mix(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(_U))))
+
+    marked = docs.withColumn("_join_key", key).withColumn("_join_may_go", may_go("_join_key"))
+    straight = marked.filter(~F.col("_join_may_go")).select(*docs.columns)
+    doubtful = marked.filter("_join_may_go").join(gone, "_join_key", "left_anti").select(*docs.columns)
+    return straight.unionByName(doubtful)
