@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 80
 FLOOR = 12
+# Above this share of linked characters a line is a list of links.
+LINKED = 0.7
 
 # Element names by their role in HTML.
 BLOCKS = frozenset(
@@ -175,9 +177,9 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE, floo
         return []
     if any(x.marked for x in lines):
         weight = np.array([len(x.text) * x.marked for x in lines])
-        window, surge = 1, 1
+        window, surge, floor = 1, 1, 0
     else:
-        weight = np.array([len(x.text) - x.linked for x in lines])
+        weight = np.array([0 if x.linked > LINKED * len(x.text) else len(x.text) - x.linked for x in lines])
     total = np.concatenate([[0], np.cumsum(weight)])
     ends = np.minimum(np.arange(len(lines)) + window, len(lines))
     sums = total[ends] - total[: len(lines)]

@@ -28,6 +28,8 @@ from holdfast.llm.common import id_and_text, seeded
 
 # The threshold comes from the training rows unless the caller gives one; this one stands where there is nothing to learn.
 THRESHOLD = 0.5
+# Nothing is rejected below this probability, so that labels which teach nothing don't empty the corpus.
+LEAST_THRESHOLD = 0.25
 # Labelled documents the chain is fitted on, folds, features of a model, bits of the feature space.
 SAMPLE = 8_000
 FOLDS = 3
@@ -144,7 +146,7 @@ def best_threshold(probability: np.ndarray, target: np.ndarray) -> float:
     sorted_p = probability[order]
     f[:-1][sorted_p[:-1] == sorted_p[1:]] = 0  # equal probabilities stay together
     at = int(np.argmax(f))
-    return float((sorted_p[at] + (sorted_p[at + 1] if at + 1 < len(sorted_p) else 0)) / 2)
+    return max(LEAST_THRESHOLD, float((sorted_p[at] + (sorted_p[at + 1] if at + 1 < len(sorted_p) else 0)) / 2))
 
 
 def fit_chain(documents: Sequence[np.ndarray], targets: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> tuple[list[Linear], float]:

@@ -7,8 +7,8 @@ candidate rules, and only those run their expression.
 Two kinds of rules: host rules (host and path prefix, the longest fitting one decides) and, where none fits, block
 patterns; a URL that fits nothing is allowed.
 
-Cases: a null URL or one without ``://`` has an empty host and path and is allowed without a rule; the same rule given
-with both verdicts blocks; a rule without any token is tried on every URL; an empty table gives an empty result.
+Cases: a null URL or one without ``://`` has an empty host and path and is allowed without a rule; of rules of one length one that
+blocks wins, then the last by name; a rule without any token is tried on every URL; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,17 +117,17 @@ class RuleIndex:
             for rule, expression in index[token]:
                 if isinstance(rule, HostRule):
                     if expression.fullmatch(whole):
-                        fitting.append((len(rule.name), rule.verdict == "block", rule))
+                        fitting.append((len(rule.name), rule.verdict == "block", rule.name, rule))
                 else:
                     blocked = blocked or bool(expression.fullmatch(low))
         for rule, expression in self.always:
             if isinstance(rule, HostRule):
                 if expression.fullmatch(whole):
-                    fitting.append((len(rule.name), rule.verdict == "block", rule))
+                    fitting.append((len(rule.name), rule.verdict == "block", rule.name, rule))
             else:
                 blocked = blocked or bool(expression.fullmatch(low))
         if fitting:
-            best = max(fitting, key=lambda x: x[:2])[2]
+            best = max(fitting, key=lambda x: x[:3])[3]
             return best.name, best.verdict
         return None, "block" if blocked else "allow"
 
