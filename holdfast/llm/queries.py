@@ -174,15 +174,54 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+
 @query(
     "op9_ngram_join",
+    f"""
+    with recursive words as (select doc_id, {_WORDS.format(text=_LOWER)} as w from documents),
+    shingles as (
+      select distinct doc_id, array_to_string(w[k:k + 2], ' ') as s
+      from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as k from words where len(w) > 0)),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    common as (
+      select a.doc_id as a, b.doc_id as b, count(*) as both_have
+      from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+    links as (
+      select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+      where 100 * both_have >= 90 * (x.n + y.n - both_have)),
+    reached(doc_id, other) as (
+      select doc_id, doc_id from documents union select r.doc_id, l.b from reached r join links l on l.a = r.other)
+    select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+    from documents d left join sizes using (doc_id)
+    join (select doc_id, min(other) as component_id from reached group by doc_id) using (doc_id)
+    """,
 )
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by 3-word shingles."""
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
-@query("op10_substring_dedup")
+@query(
+    "op10_substring_dedup",
+    f"""
+    with words as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
+    windows as (
+      select doc_id, k, array_to_string(w[k:k + 12], ' ') as s
+      from (select doc_id, w, unnest(generate_series(1, len(w) - 12)) as k from words where len(w) >= 13)),
+    gone as (
+      select distinct doc_id, unnest(generate_series(k, k + 12)) as place
+      from windows join (select s, min(doc_id) as owner from windows group by s) using (s) where owner < doc_id),
+    placed as (
+      select doc_id, unnest(generate_series(1, len(w))) as place, unnest(w) as word from words),
+    kept as (
+      select p.doc_id, string_agg(word, ' ' order by place) filter (g.doc_id is null) as txt, count(g.doc_id) as n_removed
+      from placed p left join gone g using (doc_id, place) group by p.doc_id)
+    select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(txt, '')) as kept_sha256
+    from words left join kept using (doc_id)
+    """,
+)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows of smaller ids."""
     return substring_dedup(_table(spark, sf_dir, "documents"))
