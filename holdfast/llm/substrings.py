@@ -10,7 +10,8 @@ automaton holds them, the matching statistics of the next document's segment run
 matches at least a window's length is removed. Content met before is recognised at once and doesn't grow the automaton.
 
 Anchors with more than ``CROWDED`` segments (a passage that a large part of the documents holds) go another exact way: their
-windows are counted one by one, with partial sums before the shuffle, and joined back in salted parts.
+windows are counted one by one, with partial minima before the shuffle. The few windows that occur as often themselves are
+sent to every task with the smallest id that holds them; the others, each with few rows, stream by window.
 
 Cases: null and empty texts have no words; a document with fewer words than a window loses nothing; rows that share an id are one
 document, which never removes its own windows; a null id is neither smaller nor larger than another, such rows lose nothing; an
@@ -31,7 +32,6 @@ from pyspark.sql import types as T
 
 from holdfast.llm import repeat_filter
 from holdfast.llm.common import WordHash, id_and_text, mix, ngram_hashes, stored, utf8
-from holdfast.operators.skew import join_to_unique
 
 WINDOW = 13
 ANCHOR = 6
@@ -243,10 +243,82 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     plain = segments.filter("words is not null").repartition("key").sortWithinPartitions("key", "doc_id")
     spans = plain.mapInArrow(_shard_batches(window), "doc_id bigint, text_key bigint, first int, last int")
     single = segments.filter("words is null").select("key", "doc_id", "text_key", "start")
-    owners = single.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).filter("owner < high")
-    owners = stored(owners.select("key", "owner"), "passage-owners")
-    later = join_to_unique(single, owners, "key", ["doc_id", "start"], "inner", min_rows=CROWDED).filter("doc_id > owner")
-    return spans.unionByName(later.select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + window).alias("last")))
+    owners = single.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    owners = stored(owners.filter("owner < high").select("key", "owner", "n"), "passage-owners")
+    # An anchor has at most window - anchor + 1 windows, so these are at most 50,000 times that many.
+    often = owners.filter(F.col("n") > limit).select("key", "owner").toPandas().sort_values("key")
+    often = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64), often["owner"].to_numpy(np.int64)))
+    again = owners.filter(F.col("n") <= limit).select("key")
+    again = repeat_filter.build(again.mapInArrow(_mixed_keys, "h bigint"), owners.count(), least=1)
+    spans_schema = "doc_id bigint, text_key bigint, first int, last int"
+    common = single.mapInArrow(_common_batches(window, often), spans_schema)
+    rare = single.mapInArrow(_rare_batches(often, again), single.schema).repartition("key").sortWithinPartitions("key", "doc_id")
+    return spans.unionByName(common).unionByName(rare.mapInArrow(_later_batches(window), spans_schema))
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def _spans_of(doc_id: np.ndarray, text_key: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
+    """Windows as spans; of one text, those that follow each other are one."""
+    follows = (np.diff(start) == 1) & (np.diff(doc_id) == 0) & (np.diff(text_key) == 0)
+    first = np.flatnonzero(np.concatenate([[True], ~follows])) if len(start) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(start)) - 1 if len(start) else first
+    columns = [doc_id[first], text_key[first], start[first].astype(np.int32), (start[last] + window).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "text_key", "first", "last"])
+
+
+def _found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is among the sorted ones, its place there)."""
+    at = np.minimum(np.searchsorted(among, keys), max(len(among) - 1, 0))
+    return (among[at] == keys if len(among) else np.zeros(len(keys), bool)), at
+
+
+def _common_batches(window: int, often):
+    """Single windows that occur often, in the order of their text, to spans: their owners are known to every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, owner = often.value
+        for batch in batches:
+            key, doc_id, text_key, start = _columns(batch)
+            hit, at = _found(key, known)
+            hit[hit] = doc_id[hit] > owner[at[hit]]
+            yield _spans_of(doc_id[hit], text_key[hit], start[hit], window)
+
+    return run
+
+
+def _rare_batches(often, again: repeat_filter.HashFilter):
+    """Single windows that may occur again, but not often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _ = often.value
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(again.test(mix(key.view(_U))) & ~_found(key, known)[0]))
+
+    return run
+
+
+def _later_batches(window: int):
+    """Rows sorted by (key, doc_id) to the windows of all but the smallest id of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_owner = None, 0
+        for batch in batches:
+            key, doc_id, text_key, start = _columns(batch)
+            if not len(key):
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+            owner = doc_id[begins].copy()
+            if key[0] == last_key:
+                owner[0] = last_owner
+            last_key, last_owner = key[-1], owner[-1]
+            later = doc_id > np.repeat(owner, np.diff(np.append(begins, len(key))))
+            yield _spans_of(doc_id[later], text_key[later], start[later], window)
+
+    return run
 
 
 def _mixed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
