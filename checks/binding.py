@@ -26,7 +26,7 @@ LOW_LEVELS = (("Critical", 45), ("High", 30), ("Medium", 10))
 RULES = TextRules(
     positive=("that", "with", "than", "from"),
     negative=("this", "free", "license", "rewh", "orre", "thatin"),
-    competitors=("tionth", "onthat"),
+    competitors=("hean", "hain"),
     cancel_words=("license",),
     intents=(Rule("complaint", score_below=0.0), Rule("claim_enquiry", any_of=("orre",))),
     signals=(Rule("cancellation_intent", any_of=("license",)), Rule("claim_delay", score_below=0.0)),

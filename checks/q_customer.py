@@ -161,7 +161,7 @@ def legacy_score(d):
 @query(
     "i19_legacy_360",
     sql(
-        """select customer_id, churn_risk_score, recent_interactions, all_policies
+        """select customer_id, 0 as chunk, churn_risk_score, recent_interactions, all_policies
         from legacy left join (select customer_id, string_agg(channel || '/' || strftime(interaction_ts, '%Y-%m-%d') || '/' || sentiment_label, ',' order by rn) as recent_interactions
               from (select *, row_number() over (partition by customer_id order by interaction_ts desc, interaction_id desc) as rn from insights)
               where rn <= 3 group by customer_id) using (customer_id)
@@ -177,10 +177,11 @@ def legacy_360(d):
         d.insights, "customer_id", [c("interaction_ts").desc(), c("interaction_id").desc()], ix, 3, "recent_interactions"
     )
     policy = F.concat(c("policy_id").cast("string"), lit("/"), c("premium_amount").cast("string"), lit("/"), c("status"))
-    owned = pick.group_arrays(d.policies, "customer_id", "policy_id", ["end_date"], policy, "all_policies")
+    owned = pick.group_arrays(d.policies, "customer_id", "policy_id", ["end_date"], policy, "all_policies")  # a row for each chunk
     wide = _legacy(d).join(recent, "customer_id", "left").join(owned, "customer_id", "left")
     return wide.select(
         "customer_id",
+        F.coalesce("chunk", F.lit(0)).alias("chunk"),
         "churn_risk_score",
         F.array_join("recent_interactions", ",").alias("recent_interactions"),
         F.array_join("all_policies", ",").alias("all_policies"),

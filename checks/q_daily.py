@@ -81,10 +81,25 @@ def refresh(d):
     facts, old = d.facts, d.insights.filter(_is_old())
     past = daily.Facts(facts.customers, facts.policies, facts.claims, facts.payments, old).frame(EARLIER)
     snapshot = d.tables("snapshot").replace("customer_360", past)
-    affected = daily.affected_customers(snapshot, facts, d.insights.filter(~_is_old()), EARLIER, AS_OF)
+    affected = daily.affected_customers(snapshot, facts, [d.insights.filter(~_is_old())], EARLIER, AS_OF)
     return daily.refresh_snapshot(snapshot, facts, affected, AS_OF)
 
 
+@query("n04_all_tables", sql("select * from frame"))
+def refresh_all_tables(d):
+    """A snapshot of half of every table, brought forward when the other half has arrived."""
+    tables = d.tables("halves")
+    keys = {"customers": "customer_id", "policies": "policy_id", "claims": "claim_id", "payments": "payment_id", daily.INSIGHTS: "interaction_id"}
+    whole = {n: getattr(d, "insights" if n == daily.INSIGHTS else n) for n in keys}
+    half = {n: F.pmod(F.xxhash64(key), F.lit(2)) == 0 for n, key in keys.items()}
+    for name, rows in whole.items():
+        tables.replace(name, rows.filter(half[name]))
+    daily.refresh(tables, EARLIER)
+    for name, rows in whole.items():
+        tables.append(name, rows.filter(~half[name]))
+    return daily.refresh(tables, AS_OF).drop("snapshot_date", "marks")
+
+
 @query("n05_new_recommendations")
 def new_recommendations(d):
     return _two_runs(d, "nba").read(daily.RECOMMENDATIONS)

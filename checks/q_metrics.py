@@ -172,9 +172,9 @@ def high_value_renewals(d):
     return q.high_value_renewals(d.snapshot, 60, 10000)
 
 
-@query("k22_named_competitor", sql("select customer_id, 0 as chunk, string_agg(interaction_id, ',' order by interaction_id) as interaction_ids from insights where competitor = 'tionth' group by customer_id"))
+@query("k22_named_competitor", sql("select customer_id, 0 as chunk, string_agg(interaction_id, ',' order by interaction_id) as interaction_ids from insights where competitor = 'hean' group by customer_id"))
 def named_competitor(d):
-    return q.competitor_mentions(d.insights, "tionth").withColumn("interaction_ids", F.array_join("interaction_ids", ","))
+    return q.competitor_mentions(d.insights, "hean").withColumn("interaction_ids", F.array_join("interaction_ids", ","))
 
 
 @query(

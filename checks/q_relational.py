@@ -391,9 +391,12 @@ def batch_slice(d):
     return enrichment.batch_slice(d.interactions, done, 300).select("interaction_id")
 
 
-@query("f06_limit")
+@query("f06_limit", "select 5 as n, 0 as strangers")
 def plain_limit(d):
-    return d.policies.limit(5)
+    """Which rows a bare limit takes is free; how many and that they are rows of the table isn't."""
+    some = d.policies.limit(5)
+    strangers = some.select("policy_id").join(d.policies.select("policy_id"), "policy_id", "left_anti")
+    return some.agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("strangers", strangers.agg(F.count(F.lit(1)).cast("int")).scalar())
 
 
 # --- G: set operations ------------------------------------------------------------------------------
@@ -460,9 +463,10 @@ def dateadd(d):
     return d.policies.select("policy_id", F.date_sub("end_date", 90).alias("remind_on"), after.alias("starts_after"))
 
 
-@query("h09_now")
+@query("h09_now", sql("select policy_id, true as seen_today from policies where end_date < current_date"))
 def now(d):
-    return d.policies.filter(F.col("end_date") < F.current_date()).select("policy_id", F.current_timestamp().alias("seen_at"))
+    stamped = d.policies.withColumn("seen_at", F.current_timestamp()).filter(F.col("end_date") < F.current_date())
+    return stamped.select("policy_id", (F.col("seen_at").cast("date") == F.current_date()).alias("seen_today"))
 
 
 @query("h10_format_time", sql("select interaction_id, 'RUN_' || strftime(interaction_ts, '%Y%m%d_%H%M%S') as run_id from interactions"))
@@ -576,9 +580,12 @@ def formatting(d):
     return d.recommendations.select("recommendation_id", C.thousands(F.round("premium_at_risk", 0)).alias("premium"), C.percent("confidence_score").alias("confidence"))
 
 
-@query("h29_current_user")
+@query("h29_current_user", sql("select log_id, decision = 'EDIT' as by_user from log"))
 def current_user(d):
-    return d.log.select("log_id", F.coalesce("decided_by", F.current_user()).alias("decided_by"))
+    """The user fills in where nobody is named: here on edits."""
+    named = d.log.withColumn("decided_by", F.when(F.col("decision") != "EDIT", F.col("decided_by")))
+    filled = named.withColumn("by", F.coalesce("decided_by", F.current_user()))
+    return filled.select("log_id", (F.col("decided_by").isNull() & (F.col("by") == F.current_user())).alias("by_user"))
 
 
 @query("h30_flag_sum", sql("select customer_id, (late_payment_count > 0)::integer + (rejected_claims > 0)::integer + (competitor_mention_count > 0)::integer + (cancellation_intent_count > 0)::integer + (delayed_claims > 0)::integer + (negative_interaction_count > 0)::integer as flags from scored"))

@@ -104,9 +104,9 @@ def money_text(c: Column) -> Column:
 
 
 def stable_id(prefix: str, *keys: str | Column) -> Column:
-    """``prefix`` + 12 upper-case hex digits derived from the keys; a replay gives the same id."""
+    """``prefix`` + the 64 upper-case hex digits of a digest of the keys; a replay gives the same id."""
     joined = F.concat_ws("␟", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys])
-    return F.concat(F.lit(prefix), F.substring(F.upper(F.sha2(joined, 256)), 1, 12))
+    return F.concat(F.lit(prefix), F.upper(F.sha2(joined, 256)))
 
 
 def numbered_id(prefix: str, n: Column, width: int = 5) -> Column:

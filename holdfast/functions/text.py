@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.columns import col, contains_any
 
-LETTERS = "[^a-z]+"  # splits lower-cased text into plain words
-WORDS = r"[^\p{L}\p{N}]+"  # splits lower-cased text into words of any script
-SENTENCE = r"[^.!?\n]+[.!?]*"
+LETTERS = r"[^\p{L}\p{M}]+"  # splits lower-cased text into words without digits
+WORDS = r"[^\p{L}\p{M}\p{N}]+"  # splits lower-cased text into words of any script
+# Abbreviations that don't end a sentence.
+ABBREVIATIONS = ("Rs", "Mr", "Mrs", "Ms", "Dr", "No", "St", "vs")
+# A sentence ends at a line end, and after . ! ? or a danda before white space.
+_END = ".!?\u0964"
+SENTENCE_END = rf"\n|(?<=[{_END}])(?<!\b(?:{'|'.join(ABBREVIATIONS)})\.)(?=\s)"
 
 
 @dataclass(frozen=True)
@@ -123,16 +127,16 @@ def apply_rules(rules: Sequence[Rule], lowered: Column, score: Column, default:
 
 
 def first_mention(lowered: Column, names: Sequence[str]) -> Column:
-    """The name that occurs first in the text; at one position the longer name wins. NULL if none."""
+    """The name that occurs first as a whole word; at one position the longer name wins. NULL if none."""
     if not names:
         return F.lit(None).cast("string")
-    found = [
-        F.when(
-            lowered.contains(n.lower()),
-            F.struct(F.instr(lowered, n.lower()).alias("at"), F.lit(-len(n)).alias("len"), F.lit(n).alias("name")),
-        )
-        for n in names
-    ]
+    found = []
+    for name in names:
+        whole = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\Q{name.lower()}\E(?![\p{{L}}\p{{M}}\p{{N}}])"
+        # The words before the name, if it occurs at all; most texts are ruled out by the plain search.
+        before = F.length(F.split(lowered, whole, 2)[0])
+        at = F.when(lowered.contains(name.lower()) & (before < F.length(lowered)), before)
+        found.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(-len(name)).alias("len"), F.lit(name).alias("name"))))
     return F.array_min(F.array_compact(F.array(*found)))["name"]
 
 
@@ -142,9 +146,9 @@ def override_signal(signal: Column, lowered: Column, words: Sequence[str], label
 
 
 def sentences(text: str | Column) -> Column:
-    """Trimmed, non-empty sentences in reading order."""
-    found = F.regexp_extract_all(col(text), F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
+    """Trimmed sentences in reading order, those without any word or other sign left out."""
+    found = F.transform(F.split(col(text), SENTENCE_END), lambda s: F.trim(s))
+    return F.filter(found, lambda s: s.rlike(rf"[^{_END}\s]"))
 
 
 def marked_sentences(text: str | Column, lexicon: Sequence[str]) -> Column:
@@ -171,14 +175,14 @@ def ranked_sentences(marked: Column, markers: Sequence[str]) -> Column:
     return F.array_sort(F.transform(marked, scored))
 
 
-def summary_of(ranked: Column, best: int = 2, limit: int = 1000) -> Column:
+def summary_of(ranked: Column, best: int = 2) -> Column:
     """The ``best`` top-ranked sentences put back in reading order; NULL for text without sentences."""
     chosen = F.slice(ranked, 1, best)
     ordered = F.array_sort(F.transform(chosen, lambda s: F.struct(s["at"].alias("at"), s["sentence"].alias("sentence"))))
     joined = F.array_join(F.transform(ordered, lambda s: s["sentence"]), " ")
-    return F.when(F.size(ranked) > 0, F.substring(joined, 1, limit))
+    return F.when(F.size(ranked) > 0, joined)
 
 
-def key_quote_of(ranked: Column, limit: int = 150) -> Column:
-    """The top-ranked sentence, verbatim, at most ``limit`` characters."""
-    return F.substring(F.try_element_at(ranked, F.lit(1))["sentence"], 1, limit)
+def key_quote_of(ranked: Column) -> Column:
+    """The top-ranked sentence, verbatim and whole."""
+    return F.try_element_at(ranked, F.lit(1))["sentence"]

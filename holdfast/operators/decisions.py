@@ -29,7 +29,7 @@ def record_decisions(recommendations: DataFrame, decisions: DataFrame) -> DataFr
     decided = recommendations.select("recommendation_id", "customer_id", "action_code", "recommended_action")
     joined = join_to_unique(decisions, decided, "recommendation_id", ["decided_at", "decided_by", "decision"], "inner")
     return joined.select(
-        stable_id("LOG", "recommendation_id", decision, "decided_at").alias("log_id"),
+        stable_id("LOG", "recommendation_id", decision, "decided_by", "decided_at").alias("log_id"),
         "recommendation_id",
         "customer_id",
         "action_code",

@@ -345,7 +345,7 @@ def rationale() -> Column:
         lit("Action: "), c("recommended_action"), lit(". Evidence: "), F.coalesce(c("supporting_evidence"), lit("Limited evidence")),
     )
     body = F.when(c("action_code").isin(*CLAIM_ACTIONS), claims).otherwise(mood)
-    return F.substring(F.concat(head, body, tail), 1, 2000)
+    return F.concat(head, body, tail)
 
 
 def _d(value: str) -> Column:

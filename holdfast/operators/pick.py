@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.ids import dense_numbers
 from holdfast.operators.skew import join_to_unique
 
 
@@ -40,6 +41,17 @@ def last_n_array(df: DataFrame, key: str, order: Sequence[Column], item: Column,
     return top.groupBy(key).agg(F.transform(packed, lambda p: p["item"]).alias(name))
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """Each key once: of rows that share it the smallest in the order of the columns.
+
+    Only keys that repeat are gathered, with partial minima; all other rows pass as they are.
+    """
+    others = [c for c in df.columns if c != key]
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    least = df.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
+    return df.join(repeated, key, "left_anti").unionByName(least.select(key, "_row.*").select(*df.columns))
+
+
 def group_arrays(
     df: DataFrame,
     key: str,
@@ -49,23 +61,15 @@ def group_arrays(
     name: str,
     limit: int = 10_000,
 ) -> DataFrame:
-    """All rows of each key as sorted arrays: ``(key, chunk, <name>)``.
+    """All rows of each key as sorted arrays of at most ``limit`` items: ``(key, chunk, <name>)``.
 
-    A key with at most ``limit`` rows gives one array (chunk 0). A larger key is spread
-    by row id over as many chunks as it needs, each sorted, so no single array or task
-    holds an unbounded group and every row is kept.
+    Rows are numbered over sorted range partitions; chunk 0 has the first ``limit`` rows of the
+    key, chunk 1 the next, and so on. No array or task holds an unbounded group, whatever its size.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= limit:
-        spread = df.withColumn("chunk", F.lit(0))
-    else:
-        tagged = join_to_unique(df, sizes.filter(F.col("_n") > limit), key, [row_id])
-        # Each chunk gets limit/2 rows on average, which leaves room for uneven hashing.
-        chunk = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(row_id), F.ceil(F.col("_n") * 2 / limit))
-        )
-        # Placed by chunk, not by key alone, so the chunks of a large key go to different tasks.
-        spread = tagged.withColumn("chunk", chunk.cast("int")).repartition(key, "chunk")
-    packed = F.sort_array(F.collect_list(F.struct(*order_fields, F.col(row_id), item.alias("item"))))
-    return spread.groupBy(key, "chunk").agg(F.transform(packed, lambda p: p["item"]).alias(name))
+    order = [key, *order_fields, row_id]
+    numbered = dense_numbers(df.withColumn("_item", item), order, "_number")
+    firsts = numbered.groupBy(key).agg(F.min("_number").alias("_first"))
+    placed = join_to_unique(numbered, firsts, key, [row_id], "inner")
+    placed = placed.withColumn("chunk", F.floor((F.col("_number") - F.col("_first")) / limit).cast("int"))
+    packed = F.sort_array(F.collect_list(F.struct("_number", "_item")))
+    return placed.groupBy(key, "chunk").agg(F.transform(packed, lambda p: p["_item"]).alias(name))

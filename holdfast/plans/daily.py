@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -15,15 +16,15 @@ from holdfast.operators import nba
 from holdfast.operators.customer360 import DELAY_DAYS, RECENT_DAYS, customer_360
 from holdfast.operators.enrichment import enrich, unprocessed
 from holdfast.operators.scorecard import LEVELS, score_customers
+from holdfast.operators.pick import one_per_key
 from holdfast.operators.writeback import fill_missing, replace_rows
 from holdfast.schemas import RUN_LOG
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import checkpointed
+from holdfast.sources.workspace import fresh_dir
 
 SNAPSHOT, INSIGHTS, RECOMMENDATIONS, LOG = "customer_360", "interaction_insights", "nba_recommendations", "task_run_log"
-# Keys of this many customers stay within tens of MB when broadcast.
-FEW_CUSTOMERS = 1_000_000
-_STAMPS = ("snapshot_date", "insights_through")
+FACT_TABLES = ("customers", "policies", "claims", "payments", INSIGHTS)
+_STAMPS = ("snapshot_date", "marks")
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,8 @@ class Facts:
         return customer_360(self.customers, self.policies, self.claims, self.payments, self.insights, as_of)
 
     def only(self, keys: DataFrame) -> Facts:
-        """The same inputs for a few customers; ``keys`` travels to every task, so check its size first."""
-        kept = F.broadcast(keys.select("customer_id"))
+        """The same inputs for some customers. The optimizer sees the size of ``keys`` and picks the join."""
+        kept = keys.select("customer_id")
         return Facts(
             *[
                 df.join(kept, "customer_id", "left_semi")
@@ -53,57 +54,54 @@ class Facts:
 # --- snapshot refresh ------------------------------------------------------------------------------
 
 
-def affected_customers(
-    snapshot: DataFrame, facts: Facts, new_insights: DataFrame, before: dt.date | str, as_of: dt.date | str
-) -> DataFrame:
-    """Customers whose aggregates differ from a snapshot taken at ``before``.
+def changed_by_calendar(snapshot: DataFrame, facts: Facts, before: dt.date | str, as_of: dt.date | str) -> DataFrame:
+    """Customers for whom a day boundary lies between the two dates.
 
-    Besides customers with new insights these are the ones where a day boundary was
-    crossed: the nearest renewal has passed, a pending claim became overdue, or an
-    interaction left the recent window. Every filter is on a plain column and reaches
-    the scan.
+    The nearest renewal has passed, a pending claim became overdue, or an interaction left the
+    recent window. Every filter is on a plain column and reaches the scan.
     """
-    changed = [new_insights.select("customer_id")]
-    if str(before) != str(as_of):
-        age_then = days_between("claim_date", as_date(before))
-        age_now = days_between("claim_date", as_date(as_of))
-        overdue = (F.col("status") == "Pending") & (age_then <= DELAY_DAYS) & (age_now > DELAY_DAYS)
-        ts = F.col("interaction_ts")
-        left_window = (ts >= day_start(before, RECENT_DAYS)) & (ts < day_start(as_of, RECENT_DAYS))
-        changed += [
-            snapshot.filter(F.col("nearest_renewal_date") < as_date(as_of)).select("customer_id"),
-            facts.claims.filter(overdue).select("customer_id"),
-            facts.insights.filter(left_window).select("customer_id"),
-        ]
-    out = changed[0]
-    for more in changed[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def refresh_snapshot(
-    snapshot: DataFrame, facts: Facts, affected: DataFrame, as_of: dt.date | str, few: int = FEW_CUSTOMERS
+    age_then = days_between("claim_date", as_date(before))
+    age_now = days_between("claim_date", as_date(as_of))
+    overdue = (F.col("status") == "Pending") & (age_then <= DELAY_DAYS) & (age_now > DELAY_DAYS)
+    ts = F.col("interaction_ts")
+    left_window = (ts >= day_start(before, RECENT_DAYS)) & (ts < day_start(as_of, RECENT_DAYS))
+    return (
+        snapshot.filter(F.col("nearest_renewal_date") < as_date(as_of))
+        .select("customer_id")
+        .unionByName(facts.claims.filter(overdue).select("customer_id"))
+        .unionByName(facts.insights.filter(left_window).select("customer_id"))
+    )
+
+
+def affected_customers(
+    snapshot: DataFrame, facts: Facts, new_rows: Sequence[DataFrame], before: dt.date | str, as_of: dt.date | str
 ) -> DataFrame:
+    """Customers whose row differs from a snapshot taken at ``before``: those of any new row in any
+    table, new customers among them, and those that the calendar changed."""
+    changed = changed_by_calendar(snapshot, facts, before, as_of) if str(before) != str(as_of) else snapshot.select("customer_id").limit(0)
+    for rows in new_rows:
+        changed = changed.unionByName(rows.select("customer_id"))
+    return changed.distinct()
+
+
+def refresh_snapshot(snapshot: DataFrame, facts: Facts, affected: DataFrame, as_of: dt.date | str) -> DataFrame:
     """Recompute the affected customers; the others only have their renewal countdown moved.
 
-    A few affected customers are broadcast to cut the fact tables down before any
-    shuffle. With many of them the aggregates are built as usual (which never gathers
-    the raw rows of a customer) and the finished rows are kept for the affected ones.
+    The keys are written first: every use reads the same ones, and their size is known when the
+    joins are planned. The fact tables are cut down to them before they are aggregated.
     """
-    affected = checkpointed(affected)
+    path = fresh_dir(affected.sparkSession, "affected")
+    affected.write.parquet(path)
+    affected = affected.sparkSession.read.parquet(path)
     aged = snapshot.withColumn("days_to_renewal", days_between(as_date(as_of), "nearest_renewal_date"))
-    if affected.count() <= few:
-        recomputed = facts.only(affected).frame(as_of)
-    else:
-        recomputed = facts.frame(as_of).join(affected, "customer_id", "left_semi")
-    return replace_rows(aged, recomputed, affected, "customer_id")
+    return replace_rows(aged, facts.only(affected).frame(as_of), affected, "customer_id")
 
 
 # --- the run ---------------------------------------------------------------------------------------
 
 
 def read_facts(tables: Tables) -> Facts:
-    return Facts(*[tables.read(n) for n in ("customers", "policies", "claims", "payments", INSIGHTS)])
+    return Facts(*[tables.read(n) for n in FACT_TABLES])
 
 
 def current_interactions(tables: Tables) -> DataFrame:
@@ -131,41 +129,49 @@ def stamp(moment: dt.datetime) -> Column:
 
 
 def enrich_new(tables: Tables, rules: TextRules, now: dt.datetime) -> DataFrame:
-    """Enrich and append what is new; returns the stored insights."""
+    """Enrich and append what is new, each interaction once; returns the stored insights."""
     done = tables.read(INSIGHTS) if tables.exists(INSIGHTS) else None
-    new = enrich(tables.read("interactions"), rules, done)
-    return tables.append(INSIGHTS, new.withColumn("enriched_at", stamp(now)))
+    raw = tables.read("interactions")
+    todo = one_per_key(raw if done is None else unprocessed(raw, done), "interaction_id")
+    return tables.append(INSIGHTS, enrich(todo, rules).withColumn("enriched_at", stamp(now)))
 
 
-def unseen_insights(tables: Tables) -> DataFrame:
-    """Insights stored since the snapshot was taken; all of them without a snapshot."""
-    insights = tables.read(INSIGHTS)
+def snapshot_state(tables: Tables) -> tuple[str | None, dict[str, str]]:
+    """Date of the stored snapshot and the marks of the tables it was made from."""
     if not tables.exists(SNAPSHOT):
-        return insights
-    seen = tables.read(SNAPSHOT).agg(F.max("insights_through").alias("seen")).scalar()
-    return insights.filter(seen.isNull() | (F.col("enriched_at") > seen))
+        return None, {}
+    row = tables.read(SNAPSHOT).select(F.col("snapshot_date").cast("string").alias("day"), "marks").first()
+    return (row["day"], json.loads(row["marks"])) if row else (None, {})
 
 
 def snapshot_date(tables: Tables) -> str | None:
-    if not tables.exists(SNAPSHOT):
-        return None
-    return tables.read(SNAPSHOT).agg(F.max("snapshot_date").cast("string")).first()[0]
+    return snapshot_state(tables)[0]
+
+
+def behind(tables: Tables) -> bool:
+    """Whether any table has grown or was replaced since the snapshot."""
+    _, marks = snapshot_state(tables)
+    return any(marks.get(n) != tables.mark(n) for n in FACT_TABLES)
 
 
 def refresh(tables: Tables, as_of: dt.date | str) -> DataFrame:
-    """Bring the stored snapshot up to date, from scratch when there is none.
+    """Bring the stored snapshot up to date, whatever changed.
 
-    The snapshot remembers how far into the insights it reaches, so a run that died
-    between the two writes is caught up by the next one.
+    The snapshot remembers the last batch of each table it was made from. Rows of later batches,
+    in any of the tables, name the customers to recompute. It is rebuilt when there is none, when a
+    table was replaced, or when ``as_of`` goes back. A batch that arrives meanwhile is counted
+    again by the next refresh.
     """
-    facts, before = read_facts(tables), snapshot_date(tables)
-    through = facts.insights.agg(F.max("enriched_at").alias("through")).scalar()
-    frame = facts.frame(as_of)
-    if before:
+    before, seen = snapshot_state(tables)
+    marks = {n: tables.mark(n) for n in FACT_TABLES}
+    facts = read_facts(tables)
+    if before is None or str(as_of) < before or any(tables.replaced_since(n, seen.get(n, "")) for n in FACT_TABLES):
+        frame = facts.frame(as_of)
+    else:
         snapshot = tables.read(SNAPSHOT).drop(*_STAMPS)
-        affected = affected_customers(snapshot, facts, unseen_insights(tables), before, as_of)
-        frame = refresh_snapshot(snapshot, facts, affected, as_of)
-    return tables.replace(SNAPSHOT, frame.withColumns({"snapshot_date": as_date(as_of), "insights_through": through}))
+        new_rows = [tables.read_since(n, seen[n]) for n in FACT_TABLES if seen[n] != marks[n]]
+        frame = refresh_snapshot(snapshot, facts, affected_customers(snapshot, facts, new_rows, before, as_of), as_of)
+    return tables.replace(SNAPSHOT, frame.withColumns({"snapshot_date": as_date(as_of), "marks": F.lit(json.dumps(marks))}))
 
 
 def log_run(tables: Tables, **fields) -> DataFrame:
@@ -183,7 +189,7 @@ def _nothing_to_do(tables: Tables, texts: int) -> bool:
         return False
     if not tables.exists(INSIGHTS):
         return True
-    return tables.exists(SNAPSHOT) and unseen_insights(tables).isEmpty()
+    return tables.exists(SNAPSHOT) and not behind(tables)
 
 
 def add_recommendations(tables: Tables, as_of: dt.date | str, levels: Sequence[tuple[str, int]] = LEVELS) -> int:
@@ -232,8 +238,9 @@ def run_daily(
     details.append(f"{texts} new interactions, {blank} without text.")
 
     try:
-        stored = enrich_new(tables, rules, now)
-        entry["enriched_count"] = stored.filter(F.col("enriched_at") == stamp(now)).count()
+        mark = tables.mark(INSIGHTS)
+        enrich_new(tables, rules, now)
+        entry["enriched_count"] = tables.read_since(INSIGHTS, mark).count()
         details.append(f"{entry['enriched_count']} enriched.")
     except Exception as error:  # recorded; the later steps still run
         errors.append(f"Enrichment: {error}")
@@ -254,8 +261,8 @@ def run_daily(
     entry |= {
         "status": "PARTIAL_FAIL" if errors else "COMPLETED",
         "run_end": clock(),
-        "error_message": " | ".join(errors)[:2000] or None,
-        "details": " ".join(details)[:4000],
+        "error_message": " | ".join(errors) or None,
+        "details": " ".join(details),
     }
     log_run(tables, **entry)
     return entry

@@ -1,8 +1,9 @@
 """Tables as versioned parquet folders: ordered loads, appends, full rewrites.
 
-A table is a folder with one subfolder per version; the highest finished version
-counts. A rewrite may read the current version while it writes the next, and a failed
-write leaves no finished version behind.
+A table is a folder with one subfolder per version, and a version has one per write; the
+highest version with a finished write counts. A rewrite may read the current version while
+it writes the next, and a failed write leaves nothing finished behind. Writes are numbered,
+so a reader can ask for what came after the one it has seen, whatever the clock says.
 """
 
 from __future__ import annotations
@@ -20,44 +21,70 @@ from holdfast.sources.csv import read_csv
 
 
 class Tables:
-    """Named tables below one shared root folder."""
+    """Named tables below one shared root folder; one writer a table at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    def _batches(self, name: str) -> list[tuple[int, int]]:
+        """(version, batch) of every finished write, in order."""
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return []
         found = []
-        for status in fs.listStatus(folder):
-            path = status.getPath()
-            if path.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-                found.append(int(path.getName()[1:]))
+        for version in fs.listStatus(folder):
+            for batch in fs.listStatus(version.getPath()):
+                path = batch.getPath()
+                if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                    found.append((int(version.getPath().getName()[1:]), int(path.getName()[1:])))
         return sorted(found)
 
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v{version:06d}"
+    def _path(self, name: str, version: int, batch: int) -> str:
+        return f"{self.root}/{name}/v{version:06d}/b{batch:06d}"
+
+    def _read(self, name: str, batches: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.parquet(*[self._path(name, v, b) for v, b in batches])
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self._batches(name))
+
+    def mark(self, name: str) -> str:
+        """How far the table reaches now: its version and last batch; empty without a table."""
+        found = self._batches(name)
+        return "{}.{}".format(*found[-1]) if found else ""
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name, self._versions(name)[-1]))
+        found = self._batches(name)
+        return self._read(name, [x for x in found if x[0] == found[-1][0]])
+
+    def replaced_since(self, name: str, mark: str) -> bool:
+        """Whether the table was rewritten as a whole after ``mark``."""
+        return mark.split(".")[0] != self.mark(name).split(".")[0]
+
+    def read_since(self, name: str, mark: str) -> DataFrame:
+        """The rows of the batches after ``mark``; all rows once the table was replaced. Older files aren't opened."""
+        if not mark or self.replaced_since(name, mark):
+            return self.read(name)
+        seen = tuple(map(int, mark.split(".")))
+        new = [x for x in self._batches(name) if x > seen]
+        return self._read(name, new) if new else self.read(name).limit(0)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write the next version; readers of the current one are not disturbed."""
-        version = (self._versions(name) or [0])[-1] + 1
+        found = self._batches(name)
         # A folder of that number without _SUCCESS is the rest of a failed write.
-        df.write.mode("overwrite").parquet(self._path(name, version))
+        df.write.mode("overwrite").parquet(self._path(name, found[-1][0] + 1 if found else 1, 1))
         return self.read(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        if not self.exists(name):
+        """Write the next batch of the current version."""
+        found = self._batches(name)
+        if not found:
             return self.replace(name, df)
-        df.write.mode("append").parquet(self._path(name, self._versions(name)[-1]))
+        version, batch = found[-1]
+        df.write.mode("overwrite").parquet(self._path(name, version, batch + 1))
         return self.read(name)
 
 

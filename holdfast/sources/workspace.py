@@ -14,13 +14,13 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    Only a local session without the setting gets a temporary folder; a cluster must
-    name one that every executor can reach.
+    Only a session whose tasks run in the driver's own process gets a temporary folder without the
+    setting; everything else, ``local-cluster`` too, must name one that every executor can reach.
     """
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError(f"set {SETTING} to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="holdfast-")
     spark.conf.set(SETTING, fallback)

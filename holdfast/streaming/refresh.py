@@ -10,9 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from holdfast.functions.text import TextRules
 from holdfast.operators.enrichment import enrich
+from holdfast.operators.pick import one_per_key
 from holdfast.plans.daily import INSIGHTS, refresh, stamp
 from holdfast.sources.tables import Tables
 
+# A date, or a function that gives the date of each batch.
+AsOf = dt.date | str | Callable[[], dt.date]
+
 
 def new_in_batch(batch: DataFrame, done: DataFrame, key: str = "interaction_id") -> DataFrame:
     """Rows of a micro-batch that are not stored yet, each key once.
@@ -20,7 +24,7 @@ def new_in_batch(batch: DataFrame, done: DataFrame, key: str = "interaction_id")
     The stored keys are first cut down to those of the batch, so the large side is only
     scanned for one column and never shuffled against itself.
     """
-    batch = batch.dropDuplicates([key])
+    batch = one_per_key(batch, key)
     known = done.select(key).join(batch.select(key), key, "left_semi")
     return batch.join(known, key, "left_anti")
 
@@ -28,7 +32,7 @@ def new_in_batch(batch: DataFrame, done: DataFrame, key: str = "interaction_id")
 def batch_step(
     tables: Tables,
     rules: TextRules,
-    as_of: dt.date | str | None,
+    as_of: AsOf | None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     clock: Callable[[], dt.datetime] = dt.datetime.now,
 ) -> Callable:
@@ -39,10 +43,10 @@ def batch_step(
         if tables.exists(INSIGHTS):
             rows = new_in_batch(rows, tables.read(INSIGHTS))
         else:
-            rows = rows.dropDuplicates(["interaction_id"])
+            rows = one_per_key(rows, "interaction_id")
         tables.append(INSIGHTS, enrich(rows, rules).withColumn("enriched_at", stamp(clock())))
         if as_of is not None:
-            refresh(tables, as_of)
+            refresh(tables, as_of() if callable(as_of) else as_of)
 
     return step
 
@@ -52,13 +56,15 @@ def maintain(
     tables: Tables,
     rules: TextRules,
     checkpoint: str,
-    as_of: dt.date | str | None = None,
+    as_of: AsOf | None = None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
     """Start the maintenance query: all available files once, or on an interval such as ``1 hour``.
 
-    With ``as_of`` the 360 snapshot follows each batch; without it only the insights grow.
+    With ``as_of`` the 360 snapshot follows each batch; without it only the insights grow. A query
+    that runs for days takes a function, called for each batch. Intervals without new files run no
+    batch; ``plans.daily.refresh`` moves the snapshot on such days.
     """
     writer = source.writeStream.foreachBatch(batch_step(tables, rules, as_of, prepare)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

@@ -94,7 +94,7 @@ def test_quiet_day_moves_the_snapshot(spark, tmp_path):
     entry = daily.run_daily(store, later, INSURANCE_RULES, clock=now)
     assert entry["details"] == "No new interactions. Skipped."
     full = daily.read_facts(store).frame(later)
-    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "insights_through")
+    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
     assert full.exceptAll(snapshot).count() == 0 and snapshot.exceptAll(full).count() == 0
     delayed = snapshot.filter("customer_id = 'C1'").first()["delayed_claims"]
     assert delayed == 1  # the claim was 30 days old before
@@ -127,10 +127,47 @@ def test_crash_before_the_snapshot_is_caught_up(spark, tmp_path, monkeypatch):
     entry = daily.run_daily(store, AS_OF, INSURANCE_RULES, clock=now)
     assert entry["status"] == "COMPLETED" and "360 refreshed." in entry["details"]
     full = daily.read_facts(store).frame(AS_OF)
-    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "insights_through")
+    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
     assert full.exceptAll(snapshot).count() == 0 and snapshot.exceptAll(full).count() == 0
 
 
+def same_as_rebuild(store, as_of):
+    full = daily.read_facts(store).frame(as_of)
+    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
+    return full.exceptAll(snapshot).count() == 0 and snapshot.exceptAll(full).count() == 0
+
+
+def test_any_change_reaches_the_snapshot(spark, tmp_path):
+    store, now = raw(spark, tmp_path), clock()
+    store.replace("interactions", calls(spark, 10))
+    daily.run_daily(store, AS_OF, INSURANCE_RULES, clock=now)
+    more = facts(spark, customers=["C8", "C9"], policies=[{"customer_id": "C8"}], payments=[{"customer_id": "C3", "status": "Overdue"}])
+    for name in ("customers", "policies", "payments"):
+        store.append(name, getattr(more, name))
+    entry = daily.run_daily(store, AS_OF, INSURANCE_RULES, clock=now)
+    assert entry["status"] == "COMPLETED" and entry["enriched_count"] == 0
+    assert same_as_rebuild(store, AS_OF) and store.read(daily.SNAPSHOT).count() == 7
+    store.replace("payments", store.read("payments").filter("customer_id <> 'C2'"))  # a correction of old rows
+    daily.refresh(store, AS_OF)
+    assert same_as_rebuild(store, AS_OF)
+    daily.refresh(store, days_ago(40))  # back in time
+    assert same_as_rebuild(store, days_ago(40))
+
+
+def test_late_stamps_and_repeated_ids(spark, tmp_path):
+    store = raw(spark, tmp_path)
+    store.replace("interactions", calls(spark, 10).unionByName(calls(spark, 6)))
+    daily.enrich_new(store, INSURANCE_RULES, dt.datetime(2025, 9, 28))
+    daily.refresh(store, AS_OF)
+    store.append("interactions", calls(spark, 20, first=10).unionByName(calls(spark, 14, first=10)))
+    daily.enrich_new(store, INSURANCE_RULES, dt.datetime(2025, 9, 1))  # a clock set back
+    daily.refresh(store, AS_OF)
+    insights = store.read(daily.INSIGHTS)
+    assert insights.count() == insights.select("interaction_id").distinct().count() == 16
+    assert same_as_rebuild(store, AS_OF)
+    assert daily.current_interactions(store).count() == store.read("interactions").count()
+
+
 def test_refresh_over_a_day_boundary(spark):
     given = facts(
         spark,
@@ -145,11 +182,10 @@ def test_refresh_over_a_day_boundary(spark):
     )
     later = AS_OF + dt.timedelta(days=5)
     before, full = given.frame(AS_OF), given.frame(later)
-    affected = daily.affected_customers(before, given, given.insights.limit(0), AS_OF, later)
+    affected = daily.affected_customers(before, given, [], AS_OF, later)
     assert sorted(r.customer_id for r in affected.collect()) == ["C1", "C2", "C3"]
-    for few in (1_000_000, 0):
-        fresh = daily.refresh_snapshot(before, given, affected, later, few=few)
-        assert full.exceptAll(fresh).count() == 0 and fresh.exceptAll(full).count() == 0
+    fresh = daily.refresh_snapshot(before, given, affected, later)
+    assert full.exceptAll(fresh).count() == 0 and fresh.exceptAll(full).count() == 0
     assert score_customers(full).filter("customer_id = 'C4'").first().pts_renewal_risk == 10
 
 
@@ -169,7 +205,7 @@ def test_stream_maintains_insights_and_snapshot(spark, tmp_path):
     insights = store.read(daily.INSIGHTS)
     assert insights.count() == insights.select("interaction_id").distinct().count() == 20
     full = daily.read_facts(store).frame(AS_OF)
-    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "insights_through")
+    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
     assert full.exceptAll(snapshot).count() == 0
     # A replayed batch adds nothing.
     batch_step(store, INSURANCE_RULES, AS_OF)(calls(spark, 25), 0)

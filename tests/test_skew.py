@@ -53,6 +53,10 @@ def test_group_arrays_keep_every_row_in_bounded_chunks(spark):
     assert flat.exceptAll(rows.select("k", "row")).count() == 0
     assert chunks.filter("k = 8").count() == 1
     assert chunks.filter(F.array_sort("members") != F.col("members")).count() == 0
+    # Chunks follow each other in order, and only the last one of a key is not full.
+    ends = chunks.select("k", "chunk", F.array_min("members").alias("low"), F.array_max("members").alias("high"), F.size("members").alias("n"))
+    after = ends.select("k", (F.col("chunk") - 1).alias("chunk"), F.col("low").alias("next_low"))
+    assert ends.join(after, ["k", "chunk"]).filter("high >= next_low or n <> 500").count() == 0
     whole = pick.group_arrays(rows, "k", "row", [], F.col("row"), "members", limit=10**6)
     assert whole.count() == whole.select("k").distinct().count()
 

@@ -44,6 +44,20 @@ def test_longer_name_wins_at_the_same_place(spark):
     assert made.select(X.first_mention(F.col("t"), ("Tata", "Tata AIG"))).first()[0] == "Tata AIG"
 
 
+def test_names_are_whole_words(spark):
+    made = spark.createDataFrame([("a digital payment",), ("rackoon",), ("go digit!",), ("डिजिट digit",), ("acko",)], "t string")
+    found = [r[0] for r in made.select(X.first_mention(F.col("t"), ("Digit", "Acko"))).collect()]
+    assert found == [None, None, "Digit", "Digit", "Acko"]
+
+
+def test_sentences_do_not_end_inside_numbers(spark):
+    made = spark.createDataFrame([("I made a digital payment of Rs. 13.5 lakh today. All good... Why?! मैं खुश हूँ। ठीक है\nnew line",)], "t string")
+    assert made.select(X.sentences("t")).first()[0] == [
+        "I made a digital payment of Rs. 13.5 lakh today.", "All good...", "Why?!", "मैं खुश हूँ।", "ठीक है", "new line",
+    ]
+    assert made.select(X.tokens(F.lit("खुश हूँ café-déjà"))).first()[0] == ["खुश", "हूँ", "café", "déjà"]
+
+
 def test_model_output(spark):
     raw = [
         (1, '```json\n{"intent":"renewal","churn_signal":"price_shock","competitor":"null","key_quote":"Too much"}\n```'),
