@@ -112,39 +112,46 @@ def generic_scorecard(d):
     return scorecard.apply_scorecard(d.frame.select("customer_id", "outstanding_claims", "total_late_fees"), card)
 
 
+# All facts of a customer as rows of one shape, so that one aggregate gives the whole frame.
+_LEGACY_FACTS = """
+select customer_id, 'policy' as kind, status, premium_amount as amount, end_date as day, null::double as measure from policies
+union all by name select customer_id, 'payment' as kind, status from payments
+union all by name select customer_id, 'claim' as kind, status, datediff('day', claim_date, coalesce(resolution_date, date '2001-08-01'))::double as measure from claims
+union all by name select customer_id, 'call' as kind, sentiment_score as measure from insights"""
+
 _LEGACY_FRAME = """
-select c.customer_id, first_name || ' ' || last_name as name, city, segment, policy_count, total_premium, nearest_renewal,
-       coalesce(overdue_payments, 0) as overdue_payments, coalesce(failed_payments, 0) as failed_payments,
-       coalesce(k.rejected_claims, 0) as rejected_claims, coalesce(avg_claim_resolution_days, 0.0) as avg_claim_resolution_days,
-       coalesce(x.avg_sentiment, 0.0) as avg_sentiment, min_sentiment, coalesce(negative_interactions, 0) as negative_interactions,
-       coalesce(inactive_policies, 0) as inactive_policies
-from customers c
-left join (select customer_id, count(*) as policy_count, cast(sum(premium_amount) as decimal(18,2)) as total_premium, min(end_date) as nearest_renewal,
-                  count(*) filter (where status in ('Lapsed', 'Cancelled')) as inactive_policies from policies group by customer_id) p using (customer_id)
-left join (select customer_id, count(*) filter (where status = 'Overdue') as overdue_payments, count(*) filter (where status = 'Failed') as failed_payments
-           from payments group by customer_id) m using (customer_id)
-left join (select customer_id, count(*) filter (where status = 'Rejected') as rejected_claims,
-                  avg(datediff('day', claim_date, coalesce(resolution_date, date '2001-08-01'))) as avg_claim_resolution_days
-           from claims group by customer_id) k using (customer_id)
-left join (select customer_id, cast(sum(cast(sentiment_score as decimal(18,12))) as double) / count(sentiment_score) as avg_sentiment,
-                  min(sentiment_score) as min_sentiment, count(*) filter (where sentiment_score < -0.3) as negative_interactions
-           from insights group by customer_id) x using (customer_id)"""
-
-_LEGACY = f"""
-select *, case when churn_risk_score >= 60 then 'Critical' when churn_risk_score >= 30 then 'Medium' else 'Low' end as risk_level,
-       array_to_string(list_filter([
-         case when overdue_payments > 0 then overdue_payments || ' overdue payment(s)' end,
-         case when rejected_claims > 0 then rejected_claims || ' rejected claim(s)' end,
-         case when avg_claim_resolution_days > 30 then 'Slow claim resolution (' || cast(round(avg_claim_resolution_days) as bigint) || ' days avg)' end,
-         case when avg_sentiment < -0.2 then 'Negative sentiment (avg ' || {number("avg_sentiment")} || ')' end,
-         case when negative_interactions > 0 then negative_interactions || ' negative interaction(s)' end,
-         case when nearest_renewal <= date '2001-08-31' then 'Policy renewal within 30 days' end,
-         case when inactive_policies > 0 then inactive_policies || ' lapsed/cancelled policy(ies)' end], lambda x: x is not null), ', ') as risk_factors
-from (select *, cast(least(100, greatest(0, overdue_payments * 15 + failed_payments * 10 + rejected_claims * 20
-               + case when avg_claim_resolution_days > 30 then 15 else 0 end + case when avg_sentiment < -0.2 then 20 else 0 end
-               + negative_interactions * 5 + case when nearest_renewal <= date '2001-08-31' then 10 else 0 end + inactive_policies * 10)) as integer) as churn_risk_score
-      from legacy_frame)"""
-_OLD = {"legacy_frame": _LEGACY_FRAME, "legacy": _LEGACY}
+select c.customer_id, any_value(first_name || ' ' || last_name) as name, any_value(city) as city, any_value(segment) as segment,
+       nullif(count_if(kind = 'policy'), 0) as policy_count, cast(sum(amount) as decimal(18,2)) as total_premium, min(day) as nearest_renewal,
+       count_if(kind = 'payment' and status = 'Overdue') as overdue_payments, count_if(kind = 'payment' and status = 'Failed') as failed_payments,
+       count_if(kind = 'claim' and status = 'Rejected') as rejected_claims,
+       coalesce(avg(measure) filter (where kind = 'claim'), 0.0) as avg_claim_resolution_days,
+       coalesce(cast(sum(cast(measure as decimal(18,12))) filter (where kind = 'call') as double) / count(measure) filter (where kind = 'call'), 0.0) as avg_sentiment,
+       min(measure) filter (where kind = 'call') as min_sentiment, count_if(kind = 'call' and measure < -0.3) as negative_interactions,
+       count_if(kind = 'policy' and status in ('Lapsed', 'Cancelled')) as inactive_policies
+from customers c left join legacy_facts using (customer_id) group by c.customer_id"""
+
+# Place, measure, points for one unit, text (none: not printed).
+_LEGACY_RULES = """
+select * from (values (1, 'overdue', 15, '{n} overdue payment(s)'), (2, 'failed', 10, null), (3, 'rejected', 20, '{n} rejected claim(s)'),
+ (4, 'slow', 15, 'Slow claim resolution ({n} days avg)'), (5, 'mood', 20, 'Negative sentiment (avg {n})'), (6, 'negative', 5, '{n} negative interaction(s)'),
+ (7, 'renewal', 10, 'Policy renewal within 30 days'), (8, 'inactive', 10, '{n} lapsed/cancelled policy(ies)')) t(place, rule, each, wording)"""
+
+_LEGACY_UNITS = f"""
+select customer_id, unnest(['overdue', 'failed', 'rejected', 'slow', 'mood', 'negative', 'renewal', 'inactive']) as rule,
+       unnest([overdue_payments, failed_payments, rejected_claims, (avg_claim_resolution_days > 30)::bigint, (avg_sentiment < -0.2)::bigint,
+               negative_interactions, coalesce(nearest_renewal <= date '2001-08-31', false)::bigint, inactive_policies]) as units,
+       unnest([overdue_payments::varchar, null, rejected_claims::varchar, round(avg_claim_resolution_days)::bigint::varchar, {number("avg_sentiment")},
+               negative_interactions::varchar, null, inactive_policies::varchar]) as shown
+from legacy_frame"""
+
+_LEGACY = """
+select legacy_frame.*, churn_risk_score, case when churn_risk_score >= 60 then 'Critical' when churn_risk_score >= 30 then 'Medium' else 'Low' end as risk_level,
+       risk_factors
+from legacy_frame join (
+  select customer_id, cast(least(100, sum(units * each)) as integer) as churn_risk_score,
+         coalesce(string_agg(replace(wording, '{n}', coalesce(shown, '')), ', ' order by place) filter (where units > 0 and wording is not null), '') as risk_factors
+  from legacy_units join legacy_rules using (rule) group by customer_id) using (customer_id)"""
+_OLD = {"legacy_facts": _LEGACY_FACTS, "legacy_frame": _LEGACY_FRAME, "legacy_rules": _LEGACY_RULES, "legacy_units": _LEGACY_UNITS, "legacy": _LEGACY}
 
 
 def _legacy(d):
@@ -240,7 +247,7 @@ for _name, _code in {
     _register_rule(_name, _code)
 
 
-@query("j06_discount_amount", sql("select customer_id, total_active_premium, discount from discounts"))
+@query("j06_discount_amount", sql("select customer_id, on_premium as total_active_premium, discount from discounts"))
 def discount_amount(d):
     return d.snapshot.select("customer_id", "total_active_premium", nba.discount_amount().alias("discount"))
 
