@@ -29,7 +29,7 @@ from holdfast.llm.common import id_and_text, utf8
 
 _NONE = 1 << 60
 # Runs between white space that a worker remembers, and the bytes of text it handles at a time.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 SLICE_BYTES = 2_000_000
 
 
@@ -243,19 +243,21 @@ class BytePairs:
         self._known.update((r, x) for r, x in out.items() if len(r) <= 64)
         return out
 
-    def encode_texts(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
+    def encode_texts(self, texts: Iterable[bytes]) -> Iterator[tuple[int, str, str]]:
         """(number of tokens, decimal ids, decoded text) of each text, some megabytes at a time."""
-        at = 0
-        while at < len(texts):
-            some, held = [], 0
-            while at < len(texts) and held < SLICE_BYTES:
-                some.append(texts[at].split())
-                held += len(texts[at])
-                at += 1
-            met = set().union(*some)
-            now = self.chunks(met)
-            for runs in some:
-                yield self._joined(runs, now)
+        some, held = [], 0
+        for text in texts:
+            some.append(text.split())
+            held += len(text)
+            if held >= SLICE_BYTES:
+                yield from self._encode_runs(some)
+                some, held = [], 0
+        yield from self._encode_runs(some)
+
+    def _encode_runs(self, some: list[list[bytes]]) -> Iterator[tuple[int, str, str]]:
+        now = self.chunks(set().union(*some))
+        for runs in some:
+            yield self._joined(runs, now)
 
     def _joined(self, runs: list[bytes], now: dict) -> tuple[int, str, str]:
         known = self._known

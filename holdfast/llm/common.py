@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,9 +28,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def utf8(column: pa.Array) -> list[bytes]:
+def in_slices(column: pa.Array, rows: int = 200) -> Iterator:
+    """The values of an Arrow column, some rows at a time, so that only these are Python objects."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def utf8(column: pa.Array) -> Iterator[bytes]:
     """The texts of an Arrow column as UTF-8; null is the empty text."""
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+    return (t or b"" for t in in_slices(column.cast(pa.binary())))
 
 
 def seeded(seed: int, *columns: str | Column) -> Column:
@@ -41,7 +49,7 @@ def seeded(seed: int, *columns: str | Column) -> Column:
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.common import in_slices
+
 # Lines in a window, and the characters that a window needs to surge and to stay.
 WINDOW = 3
 SURGE = 80
@@ -200,7 +202,7 @@ def main_text(html: str | None) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h) for h in batch.column(2).to_pylist()]
+        texts = [main_text(h) for h in in_slices(batch.column(2))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())],
             ["page_id", "url", "text", "n_chars"],

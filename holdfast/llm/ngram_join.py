@@ -157,7 +157,7 @@ def _signature_batches(n: int, bands: Bands):
                 node = sets.node(elements)
                 if node in met:
                     continue
-                if len(met) > 1_000_000:
+                if len(met) > 300_000:
                     met.clear()
                 met.add(node)
                 own = bands.of(len(elements))

@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from holdfast.llm.common import id_and_text
+from holdfast.llm.common import id_and_text, in_slices
 
 # The kinds in the order in which they are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -201,7 +201,7 @@ def _listed(*found: dict[str, list[Span]]) -> str:
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
+        for text in in_slices(batch.column(1)):
             base, more = find_spans(text or "")
             digest = hashlib.sha256(_listed(base).encode()).hexdigest()
             rows.append((*(len(base[k]) for k in BASE_KINDS), digest, _listed(base, more)))

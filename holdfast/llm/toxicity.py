@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import id_and_text, seeded
+from holdfast.llm.common import id_and_text, in_slices, seeded
 
 # The threshold comes from the training rows unless the caller gives one; this one stands where there is nothing to learn.
 THRESHOLD = 0.5
@@ -52,7 +52,7 @@ class _WordFeatures(dict):
     """Features of words, remembered up to a number of words."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = _features(word)
         return value
@@ -66,7 +66,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     known = _WordFeatures()
     for batch in batches:
         found = []
-        for text in batch.column(1).to_pylist():
+        for text in in_slices(batch.column(1)):
             places = set().union(*map(known.__getitem__, words_of(text)))
             found.append(np.array(sorted(places), np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "features"])
@@ -184,7 +184,7 @@ class Scorer:
 
     def score(self, text: str | None) -> list[float]:
         known, met, weights = self._known, set(), self._weights
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for word in words_of(text):
             places = known.get(word)
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
 def _score_batches(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            scores = [scorer.score(t) for t in in_slices(batch.column(1))]
             columns = [pa.array([s[k] for s in scores], pa.float64()) for k in range(len(scorer.chain))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f"p{k}" for k in range(len(columns)))])
 
@@ -250,6 +250,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None =
 
     @F.arrow_udf("double")
     def p_toxic(texts: pa.Array) -> pa.Array:
-        return pa.array([scorer.score(t)[last] for t in texts.to_pylist()], pa.float64())
+        return pa.array([scorer.score(t)[last] for t in in_slices(texts)], pa.float64())
 
     return docs.filter(p_toxic(F.col("text").cast("string")) < limit)
