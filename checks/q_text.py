@@ -179,7 +179,28 @@ def search_one(d):
 )
 def search_many(d):
     """Every benchmark text as a question over all search documents."""
-    return search.search_batch(search_docs(d), "interaction_id", "search_text", d.table("benchmark"), "item_id", "text")
+    index = search.build_index(search_docs(d), "interaction_id", "search_text", _ATTRIBUTES)
+    return search.search_batch(search.write_index(index, d.tables("index").root), d.table("benchmark"), "item_id", "text")
+
+
+@query(
+    "l10_search_batch_filtered",
+    sql(
+        rf"""select query_id, cast(rank as integer) as rank, doc_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank
+              from (select query_id, doc_id, round(sum(w), 6) as score
+                    from (select distinct item_id as query_id, unnest({_WORDS.format('text')}) as term from benchmark) join weighted using (term)
+                         join (select doc_id from doc_words where churn_signal <> 'none') using (doc_id)
+                    group by query_id, doc_id))
+        where rank <= 3""",
+        **_INDEX,
+    ),
+)
+def search_many_filtered(d):
+    """Every benchmark text as a question over the documents that carry a churn signal."""
+    index = search.build_index(search_docs(d), "interaction_id", "search_text", _ATTRIBUTES)
+    written = search.write_index(index, d.tables("index").root)
+    return search.search_batch(written, d.table("benchmark"), "item_id", "text", k=3, where=F.col("churn_signal") != "none")
 
 
 _VECTORS = {

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from holdfast.functions.columns import col
 from holdfast.functions.text import WORDS, tokens
 from holdfast.operators.pick import top_per_key
-from holdfast.sources.workspace import spread_small
 
 K1, B = 1.2, 0.75
 SEARCH_LIMIT = 5
-# Upper bound of (query, term) pairs that one scoring pass ships to the executors (tens of MB).
-MAX_BROADCAST_PAIRS = 1_000_000
+# A term is frequent when it has more than 1/FREQUENT_SHARE of all postings, and at least so many.
+FREQUENT_SHARE, MIN_FREQUENT = 1024, 100_000
 SCORE_DIGITS = 6
 
 
@@ -59,16 +56,14 @@ def word_array(text: str | Column) -> Column:
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf, length): how often each term occurs in each document.
 
-    Only the texts move, once, by document; that placement also serves the grouping by
-    (document, term), so the exploded words are never shuffled and a frequent term
-    gathers nowhere.
+    A document is one row, so its words are counted where it lies; what moves is one short row
+    per document and term, never a text, and a frequent term gathers nowhere.
     """
-    placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).repartition("doc_id")
-    words = placed.withColumn("_w", word_array("_text"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), word_array(text).alias("_w"))
     return (
         words.select("doc_id", F.size("_w").cast("bigint").alias("length"), F.explode("_w").alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+        .groupBy("doc_id", "term", "length")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -153,126 +148,37 @@ def search(index: SearchIndex, query: str, k: int = SEARCH_LIMIT, where: Column
     return scored.join(documents, "doc_id").orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def _rank_partition(matcher, k: int, digits: int):
-    """Function for ``mapInPandas``: each task scores its documents and emits its ``k`` best per query."""
-
-    def run(batches: Iterator) -> Iterator:
-        from bisect import insort
-
-        import numpy as np
-        import pandas as pd
-
-        words, starts, query_at, idf, ids, mean, k1, b = matcher.value
-        everyone = np.arange(len(ids))
-        best = [[] for _ in ids]
-        floor = np.zeros(len(ids))  # score of the current k-th document, 0 until k are known
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["words"]):
-                found, length = {}, 0
-                for word in text.split():
-                    length += 1
-                    at = words.get(word)
-                    if at is not None:
-                        found[at] = found.get(at, 0) + 1
-                if not found:
-                    continue
-                at = np.fromiter(found.keys(), dtype=np.int64, count=len(found))
-                tf = np.fromiter(found.values(), dtype=np.float64, count=len(found))
-                weight = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
-                width = starts[at + 1] - starts[at]
-                hit = np.concatenate([query_at[starts[i] : starts[i + 1]] for i in at])
-                if len(ids) <= 4 * len(hit):
-                    asked, score = everyone, np.bincount(hit, np.repeat(weight, width), minlength=len(ids))
-                else:  # many queries, few of them touched
-                    asked, slot = np.unique(hit, return_inverse=True)
-                    score = np.bincount(slot, np.repeat(weight, width))
-                score = np.round(score, digits)
-                good = (score > 0) & (score >= floor[asked])
-                for q, s in zip(asked[good], score[good]):
-                    insort(best[q], (-s, doc))
-                    if len(best[q]) > k:
-                        best[q].pop()
-                    if len(best[q]) == k:
-                        floor[q] = -best[q][-1][0]
-        rows = [(ids[q], doc, -s) for q, kept in enumerate(best) for s, doc in kept]
-        yield pd.DataFrame(rows, columns=["query_id", "doc_id", "score"])
-
-    return run
-
-
 def search_batch(
-    docs: DataFrame,
-    doc_id: str,
-    text: str,
-    queries: DataFrame,
-    query_id: str,
-    query_text: str,
-    k: int = SEARCH_LIMIT,
-    max_pairs: int = MAX_BROADCAST_PAIRS,
+    index: SearchIndex, queries: DataFrame, query_id: str, query_text: str, k: int = SEARCH_LIMIT, where: Column | None = None, share: int = FREQUENT_SHARE
 ) -> DataFrame:
-    """(query_id, rank, doc_id, score): the best ``k`` documents for every query of a table.
+    """(query_id, rank, doc_id, score): the best ``k`` documents for every query of a table, optionally
+    among those whose attributes satisfy ``where``.
 
-    Documents are scored where they lie: the query words go to the executors and each
-    task returns at most ``k`` documents per query, so neither the postings nor the
-    (query, document) pairs are ever shuffled. The query side is measured first; beyond
-    ``max_pairs`` it is cut into slices of bounded size, one corpus pass each.
+    Query words meet the stored postings in a join by term. The postings of a frequent term are
+    spread over several parts and the query rows repeated for each. Scores are summed per query and
+    document with partial sums, in fixed point, so their order doesn't matter.
     """
-    spark = docs.sparkSession
-    docs = spread_small(docs, doc_id)
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(word_array(query_text)).alias("_terms"))
-    pairs = wanted.agg(F.coalesce(F.sum(F.size("_terms")), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, math.ceil(pairs / max_pairs))
-    n_docs, n_words = corpus_statistics(docs, text).first()
-    if not n_docs or not n_words:
-        n_docs, n_words = 1, 1
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), plain_words(text).alias("words"))
-    schema = T.StructType(
-        [
-            T.StructField("query_id", wanted.schema["query_id"].dataType),
-            T.StructField("doc_id", corpus.schema["doc_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(word_array(query_text)).alias("term")).distinct()
+    limit = max(index.postings.count() // share, MIN_FREQUENT)
+    # The document frequencies add up to the number of postings, so fewer than ``share`` terms are above the limit.
+    parts = F.ceil(F.col("df") / limit).cast("int")
+    frequent = F.broadcast(index.terms.filter(F.col("df") > limit).select("term", parts.alias("_parts")))
+    spread = index.postings.join(frequent, "term", "left").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    corpus = index.corpus.select("n_docs", (F.col("n_words") / F.col("n_docs")).alias("mean")).first()
+    n_docs, mean = (corpus["n_docs"], corpus["mean"]) if corpus and corpus["n_docs"] else (1, 1.0)
+    weighted = asked.join(index.terms, "term").select(
+        "query_id", "term", inverse_frequency(F.col("df"), F.lit(n_docs)).alias("idf"), F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("_part")
+    )
+    weight = (F.col("idf") * term_weight(F.col("tf"), F.col("length"), F.lit(mean))).cast("decimal(18,12)")
+    scored = (
+        spread.drop("_parts").join(weighted, ["term", "_part"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(weight).cast("double"), SCORE_DIGITS).alias("score"))
     )
-    ranked = None
-    for number in range(slices):
-        mine = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == number)
-        matcher = _matcher(docs, text, mine, n_docs, n_words)
-        if matcher is None:
-            continue
-        run = _rank_partition(spark.sparkContext.broadcast(matcher), k, SCORE_DIGITS)
-        part = corpus.mapInPandas(run, schema)
-        ranked = part if ranked is None else ranked.unionByName(part)
-    if ranked is None:
-        ranked = spark.createDataFrame([], schema)
-    top = top_per_key(ranked, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
+    if where is not None:
+        scored = scored.join(index.documents.filter(where).select("doc_id"), "doc_id", "left_semi")
+    top = top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
     return top.select("query_id", "rank", "doc_id", "score")
 
 
-def _matcher(docs: DataFrame, text: str, wanted: DataFrame, n_docs: int, n_words: int):
-    """Words, their queries and weights of one bounded slice of queries, as flat arrays."""
-    import numpy as np
-
-    spark = docs.sparkSession
-    pairs = wanted.select("query_id", F.explode("_terms").alias("term")).toPandas()
-    if pairs.empty:
-        return None
-    vocabulary = sorted(pairs["term"].unique())
-    table = spark.createDataFrame([(w,) for w in vocabulary], "term string")
-    # The slice bounds the vocabulary, so broadcasting it is safe at any corpus size.
-    frequency = {r["term"]: r["df"] for r in term_statistics(docs, text, F.broadcast(table)).collect()}
-    words = {w: i for i, w in enumerate(w for w in vocabulary if w in frequency)}
-    ids = list(dict.fromkeys(pairs["query_id"].tolist()))
-    position = {q: i for i, q in enumerate(ids)}
-    pairs = pairs[pairs["term"].isin(words.keys())]
-    at = pairs["term"].map(words).to_numpy(dtype=np.int64)
-    order = np.argsort(at, kind="stable")
-    query_at = pairs["query_id"].map(position).to_numpy(dtype=np.int64)[order]
-    starts = np.searchsorted(at[order], np.arange(len(words) + 1))
-    df = np.array([frequency[w] for w in words], dtype=np.float64)
-    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    return words, starts, query_at, idf, ids, n_words / n_docs, K1, B
-
-
 # --- evidence --------------------------------------------------------------------------------------
 
 HITS = "struct<results:array<struct<INTERACTION_ID:string,CUSTOMER_ID:string,SUMMARY:string,CHURN_SIGNAL:string>>>"

@@ -9,50 +9,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.functions.columns import exact_avg
 from holdfast.operators.pick import top_per_key
 
-# Upper bound of query numbers (vectors x dimensions) shipped to the executors per pass.
-MAX_BROADCAST_NUMBERS = 8_000_000
 SCORE_DIGITS = 6
-# Scores a task holds in memory at a time.
-SCORES_AT_ONCE = 16_000_000
+# Vectors of a shard and queries of a block: their scores, 64 MB, are what a task holds at a time.
+SHARD_ROWS, BLOCK_ROWS = 8_192, 1_024
 
 
 def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> DataFrame:
     """(group, embedding): mean vector per group; the shuffle carries one number per group and dimension."""
     numbers = vectors.select(group, F.posexplode(embedding).alias("pos", "x"))
-    means = numbers.groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = numbers.groupBy(group, "pos").agg(exact_avg(F.col("x").cast("double")).alias("x"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "x")))  # as long as the vectors are wide
     return means.groupBy(group).agg(F.transform(ordered, lambda p: p["x"]).alias(embedding))
 
 
-def _best_rows(queries, k: int, digits: int, at_once: int = SCORES_AT_ONCE):
+def _usable(lists) -> tuple:
+    """(places of rows that have a direction, their vectors of length one)."""
+    import numpy as np
+
+    rows = np.array(lists, dtype=np.float64).reshape(len(lists), -1)
+    norms = np.linalg.norm(rows, axis=1)
+    kept = np.flatnonzero(norms > 0)  # the cosine of a zero vector is undefined
+    return kept, rows[kept] / norms[kept, None]
+
+
+def _pack(rows_at_once: int):
+    """Rows (id, embedding) to blocks (block, data) of a bounded number of rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pickle
+
+        import pandas as pd
+
+        block, ids, lists = 0, [], []
+
+        def packed():
+            kept, rows = _usable(lists)
+            return pd.DataFrame({"block": [block], "data": [pickle.dumps(([ids[i] for i in kept], rows))]})
+
+        for batch in batches:
+            for name, embedding in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+                ids.append(name)
+                lists.append(embedding)
+                if len(ids) == rows_at_once:
+                    yield packed()
+                    block, ids, lists = block + 1, [], []
+        if ids:
+            yield packed()
+
+    return run
+
+
+def _best_of_shards(k: int, digits: int):
+    """A shard's vectors (block -1), then blocks of queries: the ``k`` best vectors of the shard for each query."""
+
     def run(batches: Iterator) -> Iterator:
+        import pickle
+
         import numpy as np
         import pandas as pd
 
-        ids, matrix = queries.value
-        step = max(1, at_once // max(1, len(ids)))
-        best = [(np.empty(0), np.empty(0, dtype=object)) for _ in ids]
+        names, rows = [], None
         for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                names = part["vec_id"].to_numpy()
-                rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                norms = np.linalg.norm(rows, axis=1)
-                usable = norms > 0  # the cosine of a zero vector is undefined
-                names, rows = names[usable], rows[usable] / norms[usable, None]
-                scores = np.round(rows @ matrix.T, digits)
-                for q in range(len(ids)):
-                    known, owner = best[q]
-                    floor = known[-1] if len(known) == k else -np.inf
-                    take = scores[:, q] >= floor
-                    known = np.concatenate([known, scores[take, q]])
-                    owner = np.concatenate([owner, names[take]])
-                    order = np.lexsort((owner, -known))[:k]
-                    best[q] = known[order], owner[order]
-        rows = [(ids[q], name, float(s)) for q, kept in enumerate(best) for s, name in zip(*kept)]
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            for block, data in zip(batch["block"], batch["data"]):
+                ids, matrix = pickle.loads(data)
+                if block < 0:
+                    names, rows = np.array(ids, dtype=object), matrix
+                    order = np.argsort(names, kind="stable")
+                    names, rows = names[order], rows[order]
+                    continue
+                if not len(ids) or not len(names):
+                    continue
+                scores = np.round(matrix @ rows.T, digits)
+                kth = np.partition(scores, max(len(names) - k, 0), axis=1)[:, max(len(names) - k, 0)]
+                q, at = np.nonzero(scores >= kth[:, None])  # with all that tie at the last place
+                best = np.lexsort((at, -scores[q, at], q))
+                q, at = q[best], at[best]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, at = q[place < k], at[place < k]
+                yield pd.DataFrame({"query_id": [ids[i] for i in q], "vec_id": list(names[at]), "score": scores[q, at]})
 
     return run
 
@@ -63,21 +100,25 @@ def vector_search(
     query_id: str,
     k: int = 5,
     where: Column | None = None,
-    max_numbers: int = MAX_BROADCAST_NUMBERS,
+    shard_rows: int = SHARD_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): exact top ``k`` by cosine for every query vector.
 
-    Each task multiplies its vectors with the query matrix and returns ``k`` rows per
-    query; the pairs are never materialised. A query side beyond ``max_numbers`` is cut
-    into slices, one pass each.
+    The vectors are dealt evenly to shards of bounded size and the queries packed into blocks; each
+    block goes to each shard, where one matrix product scores it. A shard returns ``k`` rows a
+    query and a window merges the shards. Nothing is collected; vectors that are NULL or hold a NULL take no part.
     """
-    import numpy as np
-
-    spark = vectors.sparkSession
-    corpus = (vectors if where is None else vectors.filter(where)).select("vec_id", "embedding")
-    wanted = queries.select(F.col(query_id).alias("query_id"), "embedding")
-    numbers = wanted.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, math.ceil(numbers / max_numbers))
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    corpus = (vectors if where is None else vectors.filter(where)).filter(whole).select("vec_id", "embedding")
+    wanted = queries.filter(whole).select(F.col(query_id).alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    shards = max(1, math.ceil(corpus.count() / shard_rows))
+    packed = "block int, data binary"
+    dealt = corpus.repartition(shards).mapInPandas(_pack(1 << 62), packed)
+    dealt = dealt.select(F.spark_partition_id().alias("shard"), F.lit(-1).alias("block"), "data")
+    blocks = wanted.mapInPandas(_pack(block_rows), packed)
+    copies = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "data")
+    work = dealt.unionByName(copies).repartition(shards, "shard").sortWithinPartitions("shard", "block")
     schema = T.StructType(
         [
             T.StructField("query_id", wanted.schema["query_id"].dataType),
@@ -85,15 +126,6 @@ def vector_search(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    found = spark.createDataFrame([], schema)
-    for number in range(slices):
-        mine = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == number).collect()
-        if not mine:
-            continue
-        matrix = np.array([r["embedding"] for r in mine], dtype=np.float64)
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(lengths > 0, lengths, 1.0)
-        shipped = spark.sparkContext.broadcast(([r["query_id"] for r in mine], matrix))
-        found = found.unionByName(corpus.mapInPandas(_best_rows(shipped, k, SCORE_DIGITS), schema))
+    found = work.mapInPandas(_best_of_shards(k, SCORE_DIGITS), schema)
     top = top_per_key(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, rank="rank")
     return top.select("query_id", "rank", "vec_id", "score")

@@ -95,12 +95,13 @@ def _bm25(corpus, query):
 QUESTIONS = [(1, "Delay of the CLAIM"), (2, "été price"), (3, "nothing known here"), (4, "agent, agent: policy x1")]
 
 
-@pytest.mark.parametrize("max_pairs", [1000, 3])
-def test_batch_search_equals_brute_force(spark, max_pairs):
+@pytest.mark.parametrize("least", [100_000, 5])
+def test_batch_search_equals_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(search, "MIN_FREQUENT", least)
     corpus = _corpus(60)
     docs = spark.createDataFrame(corpus, "id bigint, body string").repartition(5)
-    asked = spark.createDataFrame(QUESTIONS, "q bigint, t string")
-    found = search.search_batch(docs, "id", "body", asked, "q", "t", k=7, max_pairs=max_pairs).collect()
+    asked = spark.createDataFrame(QUESTIONS + QUESTIONS[:1], "q bigint, t string")  # a question asked twice counts once
+    found = search.search_batch(search.build_index(docs, "id", "body", []), asked, "q", "t", k=7).collect()
     for q, t in QUESTIONS:
         mine = [(r.doc_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
         assert mine == _bm25(corpus, t)[:7]
@@ -116,16 +117,16 @@ def test_index_search_equals_brute_force(spark, tmp_path):
         assert odd == [p for p in _bm25(corpus, t) if p[0] % 2 == 1][:6]
 
 
-@pytest.mark.parametrize("max_numbers", [10_000, 4])
-def test_vector_search_equals_brute_force(spark, max_numbers):
+@pytest.mark.parametrize(("shard_rows", "block_rows"), [(10_000, 100), (7, 1)])
+def test_vector_search_equals_brute_force(spark, shard_rows, block_rows):
     def cosine(a, b):
         return round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 6)
 
     made = [(i, [math.sin(i), math.cos(3 * i), float(i % 5) - 2]) for i in range(80)] + [(80, [0.0, 0.0, 0.0])]
-    vecs = spark.createDataFrame(made, "vec_id bigint, embedding array<double>").repartition(4)
+    vecs = spark.createDataFrame([*made, (81, None), (82, [1.0, None, 2.0])], "vec_id bigint, embedding array<double>").repartition(4)
     asked = [("a", [1.0, 0.0, 0.5]), ("b", [0.0, -1.0, 1.0])]
     queries = spark.createDataFrame(asked, "name string, embedding array<double>")
-    found = vectors.vector_search(vecs, queries, "name", k=9, max_numbers=max_numbers).collect()
+    found = vectors.vector_search(vecs, queries, "name", k=9, shard_rows=shard_rows, block_rows=block_rows).collect()
     for name, q in asked:
         truth = sorted(((i, cosine(v, q)) for i, v in made if any(v)), key=lambda p: (-p[1], p[0]))[:9]
         mine = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == name]
