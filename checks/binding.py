@@ -16,7 +16,7 @@ from holdfast.operators.nba import as_recommendations, recommend
 from holdfast.operators.scorecard import retention_card, score_customers
 from holdfast.plans.daily import Facts
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import fresh_dir, spread_small
+from holdfast.sources.workspace import fresh_dir
 
 AS_OF = dt.date(2001, 8, 1)
 # Critical does not occur in the small tables with the standard thresholds.
@@ -161,8 +161,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = fresh_dir(spark, name)
-        table = build()
-        spread_small(table, table.columns[0]).write.parquet(path)
+        build().write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
@@ -198,7 +197,7 @@ class Data:
 
     @property
     def insights(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "insights", lambda: enrich(self.interactions, RULES))
+        return stored(self.spark, self.sf_dir, "insights", lambda: enrich(self.interactions, RULES, partitions=self.spark.sparkContext.defaultParallelism))
 
     @property
     def facts(self) -> Facts:

@@ -9,14 +9,14 @@ from checks.ctes import sql
 from checks.registry import query
 from holdfast.functions import text as X
 from holdfast.operators import enrichment, search, vectors
-from holdfast.sources.workspace import spread_small
+from holdfast.sources.workspace import spread
 
 _INSIGHT = "interaction_id, customer_id, channel, direction, interaction_ts, sentiment_score, sentiment_label, primary_intent, churn_signal, competitor, summary, key_quote"
 
 
 @query("l01_sentiment", sql("select interaction_id, sentiment_score from insights"))
 def sentiment(d):
-    texts = spread_small(d.interactions.select("interaction_id", "content"), "interaction_id")
+    texts = spread(d.interactions.select("interaction_id", "content"), "interaction_id", d.spark.sparkContext.defaultParallelism)
     words = texts.select("interaction_id", X.tokens("content").alias("words"))
     return words.select("interaction_id", X.sentiment_score(F.col("words"), RULES.positive, RULES.negative).alias("sentiment_score"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from holdfast.functions import text as X
 from holdfast.functions.columns import col, contains_any, is_blank, known_or
 from holdfast.schemas import CHURN_SIGNALS, INTENTS
-from holdfast.sources.workspace import spread_small
+from holdfast.sources.workspace import spread
 
 INSIGHT_COLUMNS = (
     "interaction_id", "customer_id", "channel", "direction", "interaction_ts", "sentiment_score", "sentiment_label",
@@ -77,10 +77,10 @@ def extract(texts: DataFrame, rules: X.TextRules, content: str = "content") -> D
     )
 
 
-def enrich(interactions: DataFrame, rules: X.TextRules, done: DataFrame | None = None) -> DataFrame:
-    """Insights for every interaction with text that is not done yet."""
+def enrich(interactions: DataFrame, rules: X.TextRules, done: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Insights for every interaction with text that is not done yet; ``partitions`` spreads a few large files."""
     todo = with_text(interactions if done is None else unprocessed(interactions, done))
-    todo = spread_small(todo.drop("sentiment_score", "summary"), "interaction_id")
+    todo = spread(todo.drop("sentiment_score", "summary"), "interaction_id", partitions)
     raw = F.to_json(
         F.struct(
             F.col("primary_intent").alias("intent"),

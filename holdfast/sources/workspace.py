@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -40,13 +39,9 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread_small(df: DataFrame, key: str, bytes_per_core: int = 32 * 1024 * 1024, bytes_per_task: int = 1024 * 1024) -> DataFrame:
-    """Even out a table with far less than one full split per core before CPU-heavy row work.
+def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Even out a table in few files before CPU-heavy row work, if the caller asks for it.
 
-    A few small files would otherwise keep a few cores busy. Larger inputs already have
-    enough splits and are left alone, so nothing big is shuffled.
+    Large tables have enough splits; shuffling them would only move the texts.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    tasks = min(cores * 2, math.ceil(size / bytes_per_task))
-    return df.repartition(tasks, key) if 1 < tasks and size < cores * bytes_per_core else df
+    return df.repartition(partitions, key) if partitions else df
