@@ -2,10 +2,10 @@
 
 A document is the set of its word n-grams. Sets are grouped in bands of size such that sets that link are in the same or in
 neighbouring bands. For each pair of neighbouring bands the largest symmetric difference ``k`` of linked sets is
-known. The feature domain is divided into parts, each into halves; there are so many parts that at least one of them holds
-at most one difference, so one of its halves holds none. The signature of a half is the hash of the elements in
-it: sets that link share a signature. Parts beyond that number make up for halves without elements, which give no signature;
-a set with too many of these gives signatures for them too, so no link is lost (see ``signatures``).
+known. The feature domain is divided into parts, each into pieces; there are so many parts that at least one of them holds
+at most one difference. The subsets of a part's pieces that leave out one piece each give a signature, the hash of the
+elements in them: sets that link share a signature. Parts beyond that number make up for subsets without elements, which
+give no signature; a set with too many of these gives signatures for them too, so no link is lost (see ``signatures``).
 
 Sets that share a signature are candidates. Buckets with few sets give their pairs. Larger buckets are searched with sketches:
 a parity bitmap whose distance never exceeds the true one, so a pair beyond the bound needs no look at the sets. Of the
@@ -39,7 +39,6 @@ from holdfast.llm.components import connected
 # Buckets up to this size give all their pairs; members of larger ones are compared in blocks of so many.
 SMALL_BUCKET = 16
 BLOCK = 4_096
-_HALVES = 2
 _U = np.uint64
 
 
@@ -54,6 +53,8 @@ class Bands:
             ends.append(high)
             low = high + 1
         self.ends = np.array(ends, np.int64)
+        # A part holds about this many elements; a signature should cover six of them or more.
+        self.pieces = 2 if (100 + percent) // max(100 - percent, 1) >= 12 else 3
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.ends, n))
@@ -63,31 +64,35 @@ class Bands:
         return int((100 - self.percent) * 2 * self.ends[band] // (100 + self.percent))
 
     def sketch_bits(self, band: int) -> int:
-        return max(64, 1 << (32 * self.difference(band)).bit_length())
+        return max(64, 1 << (8 * self.difference(band)).bit_length())
 
 
 def signatures(elements: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     """The signatures of a set (distinct 64-bit hashes) towards the sets of ``band`` and the band before.
 
-    With at most k differences over P parts, more than P - 1 - k // 2 parts hold at most one each. So if at
-    least one of them has elements in both halves, a linked set shares the signature of one of its halves. That is certain
-    while fewer than P - k // 2 parts have an empty half; otherwise empty halves give signatures as well.
+    Each part is divided into pieces; a signature is the hash of the elements in all pieces but one. With at most k
+    differences over P parts, more than P - 1 - k // 2 parts hold at most one each, and without the piece that
+    holds it both sets are the same there. So if at least one of these parts has elements whatever piece is left out,
+    linked sets share a signature. That is certain while fewer than P - k // 2 parts have an empty one; otherwise
+    empty ones count as well.
     """
     k = bands.difference(band)
     tag = mix(np.array([band + 1], _U))[0]
     if k == 0:  # only equal sets link
         return mix(np.array([elements.sum(dtype=_U)], _U) + tag)
-    needed = k // 2 + 1
+    needed, pieces = k // 2 + 1, bands.pieces
     parts = needed + needed // 16 + 2
     u = mix(elements + _U(0xA24BAED4963EE407))
-    cell = ((u >> _U(33)) % _U(parts)).astype(np.int64) * _HALVES + (u & _U(1)).astype(np.int64)
-    cells = parts * _HALVES
-    filled = np.bincount(cell, minlength=cells) > 0
-    sums = np.zeros(cells, _U)
+    cell = ((u >> _U(33)) % _U(parts)).astype(np.int64) * pieces + ((u & _U(0x7FFFFFFF)) % _U(pieces)).astype(np.int64)
+    counts = np.bincount(cell, minlength=parts * pieces).reshape(parts, pieces)
+    sums = np.zeros(parts * pieces, _U)
     np.add.at(sums, cell, mix(u))
-    odd = int((~filled.reshape(-1, _HALVES).all(axis=1)).sum())
-    use = np.flatnonzero(filled) if odd < parts - k // 2 else np.arange(cells)
-    return mix(sums[use] + mix(use.astype(_U) + tag))
+    sums = sums.reshape(parts, pieces)
+    left = (counts.sum(axis=1, keepdims=True) - counts).ravel()
+    hashes = (sums.sum(axis=1, keepdims=True, dtype=_U) - sums).ravel()
+    odd = int((left.reshape(parts, pieces) == 0).any(axis=1).sum())
+    use = np.flatnonzero(left) if odd < parts - k // 2 else np.arange(parts * pieces)
+    return mix(hashes[use] + mix(use.astype(_U) + tag))
 
 
 def sketch(elements: np.ndarray, bits: int) -> bytes:
@@ -178,7 +183,10 @@ def _signature_batches(n: int, bands: Bands):
 
 
 def _bucket_batches(bands: Bands):
-    """Rows sorted by (sig, node) to pairs of small buckets (bucket null) and members of large ones (b null)."""
+    """Rows sorted by (sig, node) to pairs of small buckets (bucket null) and members of large ones (b null).
+
+    ``band`` names the sketches with which they can be compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] | None = None
@@ -188,7 +196,7 @@ def _bucket_batches(bands: Bands):
             begins = np.concatenate([[0], change])
             ends = np.concatenate([change, [len(sig)]])
             big = ends - begins > 1
-            a, b, bucket, towards = [], [], [], []
+            a, b, bands_of, bucket = [], [], [], []
             for lo, hi in zip(begins[big].tolist(), ends[big].tolist(), strict=True):
                 keep = np.concatenate([[True], np.diff(node[lo:hi]) != 0])  # one set met by several tasks
                 nodes, sizes = node[lo:hi][keep], n[lo:hi][keep]
@@ -203,6 +211,7 @@ def _bucket_batches(bands: Bands):
                     good = (100 * np.minimum(x, y) >= bands.percent * np.maximum(x, y)) & (np.maximum(x, y) > first)
                     a.append(nodes[i][good])
                     b.append(nodes[j][good])
+                    bands_of.append(np.full(int(good.sum()), at))
                 elif sizes.max() > (bands.ends[at - 1] if at else 0):
                     blocks = -(-t // BLOCK)
                     which = np.arange(t) % blocks
@@ -210,8 +219,8 @@ def _bucket_batches(bands: Bands):
                         for j in range(i, blocks):
                             members = nodes[(which == i) | (which == j)]
                             bucket.append((xxhash.xxh3_64_intdigest(f"{sig[lo]} {i} {j}") - (1 << 63), at, members))
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
-            rows = [(pairs[:, 0], pairs[:, 1], None, None)] + [(m, None, k, at) for k, at, m in bucket]
+            pairs = np.unique(np.stack([np.concatenate(x) for x in (a, b, bands_of)], axis=1), axis=0) if a else np.zeros((0, 3), np.int64)
+            rows = [(pairs[:, 0], pairs[:, 1], None, pairs[:, 2])] + [(m, None, k, np.full(len(m), at)) for k, at, m in bucket]
             for first, second, key, at in rows:
                 if len(first):
                     size = len(first)
@@ -220,7 +229,7 @@ def _bucket_batches(bands: Bands):
                             pa.array(first, pa.int64()),
                             pa.array(second, pa.int64()) if second is not None else pa.nulls(size, pa.int64()),
                             pa.array([key] * size, pa.int64()),
-                            pa.array([at] * size, pa.int16()),
+                            pa.array(at.astype(np.int16)),
                         ],
                         ["a", "b", "bucket", "band"],
                     )
@@ -358,7 +367,7 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     sigs = texts.mapInArrow(_signature_batches(n, bands), "sig bigint, node bigint, n int, band short")
     buckets = sigs.repartition("sig").sortWithinPartitions("sig", "node")
     found = stored(buckets.mapInArrow(_bucket_batches(bands), "a bigint, b bigint, bucket bigint, band short"), "join-buckets")
-    pairs = stored(found.filter("bucket is null").select("a", "b").distinct(), "join-pairs")
+    pairs = stored(found.filter("bucket is null").select("a", "b", "band").distinct(), "join-pairs")
     crowded = found.filter("bucket is not null").select("bucket", "band", F.col("a").alias("node"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
@@ -389,23 +398,25 @@ def _mixed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mix(ids.view(_U)).view(np.int64))], ["h"])
 
 
+def _sketches(members: DataFrame) -> DataFrame:
+    """(node, n, band, sketch): two rows a set, for its own band and the next."""
+    own = members.select("node", "n", F.col("own").alias("band"), "sketch")
+    return own.unionByName(members.select("node", "n", (F.col("own") + 1).cast("short").alias("band"), F.col("next_sketch").alias("sketch")))
+
+
 def _near_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance) of the pairs whose sketches allow a link."""
-    columns = ("node", "n", "own", "sketch", "next_sketch")
-    a = members.select(*(F.col(c).alias("a" if c == "node" else c + "_a") for c in columns))
-    b = members.select(*(F.col(c).alias("b" if c == "node" else c + "_b") for c in columns))
-    both = pairs.join(a, "a").join(b, "b")
-    of_a = F.when(F.col("own_a") < F.col("own_b"), F.col("next_sketch_a")).otherwise(F.col("sketch_a"))
-    of_b = F.when(F.col("own_b") < F.col("own_a"), F.col("next_sketch_b")).otherwise(F.col("sketch_b"))
-    far = both.withColumn("distance", _distance(of_a, of_b))
+    sketches = _sketches(members)
+    a = sketches.select(F.col("node").alias("a"), "band", F.col("n").alias("n_a"), F.col("sketch").alias("of_a"))
+    b = sketches.select(F.col("node").alias("b"), "band", F.col("n").alias("n_b"), F.col("sketch").alias("of_b"))
+    far = pairs.join(a, ["a", "band"]).join(b, ["b", "band"]).withColumn("distance", _distance("of_a", "of_b"))
     return far.filter((100 + percent) * F.col("distance") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "distance")
 
 
 def _crowded_rows(crowded: DataFrame, members: DataFrame) -> DataFrame:
     """(bucket, node, n, sketch) with the sketch that all members of the bucket have."""
-    one = members.select("node", "n", "own", "sketch", "next_sketch").dropDuplicates(["node"])
-    chosen = F.when(F.col("own") == F.col("band"), F.col("sketch")).otherwise(F.col("next_sketch"))
-    return crowded.join(one, "node").select("bucket", "node", "n", chosen.alias("sketch"))
+    one = _sketches(members).dropDuplicates(["node", "band"])
+    return crowded.join(one, ["node", "band"]).select("bucket", "node", "n", "sketch")
 
 
 def _crowded_pairs(crowded: DataFrame, labels: DataFrame | None, percent: int, nearest_only: bool) -> DataFrame:
