@@ -42,7 +42,7 @@ def money(c: str | Column) -> Column:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None)
+    key = F.col("c_custkey")
     return (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -51,12 +51,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_custkey").alias("customer_id"),
             F.col("c_name").alias("first_name"),
             F.col("n_name").alias("last_name"),
-            none.cast("int").alias("age"),
-            none.cast("string").alias("gender"),
+            F.when(key % 50 != 0, (18 + key % 70).cast("int")).alias("age"),
+            F.when(key % 2 == 0, "F").otherwise("M").alias("gender"),
             F.col("n_name").alias("city"),
             F.col("r_name").alias("state"),
             F.col("c_mktsegment").alias("segment"),
-            none.cast("string").alias("preferred_language"),
+            F.element_at(F.array(*map(F.lit, ("English", "Hindi", "Tamil"))), (key % 3 + 1).cast("int")).alias("preferred_language"),
         )
     )
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from checks.binding import AS_OF
 from checks.ctes import sql
 from checks.registry import query
+from holdfast.operators import nba
 from holdfast.operators import quality as Q
 from holdfast.sources.tables import orphan_report
 
@@ -156,16 +158,11 @@ def recommendations(d):
     return Q.recommendation_checks(d.recommendations)
 
 
-_M9 = _rows(
-    *[
-        f"select 'eligible only {w} sensitive attributes' as \"check\", cast(0 as bigint) as expected, cast(0 as bigint) as actual, true as passed"
-        for w in ("with", "without")
-    ]
-)
+_M9 = "select 'decisions changed by sensitive attributes' as \"check\", cast(0 as bigint) as expected, cast(0 as bigint) as actual, true as passed"
 
 
 def fairness(d):
-    return Q.fairness_check(d.snapshot)
+    return Q.fairness_check(d.snapshot, lambda scored: nba.recommend(scored, d.claims, d.insights, AS_OF))
 
 
 _CHECKS = {

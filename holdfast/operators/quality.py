@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.columns import is_blank
 from holdfast.functions.text import sentiment_label
+from holdfast.operators.ids import dense_numbers
 from holdfast.operators.nba import DISCOUNT_CAP, DISCOUNT_RATE, complaints, customer_rules
 from holdfast.operators.scorecard import retention_card
 from holdfast.schemas import CHURN_SIGNALS, INTENTS, SENTIMENT_LABELS
@@ -179,9 +180,13 @@ def recommendation_checks(recommendations: DataFrame) -> DataFrame:
 SENSITIVE = ("age", "gender", "preferred_language")
 
 
-def blind_to_sensitive(scored: DataFrame) -> DataFrame:
-    """The rule inputs with the sensitive attributes removed; eligibility must not change."""
-    return scored.drop(*SENSITIVE)
+def with_others_attributes(scored: DataFrame, names: Sequence[str] = SENSITIVE) -> DataFrame:
+    """Every customer with the sensitive attributes of the next one in the order of ids."""
+    numbered = dense_numbers(scored.select("customer_id", *names), ["customer_id"], "_place")
+    last = numbered.agg(F.max("_place")).scalar()
+    giver = numbered.select(F.when(F.col("_place") == 1, last).otherwise(F.col("_place") - 1).alias("_place"), *names)
+    given = numbered.select("customer_id", "_place").join(giver, "_place").drop("_place")
+    return scored.drop(*names).join(given, "customer_id").select(*scored.columns)
 
 
 def eligibility(scored: DataFrame) -> DataFrame:
@@ -190,15 +195,12 @@ def eligibility(scored: DataFrame) -> DataFrame:
     return scored.select("customer_id", F.explode(codes).alias("action_code"))
 
 
-def fairness_check(scored: DataFrame) -> DataFrame:
-    with_all, without = eligibility(scored), eligibility(blind_to_sensitive(scored))
-    keys = ["customer_id", "action_code"]
-    return union_all(
-        [
-            counted(with_all.join(without, keys, "left_anti"), {"eligible only with sensitive attributes": F.lit(True)}),
-            counted(without.join(with_all, keys, "left_anti"), {"eligible only without sensitive attributes": F.lit(True)}),
-        ]
-    )
+def fairness_check(scored: DataFrame, decide: Callable[[DataFrame], DataFrame] = eligibility) -> DataFrame:
+    """Decisions (customer_id and more columns) must be the same when customers swap their sensitive attributes."""
+    as_is, swapped = decide(scored), decide(with_others_attributes(scored))
+    both = as_is.withColumn("_n", F.lit(1)).unionByName(swapped.withColumn("_n", F.lit(-1)))
+    changed = both.groupBy(*as_is.columns).agg(F.sum("_n").alias("_n"))
+    return counted(changed, {"decisions changed by sensitive attributes": F.col("_n") != 0})
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -121,9 +121,16 @@ def test_sensitive_attributes_do_not_matter(spark):
     scored = score_customers(inputs.frame(AS_OF))
     assert nba.best_actions(scored, inputs.claims, inputs.insights, AS_OF).count() > 0
     with_all = nba.best_actions(scored, inputs.claims, inputs.insights, AS_OF).orderBy("customer_id").collect()
-    without = nba.best_actions(Q.blind_to_sensitive(scored), inputs.claims, inputs.insights, AS_OF).orderBy("customer_id").collect()
+    without = nba.best_actions(scored.drop(*Q.SENSITIVE), inputs.claims, inputs.insights, AS_OF).orderBy("customer_id").collect()
     assert with_all == without
     assert all(r.passed for r in Q.fairness_check(scored).collect())
+    swapped = {r.customer_id: (r.age, r.gender) for r in Q.with_others_attributes(scored).collect()}
+    assert swapped["C0"] == (21, "Female") and swapped["C3"] == (24, "Male") and swapped["C5"] == (20, "Male")
+
+    def unfair(frame):
+        return nba.best_actions(frame.filter("age < 24"), inputs.claims, inputs.insights, AS_OF)
+
+    assert not any(r.passed for r in Q.fairness_check(scored, unfair).collect())
 
 
 def test_ids_widen_and_stay_unique(spark):
