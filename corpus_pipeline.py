@@ -16,28 +16,41 @@ from holdfast.llm.queries import vocabulary_path
 from holdfast.llm.toxicity import without_toxic
 
 
+# Documents that travel to a Python worker at a time. Batches of Spark's 10,000 hold tens of MB of text on both sides.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labels, doesn't reject."""
+    small_batches(spark)
     return without_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each exact text."""
+    small_batches(spark)
     return drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles with a similarity of 0.8 or more."""
+    small_batches(spark)
     return one_of_each_group(docs, n=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of each row."""
+    small_batches(spark)
     return token_digests(docs, vocabulary_path())
 
 

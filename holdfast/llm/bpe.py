@@ -29,8 +29,8 @@ from holdfast.llm.common import id_and_text, utf8
 
 _NONE = 1 << 60
 # Runs between white space that a worker remembers, and the bytes of text it handles at a time.
-REMEMBERED = 200_000
-SLICE_BYTES = 2_000_000
+REMEMBERED = 100_000
+SLICE_BYTES = 1_000_000
 
 
 def byte_symbols() -> list[str]:
