@@ -2,10 +2,11 @@
 
 Markup is stripped to lines, one for each block of the page. Elements whose role or name says that they hold no
 article text (navigation, footers, forms, scripts, adverts, comments ...) are stripped with the markup. The text
-lengths of the remaining lines, links not counted, are summed over sliding windows. The text surges where the sum of a window
-rises above a threshold and dives where it falls to the floor; the lines between surge and dive are kept.
-Lines of a marked article count in full and others then count nothing, so such a page surges at the article's first line and
-dives behind its last one, however short its paragraphs are. Pages without marked article go by length.
+lengths of the remaining lines, links not counted, are summed over sliding windows, on every page. The text surges where the sum
+of a window rises above a threshold and dives where it falls to the floor; the lines between surge and dive are kept.
+An article tag raises the weights of its lines and settles the edges, nothing else: its lines weigh a surge more than their length,
+so the text surges at the article's first line and dives behind its last one, however short its paragraphs are, and windows
+don't reach over its ends. Cards (articles with a line of links that don't surge by length, on a page that does elsewhere) aren't raised.
 
 Cases: null, empty or text-free html gives the empty text; unclosed tags, comments and quotes are read to the end of
 the page; nothing is cut, whatever the length; repeated pages give repeated rows.
@@ -14,6 +15,7 @@ the page; nothing is cut, whatever the length; repeated pages give repeated rows
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -68,7 +70,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 class Line:
     text: str
     linked: int
-    marked: bool
+    article: int  # number of the innermost article or main element that holds it, 0 outside
 
 
 def _names_noise(attributes: str) -> bool:
@@ -89,7 +91,8 @@ class _Reader:
         self._parts: list[str] = []
         self._linked = 0
         self._open: list[tuple[str, bool]] = []  # element, whether its text is stripped
-        self._stripped = self._articles = self._links = 0
+        self._stripped = self._links = self._seen = 0
+        self._articles: list[int] = []  # numbers of the open ones
 
     def text(self, piece: str) -> None:
         if self._stripped or not piece:
@@ -103,7 +106,7 @@ class _Reader:
         if self._parts:
             text = " ".join("".join(self._parts).split())
             if text:
-                self.lines.append(Line(text, min(self._linked, len(text)), self._articles > 0))
+                self.lines.append(Line(text, min(self._linked, len(text)), self._articles[-1] if self._articles else 0))
             self._parts, self._linked = [], 0
 
     def open(self, name: str, attributes: str) -> None:
@@ -121,7 +124,9 @@ class _Reader:
             stripped = True
         self._open.append((name, stripped))
         self._stripped += stripped
-        self._articles += name in ("article", "main")
+        if name in ("article", "main"):
+            self._seen += 1
+            self._articles.append(self._seen)
         self._links += name == "a"
 
     def close(self, name: str) -> None:
@@ -135,13 +140,14 @@ class _Reader:
     def _pop(self) -> str:
         name, stripped = self._open.pop()
         self._stripped -= stripped
-        self._articles -= name in ("article", "main")
+        if name in ("article", "main"):
+            self._articles.pop()
         self._links -= name == "a"
         return name
 
 
 def page_lines(html: str) -> list[Line]:
-    """The lines of a page: text without stripped elements, its linked characters, whether an article holds it."""
+    """The lines of a page: text without stripped elements, its linked characters, the article that holds it."""
     reader, at, n = _Reader(), 0, len(html)
     low = None
     while at < n:
@@ -173,27 +179,41 @@ def page_lines(html: str) -> list[Line]:
     return reader.lines
 
 
-def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE, floor: int = FLOOR) -> list[Line]:
-    """The lines between surge and dive of the window sums."""
-    if not lines:
-        return []
-    if any(x.marked for x in lines):
-        weight = np.array([len(x.text) * x.marked for x in lines])
-        window, surge, floor = 1, 1, 0
-    else:
-        weight = np.array([0 if x.linked > LINKED * len(x.text) else len(x.text) - x.linked for x in lines])
+def _inside(weight: list[int], window: int, surge: int, floor: int) -> list[bool]:
+    """Which lines lie between surge and dive of the window sums."""
     total = np.concatenate([[0], np.cumsum(weight)])
-    ends = np.minimum(np.arange(len(lines)) + window, len(lines))
-    sums = total[ends] - total[: len(lines)]
-    kept, inside = [], False
-    for line, here, own in zip(lines, sums, weight, strict=True):
+    ends = np.minimum(np.arange(len(weight)) + window, len(weight))
+    out, inside = [], False
+    for here, own in zip(total[ends] - total[:-1], weight, strict=True):
         if inside and here <= floor:
             inside = False
         elif not inside and here >= surge and own > 0:
             inside = True
-        if inside and own > 0:
-            kept.append(line)
-    return kept
+        out.append(inside and own > 0)
+    return out
+
+
+def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE, floor: int = FLOOR) -> list[Line]:
+    """The lines between surge and dive of the window sums; no window reaches over the ends of an article."""
+    lists = [x.linked > LINKED * len(x.text) for x in lines]
+    weight = [0 if linked else len(x.text) - x.linked for x, linked in zip(lines, lists, strict=True)]
+    articles: dict[int, list[int]] = defaultdict(list)
+    for i, x in enumerate(lines):
+        articles[x.article].append(i)
+    surging = {a for a, own in articles.items() if any(_inside([weight[i] for i in own], window, surge, floor))}
+    cards = {a for a, own in articles.items() if a and surging and a not in surging and any(lists[i] for i in own)}
+    # Runs of lines for the windows: those of an article, those between two articles; cards stand aside.
+    runs: dict[tuple[int, int], list[int]] = defaultdict(list)
+    before = 0
+    for i, x in enumerate(lines):
+        if x.article and x.article not in cards:
+            before = x.article
+            weight[i] = len(x.text) + surge
+        runs[(x.article, 0 if x.article else before)].append(i)
+    kept = set()
+    for own in runs.values():
+        kept.update(i for i, inside in zip(own, _inside([weight[i] for i in own], window, surge, floor), strict=True) if inside)
+    return [x for i, x in enumerate(lines) if i in kept]
 
 
 def main_text(html: str | None) -> str:

@@ -184,6 +184,19 @@ def test_pages_without_article_go_by_length():
     assert main_text(html) == "\n\n".join(["Heading", (words * 2).strip(), words.strip()])
 
 
+def test_windows_run_on_pages_with_article_tags():
+    words = "A paragraph with a good number of words in it, as the body of a page has them. "
+    body = [(words * 2).strip(), words.strip()]
+    paragraphs = f"<h2>Heading</h2><p>{body[0]}</p><p>{body[1]}</p>"
+    cards = "<article><h3><a href=x>Another page</a></h3><p>Its first words.</p></article>" * 2
+    assert main_text(f"<div>{paragraphs}</div><div>{cards}</div>") == "\n\n".join(["Heading", *body])
+    assert main_text(f"<div><p>{body[1]}</p>{cards}<p>{body[0]}</p><p>A short last line.</p></div>") == "\n\n".join([body[1], body[0], "A short last line."])
+    for tag in ("article", "main"):  # the tag holds a part of the text
+        assert main_text(f"<p>Menu</p><{tag}><h1>Title</h1><p>Short.</p></{tag}><div><p>Small</p></div><div>{paragraphs}</div>") == "\n\n".join(["Title", "Short.", "Small", "Heading", *body])
+    assert main_text(f"<p>Top line</p><article><h1>Title</h1><p>{body[0]}</p><p>End.</p></article><p>Bottom line</p>") == "\n\n".join(["Title", body[0], "End."])
+    assert main_text("<p>Menu</p><article><p><a href=x>Only a link</a></p></article>") == "Only a link"
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, None), (2, ""), (3, "<p"), (4, "plain"), (5, "<article><p>a"), (5, "<article><p>a"), (None, "<article>x<!-- never closed"), (6, "<article><p>" + "long word " * 100_000 + "</article>")]
     got = {r["page_id"]: r for r in main_texts(spark.createDataFrame([(i, "u", h, "z") for i, h in rows], "page_id bigint, url string, html string, text string")).collect()}
