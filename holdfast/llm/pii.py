@@ -7,7 +7,8 @@ runs, which announce themselves, are found by one scan.
 Base spans (email, ip, card, phone) are exactly the valid leftmost matches of their patterns. The method adds cards and
 phones that stand beside other numbers, where the pattern takes both together and fails, and three more kinds:
 ``url`` (scheme to the end of the address), ``account`` (identifier after a cue word) and ``secret`` (value after a cue and
-``=``, or a key with a known prefix). Kinds overlap freely, spans within a kind don't.
+``=``, or a key with a known prefix). Kinds overlap freely, spans within a kind don't. Values end with their class of characters
+or their closing quote and have no greatest length. A secret has 8 characters or more; unquoted ones below 16 need a digit or ``=`` right before them.
 
 Cases: a null or empty text has no spans; offsets are code points, ends exclusive; a text of any length takes linear time.
 """
@@ -42,10 +43,17 @@ _NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9]([ ().0-9-]++)")
 _GROUP = re.compile(r"[0-9]+")
-_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,200}")
+_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}+")
 _ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_ACCOUNT = re.compile(r"(?: ?(?:no|number|nr|id))?[.:#]{0,2}[ ]{0,2}([A-Za-z]{0,2}[0-9](?:[ -]?[A-Za-z0-9]){5,33})")
-_SECRET = re.compile(r"[ ]{0,2}[=:][ ]{0,2}(?:\"([^\"\s]{8,512})\"|'([^'\s]{8,512})'|([A-Za-z0-9_./+=-]{16,512}))")
+_ACCOUNT = re.compile(
+    r"(?: ?(?i:no|number|nr|id))?[.:#]{0,2}[ ]{0,2}"
+    r"([A-Za-z]{0,2}[0-9](?:[ -]?[A-Za-z0-9]){5,33}+[A-Za-z0-9]*+(?:[ -](?=[A-Za-z]*+[0-9])[A-Za-z0-9]++)*+)"
+)
+_VALUE = r"[A-Za-z0-9_./+=-]"
+_SECRET = re.compile(
+    r"[ ]{0,2}[=:][ ]{0,2}(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)'"
+    rf"|({_VALUE}{{16,}}+)|((?=[A-Za-z_./+=-]*+[0-9]){_VALUE}{{8,}}+)|(?<==)({_VALUE}{{8,}}+))"
+)
 
 
 @functools.lru_cache(maxsize=1)

@@ -154,6 +154,26 @@ def test_added_spans():
     assert masked("mail a@b.co now") == "mail <email> now" and masked(None) == ""
 
 
+def test_added_spans_are_whole():
+    token, key = "eyJhbGci." * 222 + "xy", "sk-" + "a1B2" * 500
+    assert len(token) == 2000
+    for text in (f"token={token} end", f'token="{token}" end', f"token: '{token}' end", f"the {key} end"):
+        assert [text[a:b] for a, b in find_spans(text)[1]["secret"]] == [key if key in text else token]
+    assert masked(f"token={token} end") == "token=<secret> end"
+    for cue in ("account number", "Account Number", "ACCOUNT NUMBER", "Passport No", "passport no", "Account ID"):
+        for value in ("12345678", "X1234567", "DE" + "12345678" * 10, "1234 " * 20 + "12"):
+            text = f"{cue}: {value}."
+            assert [text[a:b] for a, b in find_spans(text)[1]["account"]] == [value], text
+    for text, found in (("password=hunter2secret", ["hunter2secret"]), ("password=correcthorse", ["correcthorse"]), ("Password: hunter2secret", ["hunter2secret"]), ("the password: remember it", []), ("token = short", [])):
+        assert [text[a:b] for a, b in find_spans(text)[1]["secret"]] == found, text
+
+
+def test_long_added_spans_take_linear_time():
+    for piece in ("token='", 'token="', "token=", "sk-", "account 1", "token='\"x", "password=a ", "account 123456 a"):
+        find_spans(piece * 100_000)
+    assert find_spans("token='" + "a" * 300_000)[1]["secret"] == []
+
+
 def test_personal_data_of_edge_rows(edge_docs, edge_rows, no_docs):
     got = personal_data(edge_docs).collect()
     assert len(got) == len(edge_rows) and {r["n_email"] for r in got} == {0}
