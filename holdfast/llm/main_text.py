@@ -1,14 +1,16 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of the page. Elements whose role or name says that they hold no
-article text (navigation, footers, forms, scripts, adverts, comments ...) are stripped with the markup. The text
+article text (navigation, footers, forms, scripts, adverts, comments ...) are stripped with the markup; by name no article and no
+element with most of the page's text is. The text
 lengths of the remaining lines, links not counted, are summed over sliding windows, on every page. The text surges where the sum
-of a window rises above a threshold and dives where it falls to the floor; the lines between surge and dive are kept.
+of a window rises above a threshold (on pages without article or with cards alone at most half of the page's largest sum) and dives where it falls to
+the floor; the lines between surge and dive are kept, and those that join them without a list of links between.
 An article tag raises the weights of its lines and settles the edges, nothing else: its lines weigh a surge more than their length,
 so the text surges at the article's first line and dives behind its last one, however short its paragraphs are, and windows
 don't reach over its ends. Cards (articles with a line of links that don't surge by length, on a page that does elsewhere) aren't raised.
 
-Cases: null, empty or text-free html gives the empty text; unclosed tags, comments and quotes are read to the end of
+Cases: null, empty or text-free html gives the empty text, and so does a page without article whose windows all stay at the floor; unclosed tags, comments and quotes are read to the end of
 the page; nothing is cut, whatever the length; repeated pages give repeated rows.
 """
 
@@ -74,30 +76,36 @@ class Line:
 
 
 def _names_noise(attributes: str) -> bool:
-    if "=" not in attributes:
-        return False
     for groups in _NAMES.findall(attributes):
         for name in "".join(groups).split():
             if not STRIPPED_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(name)):
                 return True
-    return bool(_HIDDEN.search(attributes))
+    return False
 
 
 class _Reader:
-    """Walks over the markup once and collects lines."""
+    """Walks over the markup once and collects lines. ``spared``: numbers of elements that are not stripped by their class, id or role."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         self.lines: list[Line] = []
         self._parts: list[str] = []
         self._linked = 0
-        self._open: list[tuple[str, bool]] = []  # element, whether its text is stripped
+        self._open: list[tuple[str, bool, bool, int, int]] = []  # element, whether it strips at all and for good, its number if named, length before
+        self._spared = spared
+        self.length = 0  # unlinked text that only names strip, or nothing
+        self.named: list[int] = []  # that of each element with such a name
+        self._for_good = 0
         self._stripped = self._links = self._seen = 0
         self._articles: list[int] = []  # numbers of the open ones
 
     def text(self, piece: str) -> None:
-        if self._stripped or not piece:
+        if self._for_good or not piece:
             return
         piece = unescape(piece)
+        if not self._links:
+            self.length += len(piece.strip())
+        if self._stripped:
+            return
         self._parts.append(piece)
         if self._links:
             self._linked += len(piece.strip())
@@ -119,11 +127,16 @@ class _Reader:
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             return
         header = name == "header" and not self._articles
-        stripped = name in STRIPPED or header or (name not in ("html", "body", "article", "main") and _names_noise(attributes))
-        if name in ("article", "main") and _names_noise(attributes):
-            stripped = True
-        self._open.append((name, stripped))
+        for_good, number = name in STRIPPED or header, -1
+        if "=" in attributes and not for_good and name not in ("html", "body"):
+            for_good = bool(_HIDDEN.search(attributes))
+            if not for_good and name not in ("article", "main") and _names_noise(attributes):
+                number = len(self.named)
+                self.named.append(0)
+        stripped = for_good or number >= 0 and number not in self._spared
+        self._open.append((name, stripped, for_good, number, self.length))
         self._stripped += stripped
+        self._for_good += for_good
         if name in ("article", "main"):
             self._seen += 1
             self._articles.append(self._seen)
@@ -132,23 +145,43 @@ class _Reader:
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.end_line()
-        if not any(name == n for n, _ in self._open):
+        if not any(name == x[0] for x in self._open):
             return
         while self._pop() != name:
             pass
 
     def _pop(self) -> str:
-        name, stripped = self._open.pop()
+        name, stripped, for_good, number, before = self._open.pop()
         self._stripped -= stripped
+        self._for_good -= for_good
+        if number >= 0:
+            self.named[number] = self.length - before
         if name in ("article", "main"):
             self._articles.pop()
         self._links -= name == "a"
         return name
 
+    def finish(self) -> None:
+        self.end_line()
+        while self._open:
+            self._pop()
+
 
 def page_lines(html: str) -> list[Line]:
-    """The lines of a page: text without stripped elements, its linked characters, the article that holds it."""
-    reader, at, n = _Reader(), 0, len(html)
+    """The lines of a page: text without stripped elements, its linked characters, the article that holds it.
+
+    An element that holds most of the page's unlinked text is not stripped for its name, unless an article lies outside such elements.
+    """
+    reader = _read(html, _Reader())
+    if not any(x.article for x in reader.lines):
+        spared = frozenset(i for i, length in enumerate(reader.named) if 2 * length > reader.length)
+        if spared:
+            reader = _read(html, _Reader(spared))
+    return reader.lines
+
+
+def _read(html: str, reader: _Reader) -> _Reader:
+    at, n = 0, len(html)
     low = None
     while at < n:
         m = _MARKUP.search(html, at)
@@ -175,12 +208,12 @@ def page_lines(html: str) -> list[Line]:
             end = low.find("</" + name, at)
             reader.text(html[at : n if end < 0 else end])
             at = n if end < 0 else end
-    reader.end_line()
-    return reader.lines
+    reader.finish()
+    return reader
 
 
 def _inside(weight: list[int], window: int, surge: int, floor: int) -> list[bool]:
-    """Which lines lie between surge and dive of the window sums."""
+    """Which lines lie between surge and dive of the window sums, with the unlinked ones that join them."""
     total = np.concatenate([[0], np.cumsum(weight)])
     ends = np.minimum(np.arange(len(weight)) + window, len(weight))
     out, inside = [], False
@@ -190,6 +223,10 @@ def _inside(weight: list[int], window: int, surge: int, floor: int) -> list[bool
         elif not inside and here >= surge and own > 0:
             inside = True
         out.append(inside and own > 0)
+    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
+        step = 1 if order.step < 0 else -1
+        for i in order:
+            out[i] = out[i] or out[i + step] and weight[i] > 0
     return out
 
 
@@ -201,7 +238,12 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE, floo
     for i, x in enumerate(lines):
         articles[x.article].append(i)
     surging = {a for a, own in articles.items() if any(_inside([weight[i] for i in own], window, surge, floor))}
-    cards = {a for a, own in articles.items() if a and surging and a not in surging and any(lists[i] for i in own)}
+    linked = {a for a, own in articles.items() if a and a not in surging and any(lists[i] for i in own)}
+    cards = linked if surging else set()
+    if not articles.keys() - linked - {0}:  # without an article of its own, a short page surges at half of its largest window
+        total = np.concatenate([[0], np.cumsum(weight)])
+        largest = int(np.max(total[window:] - total[:-window], initial=total[-1] if len(weight) < window else 0))
+        surge = min(surge, max(floor + 1, largest // 2))
     # Runs of lines for the windows: those of an article, those between two articles; cards stand aside.
     runs: dict[tuple[int, int], list[int]] = defaultdict(list)
     before = 0

@@ -217,6 +217,23 @@ def test_windows_run_on_pages_with_article_tags():
     assert main_text("<p>Menu</p><article><p><a href=x>Only a link</a></p></article>") == "Only a link"
 
 
+def test_names_do_not_strip_the_text():
+    words = "A paragraph with a good number of words in it, as the body of a page has them."
+    for page in ("<article class='post comments-open'>{}</article>", "<main class='has-sidebar'>{}</main>", "<div class='no-sidebar'>{}</div>", "<div id=page class='has-sidebar'><div class='no-comments'>{}</div><div class='sidebar'><p>Side.</p></div></div>", "<div class='no-sidebar'><article>{}</article></div><div class=ad>Buy</div>"):
+        assert main_text(page.format(f"<h1>Title</h1><p>{words}</p>")) == f"Title\n\n{words}", page
+    assert main_text(f"<article><p>Short.</p></article><div class=comments><p>{words}</p></div>") == "Short."
+    assert main_text(f"<article class='post hidden' hidden><p>{words}</p></article>") == ""
+
+
+def test_short_pages_and_short_lines():
+    words = "A paragraph with a good number of words in it, as the body of a page has them."
+    assert main_text("<h1>Title</h1><p>A page of few words.</p>") == "Title\n\nA page of few words."
+    card = "<article><h3><a href=x>Another page</a></h3><p>Its words.</p></article>"
+    assert main_text(f"<p>A page of few words.</p>{card}") == "A page of few words.\n\nAnother page\n\nIts words."
+    lines = ["One.", "Two.", "Three.", "Four.", words, "Five.", "Six.", "Seven.", "Eight.", "End."]
+    assert main_text("<ul><li><a>link one</a></ul>" + "".join(f"<p>{x}</p>" for x in lines)) == "\n\n".join(lines)
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, None), (2, ""), (3, "<p"), (4, "plain"), (5, "<article><p>a"), (5, "<article><p>a"), (None, "<article>x<!-- never closed"), (6, "<article><p>" + "long word " * 100_000 + "</article>")]
     got = {r["page_id"]: r for r in main_texts(spark.createDataFrame([(i, "u", h, "z") for i, h in rows], "page_id bigint, url string, html string, text string")).collect()}
