@@ -8,17 +8,25 @@ first shard the k-th score comes from the other queries of the block, and a task
 each shard returns the few rows that can still count.
 
 Trees and blocks of queries are single binary values of bounded size. Scores are integers computed in doubles, exact
-while dimension * (largest component)**2 stays below 2**53; larger ones are refused.
+while dimension * (largest component)**2 stays below 2**53. Rows with a larger component are kept out of the trees and
+scored in Python integers, as candidates of all queries and as queries of all candidates.
 
-Cases: vectors that are null, hold a null, NaN or infinite component, or differ in length from the longest common length
-take no part as query or candidate, and neither do rows without id; ties go to the smaller id; rows repeated as a whole (one id) are
+Each length of vectors is searched for itself: the commonest and all with more rows than a shard by shards, the others one
+length a task.
+
+Cases: vectors that are null, empty or hold a null, NaN or infinite component take no part as query or candidate, and
+neither do rows without id; a score beyond 64 bits is ranked rightly and shown as null; ties go to the smaller id; rows repeated as a whole (one id) are
 separate candidates, but none is a candidate of a query with its own id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +39,8 @@ from pyspark.sql.window import Window
 SHARD_ROWS = 8_192
 LEAF_ROWS = 256
 BLOCK_ROWS = 1_024
+# Rows of a shard that is scored in Python integers.
+WHOLE_ROWS = 1_024
 SCALE = 256.0
 
 
@@ -186,35 +196,158 @@ def _search(k: int):
     return run
 
 
-def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
-    """(vec_id, v) of the usable rows: components floor(scale * x), as doubles."""
+def whole_numbers(values: Iterable[float], scale: float) -> list[int]:
+    """floor(scale * x) of finite components of any size."""
+    return [math.floor(y) if math.isfinite(y := x * scale) else math.floor(Fraction(x) * Fraction(scale)) for x in values]
+
+
+Found = tuple[int, int, int, int | None, bytes | None]
+
+
+def search_whole(query_ids: Iterable[int], queries: list[list[int]], ids: list[int], rows: list[list[int]], k: int) -> Iterator[Found]:
+    """(query, id, tier, score, size) of the ``k`` best rows; a score beyond 64 bits has a tier and bytes that sort like it instead."""
+    for query_id, query in zip(query_ids, queries, strict=True):
+        scores = ((-sum(map(mul, query, row)), i) for i, row in zip(ids, rows, strict=True) if i != query_id)
+        for score, i in heapq.nsmallest(k, scores):
+            score = -score
+            if -(2**63) <= score < 2**63:
+                yield query_id, i, 0, score, None
+                continue
+            length = (abs(score).bit_length() + 7) // 8
+            size = length.to_bytes(4) + abs(score).to_bytes(length)
+            yield (query_id, i, 1, None, size) if score > 0 else (query_id, i, -1, None, bytes(255 - b for b in size))
+
+
+_FOUND = "query_id bigint, vec_id bigint, tier int, score bigint, size binary"
+
+
+def _found(rows: list[Found]) -> pa.RecordBatch:
+    columns = [*zip(*rows, strict=True)] if rows else [()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "tier", "score", "size"])
+
+
+def _whole_blocks(size: int, block_rows: int, as_shard: bool):
+    """Blocks of vectors with components of any size: one for each partition that is a shard, else of ``block_rows`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.slice(at, block_rows)) for b in batches for at in range(0, b.num_rows, block_rows)]
+        blocks = [_vectors(p, size) for p in parts]
+        if as_shard and blocks:
+            blocks = [(np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]))]
+        for n, block in enumerate(blocks):
+            data = pa.array([pickle.dumps(block)], pa.binary())
+            at = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-1], pa.int32())] if as_shard else [pa.array([n], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*at, data], ["shard", "block", "data"] if as_shard else ["block", "data"])
+
+    return run
+
+
+def _search_whole(k: int, scale: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, at = [], [], None
+        for batch in batches:
+            for shard, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found_ids, values = pickle.loads(data)
+                whole = [whole_numbers(v, scale) for v in values.tolist()]
+                if block < 0:
+                    ids, rows, at = found_ids.tolist(), whole, shard
+                elif at == shard:  # else no row was dealt to the shard
+                    yield _found([*search_whole(found_ids.tolist(), whole, ids, rows, k)])
+
+    return run
+
+
+def _search_length(k: int, scale: float):
+    """All queries and candidates of one length, which has at most the rows of a shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.combine_chunks().to_batches()[0]
+        ids, raw = _vectors(rows, len(rows.column(1)[0]))
+        is_query, large = (rows.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (2, 3))
+        found: list[Found] = []
+        if (~large).any():
+            small = np.floor(raw[~large] * scale)
+            tree = KDTree(ids[~large], small)
+            asked_ids, asked = ids[~large & is_query], small[is_query[~large]]
+            for a in range(0, len(asked), BLOCK_ROWS):
+                best = search_tree(tree, asked_ids[a : a + BLOCK_ROWS], asked[a : a + BLOCK_ROWS], np.full(len(asked[a : a + BLOCK_ROWS]), -np.inf), k)
+                q, rank = np.nonzero(best.scores > -np.inf)
+                found += [(x, y, 0, int(z), None) for x, y, z in zip(asked_ids[a + q].tolist(), best.ids[q, rank].tolist(), best.scores[q, rank].tolist(), strict=True)]
+        for queries, candidates in ((is_query, large), (is_query & large, ~large)):
+            if queries.any() and candidates.any():
+                asked, held = ([whole_numbers(v, scale) for v in raw[x].tolist()] for x in (queries, candidates))
+                found += search_whole(ids[queries].tolist(), asked, ids[candidates].tolist(), held, k)
+        return pa.Table.from_batches([_found(found)])
+
+    return run
+
+
+def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
+    """(vec_id, v, large) of the usable rows: components as doubles, whether scores with them can pass the exact range of doubles."""
     raw = F.col(vector_col)
     usable = raw.isNotNull() & F.col(id_col).isNotNull() & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(raw, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    return rows.filter(usable).select(F.col(id_col).cast("bigint").alias("vec_id"), whole.alias("v")).filter(F.size("v") > 0)
+    doubles = F.transform(raw, lambda x: x.cast("double"))
+    most = F.array_max(F.transform("v", lambda x: F.abs(x * scale))) + 1
+    out = rows.filter(usable).select(F.col(id_col).cast("bigint").alias("vec_id"), doubles.alias("v")).filter(F.size("v") > 0)
+    return out.withColumn("large", F.size("v") * most * most >= float(2**53))
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best rows for each row with ``is_query``, its own id left out."""
-    vectors = integer_vectors(rows, id_col, vector_col, scale)
-    largest = F.max(F.array_max(F.transform("v", F.abs)))
-    sizes = vectors.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), largest.alias("most")).collect()  # one row a length
-    spark = rows.sparkSession
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    if not sizes:
-        return empty
-    most = max(sizes, key=lambda r: (r["n"], r["size"]))
-    size, n = most["size"], most["n"]
-    if size * most["most"] ** 2 >= 2**53:
-        raise ValueError("components too large for exact scores in doubles")
-    vectors = vectors.filter(F.size("v") == size)
+def _top_whole(candidates: DataFrame, queries: DataFrame, size: int, n: int, k: int, scale: float) -> DataFrame:
+    """Rows of _FOUND: the best of ``n`` candidates in Python integers."""
+    shards = max(1, -(-n // WHOLE_ROWS))
+    held = candidates.select("vec_id", "v").repartition(shards).mapInArrow(_whole_blocks(size, WHOLE_ROWS, True), "shard int, block int, data binary")
+    asked = queries.select("vec_id", "v").mapInArrow(_whole_blocks(size, BLOCK_ROWS, False), "block int, data binary")
+    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "data")
+    work = held.unionByName(copies).repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    return work.mapInArrow(_search_whole(k, scale), _FOUND)
+
+
+def _top_of_shards(vectors: DataFrame, queries: DataFrame, size: int, n: int, k: int, shard_rows: int, scale: float) -> DataFrame:
+    """query_id, vec_id, score: the best of ``n`` vectors in each shard, all within the exact range."""
+    whole = F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")
     shards = max(1, -(-n // shard_rows))
-    trees = vectors.repartition(shards).mapInArrow(_build_shards(size), "shard int, block int, data binary")
-    queries = vectors.withColumnRenamed("vec_id", id_col).filter(is_query)
-    blocks = queries.mapInArrow(_build_blocks(size, k), "block int, data binary")
+    trees = vectors.select("vec_id", whole).repartition(shards).mapInArrow(_build_shards(size), "shard int, block int, data binary")
+    blocks = queries.select("vec_id", whole).mapInArrow(_build_blocks(size, k), "block int, data binary")
     # Each block of queries goes to each shard: (rows / shard_rows) * (query rows / block) values in all, and no row pairs.
     copies = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "data")
     work = trees.unionByName(copies).repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    found = work.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return work.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` best rows for each row with ``is_query``, its own id left out."""
+    vectors = usable_vectors(rows, id_col, vector_col, scale)
+    counts = vectors.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if("large").alias("large"))
+    # One row for each length with more rows than a shard, and one for all others.
+    many = F.when(F.col("n") > shard_rows, F.col("size"))
+    sizes = counts.groupBy(many.alias("many")).agg(F.count(F.lit(1)).alias("lengths"), F.max(F.struct("n", "size", "large")).alias("most")).collect()
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    dealt = [r["most"] for r in sizes if r["many"] is not None] or [max(r["most"] for r in sizes)]
+    others = sum(r["lengths"] for r in sizes) > len(dealt)
+    plain = not others and not any(x["large"] for x in dealt)
+
+    def asked(some: DataFrame) -> DataFrame:
+        return some.withColumnRenamed("vec_id", id_col).filter(is_query).withColumnRenamed(id_col, "vec_id")
+
+    parts = []
+    for n, size, large in dealt:
+        of_size = vectors.filter(F.size("v") == size)
+        small = of_size.filter(~F.col("large")) if large else of_size
+        found = _top_of_shards(small, asked(small), size, n - large, k, shard_rows, scale)
+        parts.append(found if plain else found.select("query_id", "vec_id", F.lit(0).alias("tier"), "score", F.lit(None).cast("binary").alias("size")))
+        if large:
+            those = of_size.filter("large")
+            parts += [_top_whole(those, asked(of_size), size, large, k, scale), _top_whole(small, asked(those), size, n - large, k, scale)]
+    if others:
+        rest = vectors.filter(~F.size("v").isin([x["size"] for x in dealt]))
+        flagged = rest.withColumnRenamed("vec_id", id_col).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
+        one_length = flagged.select(F.col(id_col).alias("vec_id"), "v", "is_query", "large", F.size("v").alias("length"))
+        parts.append(one_length.groupBy("length").applyInArrow(_search_length(k, scale), _FOUND))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    order = [F.desc("score"), "vec_id"] if plain else [F.desc("tier"), F.desc("score"), F.desc("size"), "vec_id"]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,6 +49,22 @@ def test_top_k_of_few_and_no_rows(spark):
     assert top_k(few.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [64, 8192])
+def test_top_k_of_large_components_and_all_lengths(spark, shard_rows):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=(8, 8, 8, 3, 5)[i % 5])]) for i in range(500)]
+    rows += [(1000, [5e4] * 8), (1001, [-5e4] * 8), (1050, [1e30] + [0.5] * 7), (1051, [1e30 * (1 + 2**-40)] + [0.5] * 7), (1052, [3e8, -3e8] + [1 / 256] * 6), (1100, [1e307] * 3), (1101, [-1e307, 0.0, 0.0]), (1150, [2e9] * 2), (1151, [3.0] * 2)]
+    expected = Counter()
+    for size in {len(v) for _, v in rows}:
+        whole = [(i, [int(np.floor(256 * x)) if abs(x) < 1e300 else 256 * int(x) for x in v]) for i, v in rows if len(v) == size]
+        for q, v in whole:
+            if q % 50 == 0:
+                scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)
+                expected.update((q, rank, i, -s if -(2**63) <= -s < 2**63 else None) for rank, (s, i) in enumerate(scores[:5], 1))
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert Counter(map(tuple, top_k(docs, F.col("vec_id") % 50 == 0, shard_rows=shard_rows).collect())) == expected
+
+
 # Similarity join
 
 
