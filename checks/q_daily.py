@@ -110,17 +110,29 @@ def run_log(d):
     return _two_runs(d, "log").read(daily.LOG).select("run_id", "status", "new_interactions", "enriched_count")
 
 
-@query("n07_stream_refresh", sql(f"select {_INSIGHT} from insights"))
-def stream_refresh(d):
+def _streamed(d, label):
+    """Insights and snapshot, kept up by the stream over stored facts."""
     documents = d.table("documents")
-    source = d.spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(d.sf_dir)
-    tables = d.tables("stream")
+    source = d.spark.readStream.schema(documents.schema).parquet(f"{d.sf_dir}/{{documents.parquet}}")  # a pattern also takes a single file
+    tables = d.tables(label)
+    for name in ("customers", "policies", "claims", "payments"):
+        tables.replace(name, getattr(d, name))
     customer = d.table("customer")
     running = maintain(
-        source, tables, RULES, fresh_dir(d.spark, "stream-state"), prepare=lambda batch: interactions_from(batch, customer)
+        source, tables, RULES, fresh_dir(d.spark, f"{label}-state"), as_of=AS_OF, prepare=lambda batch: interactions_from(batch, customer)
     )
     running.awaitTermination()
-    return tables.read(daily.INSIGHTS).drop("raw_llm_output", "enriched_at")
+    return tables
+
+
+@query("n07_stream_refresh", sql(f"select {_INSIGHT} from insights"))
+def stream_refresh(d):
+    return _streamed(d, "stream").read(daily.INSIGHTS).drop("raw_llm_output", "enriched_at")
+
+
+@query("n07_stream_snapshot", sql("select * from frame"))
+def stream_snapshot(d):
+    return _streamed(d, "stream-snapshot").read(daily.SNAPSHOT).drop("snapshot_date", "marks")
 
 
 @query("n08_model_hook", sql("select interaction_id, length(content) - length(replace(content, ' ', '')) as blanks from interactions"))
