@@ -13,6 +13,7 @@ from holdfast.llm.main_text import main_texts
 from holdfast.llm.mixing import SEED, mix_by_source
 from holdfast.llm.ngram_join import similar_documents
 from holdfast.llm.pii import personal_data
+from holdfast.llm.quality_rules import RULES, judged_documents
 from holdfast.llm.substrings import substring_dedup
 from holdfast.llm.topk import top_k
 from holdfast.llm.toxicity import toxicity
@@ -225,3 +226,61 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows of smaller ids."""
     return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def _quality_sql() -> str:
+    """Bases by windows as strings; the binomial bound by gamma functions, over every cutoff of every rule."""
+    ladders = ", ".join(f"('{r.name}', {c})" for r in RULES for c in r.ladder)
+    return rf"""
+    with d as (
+      select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+      from documents),
+    win as (
+      select rid, k, array_to_string(w[k:k + 7], ' ') as s from (select rid, w, unnest(generate_series(1, len(w) - 7)) as k from d where len(w) >= 8)),
+    twice as (select rid, k from (select rid, k, count(*) over (partition by rid, s) as c from win) where c > 1),
+    covered as (
+      select rid, count(distinct place) as n from (select rid, unnest(generate_series(k, k + 7)) as place from twice) group by rid),
+    f as (
+      select d.rid, doc_id, lang, len(w) as n_words, len(array_to_string(w, '')) as word_chars,
+             len(t) - len(translate(t, '#*$%&|<>', '')) as n_symbols, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+             coalesce(covered.n, 0) as n_repeat_words
+      from d left join covered using (rid)),
+    g as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f),
+    -- Fewer languages than 64: each is a stratum.
+    vals as (
+      select rid, lang, rule, v from (
+        select rid, lang, 'symbols' as rule, 1000 * n_symbols // n_words as v from g where not base_failed
+        union all select rid, lang, 'duplicate_lines', 1000 * n_dup_lines // n_lines from g where not base_failed
+        union all select rid, lang, 'repeated_words', 1000 * n_repeat_words // n_words from g where not base_failed
+        union all select rid, lang, 'long_words', 1000 * word_chars // n_words from g where not base_failed
+        union all select rid, lang, 'short_words', -(1000 * word_chars // n_words) from g where not base_failed)),
+    marks as (select doc_id, min(quality) as good from labels where doc_id is not null and quality is not null group by doc_id),
+    held as (select g.rid, g.lang, marks.good from g join marks on g.doc_id = marks.doc_id where not base_failed),
+    ladder(rule, cutoff) as (values {ladders}),
+    counts as (
+      select held.lang, ladder.rule, ladder.cutoff, count(*) filter (good = 1) as n, count(*) filter (good = 1 and v > cutoff) as k,
+             count(*) filter (good <> 1 and v > cutoff) as caught
+      from held join vals on held.rid = vals.rid join ladder on ladder.rule = vals.rule group by held.lang, ladder.rule, ladder.cutoff),
+    tests as (select 5 * count(distinct coalesce(lang, 'null')) as m from counts),
+    tails as (
+      select counts.lang, counts.rule, counts.cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) as p
+      from (select *, unnest(generate_series(0, k)) as i from counts where k <= n * 0.01) as counts group by counts.lang, counts.rule, counts.cutoff),
+    sure as (
+      select c.lang, c.rule, c.cutoff, c.caught - 10 * c.k as gain, coalesce(t.p * m <= 0.05, false) as passed
+      from counts c cross join tests left join tails t on c.lang is not distinct from t.lang and c.rule = t.rule and c.cutoff = t.cutoff),
+    chosen as (
+      select lang, rule, max_by(cutoff, gain * 1000000 + cutoff) as cutoff
+      from (select *, bool_and(passed) over (partition by lang, rule order by cutoff desc) as certified from sure)
+      where certified and gain > 0 group by lang, rule),
+    rejected as (select distinct rid from vals join chosen on vals.rule = chosen.rule and vals.lang is not distinct from chosen.lang and v > cutoff)
+    select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+           n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and rejected.rid is null as kept
+    from g left join rejected on g.rid = rejected.rid
+    """
+
+
+@query("op11_quality_rules", _quality_sql())
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by rules with certified cutoffs."""
+    return judged_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
