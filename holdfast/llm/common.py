@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.sources.workspace import fresh_dir
@@ -82,3 +82,26 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out + _MIX) + words[k : k + count]
     return mix(out)
+
+
+# Offsets of this many runs are sent to every task; more of them are joined by a shuffle.
+SENT_OFFSETS = 100_000
+
+
+def with_positions(rows: DataFrame, group: str, order: Sequence[Column], label: str) -> DataFrame:
+    """``rows`` with ``pos``, their place 0, 1, ... in ``order`` within their ``group``, and ``n``, the rows of the group.
+
+    Range partitions of (group, order) are sorted and written once, so a group of any size falls into many tasks and a
+    lost one changes no place. Only one row for each group in a partition is counted further. ``order`` must decide ties.
+    """
+    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    placed = stored(placed.withColumn("_at", F.monotonically_increasing_id()), label)
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    runs = placed.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = stored(runs.select("_part", group, "_first", before.alias("_before"), F.sum("_rows").over(whole).alias("n")), label + "-offsets")
+    if offsets.count() <= SENT_OFFSETS:
+        offsets = F.broadcast(offsets)
+    pos = F.col("_at") - F.col("_first") + F.col("_before")
+    return placed.join(offsets, ["_part", group]).withColumn("pos", pos).drop("_part", "_at", "_first", "_before")

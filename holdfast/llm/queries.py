@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.bpe import token_digests
+from holdfast.llm.collocations import collocations
 from holdfast.llm.exact_dedup import exact_duplicates
 from holdfast.llm.main_text import main_texts
+from holdfast.llm.merkle import manifest
 from holdfast.llm.mixing import SEED, mix_by_source
 from holdfast.llm.ngram_join import similar_documents
 from holdfast.llm.pii import personal_data
@@ -284,3 +286,100 @@ def _quality_sql() -> str:
 def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by rules with certified cutoffs."""
     return judged_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _merkle_sql(levels: int = 9) -> str:
+    """The tree level by level as plain tables, for up to 8^``levels`` rows of a language."""
+    record = " || ".join(
+        f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+    )
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)),
+      lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, y: case when b % 2 = 1 then xor(b // 2, 3988292384) else b // 2 end)), 4294967295)"""
+    sql = f"""
+    with leaves as (
+      select row_number() over () as rid, doc_id, coalesce('=' || lang, '') as tree, sha256({record.format(text="text")}) as leaf,
+             case when {crc} % 3 = 0 then sha256({record.format(text=lowered)}) end as changed
+      from documents),
+    a0 as (select tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, leaf as d from leaves),
+    """
+    for k in range(levels):  # a level of more than one node becomes the next; a single node stays
+        sql += f"""
+    a{k + 1} as (
+      select tree, pos // 8 as pos, case when max(whole) = 1 then max(d) else sha256(string_agg(d, '' order by pos)) end as d
+      from (select *, count(*) over (partition by tree) as whole from a{k}) group by tree, pos // 8),"""
+    sql += f"""
+    b0 as (select row_number() over (order by tree) - 1 as pos, tree, d from a{levels}),"""
+    for k in range(levels):
+        sql += f"""
+    b{k + 1} as (
+      select pos // 8 as pos, case when max(whole) = 1 then max(d) else sha256(string_agg(d, '' order by pos)) end as d
+      from (select *, count(*) over () as whole from b{k}) group by pos // 8),"""
+    sql += """
+    p0 as (
+      select rid, doc_id, tree, leaf, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos,
+             coalesce(changed, leaf) as f, '' as proof
+      from leaves),"""
+
+    def step(name: str, before: str, nodes: str, on: str) -> str:
+        """Siblings of each row's node on one level, and the node above it in the row's version."""
+        return f"""
+    {name} as (
+      select rid, any_value(doc_id) as doc_id, any_value(p.tree) as tree, any_value(leaf) as leaf, any_value(p.pos) // 8 as pos,
+             case when count(*) = 1 and any_value(whole) = 1 then any_value(f)
+                  else sha256(string_agg(case when x.pos = p.pos then f else x.d end, '' order by x.pos)) end as f,
+             any_value(proof) || coalesce(string_agg(x.d, '' order by x.pos) filter (x.pos <> p.pos), '') as proof
+      from {before} p join (select *, count(*) over (partition by {on}) as whole from {nodes}) x
+        on {"x.tree = p.tree and " if on == "tree" else ""}x.pos // 8 = p.pos // 8
+      group by rid),"""
+
+    for k in range(levels):
+        sql += step(f"p{k + 1}", f"p{k}", f"a{k}", "tree")
+    sql += f"""
+    q0 as (select rid, doc_id, p.tree, leaf, b0.pos, f, proof from p{levels} p join b0 on b0.tree = p.tree),"""
+    for k in range(levels):
+        sql += step(f"q{k + 1}", f"q{k}", f"b{k}", "1")
+    return sql + f"""
+    done as (select 1)
+    select doc_id, leaf, b0.d as subroot, r.d as root, sha256(proof) as proof_sha256, f as folded_root, f = r.d as verified
+    from q{levels} q join b0 on b0.tree = q.tree cross join b{levels} r
+    """
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of every document, and the roots of the tampered versions."""
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_collocations",
+    rf"""
+    with pieces as (
+      select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+    grams as (
+      select lang, size, array_to_string(w[k:k + size - 1], ' ') as phrase
+      from (select lang, w, size, unnest(generate_series(1, len(w) - size + 1)) as k from cut, (values (1), (2), (3)) s(size) where len(w) >= size)),
+    f as (select lang, size, phrase, count(*)::hugeint as f from grams group by all),
+    sums as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+    candidates as (select lang, size, phrase, string_split(phrase, ' ') as w, f as a from f where size > 1 and f >= 10),
+    scored as (
+      select c.lang, c.phrase, a, k, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f * r.f) as score
+      from (select *, unnest(generate_series(1, size - 1)) as k from candidates) c
+      join f l on l.lang = c.lang and l.phrase = array_to_string(w[1:k], ' ')
+      join f r on r.lang = c.lang and r.phrase = array_to_string(w[k + 1:], ' ')),
+    best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    inside as (
+      select distinct s.lang, s.phrase from candidates s join (
+        select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from candidates where size = 3) t
+      on s.lang = t.lang and s.phrase = t.phrase and 100 * t.a >= 50 * s.a),
+    left_over as (select best.* from best left join inside on best.lang = inside.lang and best.phrase = inside.phrase where inside.phrase is null),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over)
+    select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+    from ranked join sums using (lang) where rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two and three words of each language."""
+    return collocations(_table(spark, sf_dir, "documents"))

@@ -91,6 +91,10 @@ class HashFilter:
     def __getstate__(self):
         return {"bits": self.bits, "_data": self._data}
 
+    def release(self) -> None:
+        """Free the copies on the executors; what still needs the filter fetches it again."""
+        self._data.unpersist()
+
     def test(self, hashes: np.ndarray) -> np.ndarray:
         """True where the hash may be in the set; never False for one that is."""
         both, data = _positions(hashes, self.bits), self._data.value
