@@ -48,16 +48,17 @@ _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 class _Words(dict):
     """Numbers for the words of one language, in the order they are met; 0 is the end of a piece."""
 
-    def __init__(self, lang: str, seed: int):
+    def __init__(self, lang: str, seed: int, bits: int):
         super().__init__({b".": 0})
         self.names, self.lang, self.counts = [b"."], lang, np.zeros(1, np.int64)
         self._seed = xxhash.xxh3_64_intdigest(f"{seed}:{lang}")
         self._table, self._new = np.zeros(1, _U), []
+        self._mask = (1 << bits) - 1
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.names)
         self.names.append(word)
-        self._new.append(xxhash.xxh3_64_intdigest(word, self._seed) or 1)
+        self._new.append(xxhash.xxh3_64_intdigest(word, self._seed) & self._mask or 1)
         return number
 
     def symbols(self) -> np.ndarray:
@@ -88,7 +89,7 @@ _ENCODED = "lang string, word string, symbol bigint, times bigint, symbols binar
 _ENCODED_NAMES = ["lang", "word", "symbol", "times", "symbols"]
 
 
-def _encode(seed: int):
+def _encode(seed: int, bits: int):
     """Rows with the symbols of some texts, 0 between pieces, and rows with words and how often a task met them."""
 
     def text_rows(numbers: np.ndarray, symbols: np.ndarray) -> pa.RecordBatch:
@@ -113,7 +114,7 @@ def _encode(seed: int):
         known: dict[str, _Words] = {}
 
         def encoded(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            words = known[lang] if lang in known else known.setdefault(lang, _Words(lang, seed))
+            words = known[lang] if lang in known else known.setdefault(lang, _Words(lang, seed, bits))
             numbers = words.numbers(b".".join(texts).lower().translate(_ENDS).replace(b".", b" . ").split())
             yield text_rows(numbers, words.symbols())
             if len(words.names) > FLUSH_DISTINCT:
@@ -399,17 +400,18 @@ def _frequent(texts: DataFrame, length: int, shorter: repeat_filter.HashFilter,
     return stored(summed, "phrases-frequent")
 
 
-def _encoded_words(docs: DataFrame, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+def _encoded_words(docs: DataFrame, text_col: str, lang_col: str, bits: int) -> tuple[DataFrame, DataFrame]:
     """The stored symbols, and (lang, word, symbol, f) of all words; no two words share a symbol."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string"))
-    for seed in range(1_000):
-        encoded = stored(rows.mapInArrow(_encode(seed), _ENCODED), "phrases-symbols")
+    seed = 0
+    while True:
+        encoded = stored(rows.mapInArrow(_encode(seed, bits), _ENCODED), "phrases-symbols")
         words = encoded.filter("word is not null").groupBy("lang", "word").agg(F.min("symbol").alias("symbol"), F.sum("times").alias("f"))
         words = stored(words, "phrases-words")
         sizes = words.agg(F.count(F.lit(1)).alias("words"), F.count_distinct("symbol").alias("symbols")).first()
         if sizes["words"] == sizes["symbols"]:
-            break
-    return encoded.filter("symbols is not null").select("symbols"), words
+            return encoded.filter("symbols is not null").select("symbols"), words
+        seed += 1
 
 
 def _parts(rows: DataFrame, first: int, length: int, tables: dict[int, DataFrame], name: str) -> DataFrame:
@@ -452,10 +454,13 @@ def _scored(tables: dict[int, DataFrame], length: int, longest: int, percent: in
 
 
 def collocations(
-    docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2_000, percent: int = 50, text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2_000, percent: int = 50, text_col: str = "text", lang_col: str = "lang", bits: int = 64
 ) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two to ``longest`` words of each language."""
-    texts, words = _encoded_words(docs, text_col, lang_col)
+    """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two to ``longest`` words of each language.
+
+    ``bits``: of a symbol; fewer than 64 are for tests of what happens when words share one.
+    """
+    texts, words = _encoded_words(docs, text_col, lang_col, bits)
     tables = {1: stored(words.filter(F.col("f") >= least), "phrases-frequent")}
     per_lang = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = words.agg(F.sum("f")).first()[0] or 0

@@ -355,27 +355,31 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op13_collocations",
     rf"""
-    with pieces as (
-      select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
-    cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
-    grams as (
-      select lang, size, array_to_string(w[k:k + size - 1], ' ') as phrase
-      from (select lang, w, size, unnest(generate_series(1, len(w) - size + 1)) as k from cut, (values (1), (2), (3)) s(size) where len(w) >= size)),
-    f as (select lang, size, phrase, count(*)::hugeint as f from grams group by all),
-    sums as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
-    candidates as (select lang, size, phrase, string_split(phrase, ' ') as w, f as a from f where size > 1 and f >= 10),
-    scored as (
-      select c.lang, c.phrase, a, k, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f * r.f) as score
-      from (select *, unnest(generate_series(1, size - 1)) as k from candidates) c
-      join f l on l.lang = c.lang and l.phrase = array_to_string(w[1:k], ' ')
-      join f r on r.lang = c.lang and r.phrase = array_to_string(w[k + 1:], ' ')),
+    with cut as (
+      select coalesce(lang, 'und') as lang, regexp_extract_all({_LOWER}, '[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+') as w from documents),
+    marked as (select lang, list_transform(w, lambda x: case when regexp_full_match(x, '[.,;:!?\x0A-\x0D]') then null else x end) as w from cut),
+    runs as (
+      select lang, w[k] as x, w[k + 1] as y, w[k + 2] as z from (select lang, w, unnest(generate_series(1, len(w))) as k from marked)),
+    f1 as (select lang, x, count(*)::hugeint as f from runs where x is not null group by lang, x),
+    f2 as (select lang, x, y, count(*)::hugeint as f from runs where x is not null and y is not null group by lang, x, y),
+    f3 as (select lang, x, y, z, count(*)::hugeint as f from runs where x is not null and y is not null and z is not null group by lang, x, y, z having f >= 10),
+    inner_pairs as (
+      select lang, x, y, max(f) as f from (select lang, x, y, f from f3 union all select lang, y, z, f from f3) group by lang, x, y),
+    pairs as (
+      select f2.lang, f2.x || ' ' || f2.y as phrase, f2.f as a, 1 as k, l.f as l, r.f as r
+      from f2 join f1 l on l.lang = f2.lang and l.x = f2.x join f1 r on r.lang = f2.lang and r.x = f2.y
+      left join inner_pairs i on i.lang = f2.lang and i.x = f2.x and i.y = f2.y
+      where f2.f >= 10 and not coalesce(100 * i.f >= 50 * f2.f, false)),
+    triples as (
+      select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z as phrase, f3.f as a, 1 as k, l.f as l, r.f as r
+      from f3 join f1 l on l.lang = f3.lang and l.x = f3.x join f2 r on r.lang = f3.lang and r.x = f3.y and r.y = f3.z
+      union all
+      select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, 2, l.f, r.f
+      from f3 join f2 l on l.lang = f3.lang and l.x = f3.x and l.y = f3.y join f1 r on r.lang = f3.lang and r.x = f3.z),
+    scored as (select *, (1000000::hugeint * a * a) // (l * r) as score from (select * from pairs union all select * from triples)),
     best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
-    inside as (
-      select distinct s.lang, s.phrase from candidates s join (
-        select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from candidates where size = 3) t
-      on s.lang = t.lang and s.phrase = t.phrase and 100 * t.a >= 50 * s.a),
-    left_over as (select best.* from best left join inside on best.lang = inside.lang and best.phrase = inside.phrase where inside.phrase is null),
-    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over)
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best),
+    sums as (select lang, sum(f)::bigint as n from f1 group by lang)
     select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
     from ranked join sums using (lang) where rank <= 2000
     """,
