@@ -30,15 +30,16 @@ from holdfast.llm.common import ngram_hashes, stored, utf8, with_positions
 from holdfast.llm.double_array import DoubleArray
 from holdfast.operators.skew import join_to_unique
 
-# Phrases of a trie, and tries that are broadcast together: at most about 150 MB.
+# Phrases of a trie, and tries that are broadcast together: at most about 100 MB.
 TRIE_PHRASES = 1 << 16
-TRIES_A_PASS = 32
+TRIES_A_PASS = 16
 # Phrases of a shard whose counts are summed together.
 PART_PHRASES = 1 << 13
-# Words of a stored row, words and distinct words that a task holds before it hands them on.
+# Words of a stored row, words looked at together, hashes and distinct words that a task holds before it hands them on.
 ROW_WORDS = 1 << 15
-FLUSH_WORDS = 1 << 21
-FLUSH_DISTINCT = 300_000
+SLICE_WORDS = 1 << 18
+FLUSH_HASHES = 1 << 21
+FLUSH_DISTINCT = 150_000
 _CHUNK_BITS = 20
 _U = np.uint64
 # The characters that end a piece, all written as a full stop, and the tab as a space.
@@ -117,8 +118,9 @@ def _encode(seed: int, bits: int):
             words = known[lang] if lang in known else known.setdefault(lang, _Words(lang, seed, bits))
             numbers = words.numbers(b".".join(texts).lower().translate(_ENDS).replace(b".", b" . ").split())
             yield text_rows(numbers, words.symbols())
-            if len(words.names) > FLUSH_DISTINCT:
-                yield word_rows(known.pop(lang))
+            if sum(len(w.names) for w in known.values()) > FLUSH_DISTINCT:
+                for full in [*known]:
+                    yield word_rows(known.pop(full))
 
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
@@ -149,15 +151,15 @@ class _Marks:
         return (self.sent.value[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The stored symbols, some millions at a time; a break stands between rows."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The stored symbols, a few rows at a time; a break stands between rows."""
     held, n = [], 0
     for batch in batches:
         for blob in batch.column(0):
             symbols = np.frombuffer(blob.as_buffer(), _U)
             held += [symbols, np.zeros(1, _U)]
             n += len(symbols) + 1
-            if n >= FLUSH_WORDS:
+            if n >= SLICE_WORDS:
                 yield np.concatenate(held)
                 held, n = [], 0
     if held:
@@ -179,25 +181,33 @@ def _hopeful(symbols: np.ndarray, length: int, shorter: repeat_filter.HashFilter
 def _bucket_counts(length: int, shorter: repeat_filter.HashFilter, bits: int):
     """(chunk, low, times): how often each bucket was met, cut into chunks of the bucket numbers."""
 
+    def counted(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, times = np.unique(np.concatenate(hashes) & _U(bits - 1), return_counts=True)
+        chunk = (bucket >> _U(_CHUNK_BITS)).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]]).tolist()
+        low = (bucket & _U((1 << _CHUNK_BITS) - 1)).astype(np.uint32)
+        times = np.minimum(times, 255).astype(np.uint8)
+        spans = [*zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(chunk[i]) for i, _ in spans], pa.int64()),
+                pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()),
+                pa.array([times[i:j].tobytes() for i, j in spans], pa.binary()),
+            ],
+            ["chunk", "low", "times"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for symbols in _flushes(batches):
+        held, n = [], 0
+        for symbols in _slices(batches):
             _, keys = _hopeful(symbols, length, shorter)
-            if not len(keys):
-                continue
-            bucket, times = np.unique(keys & _U(bits - 1), return_counts=True)
-            chunk = (bucket >> _U(_CHUNK_BITS)).astype(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]]).tolist()
-            low = (bucket & _U((1 << _CHUNK_BITS) - 1)).astype(np.uint32)
-            times = np.minimum(times, 255).astype(np.uint8)
-            spans = [*zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(chunk[i]) for i, _ in spans], pa.int64()),
-                    pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()),
-                    pa.array([times[i:j].tobytes() for i, j in spans], pa.binary()),
-                ],
-                ["chunk", "low", "times"],
-            )
+            held.append(keys)
+            n += len(keys)
+            if n >= FLUSH_HASHES:
+                yield counted(held)
+                held, n = [], 0
+        if n:
+            yield counted(held)
 
     return run
 
@@ -238,25 +248,44 @@ def _schema(length: int, *more: str) -> str:
 def _candidate_rows(length: int, shorter: repeat_filter.HashFilter, marks: _Marks):
     """The phrases that can be frequent, once for each of some millions of words."""
 
+    def distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        phrases = np.concatenate([p for p, _ in held])
+        keys, first, which = np.unique(np.concatenate([k for _, k in held]), return_index=True, return_inverse=True)
+        other = (phrases != phrases[first][which]).any(axis=1)  # equal hashes of different phrases
+        rows = np.concatenate([phrases[first], phrases[other]])
+        keys = np.concatenate([keys, keys[which[other]]])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c.view(np.int64)) for c in (keys, *map(np.ascontiguousarray, rows.T))], ["key", *_phrase_fields(length)]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for symbols in _flushes(batches):
+        held, n = [], 0
+        for symbols in _slices(batches):
             at, keys = _hopeful(symbols, length, shorter)
             good = marks.test(keys)
             at, keys = at[good], keys[good]
-            if not len(at):
-                continue
-            keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            phrases = np.stack([symbols[at + k] for k in range(length)], axis=1)
-            other = (phrases != phrases[first][which]).any(axis=1)  # equal hashes of different phrases
-            rows = np.concatenate([phrases[first], phrases[other]])
-            keys = np.concatenate([keys, keys[which[other]]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.view(np.int64)) for c in (keys, *map(np.ascontiguousarray, rows.T))], ["key", *_phrase_fields(length)]
-            )
+            keys, first = _first_of_each(keys, symbols, at, length)
+            held.append((np.stack([symbols[at[first] + k] for k in range(length)], axis=1), keys))
+            n += len(keys)
+            if n >= FLUSH_HASHES // 4:
+                yield distinct(held)
+                held, n = [], 0
+        if n:
+            yield distinct(held)
 
     return run
 
 
+def _first_of_each(keys: np.ndarray, symbols: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys without repetition and where they stand; phrases that share a key with another one all stay."""
+    unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    other = np.zeros(len(at), bool)
+    for k in range(length):
+        other |= symbols[at + k] != symbols[at[first][which] + k]
+    more = np.flatnonzero(other)
+    return np.concatenate([unique, keys[more]]), np.concatenate([first, more])
+
+
 _TRIE = "shard int, symbols binary, base binary, checks binary, phrase binary, phrases binary"
 _TRIE_NAMES = ["shard", "symbols", "base", "checks", "phrase", "phrases"]
 
@@ -296,7 +325,7 @@ def _count_states(length: int, sent, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = {s: DoubleArray(length, *(np.frombuffer(x, kind) for x, kind in zip(parts, (_U, np.int32, np.int32, np.int32), strict=True))) for s, parts in sent.value}
         counts = {s: np.zeros(int(t.phrase.max()) + 1, np.int64) for s, t in tries.items()}
-        for symbols in _flushes(batches):
+        for symbols in _slices(batches):
             if len(symbols) < length:
                 continue
             whole = symbols[: len(symbols) - length + 1] != 0

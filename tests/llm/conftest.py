@@ -29,6 +29,10 @@ def edge_rows():
             words[(i * 37 + k * 11) % 120] = f"new{i}-{k}"
         rows.append((100 + i, " ".join(words), "d"))
     rows += [(200 + i, " ".join(base).upper(), "d") for i in range(25)]  # copies
+    # Near copies without an id: one beside the others, one that alone links two rows, and two by themselves.
+    other, lone = rng.choices(vocabulary, k=100), rng.choices(vocabulary, k=100)
+    rows += [(None, " ".join([*base[:-1], "odd"]), "d"), (None, " ".join(lone), None), (None, " ".join([*lone[:-1], "odd"]), None)]
+    rows += [(500, " ".join(["x0", "x1", *other[2:]]), "d"), (None, " ".join(other), "d"), (501, " ".join([*other[:-2], "y0", "y1"]), "d")]
     rows += [(300, "same row " * 20, "e")] * 4
     shared = " ".join(rng.choices(vocabulary, k=40))
     rows += [(400 + i, " ".join([*rng.choices(vocabulary, k=30 + i), shared, *rng.choices(vocabulary, k=20)]), None) for i in range(30)]

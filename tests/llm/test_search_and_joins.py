@@ -131,6 +131,32 @@ def test_linked_sets_share_a_signature(percent):
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_sets_put_aside_link_with_none(percent):
+    """A filter that knows exactly what occurs twice: sets that link stay, sets with nothing in common mostly go."""
+    rng = np.random.default_rng(percent)
+
+    class Twice:
+        def __init__(self, sets):
+            elements, times = np.unique(np.concatenate(sets), return_counts=True)
+            self.known = elements[times > 1]
+
+        def test(self, hashes):
+            return np.isin(hashes, self.known)
+
+    gone = 0
+    for _ in range(600):
+        size = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(1, 2**63, size).astype(np.uint64))
+        cut = int(rng.integers(0, len(a) + 1))
+        b = np.unique(np.concatenate([a[cut:], rng.integers(1, 2**63, int(rng.integers(1, 40))).astype(np.uint64)]))
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            assert all(ngram_join.may_link(x, percent, Twice([a, b])) for x in (a, b))
+        if len(a) > 100:
+            gone += not ngram_join.may_link(a, percent, Twice([a]))
+    assert gone > 300
+
+
 def test_connected_long_chain_and_star(spark):
     rng = random.Random(1)
     ids = rng.sample(range(10**9), 300)
