@@ -7,7 +7,8 @@ time, until the root holds no mergeable pair. A pre-token of any length takes n
 The vocabulary file stays where it is and is read by each Python worker; only its path travels.
 
 Cases: a null or empty text has no tokens and decodes to the empty text; the strings of special tokens in a text
-become these tokens, as they do by default; pre-tokens are remembered up to a bound.
+become these tokens, as they do by default; repeated rows give repeated results and an empty table none;
+very long texts are handled whole; runs and pre-tokens are remembered up to a bound.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from tokenizers import Tokenizer
 from holdfast.llm.common import id_and_text, utf8
 
 _NONE = 1 << 60
-# Runs between white space that a worker remembers, and the bytes of text it handles at a time.
-REMEMBERED = 100_000
-SLICE_BYTES = 1_000_000
+# Runs between white space, and pre-tokens, that a generation of a worker's memory holds; the bytes of text handled at a time.
+REMEMBERED = 80_000
+SLICE_BYTES = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -158,6 +159,35 @@ def merge_many(symbols: np.ndarray, lengths: np.ndarray, ranks: PairRanks) -> np
     return ids[:, :width]
 
 
+class Remembered:
+    """Two generations of results: what is met again moves to the younger one, and a full one replaces the older."""
+
+    def __init__(self, most: int, longest: int = 64):
+        self.most, self.longest = most, longest
+        self._young: dict[bytes, tuple] = {}
+        self._old: dict[bytes, tuple] = {}
+
+    def found(self, keys: Iterable[bytes]) -> tuple[dict[bytes, tuple], list[bytes]]:
+        """What is known of the keys, and the keys that are not."""
+        out, new = {}, []
+        young, old = self._young, self._old
+        for key in keys:
+            value = young.get(key)
+            if value is None:
+                value = old.get(key)
+                if value is None:
+                    new.append(key)
+                    continue
+                young[key] = value
+            out[key] = value
+        return out, new
+
+    def add(self, made: dict[bytes, tuple]) -> None:
+        self._young.update((k, v) for k, v in made.items() if len(k) <= self.longest)
+        if len(self._young) > self.most:
+            self._old, self._young = self._young, {}
+
+
 class BytePairs:
     """A byte-level BPE vocabulary with word ends, as stored in a ``tokenizers`` JSON file.
 
@@ -170,6 +200,9 @@ class BytePairs:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or spec.get("decoder") is not None:
             raise ValueError("a BPE file with word ends and without decoder is needed")
+        kinds = [x["type"] for part, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec[part] or {}).get(of, [])]
+        if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:  # what the short way in _pre_tokens relies on
+            raise ValueError("a file that composes, lower-cases and splits into letters, digits and others is needed")
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed([*enumerate(pairs)])}
@@ -182,12 +215,12 @@ class BytePairs:
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         library = Tokenizer.from_file(path)
         self._normalise, self._cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self._known: dict[bytes, tuple[int, str, str]] = {}
+        self._runs, self._pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
 
     def _pre_tokens(self, chunk: str) -> list[bytes | int]:
         """Pre-tokens as bytes, special tokens as ids, of a run without white space."""
         core = chunk.rstrip(".,")
-        if core.isalpha() and max(core) < "\u0100":  # the usual word: letters that compose with nothing, then full stops or commas
+        if core.isalpha() and (core.isascii() or max(core) < "\u0100"):  # the usual word: letters that compose with nothing, then full stops or commas
             word = core.lower().encode()
             return [word, chunk[len(core) :].encode()] if len(core) < len(chunk) else [word]
         out: list[bytes | int] = []
@@ -225,22 +258,29 @@ class BytePairs:
                 out[word] = merge_symbols([*self._inner[[*word[:-1]]].tolist(), int(self._final[word[-1]])], self.merges)
         return out
 
+    def pieces(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, str, str]]:
+        """(number of tokens, decimal ids, decoded text) of pre-tokens, each merged once while it is remembered."""
+        out, new = self._pieces.found(words)
+        made = {w: (len(ids), " ".join(map(str, ids)), self.decode(ids)) for w, ids in self.encode_words(new).items()}
+        self._pieces.add(made)
+        out.update(made)
+        return out
+
     def chunks(self, runs: Iterable[bytes]) -> dict[bytes, tuple[int, str, str]]:
         """(number of tokens, decimal ids, decoded text) of each run between ASCII white space.
 
         No pre-token or special token holds white space, and composing never joins characters across it.
-        Short runs are remembered, up to a number.
+        Short runs and pre-tokens are remembered, up to a number.
         """
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        new = [r for r in runs if r not in self._known]
+        out, new = self._runs.found(runs)
         cut = [self._pre_tokens(r.decode()) for r in new]
-        ids_of = self.encode_words([*{w for words in cut for w in words if isinstance(w, bytes) and w}])
-        out = {}
+        of = self.pieces({w for words in cut for w in words if isinstance(w, bytes) and w})
+        made = {}
         for run, words in zip(new, cut, strict=True):
-            ids = [i for w in words for i in ([w] if isinstance(w, int) else ids_of.get(w, ()))]
-            out[run] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        self._known.update((r, x) for r, x in out.items() if len(r) <= 64)
+            parts = [(1, str(w), self.token[w]) if isinstance(w, int) else of[w] for w in words if w != b""]
+            made[run] = parts[0] if len(parts) == 1 else (sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]))
+        self._runs.add(made)
+        out.update(made)
         return out
 
     def encode_texts(self, texts: Iterable[bytes]) -> Iterator[tuple[int, str, str]]:
@@ -257,12 +297,8 @@ class BytePairs:
     def _encode_runs(self, some: list[list[bytes]]) -> Iterator[tuple[int, str, str]]:
         now = self.chunks(set().union(*some))
         for runs in some:
-            yield self._joined(runs, now)
-
-    def _joined(self, runs: list[bytes], now: dict) -> tuple[int, str, str]:
-        known = self._known
-        kept = [x for x in [known[r] if r in known else now[r] for r in runs] if x[0]]
-        return sum([x[0] for x in kept]), " ".join([x[1] for x in kept]), " ".join([x[2] for x in kept])
+            kept = [x for x in map(now.__getitem__, runs) if x[0]]
+            yield sum([x[0] for x in kept]), " ".join([x[1] for x in kept]), " ".join([x[2] for x in kept])
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.encode_texts([(text or "").encode()]) for i in ids.split()]
