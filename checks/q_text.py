@@ -8,7 +8,7 @@ from checks.binding import AS_OF, RULES, stored
 from checks.ctes import sql
 from checks.registry import query
 from holdfast.functions import text as X
-from holdfast.operators import enrichment, search, vectors
+from holdfast.operators import enrichment, search, vector_index, vectors
 from holdfast.sources.workspace import spread
 
 _INSIGHT = "interaction_id, customer_id, channel, direction, interaction_ts, sentiment_score, sentiment_label, primary_intent, churn_signal, competitor, summary, key_quote"
@@ -227,6 +227,26 @@ def vector_search_filtered(d):
     return vectors.vector_search(corpus, vectors.centroids(corpus, "label"), "label", where=F.col("label") != 0)
 
 
+@query("l11_index_all_cells", sql(_TOP.format("cosines"), **_VECTORS))
+def vector_index_all_cells(d):
+    """The inverted file with every cell probed must give the exact hits."""
+    corpus = d.table("embeddings")
+    index = vector_index.build_vector_index(corpus, d.tables("cells").root)
+    return vector_index.approximate_search(index, vectors.centroids(corpus, "label"), "label", probes=1 << 20)
+
+
+@query("l11_index_recall", "select count(*) * 5 as expected, true as found_nine_of_ten, true as compared_fewer from embeddings where vec_id % 50 = 0")
+def vector_index_recall(d):
+    """Every fiftieth vector as a question: the cells chosen for the wanted recall against the exact search."""
+    corpus = d.table("embeddings")
+    asked = corpus.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "asked")
+    index = vector_index.build_vector_index(corpus, d.tables("recall").root)
+    recall = vector_index.recall_against(vector_index.approximate_search(index, asked, "asked"), vectors.vector_search(corpus, asked, "asked"))
+    report = vector_index.probe_report(index, asked, "asked")
+    fewer = report.select((F.col("rows_compared") < 0.9 * F.col("rows_indexed")).alias("fewer")).scalar()
+    return recall.select("expected", (F.col("recall") >= 0.9).alias("found_nine_of_ten"), fewer.alias("compared_fewer"))
+
+
 _HITS = "select event_id, cast(event_id as varchar) as INTERACTION_ID, cast(user_id as varchar) as CUSTOMER_ID, event_type as SUMMARY, cast(null as varchar) as CHURN_SIGNAL from events union all select event_id, cast(event_id + 1 as varchar), cast(user_id as varchar), 'next', 'none' from events"
 
 
