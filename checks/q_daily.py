@@ -12,6 +12,7 @@ from checks.binding import AS_OF, RULES, interactions_from
 from checks.ctes import sql
 from checks.registry import query
 from holdfast.operators import enrichment
+from holdfast.operators.segments import SegmentedIndex
 from holdfast.plans import daily
 from holdfast.sources.workspace import fresh_dir
 from holdfast.streaming.refresh import maintain
@@ -135,6 +136,31 @@ def stream_snapshot(d):
     return _streamed(d, "stream-snapshot").read(daily.SNAPSHOT).drop("snapshot_date", "marks")
 
 
+@query(
+    "n07_stream_index",
+    sql(
+        r"""select cast(interaction_id as varchar) as doc_id, term, count(*) as tf, max(length) as length
+        from (select interaction_id, len(words) as length, unnest(words) as term
+              from (select interaction_id, list_filter(regexp_split_to_array(lower('Transcript: ' || i.content || ' | Summary: ' || coalesce(n.summary, '') || ' | Intent: '
+                      || coalesce(n.primary_intent, '') || ' | Churn Signal: ' || coalesce(n.churn_signal, 'none')
+                      || case when n.competitor is not null then ' | Competitor Mentioned: ' || n.competitor else '' end), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words
+                    from (select interaction_id, content from interactions) i join insights n using (interaction_id)))
+        group by interaction_id, term"""
+    ),
+)
+def stream_index(d):
+    """The search index after three streamed files, none of which reads the postings of another."""
+    docs, customer = d.table("documents"), d.table("customer")
+    files = fresh_dir(d.spark, "files")
+    for part in range(3):
+        docs.filter(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(files)
+    source = d.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    tables = d.tables("stream-index")
+    index = SegmentedIndex(tables, "interaction_id", "search_text", ["churn_signal"])
+    maintain(source, tables, RULES, fresh_dir(d.spark, "index-state"), prepare=lambda batch: interactions_from(batch, customer), index=index).awaitTermination()
+    return index.postings().withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
 @query("n08_model_hook", sql("select interaction_id, length(content) - length(replace(content, ' ', '')) as blanks from interactions"))
 def model_hook(d):
     texts = d.interactions.select("interaction_id", "content")

@@ -8,7 +8,7 @@ from checks.binding import AS_OF, RULES, stored
 from checks.ctes import sql
 from checks.registry import query
 from holdfast.functions import text as X
-from holdfast.operators import enrichment, search, vector_index, vectors
+from holdfast.operators import enrichment, search, segments, vector_index, vectors
 from holdfast.sources.workspace import spread
 
 _INSIGHT = "interaction_id, customer_id, channel, direction, interaction_ts, sentiment_score, sentiment_label, primary_intent, churn_signal, competitor, summary, key_quote"
@@ -144,6 +144,12 @@ def corpus_statistics(d):
     return search.corpus_statistics(search_docs(d), "search_text")
 
 
+def _segmented(d):
+    index = segments.SegmentedIndex(d.tables("index"), "interaction_id", "search_text", _ATTRIBUTES[2:])
+    index.add(search_docs(d))
+    return index
+
+
 _ATTRIBUTES = ("customer_id", "interaction_id", "channel", "sentiment_label", "primary_intent", "churn_signal", "competitor")
 _QUERY = "customer said license rewh and that orre"
 
@@ -179,8 +185,7 @@ def search_one(d):
 )
 def search_many(d):
     """Every benchmark text as a question over all search documents."""
-    index = search.build_index(search_docs(d), "interaction_id", "search_text", _ATTRIBUTES)
-    return search.search_batch(search.write_index(index, d.tables("index").root), d.table("benchmark"), "item_id", "text")
+    return _segmented(d).search_batch(d.table("benchmark"), "item_id", "text")
 
 
 @query(
@@ -198,9 +203,17 @@ def search_many(d):
 )
 def search_many_filtered(d):
     """Every benchmark text as a question over the documents that carry a churn signal."""
-    index = search.build_index(search_docs(d), "interaction_id", "search_text", _ATTRIBUTES)
-    written = search.write_index(index, d.tables("index").root)
-    return search.search_batch(written, d.table("benchmark"), "item_id", "text", k=3, where=F.col("churn_signal") != "none")
+    return _segmented(d).search_batch(d.table("benchmark"), "item_id", "text", k=3, where=F.col("churn_signal") != "none")
+
+
+@query("l09_segments", sql("select term, df from term_rows", **_INDEX))
+def segments_merged(d):
+    """Document frequencies of an index that grew by five parts and merged its first segments."""
+    index = segments.SegmentedIndex(d.tables("grown"), "interaction_id", "search_text", _ATTRIBUTES[:1])
+    docs = search_docs(d)
+    for part in range(5):
+        index.add(docs.filter(F.pmod(F.xxhash64("interaction_id"), F.lit(5)) == part))
+    return index.term_statistics()
 
 
 _VECTORS = {

@@ -1,4 +1,7 @@
-"""Transcript search: document assembly, inverted index, BM25 ranking, evidence lookup."""
+"""Transcript search: document assembly, inverted index, BM25 ranking of one query, evidence lookup.
+
+:mod:`segments` has the index that is kept up and ranks tables of queries.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +18,6 @@ from holdfast.operators.pick import top_per_key
 
 K1, B = 1.2, 0.75
 SEARCH_LIMIT = 5
-# A term is frequent when it has more than 1/FREQUENT_SHARE of all postings, and at least so many.
-FREQUENT_SHARE, MIN_FREQUENT = 1024, 100_000
 SCORE_DIGITS = 6
 
 
@@ -148,37 +149,6 @@ def search(index: SearchIndex, query: str, k: int = SEARCH_LIMIT, where: Column
     return scored.join(documents, "doc_id").orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def search_batch(
-    index: SearchIndex, queries: DataFrame, query_id: str, query_text: str, k: int = SEARCH_LIMIT, where: Column | None = None, share: int = FREQUENT_SHARE
-) -> DataFrame:
-    """(query_id, rank, doc_id, score): the best ``k`` documents for every query of a table, optionally
-    among those whose attributes satisfy ``where``.
-
-    Query words meet the stored postings in a join by term. The postings of a frequent term are
-    spread over several parts and the query rows repeated for each. Scores are summed per query and
-    document with partial sums, in fixed point, so their order doesn't matter.
-    """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(word_array(query_text)).alias("term")).distinct()
-    limit = max(index.postings.count() // share, MIN_FREQUENT)
-    # The document frequencies add up to the number of postings, so fewer than ``share`` terms are above the limit.
-    parts = F.ceil(F.col("df") / limit).cast("int")
-    frequent = F.broadcast(index.terms.filter(F.col("df") > limit).select("term", parts.alias("_parts")))
-    spread = index.postings.join(frequent, "term", "left").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    corpus = index.corpus.select("n_docs", (F.col("n_words") / F.col("n_docs")).alias("mean")).first()
-    n_docs, mean = (corpus["n_docs"], corpus["mean"]) if corpus and corpus["n_docs"] else (1, 1.0)
-    weighted = asked.join(index.terms, "term").select(
-        "query_id", "term", inverse_frequency(F.col("df"), F.lit(n_docs)).alias("idf"), F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("_part")
-    )
-    weight = (F.col("idf") * term_weight(F.col("tf"), F.col("length"), F.lit(mean))).cast("decimal(18,12)")
-    scored = (
-        spread.drop("_parts").join(weighted, ["term", "_part"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(weight).cast("double"), SCORE_DIGITS).alias("score"))
-    )
-    if where is not None:
-        scored = scored.join(index.documents.filter(where).select("doc_id"), "doc_id", "left_semi")
-    top = top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
-    return top.select("query_id", "rank", "doc_id", "score")
-
-
 # --- evidence --------------------------------------------------------------------------------------
 
 HITS = "struct<results:array<struct<INTERACTION_ID:string,CUSTOMER_ID:string,SUMMARY:string,CHURN_SIGNAL:string>>>"

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from holdfast.operators.quality import foreign_key, union_all
 from holdfast.schemas import FOREIGN_KEYS, LOAD_DEFAULTS, LOAD_ORDER, RAW_TABLES
 from holdfast.sources.csv import read_csv
+from holdfast.sources.workspace import remove_folder, subfolders
 
 
 class Tables:
@@ -71,6 +72,14 @@ class Tables:
         new = [x for x in self._batches(name) if x > seen]
         return self._read(name, new) if new else self.read(name).limit(0)
 
+    def vacuum(self, name: str, keep: int = 1) -> None:
+        """Remove all but the last ``keep`` versions, and what failed writes left of earlier ones. Not while others read them."""
+        versions = sorted({v for v, _ in self._batches(name)})
+        first = versions[-keep] if len(versions) >= keep else 0
+        for folder in subfolders(self.spark, f"{self.root}/{name}"):
+            if int(folder[1:]) < first:
+                remove_folder(self.spark, f"{self.root}/{name}/{folder}")
+
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write the next version; readers of the current one are not disturbed."""
         found = self._batches(name)

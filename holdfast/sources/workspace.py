@@ -39,6 +39,23 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is no such folder."""
+    fs, folder = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library wrote, with all it holds."""
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
+
+
 def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
     """Even out a table in few files before CPU-heavy row work, if the caller asks for it.
 

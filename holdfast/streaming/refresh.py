@@ -1,4 +1,4 @@
-"""Lag-bounded maintenance: new interaction files flow into insights and the 360 snapshot."""
+"""Lag-bounded maintenance: new interaction files flow into insights, the 360 snapshot and the search index."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from holdfast.functions.text import TextRules
 from holdfast.operators.enrichment import enrich
 from holdfast.operators.pick import one_per_key
+from holdfast.operators.search import search_documents
+from holdfast.operators.segments import SegmentedIndex
 from holdfast.plans.daily import INSIGHTS, refresh, stamp
 from holdfast.sources.tables import Tables
+from holdfast.sources.workspace import fresh_dir
 
 # A date, or a function that gives the date of each batch.
 AsOf = dt.date | str | Callable[[], dt.date]
@@ -35,8 +38,13 @@ def batch_step(
     as_of: AsOf | None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     clock: Callable[[], dt.datetime] = dt.datetime.now,
+    index: SegmentedIndex | None = None,
 ) -> Callable:
-    """Body of ``foreachBatch``. A replayed batch finds its rows stored and adds nothing."""
+    """Body of ``foreachBatch``. A replayed batch finds its rows stored and adds nothing.
+
+    The index takes the batch before the insights do: if a run ends between the two, the next one finds the
+    rows still new and the index passes over those it has.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch if prepare is None else prepare(batch)
@@ -44,7 +52,13 @@ def batch_step(
             rows = new_in_batch(rows, tables.read(INSIGHTS))
         else:
             rows = one_per_key(rows, "interaction_id")
-        tables.append(INSIGHTS, enrich(rows, rules).withColumn("enriched_at", stamp(clock())))
+        enriched = enrich(rows, rules).withColumn("enriched_at", stamp(clock()))
+        if index is not None:
+            path = fresh_dir(tables.spark, "batch")
+            enriched.write.parquet(path)
+            enriched = tables.spark.read.parquet(path)
+            index.add(search_documents(one_per_key(rows, "interaction_id"), enriched))
+        tables.append(INSIGHTS, enriched)
         if as_of is not None:
             refresh(tables, as_of() if callable(as_of) else as_of)
 
@@ -59,13 +73,14 @@ def maintain(
     as_of: AsOf | None = None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     every: str | None = None,
+    index: SegmentedIndex | None = None,
 ) -> StreamingQuery:
     """Start the maintenance query: all available files once, or on an interval such as ``1 hour``.
 
     With ``as_of`` the 360 snapshot follows each batch; without it only the insights grow. A query
-    that runs for days takes a function, called for each batch. Intervals without new files run no
+    that runs for days takes a function, called for each batch. With ``index`` the search index follows, too. Intervals without new files run no
     batch; ``plans.daily.refresh`` moves the snapshot on such days.
     """
-    writer = source.writeStream.foreachBatch(batch_step(tables, rules, as_of, prepare)).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(batch_step(tables, rules, as_of, prepare, index=index)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
