@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm import repeat_filter
-from holdfast.llm.common import ngram_hashes, stored, utf8, with_positions
+from holdfast.llm.common import ngram_hashes, stored, tidy, utf8, with_positions
 from holdfast.llm.double_array import DoubleArray
 from holdfast.operators.skew import join_to_unique
 
-# Phrases of a trie, and tries that are broadcast together: at most about 100 MB.
+# Phrases of a trie, and tries that are broadcast together: at most about 50 MB.
 TRIE_PHRASES = 1 << 16
-TRIES_A_PASS = 16
+TRIES_A_PASS = 8
 # Phrases of a shard whose counts are summed together.
 PART_PHRASES = 1 << 13
 # Words of a stored row, words looked at together, hashes and distinct words that a task holds before it hands them on.
@@ -166,16 +166,33 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _hopeful(symbols: np.ndarray, length: int, shorter: repeat_filter.HashFilter) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the phrases of ``length`` words both of whose parts of ``length - 1`` may be frequent."""
-    if len(symbols) < length:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+def _whole(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Positions at which ``length`` words follow within a piece."""
+    count = len(symbols) - length + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    word = symbols != 0
+    whole = word[:count].copy()
+    for k in range(1, length):
+        whole &= word[k : k + count]
+    return np.flatnonzero(whole)
+
+
+def _hopeful(symbols: np.ndarray, length: int, shorter: repeat_filter.HashFilter, marks: _Marks | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the phrases of ``length`` words that may be frequent: both parts of
+    ``length - 1`` words pass the filter, and the phrase's bucket is marked."""
+    at = _whole(symbols, length)
+    keys = ngram_hashes(symbols, length)[at] if len(at) else np.zeros(0, _U)
+    if marks is not None:
+        good = marks.test(keys)
+        at, keys = at[good], keys[good]
+    if not len(at):
+        return at, keys
     part = symbols if length == 2 else ngram_hashes(symbols, length - 1)
-    may = shorter.test(part)
-    for k in range(length - 1):
-        may &= symbols[k : k + len(part)] != 0
-    at = np.flatnonzero(may[:-1] & may[1:])
-    return at, ngram_hashes(symbols, length)[at]
+    good = shorter.test(part[at])
+    at, keys = at[good], keys[good]
+    good = shorter.test(part[at + 1])
+    return at[good], keys[good]
 
 
 def _bucket_counts(length: int, shorter: repeat_filter.HashFilter, bits: int):
@@ -229,10 +246,10 @@ def _merge_buckets(least: int):
 
 def _marks(texts: DataFrame, length: int, shorter: repeat_filter.HashFilter, words: int, least: int) -> _Marks:
     bits = min(repeat_filter.MOST_BITS, max(1 << _CHUNK_BITS, 1 << (2 * words).bit_length()))
-    parts = texts.mapInArrow(_bucket_counts(length, shorter, bits), "chunk bigint, low binary, times binary")
+    parts = texts.mapInArrow(tidy(_bucket_counts(length, shorter, bits)), "chunk bigint, low binary, times binary")
     data = np.zeros(bits // 8, np.uint8)
     width = (1 << _CHUNK_BITS) // 8
-    for row in parts.repartition("chunk").mapInArrow(_merge_buckets(min(least, 255)), "chunk bigint, bits binary").collect():
+    for row in parts.repartition("chunk").mapInArrow(tidy(_merge_buckets(min(least, 255))), "chunk bigint, bits binary").collect():
         data[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return _Marks(texts.sparkSession, bits, data)
 
@@ -261,9 +278,7 @@ def _candidate_rows(length: int, shorter: repeat_filter.HashFilter, marks: _Mark
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for symbols in _slices(batches):
-            at, keys = _hopeful(symbols, length, shorter)
-            good = marks.test(keys)
-            at, keys = at[good], keys[good]
+            at, keys = _hopeful(symbols, length, shorter, marks)
             keys, first = _first_of_each(keys, symbols, at, length)
             held.append((np.stack([symbols[at[first] + k] for k in range(length)], axis=1), keys))
             n += len(keys)
@@ -286,8 +301,8 @@ def _first_of_each(keys: np.ndarray, symbols: np.ndarray, at: np.ndarray, length
     return np.concatenate([unique, keys[more]]), np.concatenate([first, more])
 
 
-_TRIE = "shard int, symbols binary, base binary, checks binary, phrase binary, phrases binary"
-_TRIE_NAMES = ["shard", "symbols", "base", "checks", "phrase", "phrases"]
+_TRIE = "shard int, symbols binary, base binary, checks binary, leaves binary, phrase binary, phrases binary"
+_TRIE_NAMES = ["shard", "symbols", "base", "checks", "leaves", "phrase", "phrases"]
 
 
 def _build_tries(length: int):
@@ -296,7 +311,7 @@ def _build_tries(length: int):
     def trie(shard: int, held: list[np.ndarray]) -> pa.RecordBatch:
         phrases = np.concatenate(held).view(_U)
         made = DoubleArray.of(phrases)
-        parts = (made.symbols, made.base, made.check, made.phrase, phrases)
+        parts = (made.symbols, made.base, made.check, made.leaves, made.phrase, phrases)
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], _TRIE_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,15 +338,12 @@ def _count_states(length: int, sent, shards: int):
     """Accepting states of all text positions: (shard, part, places, times), once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = {s: DoubleArray(length, *(np.frombuffer(x, kind) for x, kind in zip(parts, (_U, np.int32, np.int32, np.int32), strict=True))) for s, parts in sent.value}
+        tries = {s: DoubleArray(length, *(np.frombuffer(x, kind) for x, kind in zip(parts, (_U, *[np.int32] * 4), strict=True))) for s, parts in sent.value}
         counts = {s: np.zeros(int(t.phrase.max()) + 1, np.int64) for s, t in tries.items()}
         for symbols in _slices(batches):
-            if len(symbols) < length:
+            at = _whole(symbols, length)
+            if not len(at):
                 continue
-            whole = symbols[: len(symbols) - length + 1] != 0
-            for k in range(1, length):
-                whole &= symbols[k : len(symbols) - length + 1 + k] != 0
-            at = np.flatnonzero(whole)
             shard = np.mod(ngram_hashes(symbols, length)[at].view(np.int64), shards)
             for s, trie in tries.items():
                 counts[s] += np.bincount(trie.accepted(symbols, at[shard == s]), minlength=len(counts[s]))
@@ -405,27 +417,28 @@ def _frequent(texts: DataFrame, length: int, shorter: repeat_filter.HashFilter,
     """(key, s0, ..., f) of all phrases of ``length`` words met at least ``least`` times."""
     spark = texts.sparkSession
     marks = _marks(texts, length, shorter, words, least)
-    rows = texts.mapInArrow(_candidate_rows(length, shorter, marks), _schema(length))
+    rows = texts.mapInArrow(tidy(_candidate_rows(length, shorter, marks)), _schema(length))
     candidates = stored(rows.dropDuplicates(["key", *_phrase_fields(length)]), "phrases-candidates")
     shards = max(1, -(-candidates.count() // TRIE_PHRASES))
     marks.sent.unpersist()
     dealt = candidates.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), *_phrase_fields(length))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    tries = stored(dealt.mapInArrow(_build_tries(length), _TRIE), "phrases-tries")
+    tries = stored(dealt.mapInArrow(tidy(_build_tries(length)), _TRIE), "phrases-tries")
     counted = []
     for low in range(0, shards, TRIES_A_PASS):
-        some = tries.filter(F.col("shard").between(low, low + TRIES_A_PASS - 1)).select(*_TRIE_NAMES[:5]).collect()
-        sent = spark.sparkContext.broadcast([(r[0], tuple(bytes(x) for x in r[1:])) for r in some])
-        counts = texts.mapInArrow(_count_states(length, sent, shards), "shard int, part int, places binary, times binary")
+        some = tries.filter(F.col("shard").between(low, low + TRIES_A_PASS - 1)).select(*_TRIE_NAMES[:-1]).toArrow()
+        sent = spark.sparkContext.broadcast([(r[0], tuple(r[1:])) for r in zip(*(c.to_pylist() for c in some.columns), strict=True)])
+        del some
+        counts = texts.mapInArrow(tidy(_count_states(length, sent, shards)), "shard int, part int, places binary, times binary")
         counted.append(stored(counts, "phrases-counts"))
-        sent.unpersist()
+        sent.destroy()
     nothing = F.lit(None).cast("binary")
     parts = tries.select("shard", "phrases").mapInArrow(_phrase_parts(length), "shard int, part int, phrases binary")
     together = parts.select("shard", "part", F.lit(0).alias("kind"), "phrases", nothing.alias("places"), nothing.alias("times"))
     for counts in counted:
         together = together.unionByName(counts.select("shard", "part", F.lit(1).alias("kind"), nothing.alias("phrases"), "places", "times"))
     together = together.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
-    summed = together.select("shard", "part", "phrases", "places", "times").mapInArrow(_sum_parts(length, least), _schema(length, "f bigint"))
+    summed = together.select("shard", "part", "phrases", "places", "times").mapInArrow(tidy(_sum_parts(length, least)), _schema(length, "f bigint"))
     return stored(summed, "phrases-frequent")
 
 
@@ -434,7 +447,7 @@ def _encoded_words(docs: DataFrame, text_col: str, lang_col: str, bits: int) ->
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string"))
     seed = 0
     while True:
-        encoded = stored(rows.mapInArrow(_encode(seed, bits), _ENCODED), "phrases-symbols")
+        encoded = stored(rows.mapInArrow(tidy(_encode(seed, bits)), _ENCODED), "phrases-symbols")
         words = encoded.filter("word is not null").groupBy("lang", "word").agg(F.min("symbol").alias("symbol"), F.sum("times").alias("f"))
         words = stored(words, "phrases-words")
         sizes = words.agg(F.count(F.lit(1)).alias("words"), F.count_distinct("symbol").alias("symbols")).first()

@@ -14,8 +14,9 @@ _TRIES = 60
 class DoubleArray:
     """Phrases (rows of distinct symbols, all of one length) as a trie; built by :meth:`of`, rebuilt from its arrays."""
 
-    def __init__(self, length: int, symbols: np.ndarray, base: np.ndarray, check: np.ndarray, phrase: np.ndarray):
-        self.length, self.symbols, self.base, self.check, self.phrase = length, symbols, base, check, phrase
+    def __init__(self, length: int, symbols: np.ndarray, base: np.ndarray, check: np.ndarray, leaves: np.ndarray, phrase: np.ndarray):
+        """``leaves``: the accepting states in order; ``phrase``: the number of each one's phrase."""
+        self.length, self.symbols, self.base, self.check, self.leaves, self.phrase = length, symbols, base, check, leaves, phrase
         self.bits = digit_bits(len(symbols))
 
     @classmethod
@@ -44,11 +45,11 @@ class DoubleArray:
         # Node numbers follow the order of the children, the root being 0; the last ``count`` children are the leaves.
         cell_of = np.concatenate([[0], cells])
         size = int(base.max()) + (2 << bits)
-        of_state, check, phrase = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        of_state, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
         of_state[cell_of[:inner]] = base
         check[cells] = cell_of[parent]
-        phrase[cells[-count:]] = order
-        return cls(length, symbols, of_state, check, phrase)
+        by_cell = np.argsort(cells[-count:])
+        return cls(length, symbols, of_state, check, cells[-count:][by_cell].astype(np.int32), order[by_cell].astype(np.int32))
 
     def accepted(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The phrase numbers that begin at positions ``at`` of ``symbols``; positions without one fall out on the way."""
@@ -63,7 +64,7 @@ class DoubleArray:
                 cell = self.base[state] + ((code >> shift) & ((1 << self.bits) - 1))
                 alive = self.check[cell] == state
                 at, state, code = at[alive], cell[alive], code[alive]
-        return self.phrase[state]
+        return self.phrase[np.searchsorted(self.leaves, state)]
 
 
 def digit_bits(symbols: int) -> int:
