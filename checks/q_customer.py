@@ -284,6 +284,22 @@ def compliance(d):
 _KNOWN = "select recommendation_id, customer_id from numbered where action_code <> 'RENEWAL_INCENTIVE'"
 
 
+@query(
+    "j15_new_customers",
+    sql(
+        """select printf('NBA%05d', (select max(cast(replace(recommendation_id, 'NBA', '') as bigint)) from known)
+               + row_number() over (order by priority, customer_id)) as recommendation_id, r.* exclude (recommendation_id)
+        from recommendations r join (select action_code, priority from catalog) using (action_code)
+        where customer_id in (select customer_id from insights) and customer_id not in (select customer_id from known)""",
+        known=_KNOWN,
+    ),
+)
+def recommendations_of_new_customers(d):
+    """The full engine for customers that have insights and no recommendation, as if those with a renewal incentive were new."""
+    known = d.recommendations.filter(F.col("action_code") != "RENEWAL_INCENTIVE")
+    return nba.as_recommendations(nba.recommend_new(d.scored, d.claims, d.insights, known, AS_OF))
+
+
 @query(
     "j15_daily_callbacks",
     sql(

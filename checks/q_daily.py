@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.binding import AS_OF, RULES, interactions_from
-from checks.ctes import sql
+from checks.ctes import earlier, sql
 from checks.registry import query
 from holdfast.operators import enrichment
 from holdfast.operators.segments import SegmentedIndex
@@ -98,10 +98,21 @@ def refresh_all_tables(d):
     daily.refresh(tables, EARLIER)
     for name, rows in whole.items():
         tables.append(name, rows.filter(~half[name]))
-    return daily.refresh(tables, AS_OF).drop("snapshot_date", "marks")
+    return daily.refresh(tables, AS_OF)
 
 
-@query("n05_new_recommendations")
+_CALLBACKS = """
+select recommendation_id, customer_id, action_code, recommended_action, rationale, supporting_evidence, risk_score, confidence_score,
+       compliance_status, review_reason, premium_at_risk, discount_amount from recommendations_then
+union all
+select printf('NBA%05d', (select max(cast(replace(recommendation_id, 'NBA', '') as bigint)) from recommendations_then) + row_number() over (order by churn_risk_score desc, customer_id)),
+       customer_id, 'PROACTIVE_CALLBACK', 'Schedule callback (risk ' || churn_risk_score || ', new data)', null, 'New interactions. Risk: ' || risk_level,
+       churn_risk_score, cast(0.65 as decimal(4,2)), 'COMPLIANT', null, total_active_premium, null
+from scored where risk_level in ('Critical', 'High', 'Medium') and negative_interaction_count >= 1
+  and customer_id in (select customer_id from insights) and customer_id not in (select customer_id from recommendations_then)"""
+
+
+@query("n05_new_recommendations", sql(_CALLBACKS, **earlier("2001-07-02", f"select * from insights where {_OLD}")))
 def new_recommendations(d):
     return _two_runs(d, "nba").read(daily.RECOMMENDATIONS)
 
@@ -133,7 +144,7 @@ def stream_refresh(d):
 
 @query("n07_stream_snapshot", sql("select * from frame"))
 def stream_snapshot(d):
-    return _streamed(d, "stream-snapshot").read(daily.SNAPSHOT).drop("snapshot_date", "marks")
+    return daily.snapshot(_streamed(d, "stream-snapshot"))
 
 
 @query(

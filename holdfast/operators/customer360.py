@@ -83,31 +83,36 @@ def payment_agg(payments: DataFrame) -> DataFrame:
     )
 
 
-def competitors_named(insights: DataFrame) -> DataFrame:
-    """(customer_id, competitors_named): distinct names in order, for customers who named any.
+def interaction_agg(insights: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """Counts, averages and competitor names from one scan.
 
-    Names come from a competitor list, so the set of one customer is bounded by it.
+    The rows shrink to one for each customer and competitor in a hash aggregate with exact sums; the second aggregate, which
+    can't be one because it collects names, reads only those. Customer is a key of both, so a filter on it reaches the scan.
     """
-    named = insights.filter(F.col("competitor").isNotNull())
-    names = F.array_join(F.sort_array(F.collect_set("competitor")), ", ")
-    return named.groupBy("customer_id").agg(names.alias("competitors_named"))
-
-
-def interaction_agg(insights: DataFrame, as_of: dt.date | str) -> DataFrame:
     score, signal = F.col("sentiment_score"), F.col("churn_signal")
     recent = F.col("interaction_ts") >= day_start(as_of, RECENT_DAYS)
-    counts = insights.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("total_interactions"),
-        exact_avg(score).alias("avg_sentiment"),
-        F.count_if(F.col("sentiment_label") == "negative").alias("negative_interaction_count"),
-        F.count("competitor").alias("competitor_mention_count"),
-        F.count_if(signal == "cancellation_intent").alias("cancellation_intent_count"),
-        F.count_if(signal != "none").alias("churn_signal_count"),
-        exact_avg(F.when(recent, score)).alias("recent_avg_sentiment"),
+    fixed = score.cast("decimal(18,12)")
+    parts = insights.groupBy("customer_id", "competitor").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(fixed).alias("score"),
+        F.count(score).alias("scores"),
+        F.count_if(F.col("sentiment_label") == "negative").alias("negative"),
+        F.count_if(signal == "cancellation_intent").alias("cancel"),
+        F.count_if(signal != "none").alias("signals"),
+        F.sum(F.when(recent, fixed)).alias("recent_score"),
+        F.count(F.when(recent, score)).alias("recent_scores"),
+    )
+    names = F.array_join(F.sort_array(F.collect_set("competitor")), ", ")  # bounded by the list of competitors
+    return parts.groupBy("customer_id").agg(
+        F.sum("rows").alias("total_interactions"),
+        (F.sum("score").cast("double") / F.nullif(F.sum("scores"), F.lit(0))).alias("avg_sentiment"),
+        F.sum("negative").alias("negative_interaction_count"),
+        F.sum(F.when(F.col("competitor").isNotNull(), F.col("rows")).otherwise(0)).alias("competitor_mention_count"),
+        F.sum("cancel").alias("cancellation_intent_count"),
+        F.sum("signals").alias("churn_signal_count"),
+        (F.sum("recent_score").cast("double") / F.nullif(F.sum("recent_scores"), F.lit(0))).alias("recent_avg_sentiment"),
+        F.nullif(names, F.lit("")).alias("competitors_named"),
     )
-    # Collecting names cannot use the hash aggregate, so it runs over the few rows that
-    # have one, and the counts over all rows stay inside generated code.
-    return counts.join(competitors_named(insights), "customer_id", "left")
 
 
 def customer_360(

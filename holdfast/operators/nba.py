@@ -15,6 +15,7 @@ from holdfast.functions.columns import as_date, count_flags, days_between, int_t
 from holdfast.operators.ids import highest_number, with_ids
 from holdfast.operators.pick import best_fields
 from holdfast.operators.skew import join_to_unique
+from holdfast.sources.workspace import written_keys
 from holdfast.schemas import ACTION_CATALOG
 
 # The action catalogue.
@@ -423,14 +424,27 @@ def recommend(scored: DataFrame, claims: DataFrame, insights: DataFrame, as_of:
     return number_recommendations(assessed, start)
 
 
+def new_customers(insights: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """(customer_id): customers that have insights but no recommendation yet."""
+    return insights.select("customer_id").distinct().join(recommendations.select("customer_id").distinct(), "customer_id", "left_anti")
+
+
+def recommend_new(scored: DataFrame, claims: DataFrame, insights: DataFrame, recommendations: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """The full engine for customers new to the recommendations; ids continue those already used.
+
+    The facts are cut down to these customers before anything is aggregated.
+    """
+    new = written_keys(new_customers(insights, recommendations))
+    some, their_claims, their_insights = (df.join(new, "customer_id", "left_semi") for df in (scored, claims, insights))
+    return recommend(some, their_claims, their_insights, as_of, highest_number(recommendations, "recommendation_id", "NBA"))
+
+
 def callback_offers(scored: DataFrame, insights: DataFrame, recommendations: DataFrame) -> DataFrame:
     """The daily rule: a callback for customers that have insights but no recommendation yet."""
     c, lit = F.col, F.lit
-    new_customers = (
-        insights.select("customer_id").distinct().join(recommendations.select("customer_id").distinct(), "customer_id", "left_anti")
-    )
+    new = new_customers(insights, recommendations)
     watched = scored.filter(c("risk_level").isin(*WATCHED) & (c("negative_interaction_count") >= 1))
-    return watched.join(new_customers, "customer_id", "left_semi").select(
+    return watched.join(new, "customer_id", "left_semi").select(
         "customer_id",
         lit("PROACTIVE_CALLBACK").alias("action_code"),
         F.concat(lit("Schedule callback (risk "), int_text(c("churn_risk_score")), lit(", new data)")).alias("recommended_action"),

@@ -20,11 +20,11 @@ from holdfast.operators.pick import one_per_key
 from holdfast.operators.writeback import fill_missing, replace_rows
 from holdfast.schemas import RUN_LOG
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import fresh_dir
+from holdfast.sources.workspace import written_keys
 
 SNAPSHOT, INSIGHTS, RECOMMENDATIONS, LOG = "customer_360", "interaction_insights", "nba_recommendations", "task_run_log"
+STATE = "customer_360_state"
 FACT_TABLES = ("customers", "policies", "claims", "payments", INSIGHTS)
-_STAMPS = ("snapshot_date", "marks")
 
 
 @dataclass(frozen=True)
@@ -85,14 +85,11 @@ def affected_customers(
 
 
 def refresh_snapshot(snapshot: DataFrame, facts: Facts, affected: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """Recompute the affected customers; the others only have their renewal countdown moved.
+    """A whole frame with the affected customers recomputed; the others only have their renewal countdown moved.
 
-    The keys are written first: every use reads the same ones, and their size is known when the
-    joins are planned. The fact tables are cut down to them before they are aggregated.
+    The fact tables are cut down to the affected customers before they are aggregated.
     """
-    path = fresh_dir(affected.sparkSession, "affected")
-    affected.write.parquet(path)
-    affected = affected.sparkSession.read.parquet(path)
+    affected = written_keys(affected)
     aged = snapshot.withColumn("days_to_renewal", days_between(as_date(as_of), "nearest_renewal_date"))
     return replace_rows(aged, facts.only(affected).frame(as_of), affected, "customer_id")
 
@@ -120,8 +117,14 @@ def compact_interactions(tables: Tables) -> DataFrame:
     return tables.replace("interactions", current_interactions(tables))
 
 
+def snapshot(tables: Tables) -> DataFrame:
+    """The stored 360 frame. The renewal countdown is counted when it is read, so days that pass rewrite no row."""
+    day, _ = snapshot_state(tables)
+    return tables.read(SNAPSHOT).withColumn("days_to_renewal", days_between(as_date(day), "nearest_renewal_date"))
+
+
 def scored_snapshot(tables: Tables, levels: Sequence[tuple[str, int]] = LEVELS) -> DataFrame:
-    return score_customers(tables.read(SNAPSHOT).drop(*_STAMPS), levels)
+    return score_customers(snapshot(tables), levels)
 
 
 def stamp(moment: dt.datetime) -> Column:
@@ -138,10 +141,8 @@ def enrich_new(tables: Tables, rules: TextRules, now: dt.datetime) -> DataFrame:
 
 def snapshot_state(tables: Tables) -> tuple[str | None, dict[str, str]]:
     """Date of the stored snapshot and the marks of the tables it was made from."""
-    if not tables.exists(SNAPSHOT):
-        return None, {}
-    row = tables.read(SNAPSHOT).select(F.col("snapshot_date").cast("string").alias("day"), "marks").first()
-    return (row["day"], json.loads(row["marks"])) if row else (None, {})
+    row = tables.read(STATE).first() if tables.exists(STATE) else None
+    return (row["snapshot_date"], json.loads(row["marks"])) if row else (None, {})
 
 
 def snapshot_date(tables: Tables) -> str | None:
@@ -158,7 +159,7 @@ def refresh(tables: Tables, as_of: dt.date | str) -> DataFrame:
     """Bring the stored snapshot up to date, whatever changed.
 
     The snapshot remembers the last batch of each table it was made from. Rows of later batches,
-    in any of the tables, name the customers to recompute. It is rebuilt when there is none, when a
+    in any of the tables, name the customers to recompute, and only their rows are written. It is rebuilt when there is none, when a
     table was replaced, or when ``as_of`` goes back. A batch that arrives meanwhile is counted
     again by the next refresh.
     """
@@ -166,12 +167,17 @@ def refresh(tables: Tables, as_of: dt.date | str) -> DataFrame:
     marks = {n: tables.mark(n) for n in FACT_TABLES}
     facts = read_facts(tables)
     if before is None or str(as_of) < before or any(tables.replaced_since(n, seen.get(n, "")) for n in FACT_TABLES):
-        frame = facts.frame(as_of)
+        tables.replace_keyed(SNAPSHOT, facts.frame(as_of), "customer_id")
     else:
-        snapshot = tables.read(SNAPSHOT).drop(*_STAMPS)
         new_rows = [tables.read_since(n, seen[n]) for n in FACT_TABLES if seen[n] != marks[n]]
-        frame = refresh_snapshot(snapshot, facts, affected_customers(snapshot, facts, new_rows, before, as_of), as_of)
-    return tables.replace(SNAPSHOT, frame.withColumns({"snapshot_date": as_date(as_of), "marks": F.lit(json.dumps(marks))}))
+        affected = written_keys(affected_customers(tables.read(SNAPSHOT), facts, new_rows, before, as_of))
+        if not affected.isEmpty():
+            tables.upsert(SNAPSHOT, facts.only(affected).frame(as_of), "customer_id")
+    # The state comes last: a run that ends before it computes the same customers again, to the same rows.
+    state = tables.spark.createDataFrame([(str(as_of), json.dumps(marks))], "snapshot_date string, marks string")
+    tables.replace(STATE, state.coalesce(1))
+    tables.vacuum(STATE, keep=2)
+    return snapshot(tables)
 
 
 def log_run(tables: Tables, **fields) -> DataFrame:
@@ -192,8 +198,8 @@ def _nothing_to_do(tables: Tables, texts: int) -> bool:
     return tables.exists(SNAPSHOT) and not behind(tables)
 
 
-def add_recommendations(tables: Tables, as_of: dt.date | str, levels: Sequence[tuple[str, int]] = LEVELS) -> int:
-    """Callbacks for customers new to the recommendations; the full engine on the first run."""
+def add_recommendations(tables: Tables, as_of: dt.date | str, levels: Sequence[tuple[str, int]] = LEVELS, full: bool = False) -> int:
+    """Callbacks for customers new to the recommendations, or with ``full`` all actions; the full engine on the first run."""
     insights, scored = tables.read(INSIGHTS), scored_snapshot(tables, levels)
     if not tables.exists(RECOMMENDATIONS):
         return tables.append(
@@ -201,7 +207,8 @@ def add_recommendations(tables: Tables, as_of: dt.date | str, levels: Sequence[t
         ).count()
     stored = tables.read(RECOMMENDATIONS)
     before = stored.count()
-    added = nba.as_recommendations(nba.daily_callbacks(scored, insights, stored))
+    new = nba.recommend_new(scored, tables.read("claims"), insights, stored, as_of) if full else nba.daily_callbacks(scored, insights, stored)
+    added = nba.as_recommendations(new)
     return tables.append(RECOMMENDATIONS, added).count() - before
 
 
@@ -211,6 +218,7 @@ def run_daily(
     rules: TextRules,
     levels: Sequence[tuple[str, int]] = LEVELS,
     clock: Callable[[], dt.datetime] = dt.datetime.now,
+    full: bool = False,
 ) -> dict:
     """New interactions -> insights -> snapshot -> callbacks -> run log.
 
@@ -252,7 +260,7 @@ def run_daily(
         errors.append(f"Snapshot: {error}")
         details.append("SNAPSHOT ERROR.")
     try:
-        entry["nba_generated"] = add_recommendations(tables, as_of, levels)
+        entry["nba_generated"] = add_recommendations(tables, as_of, levels, full)
         details.append(f"{entry['nba_generated']} new NBAs.")
     except Exception as error:
         errors.append(f"NBA: {error}")

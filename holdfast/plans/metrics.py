@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions.columns import exact_avg
+
 
 @dataclass(frozen=True)
 class Measure:
@@ -18,7 +20,7 @@ class Measure:
         if self.aggregation == "count":
             return F.count(self.column)
         if self.aggregation == "avg":
-            return F.avg(self.column)
+            return exact_avg(F.col(self.column))
         return F.sum(self.column)
 
 

@@ -4,6 +4,9 @@ A table is a folder with one subfolder per version, and a version has one per wr
 highest version with a finished write counts. A rewrite may read the current version while
 it writes the next, and a failed write leaves nothing finished behind. Writes are numbered,
 so a reader can ask for what came after the one it has seen, whatever the clock says.
+
+A keyed version holds one row a key: later batches take the place of earlier rows when it is read, so a change writes the changed rows
+only. After ``MOST_BATCHES`` batches they are merged into the next version.
 """
 
 from __future__ import annotations
@@ -18,7 +21,11 @@ from pyspark.sql import types as T
 from holdfast.operators.quality import foreign_key, union_all
 from holdfast.schemas import FOREIGN_KEYS, LOAD_DEFAULTS, LOAD_ORDER, RAW_TABLES
 from holdfast.sources.csv import read_csv
-from holdfast.sources.workspace import remove_folder, subfolders
+from holdfast.sources.workspace import make_folder, remove_folder, subfolders
+
+
+# Batches of a keyed version that a reader puts together.
+MOST_BATCHES = 8
 
 
 class Tables:
@@ -58,7 +65,37 @@ class Tables:
 
     def read(self, name: str) -> DataFrame:
         found = self._batches(name)
-        return self._read(name, [x for x in found if x[0] == found[-1][0]])
+        last = [x for x in found if x[0] == found[-1][0]]
+        key = self._key(name, last[0][0])
+        if key is None:
+            return self._read(name, last)
+        rows = self._read(name, last[:1])
+        for batch in last[1:]:
+            newer = self._read(name, [batch])
+            rows = rows.join(newer.select(key), key, "left_anti").select(*newer.columns).unionByName(newer)
+        return rows
+
+    def _key(self, name: str, version: int) -> str | None:
+        """The key of a keyed version: the name of a folder beside its batches."""
+        names = [x for x in subfolders(self.spark, f"{self.root}/{name}/v{version:06d}") if x.startswith("key=")]
+        return names[0].removeprefix("key=") if names else None
+
+    def replace_keyed(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """Write the next version as a keyed one; ``df`` holds each key once."""
+        found = self._batches(name)
+        make_folder(self.spark, f"{self.root}/{name}/v{found[-1][0] + 1 if found else 1:06d}/key={key}")
+        return self.replace(name, df)
+
+    def upsert(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """Write rows that take the place of those with their key; each key once. Nothing else is rewritten, but now and then all batches are merged."""
+        if not self.exists(name):
+            return self.replace_keyed(name, df, key)
+        self.append(name, df)
+        found = self._batches(name)
+        if sum(v == found[-1][0] for v, _ in found) > MOST_BATCHES:
+            self.replace_keyed(name, self.read(name), key)
+            self.vacuum(name, keep=2)  # who reads the version before isn't disturbed
+        return self.read(name)
 
     def replaced_since(self, name: str, mark: str) -> bool:
         """Whether the table was rewritten as a whole after ``mark``."""

@@ -50,6 +50,11 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.mkdirs(folder)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that the library wrote, with all it holds."""
     fs, folder = _folder(spark, path)
@@ -62,3 +67,10 @@ def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
     Large tables have enough splits; shuffling them would only move the texts.
     """
     return df.repartition(partitions, key) if partitions else df
+
+
+def written_keys(keys: DataFrame) -> DataFrame:
+    """Keys written first: every use reads the same ones, and their size is known when the joins are planned."""
+    path = fresh_dir(keys.sparkSession, "affected")
+    keys.write.parquet(path)
+    return keys.sparkSession.read.parquet(path)

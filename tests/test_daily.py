@@ -94,7 +94,7 @@ def test_quiet_day_moves_the_snapshot(spark, tmp_path):
     entry = daily.run_daily(store, later, INSURANCE_RULES, clock=now)
     assert entry["details"] == "No new interactions. Skipped."
     full = daily.read_facts(store).frame(later)
-    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
+    snapshot = daily.snapshot(store)
     assert full.exceptAll(snapshot).count() == 0 and snapshot.exceptAll(full).count() == 0
     delayed = snapshot.filter("customer_id = 'C1'").first()["delayed_claims"]
     assert delayed == 1  # the claim was 30 days old before
@@ -127,16 +127,35 @@ def test_crash_before_the_snapshot_is_caught_up(spark, tmp_path, monkeypatch):
     entry = daily.run_daily(store, AS_OF, INSURANCE_RULES, clock=now)
     assert entry["status"] == "COMPLETED" and "360 refreshed." in entry["details"]
     full = daily.read_facts(store).frame(AS_OF)
-    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
+    snapshot = daily.snapshot(store)
     assert full.exceptAll(snapshot).count() == 0 and snapshot.exceptAll(full).count() == 0
 
 
 def same_as_rebuild(store, as_of):
     full = daily.read_facts(store).frame(as_of)
-    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
+    snapshot = daily.snapshot(store)
     return full.exceptAll(snapshot).count() == 0 and snapshot.exceptAll(full).count() == 0
 
 
+def test_a_change_writes_the_changed_rows_only(spark, tmp_path):
+    store, now = raw(spark, tmp_path), clock()
+    store.replace("interactions", calls(spark, 10))
+    daily.run_daily(store, AS_OF, INSURANCE_RULES, clock=now)
+    first = store._batches(daily.SNAPSHOT)
+    assert len(first) == 1
+    for day in range(1, 12):  # more changes than a version takes batches
+        store.append("payments", facts(spark, payments=[{"payment_id": f"N{day}", "customer_id": "C3", "status": "Overdue"}]).payments)
+        daily.refresh(store, AS_OF)
+        assert same_as_rebuild(store, AS_OF)
+        version, batch = store._batches(daily.SNAPSHOT)[-1]
+        assert store._read(daily.SNAPSHOT, [(version, batch)]).count() == (1 if batch > 1 else 5)
+    versions = {v for v, _ in store._batches(daily.SNAPSHOT)}
+    assert len(versions) == 2 and max(versions) == 2
+    before = store._batches(daily.SNAPSHOT)
+    daily.refresh(store, AS_OF + dt.timedelta(days=1))  # nothing but the countdown moves
+    assert store._batches(daily.SNAPSHOT) == before and same_as_rebuild(store, AS_OF + dt.timedelta(days=1))
+
+
 def test_any_change_reaches_the_snapshot(spark, tmp_path):
     store, now = raw(spark, tmp_path), clock()
     store.replace("interactions", calls(spark, 10))
@@ -205,7 +224,7 @@ def test_stream_maintains_insights_and_snapshot(spark, tmp_path):
     insights = store.read(daily.INSIGHTS)
     assert insights.count() == insights.select("interaction_id").distinct().count() == 20
     full = daily.read_facts(store).frame(AS_OF)
-    snapshot = store.read(daily.SNAPSHOT).drop("snapshot_date", "marks")
+    snapshot = daily.snapshot(store)
     assert full.exceptAll(snapshot).count() == 0
     # A replayed batch adds nothing.
     batch_step(store, INSURANCE_RULES, AS_OF)(calls(spark, 25), 0)

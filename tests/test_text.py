@@ -4,12 +4,17 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from domain import rows
 from pyspark.sql import functions as F
 
 from holdfast.functions import text as X
 from holdfast.operators import enrichment, search, vectors
+from holdfast.operators.segments import SegmentedIndex, ShardLists
+from holdfast.operators.vector_index import add_vectors, approximate_search, build_vector_index, probe_report, recall_against
+from holdfast.sources.tables import Tables
+from holdfast.sources.workspace import subfolders
 
 
 def test_enrich_english_call(spark):
@@ -95,16 +100,75 @@ def _bm25(corpus, query):
 QUESTIONS = [(1, "Delay of the CLAIM"), (2, "été price"), (3, "nothing known here"), (4, "agent, agent: policy x1")]
 
 
-@pytest.mark.parametrize("least", [100_000, 5])
-def test_batch_search_equals_brute_force(spark, monkeypatch, least):
-    monkeypatch.setattr(search, "MIN_FREQUENT", least)
-    corpus = _corpus(60)
-    docs = spark.createDataFrame(corpus, "id bigint, body string").repartition(5)
+def _hits(found, q):
+    return [(r.doc_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+
+
+def test_batch_search_over_growing_segments_equals_brute_force(spark, tmp_path):
+    corpus = _corpus(120)
+    docs = spark.createDataFrame(corpus, "id bigint, body string").withColumn("kind", F.col("id") % 3)
+    index = SegmentedIndex(Tables(spark, str(tmp_path)), "id", "body", ["kind"], shard_docs=11, fan=3)
     asked = spark.createDataFrame(QUESTIONS + QUESTIONS[:1], "q bigint, t string")  # a question asked twice counts once
-    found = search.search_batch(search.build_index(docs, "id", "body", []), asked, "q", "t", k=7).collect()
+    assert index.search_batch(asked, "q", "t").count() == 0
+    ids = sorted(i for i, _ in corpus)
+    for upto in (10, 40, 41, 90, len(ids)):
+        part = docs.filter(F.col("id") <= ids[upto - 1])  # with all that is there already, which adds nothing
+        index.add(part.unionByName(part.limit(3)))
+        now = [(i, t) for i, t in corpus if i <= ids[upto - 1]]
+        found = index.search_batch(asked, "q", "t", k=7).collect()
+        for q, t in QUESTIONS:
+            assert _hits(found, q) == _bm25(now, t)[:7]
+    assert len(index.segments()) < 5 and index.corpus().n_docs == len(ids)
+    odd = index.search_batch(asked, "q", "t", k=4, where=F.col("kind") == 1).collect()
     for q, t in QUESTIONS:
-        mine = [(r.doc_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
-        assert mine == _bm25(corpus, t)[:7]
+        assert _hits(odd, q) == [p for p in _bm25(corpus, t) if p[0] % 3 == 1][:4]
+    expected = {(r.doc_id, r.term, r.tf, r.length) for r in search.postings(docs, "id", "body").collect()}
+    assert {tuple(r) for r in index.postings().select("doc_id", "term", "tf", "length").collect()} == expected
+    live = len(index.segments())
+    index.vacuum()
+    assert sum(x.startswith("s-") for x in subfolders(spark, index.live.root)) == live
+    assert _hits(index.search_batch(asked, "q", "t", k=7).collect(), 1) == _bm25(corpus, QUESTIONS[0][1])[:7]
+
+
+def test_bounds_spare_postings_and_lose_no_document():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(20, 400, 3_000)
+    shard = ShardLists(lengths, float(lengths.mean()), None)
+    exact, terms = np.zeros(3_000), []
+    for k, n in enumerate([3, 5, 40, 200, 1_500, 2_500, 2_900]):
+        places = np.sort(rng.choice(3_000, n, replace=False)).astype(np.int32)
+        counts = rng.integers(1, 6, n).astype(np.int32)
+        idf = float(np.log(1 + (3_000 - n + 0.5) / (n + 0.5)))
+        shard.add(f"t{k}", places, counts, int(counts.max()), int(lengths[places].min()))
+        exact[places] += shard._weights(idf, places, counts)
+        terms.append((idf, f"t{k}"))
+    places, scores = shard.best(terms, 5)
+    best = np.lexsort((places, -scores))[:5]
+    truth = np.lexsort((np.arange(3_000), -np.round(exact, 6)))[:5]
+    assert places[best].tolist() == truth.tolist() and np.allclose(scores[best], np.round(exact[truth], 6))
+    assert shard.looked_at < 0.2 * sum([3, 5, 40, 200, 1_500, 2_500, 2_900])
+
+
+def test_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(12, 16))
+    rows = [(i, (middles[i % 12] + 0.3 * rng.normal(size=16)).tolist(), i % 2) for i in range(900)]
+    odd = [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [1.0, None] * 8, 0), (2003, [1.0] * 3, 0), (2004, [], 1)]
+    vecs = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>, kind int").repartition(4)
+    asked = vecs.filter("vec_id % 30 = 0").withColumnRenamed("vec_id", "q")
+    whole = vecs.filter(F.size("embedding") == 16)
+    exact = sorted(map(tuple, vectors.vector_search(whole, asked, "q").collect()))
+    index = build_vector_index(vecs.filter("vec_id < 600 or vec_id >= 2000"), str(tmp_path / "index"), attributes=["kind"], recall=0.9)
+    index = add_vectors(index, vecs.filter("vec_id >= 600 and vec_id < 2000"), str(tmp_path / "index"))
+    assert sorted(map(tuple, approximate_search(index, asked, "q", probes=10**6, part_rows=37).collect())) == exact
+    found = approximate_search(index, asked, "q")
+    recall = recall_against(found, vectors.vector_search(whole, asked, "q")).first()
+    report = probe_report(index, asked, "q").first()
+    assert recall["recall"] >= 0.9 and report["rows_indexed"] == 900 and report["rows_compared"] < 450 and report["queries"] == 30
+    some = approximate_search(index, asked, "q", where=F.col("kind") == 1, probes=10**6).collect()
+    assert {r.vec_id % 2 for r in some} == {1} and len(some) == 150
+    nothing = build_vector_index(vecs.limit(0), str(tmp_path / "none"))
+    assert approximate_search(nothing, asked.limit(0), "q").count() == 0
 
 
 def test_index_search_equals_brute_force(spark, tmp_path):
