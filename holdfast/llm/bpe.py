@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from holdfast.llm.common import id_and_text, utf8
+from holdfast.llm.common import id_and_text, tidy, utf8
 
 _NONE = 1 << 60
 # Runs between white space, and pre-tokens, that a generation of a worker's memory holds; the bytes of text handled at a time.
@@ -300,6 +300,10 @@ class BytePairs:
             kept = [x for x in map(now.__getitem__, runs) if x[0]]
             yield sum([x[0] for x in kept]), " ".join([x[1] for x in kept]), " ".join([x[2] for x in kept])
 
+    def forget(self) -> None:
+        """Give up what is remembered; the worker lives on after the task."""
+        self._runs, self._pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.encode_texts([(text or "").encode()]) for i in ids.split()]
 
@@ -326,6 +330,7 @@ def _digests(path: str):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        pairs.forget()
 
     return run
 
@@ -333,7 +338,7 @@ def _digests(path: str):
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(_digests(path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(_digests(path)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(text: Column, path: str) -> Column:

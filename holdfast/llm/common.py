@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,27 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
     return (t or b"" for t in in_slices(column.cast(pa.binary())))
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system, so that a reused worker doesn't keep the peak of the task before."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, handing back its memory at the end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 def seeded(seed: int, *columns: str | Column) -> Column:
     """A number below 2**60 that depends on the seed and the columns only; SQL engines with md5 can repeat it."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm import repeat_filter
-from holdfast.llm.common import id_and_text, stored, utf8
+from holdfast.llm.common import id_and_text, stored, tidy, utf8
 from holdfast.operators.skew import join_to_unique
 
 # From so many rows with one hash on, they are spread over several tasks.
@@ -35,7 +35,7 @@ def _hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256) of every row; the text is lower-cased in A-Z only."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_hash_texts, "doc_id bigint, text_sha256 string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(_hash_texts), "doc_id bigint, text_sha256 string")
 
 
 def _first_64_bits(digest: Column) -> Column:

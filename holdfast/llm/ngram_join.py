@@ -7,6 +7,10 @@ at most one difference. The subsets of a part's pieces that leave out one piece
 elements in them: sets that link share a signature. Parts beyond that number make up for subsets without elements, which
 give no signature; a set with too many of these gives signatures for them too, so no link is lost (see ``signatures``).
 
+Before that, sets that can't link with any other are put aside: a set that links has at most ``100 - percent`` of a hundred elements that
+no other set holds. A repeat filter over a fixed share of the elements, chosen by their hash, tells which of these occur once only; a set
+with too many of them is alone. The filter errs only towards "occurs again", so no link is lost.
+
 Sets that share a signature are candidates. Buckets with few sets give their pairs. Larger buckets are searched with sketches:
 a parity bitmap whose distance never exceeds the true one, so a pair beyond the bound needs no look at the sets. Of the
 candidates that the sketches leave, each set is first verified with its nearest; then, where a bucket still holds
@@ -17,7 +21,8 @@ Equal sets are one node from the start, so groups of copies cost one node. Shing
 a 64-bit hash of their set.
 
 Cases: a null text, an empty one or one without words has an empty set and links with nothing; a text with fewer words
-than ``n`` is its whole word sequence as one shingle; a null id never becomes a component's id unless it is alone;
+than ``n`` is its whole word sequence as one shingle; a text with a null id links like any other, but a null id
+never becomes a component's id unless nothing in the component has one;
 rows repeated as a whole are in one component; an empty table gives an empty result.
 """
 
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm import repeat_filter
-from holdfast.llm.common import WordHash, id_and_text, mix, ngram_hashes, stored, utf8
+from holdfast.llm.common import WordHash, id_and_text, mix, ngram_hashes, stored, tidy, utf8
 from holdfast.llm.components import connected
 
 # Buckets up to this size give all their pairs; members of larger ones are compared in blocks of so many.
@@ -134,7 +139,40 @@ def _node_batches(n: int):
     return run
 
 
-def _signature_batches(n: int, bands: Bands):
+def sampled(elements: np.ndarray, percent: int) -> np.ndarray:
+    """A share of the elements by their hash, somewhat more than twice what a set that links may have for itself."""
+    share = min(256, 256 * 22 * (100 - percent) // 1_000 + 1)
+    return elements[(mix(elements + _U(0xC2B2AE3D27D4EB4F)) & _U(255)) < _U(share)]
+
+
+def _sampled_sets(n: int, percent: int):
+    """Reads the sampled elements of the sets of a batch of texts, some texts at a time."""
+
+    sets = _Sets(n)
+
+    def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        some, held = [], 0
+        for text in utf8(batch.column(1)):
+            found = sampled(sets.of(text), percent)
+            some.append(found)
+            held += len(found)
+            if held > 500_000:
+                yield np.concatenate(some)
+                some, held = [], 0
+        if some:
+            yield np.concatenate(some)
+
+    return read
+
+
+def may_link(elements: np.ndarray, percent: int, seen: repeat_filter.HashFilter) -> bool:
+    """False for a set with more elements of its own than a set that links can have."""
+    some = sampled(elements, percent)
+    alone = len(some) - int(seen.test(some).sum())
+    return 100 * alone <= (100 - percent) * len(elements)
+
+
+def _signature_batches(n: int, bands: Bands, seen: repeat_filter.HashFilter):
     """(sig, node, n, band): for the set's own band and the next; a set met again in the task is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +195,7 @@ def _signature_batches(n: int, bands: Bands):
 
             for text in utf8(batch.column(1)):
                 elements = sets.of(text)
-                if not len(elements):
+                if not len(elements) or not may_link(elements, bands.percent, seen):
                     continue
                 node = sets.node(elements)
                 if node in met:
@@ -252,16 +290,15 @@ def _bucket_batches(bands: Bands):
 
 
 def _member_batches(n: int, bands: Bands, wanted: repeat_filter.HashFilter):
-    """Sets and sketches of the documents whose id may be wanted."""
+    """Sets and sketches of the rows whose key may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _Sets(n)
         names = ["node", "n", "own", "elements", "sketch", "next_sketch"]
         kinds = [pa.int64(), pa.int64(), pa.int16(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            some = batch.filter(pa.array(wanted.test(mix(ids.view(_U)))))
+            keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            some = batch.filter(pa.array(wanted.test(mix(keys.view(_U)))))
             rows = []
             for text in utf8(some.column(1)):
                 elements = sets.of(text)
@@ -363,19 +400,23 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     """doc_id, row_key (a hash of id and text), n_shingles, component_id."""
     bands, texts = Bands(percent), id_and_text(docs, id_col, text_col)
     keyed = texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    nodes = stored(keyed.mapInArrow(_node_batches(n), "doc_id bigint, row_key bigint, n bigint, node bigint"), "join-nodes")
-    sigs = texts.mapInArrow(_signature_batches(n, bands), "sig bigint, node bigint, n int, band short")
+    nodes = stored(keyed.mapInArrow(tidy(_node_batches(n)), "doc_id bigint, row_key bigint, n bigint, node bigint"), "join-nodes")
+    elements = nodes.agg(F.sum("n")).first()[0] or 0
+    repeated = repeat_filter.build(texts, elements * 22 * (100 - percent) // 1_000, least=2, read=_sampled_sets(n, percent), bits_per_row=4)
+    sigs = texts.mapInArrow(tidy(_signature_batches(n, bands, repeated)), "sig bigint, node bigint, n int, band short")
     buckets = sigs.repartition("sig").sortWithinPartitions("sig", "node")
-    found = stored(buckets.mapInArrow(_bucket_batches(bands), "a bigint, b bigint, bucket bigint, band short"), "join-buckets")
+    found = stored(buckets.mapInArrow(tidy(_bucket_batches(bands)), "a bigint, b bigint, bucket bigint, band short"), "join-buckets")
+    repeated.release()
     pairs = stored(found.filter("bucket is null").select("a", "b", "band").distinct(), "join-pairs")
     crowded = found.filter("bucket is not null").select("bucket", "band", F.col("a").alias("node"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
-    ids = stored(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id"), "join-ids")
-    hashed = ids.filter("doc_id is not null").mapInArrow(_mixed_ids, "h bigint")
-    seen = repeat_filter.build(hashed, ids.count(), least=1)
+    rows = nodes.groupBy("node").agg(F.min("row_key").alias("row_key")).join(wanted, "node", "left_semi").select("row_key")
+    rows = stored(rows, "join-rows")  # one row of each wanted set, with an id or without
+    seen = repeat_filter.build(rows, rows.count(), least=1, read=_mixed_keys)
     schema = "node bigint, n bigint, own short, elements binary, sketch binary, next_sketch binary"
-    members = stored(texts.mapInArrow(_member_batches(n, bands, seen), schema), "join-members")
+    members = stored(keyed.mapInArrow(tidy(_member_batches(n, bands, seen)), schema), "join-members")
+    seen.release()
 
     near = stored(_near_pairs(pairs, members, percent), "join-near")
     crowded = stored(_crowded_rows(crowded, members), "join-crowded")
@@ -392,10 +433,8 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     return _components(nodes, connected(links))
 
 
-def _mixed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(mix(ids.view(_U)).view(np.int64))], ["h"])
+def _mixed_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
 
 
 def _sketches(members: DataFrame) -> DataFrame:
@@ -422,7 +461,7 @@ def _crowded_rows(crowded: DataFrame, members: DataFrame) -> DataFrame:
 def _crowded_pairs(crowded: DataFrame, labels: DataFrame | None, percent: int, nearest_only: bool) -> DataFrame:
     rows = crowded.withColumn("label", F.col("node")) if labels is None else _with_labels(crowded, labels, "node", "label")
     rows = rows.select("bucket", "node", "n", "sketch", "label").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_near_in_buckets(percent, nearest_only), "a bigint, b bigint, distance int")
+    return rows.mapInArrow(tidy(_near_in_buckets(percent, nearest_only)), "a bigint, b bigint, distance int")
 
 
 def _components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -444,7 +483,7 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     classes = _classes(docs, n, percent, id_col, text_col)
     gone = stored(classes.filter("doc_id <> component_id").select(F.col("row_key").alias("_join_key")).distinct(), "join-gone")
-    seen = repeat_filter.build(gone.mapInArrow(_mixed_ids, "h bigint"), gone.count(), least=1)
+    seen = repeat_filter.build(gone, gone.count(), least=1, read=_mixed_keys)
 
     @F.arrow_udf(T.BooleanType())
     def may_go(keys: pa.Array) -> pa.Array:

@@ -6,21 +6,23 @@ the bits were meant for only get more false positives: more rows take the slower
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from holdfast.llm.common import tidy
+
 MOST_BITS = 1 << 30
 BITS_PER_ROW = 16
 _CHUNK_BITS = 20
 _FLUSH = 4_000_000
 
 
-def filter_bits(rows: int) -> int:
-    """A power of two with about ``BITS_PER_ROW`` bits a row, within fixed bounds."""
-    return min(MOST_BITS, max(1 << _CHUNK_BITS, 1 << (max(rows, 1) * BITS_PER_ROW - 1).bit_length()))
+def filter_bits(rows: int, bits_per_row: int = BITS_PER_ROW) -> int:
+    """A power of two with about ``bits_per_row`` bits a row, within fixed bounds."""
+    return min(MOST_BITS, max(1 << _CHUNK_BITS, 1 << (max(rows, 1) * bits_per_row - 1).bit_length()))
 
 
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -29,7 +31,12 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([hashes & np.uint64(bits - 1), second & np.uint64(bits - 1)], axis=1)
 
 
-def _positions_of_partition(bits: int):
+def _hashes_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The one BIGINT column of a batch."""
+    return batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _positions_of_partition(bits: int, read: Callable):
     def emit(positions: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         at, times = np.unique(np.concatenate(positions), return_counts=True)
         chunk = at >> np.uint64(_CHUNK_BITS)
@@ -47,14 +54,14 @@ def _positions_of_partition(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            hashes = batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)
-            both = _positions(hashes, bits)
-            both[both[:, 0] == both[:, 1], 1] ^= np.uint64(1)  # else one hash would count twice at one position
-            held.append(both.ravel())
-            n += both.size
-            if n >= _FLUSH:
-                yield from emit(held)
-                held, n = [], 0
+            for hashes in read(batch):
+                both = _positions(hashes, bits)
+                both[both[:, 0] == both[:, 1], 1] ^= np.uint64(1)  # else one hash would count twice at one position
+                held.append(both.ravel())
+                n += both.size
+                if n >= _FLUSH:
+                    yield from emit(held)
+                    held, n = [], 0
         if n:
             yield from emit(held)
 
@@ -105,15 +112,23 @@ class HashFilter:
         return hit
 
 
-def build(hashes: DataFrame, rows: int, least: int) -> HashFilter:
+def build(
+    hashes: DataFrame,
+    rows: int,
+    least: int,
+    read: Callable[[pa.RecordBatch], Iterable[np.ndarray]] | None = None,
+    bits_per_row: int = BITS_PER_ROW,
+) -> HashFilter:
     """A filter over the one BIGINT column of ``hashes``: those that occur at least ``least`` (1 or 2) times.
 
+    ``read`` takes the hashes out of a batch of other rows, so that they needn't be rows themselves.
+
     Each task sends the bit positions it met, four bytes each, to the task that merges their
     chunk of the filter. Only the merged filter reaches the driver, at most 128 MB.
     """
-    bits = filter_bits(rows)
-    parts = hashes.mapInArrow(_positions_of_partition(bits), "chunk bigint, once binary, twice binary")
-    merged = parts.repartition("chunk").mapInArrow(_merge_chunks(least), "chunk bigint, bits binary")
+    bits = filter_bits(rows, bits_per_row)
+    parts = hashes.mapInArrow(tidy(_positions_of_partition(bits, read or (lambda batch: [_hashes_of(batch)]))), "chunk bigint, once binary, twice binary")
+    merged = parts.repartition("chunk").mapInArrow(tidy(_merge_chunks(least)), "chunk bigint, bits binary")
     data = np.zeros(bits // 8, np.uint8)
     width = (1 << _CHUNK_BITS) // 8
     for row in merged.collect():

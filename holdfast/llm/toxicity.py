@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import id_and_text, in_slices, seeded
+from holdfast.llm.common import id_and_text, in_slices, seeded, tidy
 
 # The threshold comes from the training rows unless the caller gives one; this one stands where there is nothing to learn.
 THRESHOLD = 0.5
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     few = F.broadcast(marks.orderBy("_order", "doc_id").limit(sample))  # at most ``sample`` short rows
     texts = id_and_text(docs, id_col, text_col).join(few, "doc_id", "left_semi")
     features = texts.mapInArrow(_feature_batches, "doc_id bigint, features binary")
-    rows = features.join(few, "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), *(F.first(n).alias(n) for n in names), F.first("_order").alias("_order"))
+    rows = features.join(few, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), *(F.first(n).alias(n) for n in names), F.first("_order").alias("_order"))
     found = sorted(rows.collect(), key=lambda r: (r["_order"], r["doc_id"]))
     documents = [np.frombuffer(r["features"], np.uint32).astype(np.int64) for r in found]
     targets = np.array([[r[n] for n in names] for r in found], float).reshape(len(found), len(names))
@@ -238,7 +238,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None)
     categories = labelled_categories()
     scorer = train(docs, labels, categories)
     schema = "doc_id bigint, " + ", ".join(f"p{k} double" for k in range(len(categories)))
-    scored = id_and_text(docs).mapInArrow(_score_batches(scorer), schema)
+    scored = id_and_text(docs).mapInArrow(tidy(_score_batches(scorer)), schema)
     named = scored.toDF("doc_id", *("p_" + c for c in categories))
     return named.withColumn("toxic", F.col("p_toxic") >= (scorer.threshold if threshold is None else threshold))
 
