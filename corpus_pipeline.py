@@ -1,10 +1,14 @@
 """A training corpus from documents: stages that each apply one operator to all rows the stage before kept.
 
-Rows repeated as a whole count as copies, null texts as empty ones; an empty table goes through all stages.
+Rows repeated as a whole count as copies, null texts as empty ones; an empty table goes through all stages; further columns
+pass through, but for names that begin with ``_dedup_``, ``_join_`` or ``_mix_``, which the stages use themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm.bpe import token_digests
@@ -17,40 +21,46 @@ from holdfast.llm.toxicity import without_toxic
 
 
 # Documents that travel to a Python worker at a time. Batches of Spark's 10,000 hold tens of MB of text on both sides.
-BATCH_ROWS = "1000"
+BATCH_ROWS, _SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a stage runs and writes its rows; the session has its own setting again afterwards."""
+    before = spark.conf.get(_SETTING)
+    spark.conf.set(_SETTING, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_SETTING, before)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labels, doesn't reject."""
-    small_batches(spark)
-    return without_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    with small_batches(spark):
+        return stored(without_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")), "corpus-toxicity")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each exact text."""
-    small_batches(spark)
-    return drop_exact_duplicates(docs)
+    with small_batches(spark):
+        return stored(drop_exact_duplicates(docs), "corpus-exact")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles with a similarity of 0.8 or more."""
-    small_batches(spark)
-    return one_of_each_group(docs, n=5, percent=80)
+    with small_batches(spark):
+        return stored(one_of_each_group(docs, n=5, percent=80), "corpus-near")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    small_batches(spark)
-    return mixed_documents(docs)
+    with small_batches(spark):
+        return stored(mixed_documents(docs), "corpus-mix")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of each row."""
-    small_batches(spark)
     return token_digests(docs, vocabulary_path())
 
 
@@ -67,8 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again by the next."""
+    """All stages over documents; each writes its rows, and the next one reads them."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"corpus-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
