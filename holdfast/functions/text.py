@@ -127,17 +127,20 @@ def apply_rules(rules: Sequence[Rule], lowered: Column, score: Column, default:
 
 
 def first_mention(lowered: Column, names: Sequence[str]) -> Column:
-    """The name that occurs first as a whole word; at one position the longer name wins. NULL if none."""
+    """The name that occurs first as a whole word; at one position the longer name wins. NULL if none.
+
+    One search for all names, longer ones first; the texts without any are ruled out by the plain search.
+    """
     if not names:
         return F.lit(None).cast("string")
-    found = []
-    for name in names:
-        whole = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\Q{name.lower()}\E(?![\p{{L}}\p{{M}}\p{{N}}])"
-        # The words before the name, if it occurs at all; most texts are ruled out by the plain search.
-        before = F.length(F.split(lowered, whole, 2)[0])
-        at = F.when(lowered.contains(name.lower()) & (before < F.length(lowered)), before)
-        found.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(-len(name)).alias("len"), F.lit(name).alias("name"))))
-    return F.array_min(F.array_compact(F.array(*found)))["name"]
+    edge = r"[\p{L}\p{M}\p{N}]"
+    by_form = {}
+    for name in sorted(names, key=lambda n: (-len(n), n)):
+        by_form.setdefault(name.lower(), name)
+    whole = "|".join(rf"\Q{form}\E(?<!{edge}\Q{form}\E)(?!{edge})" for form in by_form)
+    form = F.when(contains_any(lowered, tuple(by_form)), F.regexp_extract(lowered, whole, 0))
+    named = F.create_map(*[F.lit(x) for pair in by_form.items() for x in pair])
+    return F.try_element_at(named, form)
 
 
 def override_signal(signal: Column, lowered: Column, words: Sequence[str], label: str) -> Column:
@@ -172,7 +175,7 @@ def ranked_sentences(marked: Column, markers: Sequence[str]) -> Column:
     def scored(m):
         return F.struct((-hits(m["found"], markers)).alias("rank"), m["at"].alias("at"), m["sentence"].alias("sentence"))
 
-    return F.array_sort(F.transform(marked, scored))
+    return F.sort_array(F.transform(marked, scored))
 
 
 def summary_of(ranked: Column, best: int = 2) -> Column:

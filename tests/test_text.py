@@ -195,3 +195,13 @@ def test_vector_search_equals_brute_force(spark, shard_rows, block_rows):
         truth = sorted(((i, cosine(v, q)) for i, v in made if any(v)), key=lambda p: (-p[1], p[0]))[:9]
         mine = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == name]
         assert mine == truth
+
+
+def test_first_mention_searches_a_text_once_for_all_names(spark):
+    names = ("Acko", "Tata AIG", "Tata", "SBI General", "digit")
+    column = X.first_mention(F.col("t"), names)
+    plan = spark.createDataFrame([("",)], "t string").select(column.alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1 and "split(" not in plan
+    texts = ["tata aig, not acko", "xacko acko2 digit.", "tata-aig tata aig", "sbi general", "ackodigit", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", column.alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == ["Tata AIG", "digit", "Tata", "SBI General", None, None, None]
