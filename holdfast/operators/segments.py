@@ -1,7 +1,7 @@
 """A search index kept up by immutable segments, and ranking that skips postings by upper bounds.
 
 New documents become a segment of their own; nothing that is stored is read or changed for it. A segment consists of shards of at
-most ``SHARD_DOCS`` documents. For each term a shard holds one packed list: the places of its documents, how often each
+most ``SHARD_DOCS`` documents and about ``SHARD_POSTINGS`` postings. For each term a shard holds one packed list: the places of its documents, how often each
 has the term, and with them the largest count and the shortest document, from which a bound of the term's weight
 follows whatever the mean length of the corpus becomes. Document frequencies are sums of list sizes and corpus totals sums over
 segments, so both are deltas that merge by addition. Segments of one size tier are merged when there are ``FAN`` of
@@ -18,6 +18,7 @@ The list of live segments is a small table of its own, replaced as a whole, so r
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -37,6 +38,8 @@ from holdfast.sources.workspace import remove_folder, subfolders
 
 # Documents of a shard, questions of a block, segments of a tier that are merged into one.
 SHARD_DOCS, BLOCK_QUERIES, FAN = 20_000, 512, 4
+# Postings of a shard: about 30 bytes each while it is made, whatever the length of the documents.
+SHARD_POSTINGS = 2_000_000
 LIVE = "segments"
 # Scores this close may be equal once they are rounded, and then the smaller id comes first.
 _ROUNDING = 2 * 10.0**-SCORE_DIGITS
@@ -60,53 +63,68 @@ def _shard_fields(doc_type: T.DataType) -> list[T.StructField]:
 _NAMES = ["shard", "term", "n", "places", "counts", "most", "shortest", "ids"]
 
 
-def _list_rows(shard: str, lists: dict[str, tuple[np.ndarray, np.ndarray]], lengths: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-    """The lists of a shard ordered by term, and one row with its documents: their lengths in ``counts``."""
-    terms = sorted(lists)
-    places, counts = ([np.asarray(lists[t][i], np.int32) for t in terms] for i in (0, 1))
+def _list_rows(shard: str, terms: list[str], sizes: np.ndarray, places: np.ndarray, counts: np.ndarray, lengths: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """The lists of a shard ordered by term, and one row with its documents: their lengths in ``counts``.
+
+    ``places`` and ``counts`` hold the lists of all terms one after the other, ``sizes`` how long each is; no object is made for a list.
+    """
     rows = len(terms) + 1
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = pa.py_buffer((4 * ends).astype(np.int32))
+    lists = (pa.Array.from_buffers(pa.binary(), len(terms), [None, at, pa.py_buffer(x)]) for x in (places, counts))
+    extremes = (np.maximum.reduceat(counts, ends[:-1]), np.minimum.reduceat(lengths[places], ends[:-1])) if terms else ([], [])
     offsets = pa.array([0] * rows + [len(ids)], pa.int32())
+    lasts = (pa.array([x], pa.binary()) for x in (None, lengths.tobytes()))
     return pa.RecordBatch.from_arrays(
         [
             pa.array([shard] * rows, pa.string()),
             pa.array([*terms, None], pa.string()),
-            pa.array([*map(len, places), len(ids)], pa.int64()),
-            pa.array([*(p.tobytes() for p in places), None], pa.binary()),
-            pa.array([*(c.tobytes() for c in counts), lengths.astype(np.int32).tobytes()], pa.binary()),
-            pa.array([*(int(c.max()) for c in counts), None], pa.int32()),
-            pa.array([*(int(lengths[p].min()) for p in places), None], pa.int32()),
+            pa.array(np.append(sizes, len(ids)), pa.int64()),
+            *(pa.concat_arrays([x, last]) for x, last in zip(lists, lasts, strict=True)),
+            *(pa.concat_arrays([pa.array(x, pa.int32()), pa.nulls(1, pa.int32())]) for x in extremes),
             pa.ListArray.from_arrays(offsets, ids),
         ],
         _NAMES,
     )
 
 
-def _build_shards(shard_docs: int):
-    """Rows (doc_id, words) to shards; a task starts a new one after ``shard_docs`` documents."""
+def _build_shards(shard_docs: int, shard_postings: int):
+    """Rows (doc_id, words) to shards; a task starts a new one after ``shard_docs`` documents or ``shard_postings`` postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        ids, lengths, lists = [], [], {}
+
+        def empty():
+            return [], array("i"), {}, array("i"), array("i"), array("i")
+
+        ids, lengths, numbers, of, places, counts = empty()
 
         def shard() -> pa.RecordBatch:
             kind = ids[0].type
-            packed = {t: (np.array(at, np.int32), np.array(n, np.int32)) for t, (at, n) in lists.items()}
-            return _list_rows(f"{task:06d}-{made:06d}", packed, np.array(lengths, np.int32), pa.concat_arrays([i.cast(kind) for i in ids]))
+            terms = sorted(numbers)
+            rank = np.empty(len(terms), np.int32)
+            rank[[numbers[t] for t in terms]] = np.arange(len(terms))
+            own = rank[np.frombuffer(of, np.int32)]
+            order = np.argsort(own, kind="stable")
+            place, count = (np.frombuffer(x, np.int32)[order] for x in (places, counts))
+            sizes = np.bincount(own, minlength=len(terms))
+            return _list_rows(f"{task:06d}-{made:06d}", terms, sizes, place, count, np.array(lengths, np.int32), pa.concat_arrays([i.cast(kind) for i in ids]))
 
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                some = batch.slice(low, 512)
+            for low in range(0, len(batch), 64):
+                some = batch.slice(low, 64)
                 for words in some.column(1).to_pylist():
                     at = len(lengths)
                     lengths.append(len(words))
-                    for term, n in Counter(words).items():
-                        places, counts = lists.setdefault(term, ([], []))
-                        places.append(at)
-                        counts.append(n)
+                    found = Counter(words)
+                    of.extend([numbers.setdefault(t, len(numbers)) for t in found])
+                    places.extend([at] * len(found))
+                    counts.extend(found.values())
                 ids.append(some.column(0))
-                if len(lengths) >= shard_docs:
+                if len(lengths) >= shard_docs or len(of) >= shard_postings:
                     yield shard()
-                    made, ids, lengths, lists = made + 1, [], [], {}
+                    made += 1
+                    ids, lengths, numbers, of, places, counts = empty()
         if lengths:
             yield shard()
 
@@ -114,12 +132,12 @@ def _build_shards(shard_docs: int):
 
 
 def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (to, term nulls first, shard): the documents of the shards first, then their lists."""
-    now, offsets, lengths, ids, lists = None, {}, [], [], {}
+    """Rows sorted by (to, term nulls first, shard): the documents of the shards first, then their lists in the order of the terms."""
+    now, offsets, lengths, ids, terms, sizes, places, counts = None, {}, [], [], [], [], bytearray(), bytearray()
 
     def merged() -> pa.RecordBatch:
-        packed = {t: (np.concatenate([p for p, _ in x]), np.concatenate([c for _, c in x])) for t, x in lists.items()}
-        return _list_rows(now, packed, np.concatenate(lengths), pa.concat_arrays(ids))
+        lists = (np.frombuffer(x, np.int32) for x in (places, counts))
+        return _list_rows(now, terms, np.array(sizes, np.int64), *lists, np.concatenate(lengths), pa.concat_arrays(ids))
 
     for batch in batches:
         names = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -127,14 +145,19 @@ def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if to != now:
                 if now is not None:
                     yield merged()
-                now, offsets, lengths, ids, lists = to, {}, [], [], {}
-            counts = np.frombuffer(names["counts"][row].as_py(), np.int32)
+                now, offsets, lengths, ids, terms, sizes, places, counts = to, {}, [], [], [], [], bytearray(), bytearray()
+            found = np.frombuffer(names["counts"][row].as_py(), np.int32)
             if term is None:
                 offsets[shard] = sum(map(len, lengths))
-                lengths.append(counts)
+                lengths.append(found)
                 ids.append(names["ids"][row].values)
-            else:
-                lists.setdefault(term, []).append((np.frombuffer(names["places"][row].as_py(), np.int32) + offsets[shard], counts))
+                continue
+            if not terms or terms[-1] != term:
+                terms.append(term)
+                sizes.append(0)
+            sizes[-1] += len(found)
+            places += (np.frombuffer(names["places"][row].as_py(), np.int32) + np.int32(offsets[shard])).tobytes()
+            counts += found.tobytes()
     if now is not None:
         yield merged()
 
@@ -186,15 +209,15 @@ class SegmentedIndex:
             return
         words = rows.select("doc_id", F.coalesce(word_array("_text"), F.array().cast("array<string>")).alias("words"))
         schema = T.StructType(_shard_fields(rows.schema["doc_id"].dataType))
-        words.mapInArrow(_build_shards(self.shard_docs), schema).write.parquet(self._path(segment, "shards"))
+        words.mapInArrow(_build_shards(self.shard_docs, SHARD_POSTINGS), schema).write.parquet(self._path(segment, "shards"))
         rows.drop("_text").write.parquet(self._path(segment, "documents"))
         self._publish([tuple(s) for s in segments] + [(segment, 0, n_docs, self._words_of(segment))])
         remove_folder(self.spark, self._path(segment, "rows"))
         self._merge_tiers()
 
     def _words_of(self, segment: str) -> int:
-        lists = self.spark.read.parquet(self._path(segment, "shards")).filter("term is not null").select("counts")
-        return int(lists.select(_total("counts").alias("t")).agg(F.sum("t")).first()[0] or 0)
+        lengths = self.spark.read.parquet(self._path(segment, "shards")).filter("term is null").select("counts")
+        return int(lengths.select(_total("counts").alias("t")).agg(F.sum("t")).first()[0] or 0)
 
     def _merge_tiers(self) -> None:
         """Put the segments of a tier together while there are ``fan`` of them."""
@@ -207,8 +230,12 @@ class SegmentedIndex:
             some = [s for s in segments if s["tier"] == full]
             merged = f"s-{uuid.uuid4().hex}"
             shards = self._read("shards", some).withColumn("shard", F.concat_ws("/", "segment", "shard"))
-            sizes = shards.filter("term is null").select("shard", "n")
-            # Shards are put together in the order of their names until the documents of one are full; a window over few rows:
+            held = F.col("term").isNull()
+            sizes = shards.groupBy("shard").agg(F.sum(F.when(held, F.col("n"))).alias("docs"), F.sum(F.when(~held, F.col("n"))).alias("postings"))
+            # Documents, or as many as stand for the postings.
+            full_by = F.ceil(F.coalesce("postings", F.lit(0)) * self.shard_docs / SHARD_POSTINGS).cast("bigint")
+            sizes = sizes.select("shard", F.greatest("docs", full_by).alias("n"))
+            # Shards are put together in the order of their names until the documents or postings of one are full; a window over few rows:
             # one for each shard of the segments that are merged.
             upto = F.sum("n").over(Window.orderBy("shard"))
             to = F.format_string("m-%08d", F.floor((upto - 1) / self.shard_docs).cast("int"))
