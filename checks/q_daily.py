@@ -160,12 +160,13 @@ def stream_snapshot(d):
     ),
 )
 def stream_index(d):
-    """The search index after three streamed files, none of which reads the postings of another."""
+    """The search index after three streamed batches of files, none of which reads the postings of another."""
     docs, customer = d.table("documents"), d.table("customer")
     files = fresh_dir(d.spark, "files")
     for part in range(3):
-        docs.filter(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(files)
-    source = d.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(files)
+        docs.filter(F.pmod("doc_id", F.lit(3)) == part).write.mode("append").parquet(files)
+    a_third = max(1, -(-len(d.spark.read.parquet(files).inputFiles()) // 3))
+    source = d.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", a_third).parquet(files)
     tables = d.tables("stream-index")
     index = SegmentedIndex(tables, "interaction_id", "search_text", ["churn_signal"])
     maintain(source, tables, RULES, fresh_dir(d.spark, "index-state"), prepare=lambda batch: interactions_from(batch, customer), index=index).awaitTermination()

@@ -32,6 +32,12 @@ def new_in_batch(batch: DataFrame, done: DataFrame, key: str = "interaction_id")
     return batch.join(known, key, "left_anti")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    path = fresh_dir(rows.sparkSession, "batch")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def batch_step(
     tables: Tables,
     rules: TextRules,
@@ -52,12 +58,12 @@ def batch_step(
             rows = new_in_batch(rows, tables.read(INSIGHTS))
         else:
             rows = one_per_key(rows, "interaction_id")
+        if index is not None:
+            rows = _written(rows)  # each key once; the insights and every step of the index read the same rows
         enriched = enrich(rows, rules).withColumn("enriched_at", stamp(clock()))
         if index is not None:
-            path = fresh_dir(tables.spark, "batch")
-            enriched.write.parquet(path)
-            enriched = tables.spark.read.parquet(path)
-            index.add(search_documents(one_per_key(rows, "interaction_id"), enriched))
+            enriched = _written(enriched)
+            index.add(_written(search_documents(rows, enriched)))
         tables.append(INSIGHTS, enriched)
         if as_of is not None:
             refresh(tables, as_of() if callable(as_of) else as_of)
