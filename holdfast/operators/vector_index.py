@@ -29,6 +29,8 @@ SAMPLE_ROWS, MOST_CELLS, ROUNDS = 65_536, 4_096, 8
 TRIAL_QUERIES = 256
 # Vectors of a cell and questions that one task compares at a time.
 PART_ROWS, BLOCK_ROWS = 8_192, 1_024
+# Scores that a task holds at a time: 8 MB.
+_SCORES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -86,8 +88,10 @@ def _assign(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("embedding")
-            cell = (_unit(_matrix(batch.column(at))) @ centres.T).argmax(axis=1) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *batch.columns], ["cell", *batch.schema.names])
+            for low in range(0, len(batch), BLOCK_ROWS):  # the distances of a block to all centres are what a task holds
+                some = batch.slice(low, BLOCK_ROWS)
+                cell = (_unit(_matrix(some.column(at))) @ centres.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *some.columns], ["cell", *batch.schema.names])
 
     return run
 
@@ -146,11 +150,13 @@ def _nearest_cells(centres: np.ndarray, probes: int):
             for low in range(0, len(batch), BLOCK_ROWS):
                 some = batch.slice(low, BLOCK_ROWS)
                 scores = _unit(_matrix(some.column(1))) @ centres.T
-                cell = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-                rows = pa.array(np.repeat(np.arange(len(some)), cell.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(rows), some.column(1).take(rows), pa.array(cell.ravel().astype(np.int32))], ["query_id", "embedding", "cell"]
-                )
+                cell = np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                own = np.repeat(np.arange(len(some)), cell.shape[1])
+                for first in range(0, len(own), PART_ROWS):  # a question is copied to each of its cells, so copies leave in parts
+                    rows = pa.array(own[first : first + PART_ROWS])
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0).take(rows), some.column(1).take(rows), pa.array(cell.ravel()[first : first + PART_ROWS])], ["query_id", "embedding", "cell"]
+                    )
 
     return run
 
@@ -158,17 +164,16 @@ def _nearest_cells(centres: np.ndarray, probes: int):
 def _best_in_parts(k: int, names: list[str]):
     """Rows sorted by (cell, part, kind): the vectors of a part, then questions; the ``k`` best vectors of the part for each."""
 
-    def best(asked: list[pa.RecordBatch], held: pa.Table, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        questions = pa.Table.from_batches(asked)
-        order = np.argsort(held["vec_id"].to_numpy(), kind="stable")
-        for low in range(0, len(questions), BLOCK_ROWS):
-            some = questions.slice(low, BLOCK_ROWS)
-            scores = np.round(_unit(_matrix(some["embedding"])) @ rows[order].T, SCORE_DIGITS)
+    def best(questions: pa.RecordBatch, held: pa.Table, order: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, min(BLOCK_ROWS, _SCORES // len(rows)))
+        for low in range(0, len(questions), at_once):
+            some = questions.slice(low, at_once)
+            scores = np.round(_unit(_matrix(some.column("embedding"))) @ rows.T, SCORE_DIGITS)
             first = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ties to the smaller id
             q = np.repeat(np.arange(len(some)), first.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [
-                    some["query_id"].take(pa.array(q)).combine_chunks(),
+                    some.column("query_id").take(pa.array(q)),
                     held["vec_id"].take(pa.array(order[first.ravel()])).combine_chunks(),
                     pa.array(scores[q, first.ravel()]),
                 ],
@@ -176,13 +181,7 @@ def _best_in_parts(k: int, names: list[str]):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, vectors, asked = None, [], []
-
-        def finish():
-            if vectors and asked:
-                held = pa.Table.from_batches(vectors)
-                yield from best(asked, held, _unit(_matrix(held["embedding"])))
-
+        now, vectors, ready = None, [], None
         for batch in batches:
             cell, part, kind = (batch.column(i).to_numpy() for i in range(3))
             change = (np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)
@@ -191,10 +190,16 @@ def _best_in_parts(k: int, names: list[str]):
                 if lo == hi:
                     continue
                 if (cell[lo], part[lo]) != now:
-                    yield from finish()
-                    now, vectors, asked = (cell[lo], part[lo]), [], []
-                (vectors if kind[lo] == 0 else asked).append(batch.slice(lo, hi - lo))
-        yield from finish()
+                    now, vectors, ready = (cell[lo], part[lo]), [], None
+                some = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    vectors.append(some)
+                elif vectors:  # the vectors of a part come first; questions are answered as they arrive, never gathered
+                    if ready is None:
+                        held = pa.Table.from_batches(vectors)
+                        order = np.argsort(held["vec_id"].to_numpy(), kind="stable")
+                        ready = held.select(["vec_id"]), order, _unit(_matrix(held["embedding"]))[order]
+                    yield from best(some, *ready)
 
     return run
 

@@ -13,8 +13,9 @@ from holdfast.functions.columns import exact_avg
 from holdfast.operators.pick import top_per_key
 
 SCORE_DIGITS = 6
-# Vectors of a shard and queries of a block: their scores, 64 MB, are what a task holds at a time.
+# Vectors of a shard, queries of a block, and the scores, 8 MB, that a task holds at a time.
 SHARD_ROWS, BLOCK_ROWS = 8_192, 1_024
+_SCORES = 1 << 20
 
 
 def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> DataFrame:
@@ -82,14 +83,17 @@ def _best_of_shards(k: int, digits: int):
                     continue
                 if not len(ids) or not len(names):
                     continue
-                scores = np.round(matrix @ rows.T, digits)
-                kth = np.partition(scores, max(len(names) - k, 0), axis=1)[:, max(len(names) - k, 0)]
-                q, at = np.nonzero(scores >= kth[:, None])  # with all that tie at the last place
-                best = np.lexsort((at, -scores[q, at], q))
-                q, at = q[best], at[best]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                q, at = q[place < k], at[place < k]
-                yield pd.DataFrame({"query_id": [ids[i] for i in q], "vec_id": list(names[at]), "score": scores[q, at]})
+                at_once = max(1, _SCORES // len(names))
+                for low in range(0, len(ids), at_once):
+                    some = ids[low : low + at_once]
+                    scores = np.round(matrix[low : low + at_once] @ rows.T, digits)
+                    kth = np.partition(scores, max(len(names) - k, 0), axis=1)[:, max(len(names) - k, 0)]
+                    q, at = np.nonzero(scores >= kth[:, None])  # with all that tie at the last place
+                    best = np.lexsort((at, -scores[q, at], q))
+                    q, at = q[best], at[best]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, at = q[place < k], at[place < k]
+                    yield pd.DataFrame({"query_id": [some[i] for i in q], "vec_id": list(names[at]), "score": scores[q, at]})
 
     return run
 
