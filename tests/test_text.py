@@ -5,12 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from domain import rows
 from pyspark.sql import functions as F
 
 from holdfast.functions import text as X
-from holdfast.operators import enrichment, search, vectors
+from holdfast.operators import enrichment, search, segments, vector_index, vectors
 from holdfast.operators.segments import SegmentedIndex, ShardLists
 from holdfast.operators.vector_index import add_vectors, approximate_search, build_vector_index, probe_report, recall_against
 from holdfast.sources.tables import Tables
@@ -205,3 +206,30 @@ def test_first_mention_searches_a_text_once_for_all_names(spark):
     texts = ["tata aig, not acko", "xacko acko2 digit.", "tata-aig tata aig", "sbi general", "ackodigit", "", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", column.alias("n")).orderBy("i").collect()
     assert [r["n"] for r in rows] == ["Tata AIG", "digit", "Tata", "SBI General", None, None, None]
+
+
+def test_a_shard_is_full_after_so_many_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "SHARD_POSTINGS", 40)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 13)) + " the the") for i in range(400)], "id int, text string").coalesce(1)
+    index = segments.SegmentedIndex(Tables(spark, str(tmp_path)), "id", "text", fan=2)
+    for part in range(2):
+        index.add(docs.filter(F.col("id") % 2 == part))
+    assert len(index.segments()) == 1  # merged
+    held = index.lists().groupBy("shard").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("n"))).alias("n")).collect()
+    assert len(held) >= 6 and max(r["n"] for r in held) <= 64 * 13  # checked every 64 documents
+    want = search.postings(docs, "id", "text").select("doc_id", "term", "tf", "length")
+    assert Counter(map(tuple, index.postings().collect())) == Counter(map(tuple, want.collect()))
+    assert index.corpus().n_words == 400 * 14
+
+
+def test_copies_of_a_question_and_distances_leave_in_bounded_parts():
+    random = np.random.default_rng(3)
+    centres = random.normal(size=(600, 4))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(random.normal(size=(3000, 4)).tolist())], ["query_id", "embedding"])
+    sent = list(vector_index._nearest_cells(centres, 500)([rows]))
+    assert max(map(len, sent)) <= vector_index.PART_ROWS and sum(map(len, sent)) == 3000 * 500
+    first = pa.Table.from_batches(sent).slice(0, 500)
+    assert first["query_id"].to_pylist() == [0] * 500 and len(set(first["cell"].to_pylist())) == 500
+    placed = list(vector_index._assign(centres)([rows]))
+    assert max(map(len, placed)) <= vector_index.BLOCK_ROWS and pa.Table.from_batches(placed)["query_id"].to_pylist() == list(range(3000))
+    assert pa.Table.from_batches(placed)["cell"][0] == first["cell"][0]
