@@ -61,7 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of each row."""
-    return token_digests(docs, vocabulary_path())
+    with small_batches(spark):
+        return stored(token_digests(docs, vocabulary_path()), "corpus-tokens")
 
 
 STAGES = [

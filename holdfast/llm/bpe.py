@@ -100,10 +100,12 @@ class PairRanks:
     """Rank and merged id of symbol pairs, looked up for many pairs at once."""
 
     def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
-        rows = sorted((a << 32 | b, rank) for (a, b), (rank, _) in merges.items())
-        self.pairs = np.array([*(x for x, _ in rows), (1 << 63) - 1], np.int64)
-        self.ranks = np.array([*(r for _, r in rows), 0], np.int64)
-        self.merged = np.zeros(max((r for _, r in rows), default=0) + 1, np.int64)
+        pairs = np.fromiter((a << 32 | b for a, b in merges), np.int64, len(merges))
+        ranks = np.fromiter((rank for rank, _ in merges.values()), np.int64, len(merges))
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], (1 << 63) - 1)
+        self.ranks = np.append(ranks[order], 0)
+        self.merged = np.zeros(int(ranks.max(initial=0)) + 1, np.int64)
         for rank, token in merges.values():
             self.merged[rank] = token
 
@@ -213,7 +215,9 @@ class BytePairs:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (vocab | self.special).items()}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        library = Tokenizer.from_file(path)
+        # The library needs no vocabulary for these two; without it, reading takes neither its time nor its memory.
+        model = {**model, "vocab": {}, "merges": []}
+        library = Tokenizer.from_str(json.dumps({**spec, "model": model, "added_tokens": [], "post_processor": None}))
         self._normalise, self._cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self._runs, self._pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
 

@@ -247,3 +247,13 @@ def test_empty_pipeline(spark, no_docs, labels):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_tokens_are_stored_in_small_batches(spark, tmp_path, monkeypatch):
+    batches, plain = [], corpus_pipeline.token_digests
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "token_digests", lambda *a: batches.append(spark.conf.get(corpus_pipeline._SETTING)) or plain(*a))
+    made = corpus_pipeline.encode(spark, docs, str(tmp_path))
+    assert batches == [corpus_pipeline.BATCH_ROWS] and spark.conf.get(corpus_pipeline._SETTING) != corpus_pipeline.BATCH_ROWS
+    # The rows are written while the setting holds; reading them runs no Python.
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 2

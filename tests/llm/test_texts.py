@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from tokenizers import Tokenizer
 
+from holdfast.llm import bpe
 from holdfast.llm.bpe import BytePairs, decode_column, encode_column, merge_symbols, token_digests
 from holdfast.llm.main_text import main_text, main_texts
 from holdfast.llm.pii import find_spans, masked, personal_data
@@ -285,3 +286,18 @@ def test_threshold_parts_the_classes():
 
     p, y = np.array([0.9, 0.8, 0.3, 0.1, 0.05]), np.array([1.0, 1, 1, 0, 0])
     assert 0.25 <= best_threshold(p, y) < 0.3 and best_threshold(p, y * 0) == 0.5
+
+
+def test_the_library_gets_no_vocabulary(monkeypatch):
+    sizes, plain = [], bpe.Tokenizer.from_str
+
+    class Watched:
+        from_str = staticmethod(lambda text: sizes.append(len(text)) or plain(text))
+
+    monkeypatch.setattr(bpe, "Tokenizer", Watched)
+    pairs = BytePairs(vocabulary_path())
+    assert max(sizes) < 10_000 and len(pairs.merges) > 10_000
+    want = Tokenizer.from_file(vocabulary_path())
+    want.no_padding(), want.no_truncation()
+    for text in ("Don't stop, 42 times!", "été Ångström <|endoftext|> x", "", "naïve 中文 text..."):
+        assert pairs.encode(text) == want.encode(text, add_special_tokens=False).ids
