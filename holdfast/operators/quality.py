@@ -136,20 +136,25 @@ def insight_checks(insights: DataFrame, interactions: DataFrame) -> DataFrame:
 
 def claim_reference_checks(recommendations: DataFrame, claims: DataFrame, insights: DataFrame) -> DataFrame:
     """Escalations need a pending claim; reviews need a rejected claim and a complaint."""
-
-    def without(code: str, evidence: DataFrame) -> DataFrame:
-        chosen = recommendations.filter(F.col("action_code") == code)
-        return chosen.join(evidence.select("customer_id").distinct(), "customer_id", "left_anti")
-
-    pending = claims.filter(F.col("status") == "Pending")
-    rejected = claims.filter(F.col("status") == "Rejected")
-    always = F.lit(True)
-    return union_all(
-        [
-            counted(without("CLAIM_ESCALATION", pending), {"escalation has pending claim": always}),
-            counted(without("CLAIM_REVIEW", rejected), {"review has rejected claim": always}),
-            counted(without("CLAIM_REVIEW", complaints(insights)), {"review has complaint": always}),
-        ]
+    c, none = F.col, F.lit(False)
+    status = c("status")
+    claimed = (
+        claims.filter(status.isin("Pending", "Rejected"))
+        .groupBy("customer_id")
+        .agg(F.max(status == "Pending").alias("_pending"), F.max(status == "Rejected").alias("_rejected"))
+    )
+    complained = complaints(insights).select("customer_id").distinct().withColumn("_complained", F.lit(True))
+    # Every evidence has one row a customer, so each recommendation meets all of it once and is counted once.
+    chosen = recommendations.filter(c("action_code").isin("CLAIM_ESCALATION", "CLAIM_REVIEW")).select("customer_id", "action_code")
+    seen = chosen.join(claimed, "customer_id", "left").join(complained, "customer_id", "left")
+    escalation, review = (c("action_code") == code for code in ("CLAIM_ESCALATION", "CLAIM_REVIEW"))
+    return counted(
+        seen,
+        {
+            "escalation has pending claim": escalation & ~F.coalesce("_pending", none),
+            "review has rejected claim": review & ~F.coalesce("_rejected", none),
+            "review has complaint": review & ~F.coalesce("_complained", none),
+        },
     )
 
 

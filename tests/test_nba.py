@@ -174,3 +174,20 @@ def test_callbacks_continue_the_ids(spark):
     found = nba.daily_callbacks(scored, inputs.insights, known).orderBy("recommendation_id").collect()
     assert [(r.recommendation_id, r.customer_id) for r in found] == [("NBA00042", "C1"), ("NBA00043", "C3")]
     assert rows(spark, "claims").count() == 0
+
+
+def test_claim_references_read_each_evidence_once(spark, tmp_path):
+    claims = [("C1", "Pending"), ("C2", "Rejected"), ("C2", "Pending"), (None, "Pending"), ("C3", "Settled")]
+    spark.createDataFrame(claims, "customer_id string, status string").write.parquet(str(tmp_path / "claims"))
+    insights = spark.createDataFrame([("C2", "complaint", "claim_delay"), ("C1", "general", "none")], "customer_id string, primary_intent string, churn_signal string")
+    chosen = [("C1", "CLAIM_ESCALATION"), ("C3", "CLAIM_ESCALATION"), ("C3", "CLAIM_ESCALATION"), (None, "CLAIM_ESCALATION")]
+    chosen += [("C2", "CLAIM_REVIEW"), ("C1", "CLAIM_REVIEW"), (None, "CLAIM_REVIEW"), ("C3", "PAYMENT_PLAN")]
+    made = Q.claim_reference_checks(
+        spark.createDataFrame(chosen, "customer_id string, action_code string"), spark.read.parquet(str(tmp_path / "claims")), insights
+    )
+    assert {r.check: (r.expected, r.actual, r.passed) for r in made.collect()} == {
+        "escalation has pending claim": (0, 3, False),
+        "review has rejected claim": (0, 2, False),
+        "review has complaint": (0, 2, False),
+    }
+    assert made._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1
