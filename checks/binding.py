@@ -81,11 +81,25 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str, first: bool) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, first: bool, **columns: Column) -> DataFrame:
+    """Lines with their customer, ``line_key``, quantity, date, amount and ``columns``.
+
+    What a line says by itself is worked out before the join, so dates, whole numbers and cents are shuffled instead of the raw doubles.
+    """
     line = F.col("l_linenumber")
-    lines = table(spark, sf_dir, "lineitem").filter(line == 1 if first else line > 1)
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .filter(line == 1 if first else line > 1)
+        .select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
+            F.col("l_quantity").cast("int").alias("quantity"),
+            F.col("l_shipdate").cast("date").alias("line_date"),
+            money("l_extendedprice").alias("line_amount"),
+            *[c.alias(name) for name, c in columns.items()],
+        )
+    )
     owner = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("customer_id"))
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity")
     return lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("line_key", key)
 
 
@@ -97,28 +111,28 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(flag == "A", "Settled")
         .otherwise("Approved")
     )
-    rows = _lines(spark, sf_dir, first=True).withColumn("status", status)
-    amount = money("l_extendedprice")
-    return rows.select(
+    amount, day, qty = F.col("line_amount"), F.col("line_date"), F.col("quantity")
+    return _lines(spark, sf_dir, first=True, status=status).select(
         F.col("line_key").alias("claim_id"),
         F.col("l_orderkey").alias("policy_id"),
         "customer_id",
-        F.col("l_shipdate").cast("date").alias("claim_date"),
+        day.alias("claim_date"),
         amount.alias("claim_amount"),
         F.when(F.col("status").isin("Settled", "Approved"), amount).alias("approved_amount"),
         "status",
         F.concat("l_returnflag", "l_linestatus").alias("category"),
-        F.when(F.col("status") != "Pending", F.date_add(F.col("l_shipdate").cast("date"), qty.cast("int"))).alias("resolution_date"),
-        F.when(F.col("status") == "Rejected", F.concat(F.lit("quantity "), qty.cast("int").cast("string"))).alias("rejection_reason"),
+        F.when(F.col("status") != "Pending", F.date_add(day, qty)).alias("resolution_date"),
+        F.when(F.col("status") == "Rejected", F.concat(F.lit("quantity "), qty.cast("string"))).alias("rejection_reason"),
     )
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = (F.col("l_tax") >= 0.07) & (F.col("l_discount") >= 0.08)
-    due, amount = F.col("l_shipdate").cast("date"), money("l_extendedprice")
+    fee = F.when(late, money(F.round(money("l_extendedprice") * F.lit(Decimal("0.05")), 2))).otherwise(F.lit(0).cast("decimal(12,2)"))
+    due, amount = F.col("line_date"), F.col("line_amount")
     return (
-        _lines(spark, sf_dir, first=False)
-        .withColumn("status", F.when(late, "Overdue").otherwise("Paid"))
+        _lines(spark, sf_dir, first=False, late=late, late_fee=fee)
+        .withColumn("status", F.when(F.col("late"), "Overdue").otherwise("Paid"))
         .select(
             F.col("line_key").alias("payment_id"),
             F.col("l_orderkey").alias("policy_id"),
@@ -128,9 +142,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
             amount.alias("amount"),
             "status",
             F.col("l_returnflag").alias("payment_method"),
-            F.when(F.col("status") == "Overdue", money(F.round(amount * F.lit(Decimal("0.05")), 2)))
-            .otherwise(F.lit(0).cast("decimal(12,2)"))
-            .alias("late_fee"),
+            "late_fee",
         )
     )
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from domain import rows
 from pyspark.sql import functions as F
 
+from checks import binding
 from holdfast import schemas
 from holdfast.functions import columns as C
 from holdfast.operators.writeback import fill_missing
@@ -96,3 +98,31 @@ def test_empty_selection_keeps_everything(spark):
     df = spark.createDataFrame([("a",), ("b",)], "s string")
     assert C.multi_filter(df, {"s": []}).count() == 2
     assert C.multi_filter(df, {"s": ["a"]}).count() == 1
+
+
+def test_lines_are_worked_out_before_they_are_joined(spark, tmp_path):
+    lines = [(1, 5, 6, 1, 30.0, 100.25, 0.08, 0.07, "R", "F"), (1, 5, 6, 2, 3.0, 100.25, 0.08, 0.07, "N", "O"), (2, 5, 6, 1, 41.0, 9.999, 0.0, 0.0, "N", "O")]
+    lines += [(2, 5, 7, 2, 2.0, 50.0, 0.08, 0.06, "A", "F"), (3, 5, 7, 2, 2.0, None, None, 0.07, "A", "F"), (9, 5, 7, 2, 2.0, 1.0, 0.0, 0.0, "A", "F")]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    shipped = F.lit("2001-05-03 00:00:00").cast("timestamp_ntz").alias("l_shipdate")
+    spark.createDataFrame(lines, names).select("*", shipped).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 10), (2, 20), (3, None)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    day, day_after = dt.date(2001, 5, 3), dt.date(2001, 6, 2)
+    claims = sorted(tuple(r) for r in binding.claims(spark, str(tmp_path)).collect())
+    assert claims == [
+        ("1-1-5-6-30", 1, 10, day, Decimal("100.25"), None, "Rejected", "RF", day_after, "quantity 30"),
+        ("2-1-5-6-41", 2, 20, day, Decimal("10.00"), None, "Pending", "NO", None, None),
+    ]
+    paid = binding.payments(spark, str(tmp_path))
+    assert sorted((r.payment_id, r.customer_id, r.due_date, r.paid_date, r.amount, r.status, r.late_fee) for r in paid.collect()) == [
+        ("1-2-5-6-3", 10, day, None, Decimal("100.25"), "Overdue", Decimal("5.01")),
+        ("2-2-5-7-2", 20, day, day, Decimal("50.00"), "Paid", Decimal("0.00")),
+        ("3-2-5-7-2", None, day, day, None, "Paid", Decimal("0.00")),
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = binding.payments(spark, str(tmp_path)).groupBy("customer_id").agg(F.sum("late_fee"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    over_join = plan[: plan.index("Join Inner")]
+    assert not any(c in over_join for c in ("l_tax", "l_discount", "l_extendedprice"))
