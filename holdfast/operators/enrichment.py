@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from holdfast.functions import text as X
 from holdfast.functions.columns import col, contains_any, is_blank, known_or
 from holdfast.schemas import CHURN_SIGNALS, INTENTS
-from holdfast.sources.workspace import spread
+from holdfast.sources.workspace import spread, written_keys
 
 INSIGHT_COLUMNS = (
     "interaction_id", "customer_id", "channel", "direction", "interaction_ts", "sentiment_score", "sentiment_label",
@@ -27,6 +27,12 @@ def unprocessed(interactions: DataFrame, done: DataFrame, key: str = "interactio
     return interactions.join(done.select(key), key, "left_anti")
 
 
+def unprocessed_rows(interactions: DataFrame, done: DataFrame, key: str = "interaction_id") -> DataFrame:
+    """The same rows with all their columns, found by key first: only keys are shuffled, and a few new ones are broadcast to the texts."""
+    new = written_keys(unprocessed(interactions.select(key), done, key).distinct()).withColumnRenamed(key, "_new")
+    return interactions.join(new, F.col(key).eqNullSafe(F.col("_new")), "left_semi")
+
+
 def with_text(interactions: DataFrame) -> DataFrame:
     return interactions.filter(~is_blank("content"))
 
@@ -79,8 +85,9 @@ def extract(texts: DataFrame, rules: X.TextRules, content: str = "content") -> D
 
 def enrich(interactions: DataFrame, rules: X.TextRules, done: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Insights for every interaction with text that is not done yet; ``partitions`` spreads a few large files."""
-    todo = with_text(interactions if done is None else unprocessed(interactions, done))
-    todo = spread(todo.drop("sentiment_score", "summary"), "interaction_id", partitions)
+    todo = interactions if done is None else unprocessed(interactions, done)
+    # Split sizes are looked at before the filter, which would read the texts.
+    todo = with_text(spread(todo.drop("sentiment_score", "summary"), "interaction_id", partitions))
     raw = F.to_json(
         F.struct(
             F.col("primary_intent").alias("intent"),

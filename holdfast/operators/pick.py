@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.operators.ids import dense_numbers
 from holdfast.operators.skew import join_to_unique
+from holdfast.sources.workspace import written_keys
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -44,10 +45,11 @@ def last_n_array(df: DataFrame, key: str, order: Sequence[Column], item: Column,
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """Each key once: of rows that share it the smallest in the order of the columns.
 
-    Only keys that repeat are gathered, with partial minima; all other rows pass as they are.
+    Only keys that repeat are gathered, with partial minima; all other rows pass as they are. The repeated keys are written
+    first, so that a few of them are broadcast and no row moves.
     """
     others = [c for c in df.columns if c != key]
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    repeated = written_keys(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key))
     least = df.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
     return df.join(repeated, key, "left_anti").unionByName(least.select(key, "_row.*").select(*df.columns))
 

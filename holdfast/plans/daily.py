@@ -14,7 +14,7 @@ from holdfast.functions.columns import as_date, day_start, days_between, is_blan
 from holdfast.functions.text import TextRules
 from holdfast.operators import nba
 from holdfast.operators.customer360 import DELAY_DAYS, RECENT_DAYS, customer_360
-from holdfast.operators.enrichment import enrich, unprocessed
+from holdfast.operators.enrichment import enrich, unprocessed, unprocessed_rows
 from holdfast.operators.scorecard import LEVELS, score_customers
 from holdfast.operators.pick import one_per_key
 from holdfast.operators.writeback import fill_missing, replace_rows
@@ -135,8 +135,9 @@ def enrich_new(tables: Tables, rules: TextRules, now: dt.datetime) -> DataFrame:
     """Enrich and append what is new, each interaction once; returns the stored insights."""
     done = tables.read(INSIGHTS) if tables.exists(INSIGHTS) else None
     raw = tables.read("interactions")
-    todo = one_per_key(raw if done is None else unprocessed(raw, done), "interaction_id")
-    return tables.append(INSIGHTS, enrich(todo, rules).withColumn("enriched_at", stamp(now)))
+    todo = one_per_key(raw if done is None else unprocessed_rows(raw, done), "interaction_id")
+    partitions = tables.spark.sparkContext.defaultParallelism
+    return tables.append(INSIGHTS, enrich(todo, rules, partitions=partitions).withColumn("enriched_at", stamp(now)))
 
 
 def snapshot_state(tables: Tables) -> tuple[str | None, dict[str, str]]:
@@ -230,10 +231,10 @@ def run_daily(
     entry = {"run_id": run_id_of(now), "run_start": now, "new_interactions": 0, "enriched_count": 0, "nba_generated": 0}
     errors, details = [], []
 
-    raw = tables.read("interactions")
+    # Blank transcripts can never be enriched, so they are not counted as new work. Keys and marks meet the insights, never texts.
+    raw = tables.read("interactions").select("interaction_id", is_blank("content").alias("blank"))
     todo = unprocessed(raw, tables.read(INSIGHTS)) if tables.exists(INSIGHTS) else raw
-    # Blank transcripts can never be enriched, so they are not counted as new work.
-    sizes = todo.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~is_blank("content")).alias("texts")).first()
+    sizes = todo.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("blank")).alias("texts")).first()
     texts, blank = sizes["texts"], sizes["rows"] - sizes["texts"]
     entry["new_interactions"] = texts
     if _nothing_to_do(tables, texts):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -66,11 +67,21 @@ def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
 
     Large tables have enough splits; shuffling them would only move the texts.
     """
-    return df.repartition(partitions, key) if partitions else df
+    return df.repartition(partitions, key) if partitions and not evenly_split(df, partitions) else df
+
+
+def evenly_split(df: DataFrame, partitions: int) -> bool:
+    """Whether no split of a table holds more than twice its share of the rows for so many tasks.
+
+    No column is read; over stored files the row counts come from their footers.
+    """
+    splits = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("rows"))
+    found = splits.agg(F.max("rows").alias("most"), F.sum("rows").alias("all")).first()
+    return found["all"] is None or found["most"] * partitions <= 2 * found["all"]
 
 
 def written_keys(keys: DataFrame) -> DataFrame:
     """Keys written first: every use reads the same ones, and their size is known when the joins are planned."""
-    path = fresh_dir(keys.sparkSession, "affected")
+    path = fresh_dir(keys.sparkSession, "keys")
     keys.write.parquet(path)
     return keys.sparkSession.read.parquet(path)

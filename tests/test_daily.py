@@ -7,10 +7,13 @@ from domain import AS_OF, days_ago, facts, rows
 from pyspark.sql import functions as F
 
 from holdfast.functions.text import INSURANCE_RULES
+from holdfast.operators import enrichment
 from holdfast.operators import quality as Q
+from holdfast.operators.pick import one_per_key
 from holdfast.operators.scorecard import score_customers
 from holdfast.plans import daily
 from holdfast.sources.tables import Tables
+from holdfast.sources.workspace import spread
 from holdfast.streaming.refresh import batch_step, maintain
 
 TEXTS = [
@@ -229,3 +232,35 @@ def test_stream_maintains_insights_and_snapshot(spark, tmp_path):
     # A replayed batch adds nothing.
     batch_step(store, INSURANCE_RULES, AS_OF)(calls(spark, 25), 0)
     assert store.read(daily.INSIGHTS).count() == 20
+
+
+def joined_by_shuffle(df):
+    """Whether the plan sorts both sides of a join, so that rows with all their columns move."""
+    return "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_keys_move_to_find_new_rows(spark, tmp_path):
+    store = Tables(spark, str(tmp_path))
+    many = calls(spark, 400).withColumn("content", F.concat("content", F.lit(" "), F.sha2("interaction_id", 512)))
+    raw = store.replace("interactions", many.unionByName(many.limit(3)).unionByName(many.limit(1).withColumn("interaction_id", F.lit(None).cast("string"))))
+    done = store.replace("done", many.filter("interaction_id < 'I0390' and interaction_id <> 'I0001'"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")  # the texts are larger, a few keys are smaller
+    try:
+        new = enrichment.unprocessed_rows(raw, done)
+        once = one_per_key(new, "interaction_id")
+        assert not joined_by_shuffle(new) and not joined_by_shuffle(once)
+        want = sorted([*(f"I{i:04d}" for i in range(390, 400)), *["I0001"] * 2, ""])
+        assert sorted(r.interaction_id or "" for r in new.collect()) == want
+        assert sorted(r.interaction_id or "" for r in once.collect()) == sorted({*want})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_even_splits_are_not_shuffled(spark, tmp_path):
+    even, uneven = str(tmp_path / "even"), str(tmp_path / "uneven")
+    spark.range(0, 8000, 1, 8).write.parquet(even)
+    spark.range(0, 8000, 1, 8).coalesce(1).write.parquet(uneven)
+    assert "Exchange" not in spread(spark.read.parquet(even), "id", 2)._jdf.queryExecution().executedPlan().toString()
+    assert spread(spark.read.parquet(uneven), "id", 8).rdd.getNumPartitions() == 8
+    assert spread(spark.read.parquet(even).limit(0), "id", 4).count() == 0
