@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from holdfast.llm.common import id_and_text, tidy, utf8
+from holdfast.llm.common import id_and_text, release_memory, tidy, utf8
 
 _NONE = 1 << 60
 # Runs between white space, and pre-tokens, that a generation of a worker's memory holds; the bytes of text handled at a time.
-REMEMBERED = 80_000
-SLICE_BYTES = 2_000_000
+REMEMBERED = 60_000
+SLICE_BYTES = 1_000_000
+# Short pre-tokens whose trees stand in arrays at a time.
+TREES = 1 << 12
 
 
 def byte_symbols() -> list[str]:
@@ -240,10 +242,8 @@ class BytePairs:
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """The ids of each pre-token: short ones many at a time, long ones one by one."""
         out = {}
-        for low, width in ((0, 8), (8, 16), (16, 32)):
-            some = [w for w in words if low < len(w) <= width]
-            if not some:
-                continue
+        by_width = [(width, [w for w in words if low < len(w) <= width]) for low, width in ((0, 8), (8, 16), (16, 32))]
+        for width, some in ((width, of[i : i + TREES]) for width, of in by_width for i in range(0, len(of), TREES)):
             lengths = np.array([*map(len, some)])
             data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in some]), np.uint8).reshape(-1, width)
             symbols = self._inner[data]
@@ -319,7 +319,9 @@ class BytePairs:
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> BytePairs:
     """One vocabulary a worker. A relative path names a file sent with ``SparkContext.addFile``."""
-    return BytePairs(path if path.startswith("/") else SparkFiles.get(path))
+    pairs = BytePairs(path if path.startswith("/") else SparkFiles.get(path))
+    release_memory()  # what reading the file took
+    return pairs
 
 
 def _digests(path: str):
