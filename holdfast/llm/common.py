@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,19 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
     return (t or b"" for t in in_slices(column.cast(pa.binary())))
 
 
+def some_texts(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts): the texts of an Arrow column as UTF-8, about ``size`` bytes at a time."""
+    some, held, first = [], 0, 0
+    for text in utf8(column):
+        some.append(text)
+        held += len(text)
+        if held >= size:
+            yield first, some
+            first, some, held = first + len(some), [], 0
+    if some:
+        yield first, some
+
+
 def release_memory() -> None:
     """Hand freed memory back to the system, so that a reused worker doesn't keep the peak of the task before."""
     gc.collect()
@@ -107,6 +121,53 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*range(9, 14), 32]] = True
+_SPACED = np.where(_IS_SPACE, 32, np.arange(256)).astype(np.uint8)
+# The bytes that count in the last eight of a word, by their number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+class TextWords(NamedTuple):
+    """The words of some texts, one after the other."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray  # of text i, the words from bounds[i] to bounds[i + 1]
+    places: np.ndarray  # of word k, the bytes of ``spaced`` from places[k] on
+    spaced: bytes  # the words, a space behind each
+
+    def runs(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The words from each ``first`` to before its ``end``, joined by one space."""
+        return [self.spaced[a:b] for a, b in zip(self.places[first].tolist(), (self.places[end] - 1).tolist(), strict=True)]
+
+
+def text_words(texts: Sequence[bytes]) -> TextWords:
+    """Words and their 64-bit hashes, without an object for each: eight bytes of all words are hashed at a time, long words by xxh3."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    word = ~_IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    begins, ends = edges[::2], edges[1::2]
+    bounds = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    word[ends[ends < len(data)]] = True  # the white space behind each word stays, as a space
+    spaced = _SPACED[data[word]].tobytes()
+    lengths = ends - begins
+    places = np.concatenate([[0], np.cumsum(lengths + 1)])
+    eights = np.ndarray((len(spaced) + 1,), np.uint64, spaced + bytes(8), strides=(1,))
+    hashes = lengths.astype(np.uint64)
+    short = np.flatnonzero(lengths <= LONG_WORD)
+    at, left = places[short], lengths[short]
+    for _ in range(0, LONG_WORD, 8):
+        hashes[short] = mix(hashes[short] + _MIX) + (eights[at] & _LOW[np.minimum(left, 8)])
+        more = left > 8
+        if not more.any():
+            break
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(lengths > LONG_WORD)
+    hashes[long] = [xxhash.xxh3_64_intdigest(w) for w in TextWords(hashes, bounds, places, spaced).runs(long, long + 1)]
+    return TextWords(mix(hashes), bounds, places, spaced)
+
+
 # Offsets of this many runs are sent to every task; more of them are joined by a shuffle.
 SENT_OFFSETS = 100_000
 

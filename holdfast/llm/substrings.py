@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm import repeat_filter
-from holdfast.llm.common import WordHash, id_and_text, mix, ngram_hashes, stored, utf8
+from holdfast.llm.common import id_and_text, mix, ngram_hashes, some_texts, stored, text_words, utf8
 
 WINDOW = 13
 ANCHOR = 6
@@ -105,8 +105,23 @@ def matched_spans(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def anchored_windows(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first, last start) of each run of windows with one anchor; of equal hashes the leftmost is the anchor."""
+def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each row of ``width`` values, the place of its smallest; of equal ones the leftmost. Widths are doubled."""
+    least, place, span = values, np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        right = least[step:] < least[:-step]
+        least = np.where(right, least[step:], least[:-step])
+        place = np.where(right, place[step:], place[:-step])
+        span += step
+    return place
+
+
+def anchored_windows(words: np.ndarray, window: int, anchor: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first, last start) of each run of windows with one anchor; of equal hashes the leftmost is the anchor.
+
+    ``bounds``: where the texts begin that ``words`` holds, and its end; a window lies in one text.
+    """
     count = len(words) - window + 1
     if count <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -114,34 +129,46 @@ def anchored_windows(words: np.ndarray, window: int, anchor: int) -> tuple[np.nd
     width = window - anchor + 1
     places = np.empty(count, np.int64)
     for at in range(0, count, _SLICE):
-        views = np.lib.stride_tricks.sliding_window_view(grams[at : min(count, at + _SLICE) + width - 1], width)
-        places[at : at + len(views)] = views.argmin(axis=1) + np.arange(at, at + len(views))
-    first = np.flatnonzero(np.diff(places, prepend=-1))
-    last = np.append(first[1:], count) - 1
-    return grams[places[first]], first, last
+        found = _leftmost_least(grams[at : min(count, at + _SLICE) + width - 1], width)
+        places[at : at + len(found)] = found + at
+    starts = np.arange(count)
+    if bounds is not None:
+        starts = np.flatnonzero(starts + window <= np.repeat(bounds[1:], np.diff(bounds))[:count])
+        places = places[starts]
+    change = np.diff(places, prepend=-1, append=-1) != 0
+    first, last = np.flatnonzero(change[:-1]), np.flatnonzero(change[1:])
+    return grams[places[first]], starts[first], starts[last]
 
 
 def _text_key(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _owners(first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The text that each word is of."""
+    return np.searchsorted(bounds, first, side="right") - 1
+
+
 def _anchor_batches(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "doc_id"])
+
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys, owners, held = [], [], 0
-            for doc_id, text in zip(ids, utf8(batch.column(1)), strict=True):
-                found, _, _ = anchored_windows(hashes.of(text.split()), window, anchor)
+            for at, texts in some_texts(batch.column(1)):
+                words = text_words(texts)
+                found, first, _ = anchored_windows(words.hashes, window, anchor, words.bounds)
                 keys.append(found)
-                owners.append(np.full(len(found), doc_id, np.int64))
+                owners.append(ids[at + _owners(first, words.bounds)])
                 held += len(found)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "doc_id"])
+                    yield flush()
                     keys, owners, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "doc_id"])
+                yield flush()
 
     return run
 
@@ -150,37 +177,34 @@ def _segment_batches(window: int, anchor: int, shared: repeat_filter.HashFilter,
     """(key, doc_id, text_key, start, words): the segment of each shared anchor; of crowded ones each window, without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, many = WordHash(), crowded.value
-        names = ["key", "doc_id", "text_key", "start", "words"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        many = crowded.value
 
-        def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        def rows(key, doc_id, text_key, start, content) -> pa.RecordBatch:
+            columns = [pa.array(key), pa.array(doc_id), pa.array(text_key), pa.array(start.astype(np.int32)), content]
+            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "text_key", "start", "words"])
 
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                words = text.split()
-                numbers = hashes.of(words)
-                keys, first, last = anchored_windows(numbers, window, anchor)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, texts in some_texts(batch.column(1)):
+                words = text_words(texts)
+                keys, first, last = anchored_windows(words.hashes, window, anchor, words.bounds)
                 hit = np.flatnonzero(shared.test(mix(keys)))
-                if not len(hit):
-                    continue
-                name = _text_key(text)
-                signed = keys.view(np.int64)
-                dense = np.isin(signed[hit], many)
+                keys, first, last = keys[hit].view(np.int64), first[hit], last[hit]
+                owner = _owners(first, words.bounds)
+                names = np.zeros(len(texts), np.int64)
+                for i in np.unique(owner).tolist():
+                    names[i] = _text_key(texts[i])
+                dense = np.isin(keys, many)
                 if dense.any():
-                    whole = ngram_hashes(numbers, window).view(np.int64)
-                    for i in hit[dense].tolist():
-                        rows += [(w, doc_id, name, s, None) for s, w in enumerate(whole[first[i] : last[i] + 1].tolist(), int(first[i]))]
-                for i in hit[~dense].tolist():
-                    rows.append((int(signed[i]), doc_id, name, int(first[i]), b" ".join(words[first[i] : last[i] + window])))
-                if len(rows) > 50_000:
-                    yield flush(rows)
-                    rows = []
-            if rows:
-                yield flush(rows)
+                    sizes = last[dense] - first[dense] + 1
+                    start = np.repeat(first[dense] + sizes - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+                    of = np.repeat(owner[dense], sizes)
+                    whole = ngram_hashes(words.hashes, window).view(np.int64)
+                    yield rows(whole[start], ids[at + of], names[of], start - words.bounds[of], pa.nulls(len(of), pa.binary()))
+                if not dense.all():
+                    key, first, last, of = (x[~dense] for x in (keys, first, last, owner))
+                    yield rows(key, ids[at + of], names[of], first - words.bounds[of], pa.array(words.runs(first, last + window), pa.binary()))
 
     return run
 

@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from holdfast.llm import ngram_join, substrings
+from holdfast.llm.common import text_words
 from holdfast.llm.components import connected
 from holdfast.llm.ngram_join import Bands, one_of_each_group, signatures, similar_documents, sketch
 from holdfast.llm.substrings import SuffixAutomaton, matched_spans, substring_dedup
@@ -202,6 +203,27 @@ def test_no_documents_no_windows(no_docs):
     assert substring_dedup(no_docs).count() == 0
 
 
+def test_words_of_many_texts_are_hashed_together(edge_rows):
+    texts = [(t or "").encode() for _, t, _ in edge_rows] + [b"a\tb\x0bc\x1cd a\x00 a", b"y" * 64 + b" " + b"y" * 65, b"abcdefgh abcdefghi  abcdefgh\x00"]
+    together = text_words(texts)
+    words = [t.split() for t in texts]
+    flat = [w for some in words for w in some]
+    assert together.bounds.tolist() == np.cumsum([0, *map(len, words)]).tolist()
+    assert together.runs(np.arange(len(flat)), np.arange(1, len(flat) + 1)) == flat
+    assert len(set(zip(flat, together.hashes.tolist(), strict=True))) == len(set(flat)) == len(set(together.hashes.tolist()))
+    found = [x.tolist() for x in substrings.anchored_windows(together.hashes, 13, 6, together.bounds)]
+    alone = [[], [], []]
+    for first, text in zip(together.bounds.tolist(), texts, strict=False):
+        hashes = text_words([text]).hashes
+        keys, begin, end = substrings.anchored_windows(hashes, 13, 6)
+        grams = substrings.ngram_hashes(hashes, 6)
+        for key, a, b in zip(keys.tolist(), begin.tolist(), end.tolist(), strict=True):
+            assert all(grams[s : s + 8].min() == key for s in range(a, b + 1))
+        for out, some in zip(alone, (keys, begin + first, end + first), strict=True):
+            out += some.tolist()
+    assert found == alone
+
+
 def test_matching_statistics():
     rng = random.Random(8)
     rows = [rng.choices([b"a", b"b", b"c"], k=rng.randrange(1, 30)) for _ in range(12)]
