@@ -7,6 +7,10 @@ by hash to shards of bounded size; each shard becomes a double-array trie. Some
 states of all its text positions through them, level by level, and counts the accepting states; the counts of the tasks are summed by shard.
 More candidates make more shards and passes over the symbols, never larger tries.
 
+A frequent phrase stands in many tasks, so not all of them send their candidates: first some files of the stored symbols do, in rounds of
+doubled size, and in each round only what a filter of the rounds before doesn't know. These candidates are dealt to tries. While they are counted, each
+candidate that no trie accepts is sent out; these come into tries of their own and are counted next, so what a filter mistook isn't lost.
+
 Symbols are hashes; if two of the corpus' words share one, all is done again with another seed, so counts are exact.
 Scores are whole numbers computed in 38-digit decimals, exact for corpora of up to 10^16 words.
 
@@ -17,6 +21,7 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,8 @@ from holdfast.operators.skew import join_to_unique
 # Phrases of a trie, and tries that are broadcast together: at most about 50 MB.
 TRIE_PHRASES = 1 << 16
 TRIES_A_PASS = 8
+# One in so many files takes part in the first rounds of candidates.
+FIRST_SHARE = 8
 # Phrases of a shard whose counts are summed together.
 PART_PHRASES = 1 << 13
 # Words of a stored row, words looked at together, hashes and distinct words that a task holds before it hands them on.
@@ -178,15 +185,15 @@ def _whole(symbols: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(whole)
 
 
-def _hopeful(symbols: np.ndarray, length: int, shorter: repeat_filter.HashFilter, marks: _Marks | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _hopeful(symbols: np.ndarray, length: int, shorter: repeat_filter.HashFilter | None, marks: _Marks | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the phrases of ``length`` words that may be frequent: both parts of
-    ``length - 1`` words pass the filter, and the phrase's bucket is marked."""
+    ``length - 1`` words pass the filter, if there is one, and the phrase's bucket is marked."""
     at = _whole(symbols, length)
     keys = ngram_hashes(symbols, length)[at] if len(at) else np.zeros(0, _U)
     if marks is not None:
         good = marks.test(keys)
         at, keys = at[good], keys[good]
-    if not len(at):
+    if not len(at) or shorter is None:
         return at, keys
     part = symbols if length == 2 else ngram_hashes(symbols, length - 1)
     good = shorter.test(part[at])
@@ -262,31 +269,47 @@ def _schema(length: int, *more: str) -> str:
     return ", ".join(["key bigint", *(f"{c} bigint" for c in _phrase_fields(length)), *more])
 
 
-def _candidate_rows(length: int, shorter: repeat_filter.HashFilter, marks: _Marks):
-    """The phrases that can be frequent, once for each of some millions of words."""
+class _Distinct:
+    """Phrases of some millions of words, once each."""
+
+    def __init__(self, length: int):
+        self._length, self._held, self._n = length, [], 0
+
+    def __bool__(self) -> bool:
+        return self._n > 0
+
+    def add(self, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray) -> bool:
+        """Whether it is time to hand them on."""
+        keys, first = _first_of_each(keys, symbols, at, self._length)
+        self._held.append((np.stack([symbols[at[first] + k] for k in range(self._length)], axis=1), keys))
+        self._n += len(keys)
+        return self._n >= FLUSH_HASHES // 4
 
-    def distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        phrases = np.concatenate([p for p, _ in held])
-        keys, first, which = np.unique(np.concatenate([k for _, k in held]), return_index=True, return_inverse=True)
+    def columns(self) -> list[pa.Array]:
+        """key, s0, ...; nothing is held afterwards."""
+        phrases = np.concatenate([p for p, _ in self._held])
+        keys, first, which = np.unique(np.concatenate([k for _, k in self._held]), return_index=True, return_inverse=True)
         other = (phrases != phrases[first][which]).any(axis=1)  # equal hashes of different phrases
         rows = np.concatenate([phrases[first], phrases[other]])
         keys = np.concatenate([keys, keys[which[other]]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c.view(np.int64)) for c in (keys, *map(np.ascontiguousarray, rows.T))], ["key", *_phrase_fields(length)]
-        )
+        self._held, self._n = [], 0
+        return [pa.array(c.view(np.int64)) for c in (keys, *map(np.ascontiguousarray, rows.T))]
+
+
+def _candidate_rows(length: int, shorter: repeat_filter.HashFilter, marks: _Marks, known: repeat_filter.HashFilter | None):
+    """The phrases that can be frequent, but for known ones, once for each of some millions of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        met, names = _Distinct(length), ["key", *_phrase_fields(length)]
         for symbols in _slices(batches):
             at, keys = _hopeful(symbols, length, shorter, marks)
-            keys, first = _first_of_each(keys, symbols, at, length)
-            held.append((np.stack([symbols[at[first] + k] for k in range(length)], axis=1), keys))
-            n += len(keys)
-            if n >= FLUSH_HASHES // 4:
-                yield distinct(held)
-                held, n = [], 0
-        if n:
-            yield distinct(held)
+            if known is not None:
+                new = ~known.test(keys)
+                at, keys = at[new], keys[new]
+            if met.add(symbols, at, keys):
+                yield pa.RecordBatch.from_arrays(met.columns(), names)
+        if met:
+            yield pa.RecordBatch.from_arrays(met.columns(), names)
 
     return run
 
@@ -334,19 +357,38 @@ def _build_tries(length: int):
     return run
 
 
-def _count_states(length: int, sent, shards: int):
-    """Accepting states of all text positions: (shard, part, places, times), once a task."""
+def _count_states(length: int, sent, shards: int, mine: range, shorter: repeat_filter.HashFilter, marks: _Marks, others: bool):
+    """Accepting states of the candidates of the shards ``mine``: (shard, part, places, times), once a task.
+
+    With ``others`` the phrases of candidates that no trie accepts, too: (key, s0, ...).
+    """
+    names = ["shard", "part", "places", "times", "key", *_phrase_fields(length)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = {s: DoubleArray(length, *(np.frombuffer(x, kind) for x, kind in zip(parts, (_U, *[np.int32] * 4), strict=True))) for s, parts in sent.value}
         counts = {s: np.zeros(int(t.phrase.max()) + 1, np.int64) for s, t in tries.items()}
+        left = _Distinct(length)
+
+        def left_rows() -> pa.RecordBatch:
+            columns = left.columns()
+            none = [pa.nulls(len(columns[0]), t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, *columns], names)
+
         for symbols in _slices(batches):
-            at = _whole(symbols, length)
-            if not len(at):
-                continue
-            shard = np.mod(ngram_hashes(symbols, length)[at].view(np.int64), shards)
+            at, keys = _hopeful(symbols, length, shorter if others else None, marks)
+            shard = np.mod(keys.view(np.int64), shards)
+            here = (shard >= mine.start) & (shard < mine.stop)
+            at, keys, shard = at[here], keys[here], shard[here]
+            known = np.zeros(len(at), bool)
             for s, trie in tries.items():
-                counts[s] += np.bincount(trie.accepted(symbols, at[shard == s]), minlength=len(counts[s]))
+                of = np.flatnonzero(shard == s)
+                met, phrase = trie.walk(symbols, at[of])
+                counts[s] += np.bincount(phrase, minlength=len(counts[s]))
+                known[of[met]] = True
+            if others and left.add(symbols, at[~known], keys[~known]):
+                yield left_rows()
+        if left:
+            yield left_rows()
         for s, times in counts.items():
             parts = [(p, part, np.flatnonzero(part)) for p, part in enumerate(np.split(times, range(PART_PHRASES, len(times), PART_PHRASES)))]
             parts = [x for x in parts if len(x[2])]
@@ -356,8 +398,9 @@ def _count_states(length: int, sent, shards: int):
                     pa.array([p for p, _, _ in parts], pa.int32()),
                     pa.array([met.astype(np.int32).tobytes() for _, _, met in parts], pa.binary()),
                     pa.array([part[met].tobytes() for _, part, met in parts], pa.binary()),
+                    *[pa.nulls(len(parts), pa.int64())] * (1 + length),
                 ],
-                ["shard", "part", "places", "times"],
+                names,
             )
 
     return run
@@ -415,31 +458,62 @@ def _row_hashes(rows: np.ndarray) -> np.ndarray:
 
 def _frequent(texts: DataFrame, length: int, shorter: repeat_filter.HashFilter, words: int, least: int) -> DataFrame:
     """(key, s0, ..., f) of all phrases of ``length`` words met at least ``least`` times."""
-    spark = texts.sparkSession
     marks = _marks(texts, length, shorter, words, least)
-    rows = texts.mapInArrow(tidy(_candidate_rows(length, shorter, marks)), _schema(length))
-    candidates = stored(rows.dropDuplicates(["key", *_phrase_fields(length)]), "phrases-candidates")
-    shards = max(1, -(-candidates.count() // TRIE_PHRASES))
+    found, others = _counted(texts, _first_candidates(texts, length, shorter, marks), length, shorter, marks, least, True)
+    if not others.isEmpty():
+        found = found.unionByName(_counted(texts, _once(others, length), length, shorter, marks, least, False)[0])
     marks.sent.unpersist()
+    return found
+
+
+def _once(rows: DataFrame, length: int) -> DataFrame:
+    return stored(rows.dropDuplicates(["key", *_phrase_fields(length)]), "phrases-candidates")
+
+
+def _first_candidates(texts: DataFrame, length: int, shorter: repeat_filter.HashFilter, marks: _Marks) -> DataFrame:
+    """The candidates of one in ``FIRST_SHARE`` files, but for some that a filter mistakes for others."""
+    files = sorted(f.rsplit("/", 1)[-1] for f in texts.inputFiles())[::FIRST_SHARE]
+    found, known, low = None, None, 0
+    while found is None or low < len(files):
+        high = max(2 * low, 1)
+        some = texts.filter(F.col("_metadata.file_name").isin(files[low:high]))
+        new = _once(some.mapInArrow(tidy(_candidate_rows(length, shorter, marks, known)), _schema(length)), length)
+        found, low = new if found is None else found.unionByName(new), high
+        if known is not None:
+            known.release()
+        if low < len(files):
+            known = repeat_filter.build(found.select(F.col("key").alias("h")), found.count(), least=1)
+    return found
+
+
+def _counted(
+    texts: DataFrame, candidates: DataFrame, length: int, shorter: repeat_filter.HashFilter, marks: _Marks, least: int, others: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(key, s0, ..., f) of those ``candidates`` that are frequent, and with ``others`` rows of all other candidates."""
+    spark = texts.sparkSession
+    shards = max(1, -(-candidates.count() // TRIE_PHRASES))
     dealt = candidates.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), *_phrase_fields(length))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
     tries = stored(dealt.mapInArrow(tidy(_build_tries(length)), _TRIE), "phrases-tries")
     counted = []
     for low in range(0, shards, TRIES_A_PASS):
-        some = tries.filter(F.col("shard").between(low, low + TRIES_A_PASS - 1)).select(*_TRIE_NAMES[:-1]).toArrow()
+        mine = range(low, low + TRIES_A_PASS)
+        some = tries.filter(F.col("shard").between(mine[0], mine[-1])).select(*_TRIE_NAMES[:-1]).toArrow()
         sent = spark.sparkContext.broadcast([(r[0], tuple(r[1:])) for r in zip(*(c.to_pylist() for c in some.columns), strict=True)])
         del some
-        counts = texts.mapInArrow(tidy(_count_states(length, sent, shards)), "shard int, part int, places binary, times binary")
+        counts = texts.mapInArrow(tidy(_count_states(length, sent, shards, mine, shorter, marks, others)), "shard int, part int, places binary, times binary, " + _schema(length))
         counted.append(stored(counts, "phrases-counts"))
         sent.destroy()
     nothing = F.lit(None).cast("binary")
     parts = tries.select("shard", "phrases").mapInArrow(_phrase_parts(length), "shard int, part int, phrases binary")
     together = parts.select("shard", "part", F.lit(0).alias("kind"), "phrases", nothing.alias("places"), nothing.alias("times"))
     for counts in counted:
-        together = together.unionByName(counts.select("shard", "part", F.lit(1).alias("kind"), nothing.alias("phrases"), "places", "times"))
+        met = counts.filter("shard is not null")
+        together = together.unionByName(met.select("shard", "part", F.lit(1).alias("kind"), nothing.alias("phrases"), "places", "times"))
     together = together.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     summed = together.select("shard", "part", "phrases", "places", "times").mapInArrow(tidy(_sum_parts(length, least)), _schema(length, "f bigint"))
-    return stored(summed, "phrases-frequent")
+    left = [counts.filter("key is not null").select("key", *_phrase_fields(length)) for counts in counted]
+    return stored(summed, "phrases-frequent"), functools.reduce(DataFrame.unionByName, left)
 
 
 def _encoded_words(docs: DataFrame, text_col: str, lang_col: str, bits: int) -> tuple[DataFrame, DataFrame]:

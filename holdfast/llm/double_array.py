@@ -53,18 +53,22 @@ class DoubleArray:
 
     def accepted(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The phrase numbers that begin at positions ``at`` of ``symbols``; positions without one fall out on the way."""
-        state = np.zeros(len(at), np.int64)
+        return self.walk(symbols, at)[1]
+
+    def walk(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the positions ``at`` begin a phrase, the numbers of these phrases)."""
+        which, state = np.arange(len(at)), np.zeros(len(at), np.int64)
         for step in range(self.length):
-            met = symbols[at + step]
+            met = symbols[at[which] + step]
             code = np.searchsorted(self.symbols, met)
             code[code == len(self.symbols)] = 0
             found = self.symbols[code] == met
-            at, state, code = at[found], state[found], code[found]
+            which, state, code = which[found], state[found], code[found]
             for shift in (self.bits, 0):
                 cell = self.base[state] + ((code >> shift) & ((1 << self.bits) - 1))
                 alive = self.check[cell] == state
-                at, state, code = at[alive], cell[alive], code[alive]
-        return self.phrase[np.searchsorted(self.leaves, state)]
+                which, state, code = which[alive], cell[alive], code[alive]
+        return which, self.phrase[np.searchsorted(self.leaves, state)]
 
 
 def digit_bits(symbols: int) -> int:

@@ -261,6 +261,18 @@ def test_collocations(spark, phrase_rows, tries, monkeypatch):
     assert found_phrases(docs, top=3, longest=2) == expected_phrases(phrase_rows, top=3, longest=2)
 
 
+@pytest.mark.parametrize("share", [1, 1000])
+def test_candidates_of_some_files_come_first(spark, phrase_rows, share, monkeypatch):
+    monkeypatch.setattr(phrases, "FIRST_SHARE", share)
+    sent = []
+    monkeypatch.setattr(phrases, "_once", lambda rows, length, once=phrases._once: sent.append((length, rows.count())) or once(rows, length))
+    docs = spark.createDataFrame([(lang, t) for lang, t in phrase_rows], "lang string, text string").repartition(12)
+    assert found_phrases(docs) == expected_phrases(phrase_rows)
+    rounds = [n for length, n in sent if length == 2]
+    # Of twelve files each candidate comes from few: rounds of 1, 1, 2, 4 and 4 files, or one file and what it lacks.
+    assert len(rounds) in ((5, 6) if share == 1 else (1, 2)) and rounds[0] > sum(rounds[2:5]) * (share == 1)
+
+
 def test_longer_collocations_and_none(spark, phrase_rows):
     docs = spark.createDataFrame([(lang, t) for lang, t in phrase_rows], "lang string, text string")
     assert found_phrases(docs, longest=5, least=4) == expected_phrases(phrase_rows, longest=5, least=4)
