@@ -28,6 +28,7 @@ rows repeated as a whole are in one component; an empty table gives an empty res
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm import repeat_filter
-from holdfast.llm.common import WordHash, id_and_text, mix, ngram_hashes, stored, tidy, utf8
+from holdfast.llm.common import id_and_text, mix, ngram_hashes, some_texts, stored, text_words, tidy
 from holdfast.llm.components import connected
 
 # Buckets up to this size give all their pairs; members of larger ones are compared in blocks of so many.
@@ -110,14 +111,20 @@ class _Sets:
     """Word n-gram sets of texts, within one task."""
 
     def __init__(self, n: int):
-        self.n, self._words = n, WordHash()
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()  # changes A-Z only, cuts at the six white-space characters only
-        if not words:
-            return np.zeros(0, _U)
-        hashes = self._words.of(words)
-        return np.unique(ngram_hashes(hashes, self.n)) if len(words) >= self.n else mix(ngram_hashes(hashes, len(words)) + _U(len(words)))
+        self.n = n
+
+    def of_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text; the words of some texts are hashed together."""
+        for _, some in some_texts(texts):
+            words = text_words([t.lower() for t in some])  # changes A-Z only, cuts at the six white-space characters only
+            grams = ngram_hashes(words.hashes, self.n)
+            for a, b in itertools.pairwise(words.bounds.tolist()):
+                if b - a >= self.n:
+                    yield np.unique(grams[a : b - self.n + 1])
+                elif b > a:
+                    yield mix(ngram_hashes(words.hashes[a:b], b - a) + _U(b - a))
+                else:
+                    yield np.zeros(0, _U)
 
     def node(self, elements: np.ndarray) -> int:
         return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
@@ -128,8 +135,7 @@ def _node_batches(n: int):
         sets = _Sets(n)
         for batch in batches:
             sizes, nodes = [], []
-            for text in utf8(batch.column(1)):
-                elements = sets.of(text)
+            for elements in sets.of_column(batch.column(1)):
                 sizes.append(len(elements))
                 nodes.append(sets.node(elements) if len(elements) else None)
             yield pa.RecordBatch.from_arrays(
@@ -152,8 +158,8 @@ def _sampled_sets(n: int, percent: int):
 
     def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         some, held = [], 0
-        for text in utf8(batch.column(1)):
-            found = sampled(sets.of(text), percent)
+        for elements in sets.of_column(batch.column(1)):
+            found = sampled(elements, percent)
             some.append(found)
             held += len(found)
             if held > 500_000:
@@ -193,8 +199,7 @@ def _signature_batches(n: int, bands: Bands, seen: repeat_filter.HashFilter):
                     ["sig", "node", "n", "band"],
                 )
 
-            for text in utf8(batch.column(1)):
-                elements = sets.of(text)
+            for elements in sets.of_column(batch.column(1)):
                 if not len(elements) or not may_link(elements, bands.percent, seen):
                     continue
                 node = sets.node(elements)
@@ -300,8 +305,7 @@ def _member_batches(n: int, bands: Bands, wanted: repeat_filter.HashFilter):
             keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             some = batch.filter(pa.array(wanted.test(mix(keys.view(_U)))))
             rows = []
-            for text in utf8(some.column(1)):
-                elements = sets.of(text)
+            for elements in sets.of_column(some.column(1)):
                 if len(elements):
                     own = bands.of(len(elements))
                     sketches = [sketch(elements, bands.sketch_bits(x)) for x in (own, own + 1)]

@@ -249,7 +249,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None =
     last, limit = len(scorer.chain) - 1, scorer.threshold if threshold is None else threshold
 
     @F.arrow_udf("double")
-    def p_toxic(texts: pa.Array) -> pa.Array:
-        return pa.array([scorer.score(t)[last] for t in in_slices(texts)], pa.float64())
+    def p_toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda some: (pa.array([scorer.score(t)[last] for t in in_slices(texts)], pa.float64()) for texts in some))(batches)
 
     return docs.filter(p_toxic(F.col("text").cast("string")) < limit)
