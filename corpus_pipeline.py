@@ -20,19 +20,23 @@ from holdfast.llm.queries import vocabulary_path
 from holdfast.llm.toxicity import without_toxic
 
 
-# Documents that travel to a Python worker at a time. Batches of Spark's 10,000 hold tens of MB of text on both sides.
-BATCH_ROWS, _SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Documents that are read, and that travel to a Python worker, at a time. Spark's 4,096 and 10,000 hold tens of MB of text.
+BATCH_ROWS, _SETTING, _READING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+# Runs a tokenizing worker remembers, and bytes it splits at a time: the stages before it have filled the executor's heap.
+REMEMBERED, SLICE_BYTES = 30_000, 300_000
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """While a stage runs and writes its rows; the session has its own setting again afterwards."""
-    before = spark.conf.get(_SETTING)
-    spark.conf.set(_SETTING, BATCH_ROWS)
+    before = {name: spark.conf.get(name) for name in (_SETTING, _READING)}
+    for name in before:
+        spark.conf.set(name, BATCH_ROWS)
     try:
         yield
     finally:
-        spark.conf.set(_SETTING, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of each row."""
     with small_batches(spark):
-        return stored(token_digests(docs, vocabulary_path()), "corpus-tokens")
+        return stored(token_digests(docs, vocabulary_path(), "doc_id", "text", REMEMBERED, SLICE_BYTES), "corpus-tokens")
 
 
 STAGES = [

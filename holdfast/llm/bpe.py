@@ -287,13 +287,13 @@ class BytePairs:
         out.update(made)
         return out
 
-    def encode_texts(self, texts: Iterable[bytes]) -> Iterator[tuple[int, str, str]]:
+    def encode_texts(self, texts: Iterable[bytes], slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, str, str]]:
         """(number of tokens, decimal ids, decoded text) of each text, some megabytes at a time."""
         some, held = [], 0
         for text in texts:
             some.append(text.split())
             held += len(text)
-            if held >= SLICE_BYTES:
+            if held >= slice_bytes:
                 yield from self._encode_runs(some)
                 some, held = [], 0
         yield from self._encode_runs(some)
@@ -304,9 +304,9 @@ class BytePairs:
             kept = [x for x in map(now.__getitem__, runs) if x[0]]
             yield sum([x[0] for x in kept]), " ".join([x[1] for x in kept]), " ".join([x[2] for x in kept])
 
-    def forget(self) -> None:
+    def forget(self, remembered: int = REMEMBERED) -> None:
         """Give up what is remembered; the worker lives on after the task."""
-        self._runs, self._pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self._runs, self._pieces = Remembered(remembered), Remembered(remembered)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.encode_texts([(text or "").encode()]) for i in ids.split()]
@@ -324,12 +324,13 @@ def load(path: str) -> BytePairs:
     return pairs
 
 
-def _digests(path: str):
+def _digests(path: str, remembered: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(path)
+        pairs.forget(remembered)
         for batch in batches:
             rows = []
-            for n, ids, decoded in pairs.encode_texts(utf8(batch.column(1))):
+            for n, ids, decoded in pairs.encode_texts(utf8(batch.column(1)), slice_bytes):
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -341,10 +342,15 @@ def _digests(path: str):
     return run
 
 
-def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+def token_digests(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
+
+    ``remembered`` and ``slice_bytes`` trade a worker's memory for time; the rows are the same.
+    """
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(tidy(_digests(path)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(_digests(path, remembered, slice_bytes)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(text: Column, path: str) -> Column:

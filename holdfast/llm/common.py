@@ -10,7 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.sources.workspace import fresh_dir
@@ -26,6 +26,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(spark: SparkSession, rows: Sequence[Sequence], schema: pa.Schema) -> DataFrame:
+    """Rows that the driver holds, sent as Arrow: a list would start Python workers of another kind, which stay beside the operators' own."""
+    columns = [*zip(*rows, strict=True)] if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns an operator works on, so that no other column can clash."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

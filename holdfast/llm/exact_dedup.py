@@ -14,7 +14,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +45,9 @@ def _first_64_bits(digest: Column) -> Column:
 
 
 def _maybe_repeated(digest: Column, seen: repeat_filter.HashFilter) -> Column:
-    @F.pandas_udf("boolean")
-    def test(hashes: pd.Series) -> pd.Series:
-        return pd.Series(seen.test(hashes.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")  # pandas, once imported, would stay in the worker
+    def test(hashes: pa.Array) -> pa.Array:
+        return pa.array(seen.test(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
     return test(_first_64_bits(digest))
 

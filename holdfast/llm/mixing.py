@@ -17,16 +17,19 @@ import heapq
 from collections.abc import Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from holdfast.llm.common import WORD, seeded, stored
+from holdfast.llm.common import WORD, few_rows, seeded, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = 20
 _LEVEL_BITS = 12
+# Columns of the small tables that the driver sends.
+_PATTERN, _FULL, _BEFORE = (("pattern", pa.int32()), ("full", pa.int32()), ("before", pa.int64()))
 
 
 def word_count(text: Column) -> Column:
@@ -155,13 +158,13 @@ def seed_cuts(sizes: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame
     """
     spark = sizes.sparkSession
     high, low = 60 - _LEVEL_BITS, 60 - 2 * _LEVEL_BITS
-    want = F.broadcast(spark.createDataFrame(wanted, "pattern int, full int, want bigint"))  # one row a pattern, as below
+    want = F.broadcast(few_rows(spark, wanted, pa.schema([_PATTERN, _FULL, ("want", pa.int64())])))  # one row a pattern, as below
     rows = sizes.join(want, "pattern").withColumn("b1", F.shiftright("seed", high)).withColumn("b2", F.shiftright("seed", low))
     first = _boundary(rows.groupBy("pattern", "want", "b1").agg(F.sum("size").alias("words")), "b1").collect()
-    first = F.broadcast(spark.createDataFrame(first, "pattern int, b1 bigint, before bigint"))
+    first = F.broadcast(few_rows(spark, first, pa.schema([_PATTERN, ("b1", pa.int64()), _BEFORE])))
     inside = rows.join(first, ["pattern", "b1"]).withColumn("want", F.col("want") - F.col("before")).drop("before")
     second = _boundary(inside.groupBy("pattern", "want", "b2").agg(F.sum("size").alias("words")), "b2").collect()
-    second = F.broadcast(spark.createDataFrame(second, "pattern int, b2 bigint, before bigint"))
+    second = F.broadcast(few_rows(spark, second, pa.schema([_PATTERN, ("b2", pa.int64()), _BEFORE])))
     last = inside.join(second, ["pattern", "b2"]).withColumn("want", F.col("want") - F.col("before"))
     alike = last.groupBy("pattern", "want", "seed", "size").agg(F.sum("size").alias("words"))  # rows repeated as a whole
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("seed", "size"))
@@ -170,7 +173,7 @@ def seed_cuts(sizes: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame
     found = {r["pattern"]: (r["cut"]["seed"], r["cut"]["size"]) for r in cut}
     begins = {r["pattern"]: ((r["b2"] << low) - 1, 0) for r in second.collect()}
     cuts = [(i, full, *(found.get(i) or begins.get(i) or (-1, 0))) for i, full, _ in wanted]
-    return F.broadcast(spark.createDataFrame(cuts, "pattern int, full int, cut_seed bigint, cut_size bigint"))
+    return F.broadcast(few_rows(spark, cuts, pa.schema([_PATTERN, _FULL, ("cut_seed", pa.int64()), ("cut_size", pa.int64())])))
 
 
 def _plan(sizes: DataFrame, weights, most_repeats):
@@ -194,7 +197,7 @@ def plan_of(docs: DataFrame, sources: Column, id_col: str, text_col: str, weight
     sizes = stored(narrow, "mix-sizes")
     patterns, targets, wanted = _plan(sizes, weights, most_repeats)
     numbers = [(s, i) for i, (s, _) in enumerate(patterns)]
-    numbers = F.broadcast(sizes.sparkSession.createDataFrame(numbers, "sources array<string>, pattern int"))
+    numbers = F.broadcast(few_rows(sizes.sparkSession, numbers, pa.schema([("sources", pa.list_(pa.string())), _PATTERN])))
     cuts = numbers.join(seed_cuts(sizes.join(numbers, "sources"), wanted), "pattern")
     return sizes, F.broadcast(cuts), targets
 
@@ -214,8 +217,8 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
 def mix_by_source(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document, each in its one source."""
     rows, targets = mix(docs, F.array(F.col("source").cast("string")))
-    schema = "_source string, source_size bigint, target double"
-    per_source = F.broadcast(docs.sparkSession.createDataFrame([(s, *t) for s, t in targets.items()], schema))  # one row a source
+    schema = pa.schema([("_source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())])
+    per_source = F.broadcast(few_rows(docs.sparkSession, [(s, *t) for s, t in targets.items()], schema))  # one row a source
     both = rows.join(per_source, F.col("sources")[0].eqNullSafe(F.col("_source")))
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 

@@ -38,15 +38,19 @@ def _hashes_of(batch: pa.RecordBatch) -> np.ndarray:
 
 def _positions_of_partition(bits: int, read: Callable):
     def emit(positions: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        at, times = np.unique(np.concatenate(positions), return_counts=True)
-        chunk = at >> np.uint64(_CHUNK_BITS)
-        cuts = np.flatnonzero(np.diff(chunk)) + 1
+        every = np.concatenate(positions)
+        positions.clear()
+        every.sort()
+        new = np.append(True, every[1:] != every[:-1])
+        at, again = every[new], np.append(~new[1:], False)[new]  # again: the next one is the same
+        del every, new
+        cuts = np.flatnonzero(np.diff(at >> np.uint32(_CHUNK_BITS))) + 1
         names, once, twice = [], [], []
-        for rows in np.split(np.arange(len(at)), cuts):
-            low = (at[rows] & np.uint64((1 << _CHUNK_BITS) - 1)).astype(np.uint32)
-            names.append(int(chunk[rows[0]]))
-            once.append(low[times[rows] == 1].tobytes())
-            twice.append(low[times[rows] > 1].tobytes())
+        for part, more in zip(np.split(at, cuts), np.split(again, cuts), strict=True):
+            low = part & np.uint32((1 << _CHUNK_BITS) - 1)
+            names.append(int(part[0]) >> _CHUNK_BITS)
+            once.append(low[~more].tobytes())
+            twice.append(low[more].tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["chunk", "once", "twice"]
         )
@@ -57,7 +61,7 @@ def _positions_of_partition(bits: int, read: Callable):
             for hashes in read(batch):
                 both = _positions(hashes, bits)
                 both[both[:, 0] == both[:, 1], 1] ^= np.uint64(1)  # else one hash would count twice at one position
-                held.append(both.ravel())
+                held.append(both.astype(np.uint32).ravel())  # MOST_BITS fits, and sorting takes half the memory
                 n += both.size
                 if n >= _FLUSH:
                     yield from emit(held)

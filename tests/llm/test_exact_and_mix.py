@@ -2,9 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import string
+import subprocess
+import sys
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from holdfast.llm import repeat_filter
@@ -108,3 +112,33 @@ def test_mixed_documents_repeat_rows(edge_docs, no_docs):
     got = Counter(r["doc_id"] for r in mixed.collect() if (r["text"] or "").split())
     assert got == Counter({k: v for k, v in taken.items() if v})
     assert mixed_documents(no_docs).count() == 0 and mix_by_source(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("mixed", [mix_by_source, mixed_documents])
+def test_the_mix_starts_no_python_workers(spark, mixed):
+    docs = spark.range(40).selectExpr("id AS doc_id", "if(id % 7 = 0, null, concat('s', id % 3)) AS source", "repeat('a b ', cast(id % 5 AS int)) AS text")
+    plan = mixed(docs)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan  # rows of a Python list; each executor would run workers for them
+
+
+def test_exact_duplicates_load_no_pandas():
+    loaded = "import sys, holdfast.llm.exact_dedup; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", loaded], check=False).returncode == 0
+
+
+def test_positions_of_a_filter_take_four_bytes():
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, 2_000_000).astype(np.uint64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], ["h"]) for part in np.split(hashes, 20)]
+    tracemalloc.start()
+    try:
+        sent = [*repeat_filter._positions_of_partition(1 << 24, lambda batch: [repeat_filter._hashes_of(batch)])(iter(batches))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6
+    positions = repeat_filter._positions(hashes, 1 << 24)
+    positions[positions[:, 0] == positions[:, 1], 1] ^= np.uint64(1)
+    at, times = np.unique(positions.ravel(), return_counts=True)
+    for name, wanted in (("once", at[times == 1]), ("twice", at[times > 1])):
+        got = [(chunk << 20) + np.frombuffer(low, np.uint32).astype(np.int64) for batch in sent for chunk, low in zip(batch["chunk"].to_pylist(), batch[name].to_pylist(), strict=True)]
+        assert np.array_equal(np.concatenate(got), wanted.astype(np.int64))

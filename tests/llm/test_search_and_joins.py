@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from holdfast.llm import ngram_join, substrings
+from holdfast.llm import bpe, ngram_join, substrings
 from holdfast.llm.common import text_words
 from holdfast.llm.components import connected
 from holdfast.llm.ngram_join import Bands, one_of_each_group, signatures, similar_documents, sketch
@@ -279,3 +279,14 @@ def test_tokens_are_stored_in_small_batches(spark, tmp_path, monkeypatch):
     assert batches == [corpus_pipeline.BATCH_ROWS] and spark.conf.get(corpus_pipeline._SETTING) != corpus_pipeline.BATCH_ROWS
     # The rows are written while the setting holds; reading them runs no Python.
     assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 2
+
+
+def test_tokens_are_made_with_little_memory(spark, tmp_path, monkeypatch):
+    asked, plain = [], corpus_pipeline.token_digests
+    docs = spark.createDataFrame([(i, f"one two{i} Three-{i}. " * 50) for i in range(30)] + [(30, None)], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "token_digests", lambda *a: asked.append((a[4:], spark.conf.get(corpus_pipeline._READING))) or plain(*a[:4], 5, 100))
+    few = corpus_pipeline.encode(spark, docs, str(tmp_path))
+    assert asked == [((corpus_pipeline.REMEMBERED, corpus_pipeline.SLICE_BYTES), corpus_pipeline.BATCH_ROWS)]
+    assert corpus_pipeline.REMEMBERED < bpe.REMEMBERED and corpus_pipeline.SLICE_BYTES < bpe.SLICE_BYTES
+    assert spark.conf.get(corpus_pipeline._READING) != corpus_pipeline.BATCH_ROWS
+    assert Counter(few.collect()) == Counter(plain(docs, corpus_pipeline.vocabulary_path()).collect())
