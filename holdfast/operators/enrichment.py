@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +83,8 @@ def extract(texts: DataFrame, rules: X.TextRules, content: str = "content") -> D
     )
 
 
-def enrich(interactions: DataFrame, rules: X.TextRules, done: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """Insights for every interaction with text that is not done yet; ``partitions`` spreads a few large files."""
+def enrich(interactions: DataFrame, rules: X.TextRules, done: DataFrame | None = None, partitions: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Insights for every interaction with text that is not done yet; ``partitions`` spreads a few large files, ``keep`` names columns that stay."""
     todo = interactions if done is None else unprocessed(interactions, done)
     # Split sizes are looked at before the filter, which would read the texts.
     todo = with_text(spread(todo.drop("sentiment_score", "summary"), "interaction_id", partitions))
@@ -96,7 +96,7 @@ def enrich(interactions: DataFrame, rules: X.TextRules, done: DataFrame | None =
             "key_quote",
         )
     )
-    return extract(todo, rules).withColumn("raw_llm_output", raw).select(*INSIGHT_COLUMNS)
+    return extract(todo, rules).withColumn("raw_llm_output", raw).select(*INSIGHT_COLUMNS, *keep)
 
 
 # --- model output ----------------------------------------------------------------------------------

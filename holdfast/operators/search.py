@@ -23,11 +23,16 @@ SCORE_DIGITS = 6
 
 def search_documents(interactions: DataFrame, insights: DataFrame) -> DataFrame:
     """Transcript joined with its insight as one searchable text plus the filter attributes."""
-    c, lit = F.col, F.lit
     found = insights.select(
         "interaction_id", "sentiment_label", "primary_intent", "churn_signal", "competitor", "summary", "key_quote"
     )
     raw = interactions.select("interaction_id", "customer_id", "channel", "direction", "interaction_ts", "content")
+    return documents_of(raw.join(found, "interaction_id"))
+
+
+def documents_of(insights: DataFrame) -> DataFrame:
+    """The same from insights that still have their transcript as ``content``, without a join."""
+    c, lit = F.col, F.lit
     # The labels inside the searchable text.
     text = F.concat(
         lit("Transcript: "), c("content"),
@@ -36,7 +41,7 @@ def search_documents(interactions: DataFrame, insights: DataFrame) -> DataFrame:
         lit(" | Churn Signal: "), F.coalesce("churn_signal", lit("none")),
         F.when(c("competitor").isNotNull(), F.concat(lit(" | Competitor Mentioned: "), c("competitor"))).otherwise(""),
     )
-    return raw.join(found, "interaction_id").select(
+    return insights.filter(c("interaction_id").isNotNull()).select(
         "interaction_id", "customer_id", "channel", "direction", "interaction_ts", "sentiment_label", "primary_intent",
         "churn_signal", "competitor", text.alias("search_text"), c("content").alias("original_transcript"), "summary", "key_quote",
     )

@@ -18,13 +18,13 @@ The list of live segments is a small table of its own, replaced as a whole, so r
 from __future__ import annotations
 
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +34,14 @@ from holdfast.operators.pick import one_per_key, top_per_key
 from holdfast.operators.quality import union_all
 from holdfast.operators.search import B, K1, SCORE_DIGITS, SEARCH_LIMIT, word_array
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import remove_folder, subfolders
+from holdfast.sources.workspace import remove_folder, subfolders, written_keys
 
 # Documents of a shard, questions of a block, segments of a tier that are merged into one.
 SHARD_DOCS, BLOCK_QUERIES, FAN = 20_000, 512, 4
 # Postings of a shard: about 30 bytes each while it is made, whatever the length of the documents.
 SHARD_POSTINGS = 2_000_000
+# Postings that are unpacked together.
+UNPACKED_ROWS = 65_536
 LIVE = "segments"
 # Scores this close may be equal once they are rounded, and then the smaller id comes first.
 _ROUNDING = 2 * 10.0**-SCORE_DIGITS
@@ -63,7 +65,7 @@ def _shard_fields(doc_type: T.DataType) -> list[T.StructField]:
 _NAMES = ["shard", "term", "n", "places", "counts", "most", "shortest", "ids"]
 
 
-def _list_rows(shard: str, terms: list[str], sizes: np.ndarray, places: np.ndarray, counts: np.ndarray, lengths: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+def _list_rows(shard: str, terms: pa.Array, sizes: np.ndarray, places: np.ndarray, counts: np.ndarray, lengths: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
     """The lists of a shard ordered by term, and one row with its documents: their lengths in ``counts``.
 
     ``places`` and ``counts`` hold the lists of all terms one after the other, ``sizes`` how long each is; no object is made for a list.
@@ -72,13 +74,13 @@ def _list_rows(shard: str, terms: list[str], sizes: np.ndarray, places: np.ndarr
     ends = np.concatenate([[0], np.cumsum(sizes)])
     at = pa.py_buffer((4 * ends).astype(np.int32))
     lists = (pa.Array.from_buffers(pa.binary(), len(terms), [None, at, pa.py_buffer(x)]) for x in (places, counts))
-    extremes = (np.maximum.reduceat(counts, ends[:-1]), np.minimum.reduceat(lengths[places], ends[:-1])) if terms else ([], [])
+    extremes = (np.maximum.reduceat(counts, ends[:-1]), np.minimum.reduceat(lengths[places], ends[:-1])) if len(terms) else ([], [])
     offsets = pa.array([0] * rows + [len(ids)], pa.int32())
     lasts = (pa.array([x], pa.binary()) for x in (None, lengths.tobytes()))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([shard] * rows, pa.string()),
-            pa.array([*terms, None], pa.string()),
+            pa.repeat(pa.scalar(shard, pa.string()), rows),
+            pa.concat_arrays([terms, pa.nulls(1, pa.string())]),
             pa.array(np.append(sizes, len(ids)), pa.int64()),
             *(pa.concat_arrays([x, last]) for x, last in zip(lists, lasts, strict=True)),
             *(pa.concat_arrays([pa.array(x, pa.int32()), pa.nulls(1, pa.int32())]) for x in extremes),
@@ -88,44 +90,50 @@ def _list_rows(shard: str, terms: list[str], sizes: np.ndarray, places: np.ndarr
     )
 
 
+def _counted(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of some word lists, their distinct words, and for each word of a list: its place among these, the list, how often it occurs."""
+    lengths = pc.list_value_length(lists).to_numpy().astype(np.int32)
+    coded = lists.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    pairs = np.repeat(np.arange(len(lengths), dtype=np.int64) * width, lengths) + coded.indices.to_numpy()
+    found, counts = np.unique(pairs, return_counts=True)
+    at, of = np.divmod(found, width)
+    return lengths, coded.dictionary.cast(pa.string()), of.astype(np.int32), at.astype(np.int32), counts.astype(np.int32)
+
+
 def _build_shards(shard_docs: int, shard_postings: int):
-    """Rows (doc_id, words) to shards; a task starts a new one after ``shard_docs`` documents or ``shard_postings`` postings."""
+    """Rows (doc_id, words) to shards; a task starts a new one after ``shard_docs`` documents or ``shard_postings`` postings.
+
+    Words are counted 64 documents at a time and numbered for the whole shard at its end; no object is made for a word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-
-        def empty():
-            return [], array("i"), {}, array("i"), array("i"), array("i")
-
-        ids, lengths, numbers, of, places, counts = empty()
+        parts, n_docs, n_words, n_postings = [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            kind = ids[0].type
-            terms = sorted(numbers)
-            rank = np.empty(len(terms), np.int32)
-            rank[[numbers[t] for t in terms]] = np.arange(len(terms))
-            own = rank[np.frombuffer(of, np.int32)]
-            order = np.argsort(own, kind="stable")
-            place, count = (np.frombuffer(x, np.int32)[order] for x in (places, counts))
-            sizes = np.bincount(own, minlength=len(terms))
-            return _list_rows(f"{task:06d}-{made:06d}", terms, sizes, place, count, np.array(lengths, np.int32), pa.concat_arrays([i.cast(kind) for i in ids]))
+            ids, lengths, words, of, places, counts = zip(*parts, strict=True)
+            lengths, of, places, counts = (np.concatenate(x) for x in (lengths, of, places, counts))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            own = rank[coded.indices.to_numpy()[of]]
+            by_term = np.argsort(own, kind="stable")
+            sizes = np.bincount(own, minlength=len(order))
+            return _list_rows(f"{task:06d}-{made:06d}", coded.dictionary.take(pa.array(order)), sizes, places[by_term], counts[by_term], lengths, pa.concat_arrays([i.cast(ids[0].type) for i in ids]))
 
         for batch in batches:
             for low in range(0, len(batch), 64):
                 some = batch.slice(low, 64)
-                for words in some.column(1).to_pylist():
-                    at = len(lengths)
-                    lengths.append(len(words))
-                    found = Counter(words)
-                    of.extend([numbers.setdefault(t, len(numbers)) for t in found])
-                    places.extend([at] * len(found))
-                    counts.extend(found.values())
-                ids.append(some.column(0))
-                if len(lengths) >= shard_docs or len(of) >= shard_postings:
+                lengths, words, of, places, counts = _counted(some.column(1))
+                parts.append((some.column(0), lengths, words, of + np.int32(n_words), places + np.int32(n_docs), counts))
+                n_docs, n_words, n_postings = n_docs + len(some), n_words + len(words), n_postings + len(of)
+                if n_docs >= shard_docs or n_postings >= shard_postings:
                     yield shard()
                     made += 1
-                    ids, lengths, numbers, of, places, counts = empty()
-        if lengths:
+                    parts, n_docs, n_words, n_postings = [], 0, 0, 0
+        if parts:
             yield shard()
 
     return run
@@ -137,7 +145,7 @@ def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def merged() -> pa.RecordBatch:
         lists = (np.frombuffer(x, np.int32) for x in (places, counts))
-        return _list_rows(now, terms, np.array(sizes, np.int64), *lists, np.concatenate(lengths), pa.concat_arrays(ids))
+        return _list_rows(now, pa.array(terms, pa.string()), np.array(sizes, np.int64), *lists, np.concatenate(lengths), pa.concat_arrays(ids))
 
     for batch in batches:
         names = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -194,30 +202,39 @@ class SegmentedIndex:
     def _publish(self, rows: list[tuple]) -> None:
         self.live.replace(LIVE, self.spark.createDataFrame(rows, _LIVE_SCHEMA).coalesce(1))
 
-    def add(self, docs: DataFrame) -> None:
-        """Index the documents whose id is new, each id once. Adding the same again adds nothing; no stored posting is read."""
+    def add(self, docs: DataFrame, stored: bool = False) -> None:
+        """Index the documents whose id is new, each id once. Adding the same again adds nothing; no stored posting is read.
+
+        ``stored`` says that ``docs`` reads files that stay as they are; otherwise the new rows are written first, so that every later step reads the same.
+        """
         segments = self.segments()
-        rows = one_per_key(docs.select(F.col(self.doc_id).alias("doc_id"), *self.attributes, F.col(self.text).alias("_text")), "doc_id")
+        docs = docs.select(F.col(self.doc_id).alias("doc_id"), *self.attributes, F.col(self.text).alias("_text"))
+        rows = one_per_key(docs, "doc_id")
         known = self._read("documents", segments)
         if known is not None:
-            rows = rows.join(known.select("doc_id").join(rows.select("doc_id"), "doc_id", "left_semi"), "doc_id", "left_anti")
+            # Ids meet ids; those that are there already are written, so that a few of them are broadcast and no text moves.
+            rows = rows.join(written_keys(known.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")), "doc_id", "left_anti")
         segment = f"s-{uuid.uuid4().hex}"
-        rows.write.parquet(self._path(segment, "rows"))  # every later step reads the same rows
-        rows = self.spark.read.parquet(self._path(segment, "rows"))
-        n_docs = rows.count()
-        if not n_docs:
-            return
+        if not stored:
+            rows.write.parquet(self._path(segment, "rows"))
+            rows = self.spark.read.parquet(self._path(segment, "rows"))
         words = rows.select("doc_id", F.coalesce(word_array("_text"), F.array().cast("array<string>")).alias("words"))
         schema = T.StructType(_shard_fields(rows.schema["doc_id"].dataType))
         words.mapInArrow(_build_shards(self.shard_docs, SHARD_POSTINGS), schema).write.parquet(self._path(segment, "shards"))
+        n_docs, n_words = self._sizes_of(segment)
+        if not n_docs:
+            remove_folder(self.spark, f"{self.live.root}/{segment}")
+            return
         rows.drop("_text").write.parquet(self._path(segment, "documents"))
-        self._publish([tuple(s) for s in segments] + [(segment, 0, n_docs, self._words_of(segment))])
+        self._publish([tuple(s) for s in segments] + [(segment, 0, n_docs, n_words)])
         remove_folder(self.spark, self._path(segment, "rows"))
         self._merge_tiers()
 
-    def _words_of(self, segment: str) -> int:
-        lengths = self.spark.read.parquet(self._path(segment, "shards")).filter("term is null").select("counts")
-        return int(lengths.select(_total("counts").alias("t")).agg(F.sum("t")).first()[0] or 0)
+    def _sizes_of(self, segment: str) -> tuple[int, int]:
+        """Documents of a segment and their words."""
+        heads = self.spark.read.parquet(self._path(segment, "shards")).filter("term is null").select("n", "counts")
+        sizes = heads.select("n", _total("counts").alias("t")).agg(F.sum("n"), F.sum("t")).first()
+        return int(sizes[0] or 0), int(sizes[1] or 0)
 
     def _merge_tiers(self) -> None:
         """Put the segments of a tier together while there are ``fan`` of them."""
@@ -273,8 +290,10 @@ class SegmentedIndex:
         """(doc_id, term, tf, length), unpacked."""
         lists = self.lists()
         schema = T.StructType([T.StructField("doc_id", lists.schema["ids"].dataType.elementType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("length", T.LongType())])
-        laid = lists.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("term").asc_nulls_first())
-        return laid.mapInArrow(_unpack, schema)
+        # Sorted by one number: shards by their hash, and in its last bit the documents before the lists.
+        own = F.xxhash64("shard").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("term").isNotNull().cast("bigint"))
+        laid = lists.select("shard", "term", "places", "counts", "ids", own.alias("_own")).repartition("shard").sortWithinPartitions("_own")
+        return laid.drop("_own").mapInArrow(_unpack, schema)
 
     # --- ranking
 
@@ -323,21 +342,42 @@ def _total(column: str) -> Column:
     return total(column)
 
 
+def _numbers(blobs: pa.Array) -> np.ndarray:
+    """The numbers of all values of a binary column, one after the other."""
+    _, at, data = blobs.buffers()
+    wide = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    ends = np.frombuffer(at, wide, len(blobs) + 1, blobs.offset * np.dtype(wide).itemsize)
+    return np.frombuffer(data, np.int32, (ends[-1] - ends[0]) // 4, int(ends[0])) if ends[-1] > ends[0] else np.empty(0, np.int32)
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, ids, lengths = None, None, None
+    """Rows with the documents of a shard before its lists; shards whose names share a hash may come mixed. Postings leave many at a time, not list by list."""
+    heads, open_to_heads = {}, True
     for batch in batches:
-        names = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        for row, (shard, term) in enumerate(zip(names["shard"].to_pylist(), names["term"].to_pylist(), strict=True)):
-            counts = np.frombuffer(names["counts"][row].as_py(), np.int32)
-            if term is None:
-                now, ids, lengths = shard, names["ids"][row].values, counts
+        shard, term, places, counts, ids = (batch.column(i) for i in range(5))
+        held = pc.is_null(term).to_numpy(zero_copy_only=False)
+        codes = shard.dictionary_encode()
+        names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        # Runs of rows of one shard and kind.
+        starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | held[1:] | held[:-1]])) if len(batch) else []
+        for low, high in zip(starts, [*starts[1:], len(batch)], strict=True):
+            name = names[code[low]]
+            if held[low]:
+                if not open_to_heads:
+                    heads, open_to_heads = {}, True
+                heads[name] = (ids[low].values, np.frombuffer(counts[low].as_py(), np.int32))
                 continue
-            assert shard == now
-            places = np.frombuffer(names["places"][row].as_py(), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(places)), pa.array([term] * len(places), pa.string()), pa.array(counts.astype(np.int64)), pa.array(lengths[places].astype(np.int64))],
-                ["doc_id", "term", "tf", "length"],
-            )
+            open_to_heads = False
+            of, lengths = heads[name]
+            some = counts.slice(low, high - low)
+            at, tf = _numbers(places.slice(low, high - low)), _numbers(some)
+            row = np.repeat(np.arange(low, high), pc.binary_length(some).to_numpy() // 4)
+            for first in range(0, len(at), UNPACKED_ROWS):
+                piece = slice(first, first + UNPACKED_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [of.take(pa.array(at[piece])), term.take(pa.array(row[piece])), pa.array(tf[piece].astype(np.int64)), pa.array(lengths[at[piece]].astype(np.int64))],
+                    ["doc_id", "term", "tf", "length"],
+                )
 
 
 class ShardLists:

@@ -11,11 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from holdfast.functions.text import TextRules
 from holdfast.operators.enrichment import enrich
 from holdfast.operators.pick import one_per_key
-from holdfast.operators.search import search_documents
+from holdfast.operators.search import documents_of
 from holdfast.operators.segments import SegmentedIndex
 from holdfast.plans.daily import INSIGHTS, refresh, stamp
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import fresh_dir
+from holdfast.sources.workspace import fresh_dir, written_keys
 
 # A date, or a function that gives the date of each batch.
 AsOf = dt.date | str | Callable[[], dt.date]
@@ -24,12 +24,11 @@ AsOf = dt.date | str | Callable[[], dt.date]
 def new_in_batch(batch: DataFrame, done: DataFrame, key: str = "interaction_id") -> DataFrame:
     """Rows of a micro-batch that are not stored yet, each key once.
 
-    The stored keys are first cut down to those of the batch, so the large side is only
-    scanned for one column and never shuffled against itself.
+    The stored keys are first cut down to those of the batch and written, so the large side is only
+    scanned for one column, a few known keys are broadcast and no text is shuffled.
     """
-    batch = one_per_key(batch, key)
-    known = done.select(key).join(batch.select(key), key, "left_semi")
-    return batch.join(known, key, "left_anti")
+    known = written_keys(done.select(key).join(batch.select(key), key, "left_semi"))
+    return one_per_key(batch, key).join(known, key, "left_anti")
 
 
 def _written(rows: DataFrame) -> DataFrame:
@@ -58,13 +57,11 @@ def batch_step(
             rows = new_in_batch(rows, tables.read(INSIGHTS))
         else:
             rows = one_per_key(rows, "interaction_id")
+        enriched = enrich(rows, rules, keep=() if index is None else ("content",)).withColumn("enriched_at", stamp(clock()))
         if index is not None:
-            rows = _written(rows)  # each key once; the insights and every step of the index read the same rows
-        enriched = enrich(rows, rules).withColumn("enriched_at", stamp(clock()))
-        if index is not None:
-            enriched = _written(enriched)
-            index.add(_written(search_documents(rows, enriched)))
-        tables.append(INSIGHTS, enriched)
+            enriched = _written(enriched)  # with the texts, once; the insights and every step of the index read the same rows
+            index.add(documents_of(enriched), stored=True)
+        tables.append(INSIGHTS, enriched.drop("content"))
         if as_of is not None:
             refresh(tables, as_of() if callable(as_of) else as_of)
 

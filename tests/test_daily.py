@@ -11,10 +11,12 @@ from holdfast.operators import enrichment
 from holdfast.operators import quality as Q
 from holdfast.operators.pick import one_per_key
 from holdfast.operators.scorecard import score_customers
+from holdfast.operators.search import postings, search_documents
+from holdfast.operators.segments import SegmentedIndex
 from holdfast.plans import daily
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import spread
-from holdfast.streaming.refresh import batch_step, maintain
+from holdfast.sources.workspace import shared_dir, spread, subfolders
+from holdfast.streaming.refresh import batch_step, maintain, new_in_batch
 
 TEXTS = [
     "Thank you, great and quick service.",
@@ -264,3 +266,36 @@ def test_even_splits_are_not_shuffled(spark, tmp_path):
     assert "Exchange" not in spread(spark.read.parquet(even), "id", 2)._jdf.queryExecution().executedPlan().toString()
     assert spread(spark.read.parquet(uneven), "id", 8).rdd.getNumPartitions() == 8
     assert spread(spark.read.parquet(even).limit(0), "id", 4).count() == 0
+
+
+def test_only_keys_move_to_find_the_new_rows_of_a_batch(spark, tmp_path):
+    store = Tables(spark, str(tmp_path))
+    many = calls(spark, 400).withColumn("content", F.concat("content", F.lit(" "), F.sha2("interaction_id", 512)))
+    batch = store.replace("batch", many.unionByName(many.limit(3)))
+    done = store.replace("done", many.filter("interaction_id < 'I0010'"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")  # the texts are larger, a few keys are smaller
+    try:
+        new = new_in_batch(batch, done)
+        assert not joined_by_shuffle(new)
+        assert sorted(r.interaction_id for r in new.collect()) == [f"I{i:04d}" for i in range(10, 400)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_a_batch_writes_its_texts_once_for_insights_and_index(spark, tmp_path):
+    store, given = Tables(spark, str(tmp_path / "store")), calls(spark, 40)
+    index = SegmentedIndex(store, "interaction_id", "search_text", ["churn_signal"])
+    step = batch_step(store, INSURANCE_RULES, None, index=index)
+    nameless = given.limit(1).withColumn("interaction_id", F.lit(None).cast("string"))
+    parts = [given.filter("interaction_id < 'I0020'").unionByName(given.limit(4)).unionByName(nameless), given.filter("interaction_id >= 'I0010'")]
+    for number, part in enumerate(parts):
+        before = subfolders(spark, shared_dir(spark))
+        step(Tables(spark, str(tmp_path / "landed")).append("batch", part.withColumn("part", F.lit(number))).filter(F.col("part") == number).drop("part"), number)
+        assert sum(x.startswith("batch-") for x in {*subfolders(spark, shared_dir(spark))} - {*before}) == 1
+    step(parts[1], 2)  # replayed
+    insights = store.read(daily.INSIGHTS)
+    assert "content" not in insights.columns and insights.filter("interaction_id is null").count() == 1
+    want = postings(search_documents(given, insights), "interaction_id", "search_text").select("doc_id", "term", "tf", "length")
+    assert sorted(map(tuple, index.postings().collect())) == sorted(map(tuple, want.collect()))
+    assert index.corpus().n_docs == 32 and insights.count() == 33

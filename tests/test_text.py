@@ -233,3 +233,47 @@ def test_copies_of_a_question_and_distances_leave_in_bounded_parts():
     placed = list(vector_index._assign(centres)([rows]))
     assert max(map(len, placed)) <= vector_index.BLOCK_ROWS and pa.Table.from_batches(placed)["query_id"].to_pylist() == list(range(3000))
     assert pa.Table.from_batches(placed)["cell"][0] == first["cell"][0]
+
+
+def test_postings_leave_many_lists_at_a_time(monkeypatch):
+    """Shards follow each other, two of them mixed as after a clash of hashes; a list is longer than what is unpacked together."""
+    monkeypatch.setattr(segments, "UNPACKED_ROWS", 700)
+    ids = {"a": [7, 5, 9], "b": list(range(1000, 2500)), "c": [None, 1]}
+
+    def packed(numbers):
+        return np.array(numbers, np.int32).tobytes()
+
+    heads = {s: (s, None, None, packed(range(3, 3 + len(ids[s]))), ids[s]) for s in ids}
+    lists = {s: [(s, f"t{k}", packed([k % len(ids[s])]), packed([k + 1]), None) for k in range(1000)] for s in "ac"}
+    lists["b"] = [("b", "all", packed(range(1500)), packed(range(1, 1501)), None)]
+    mixed = [x for pair in zip(lists["a"], lists["c"], strict=True) for x in pair]
+    laid = [heads["b"], *lists["b"], heads["a"], heads["c"], *mixed]
+    schema = pa.schema([("shard", pa.string()), ("term", pa.string()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+    def batches(some, size):
+        whole = pa.RecordBatch.from_pydict({f.name: [x[i] for x in some] for i, f in enumerate(schema)}, schema)
+        return [whole.slice(low, size) for low in range(0, len(whole), size)]
+
+    want = [(ids["b"][p], "all", p + 1, p + 3) for p in range(1500)]
+    want += [(ids[s][k % len(ids[s])], f"t{k}", k + 1, k % len(ids[s]) + 3) for k in range(1000) for s in "ac"]
+    for size in (4000, 333):
+        sent = list(segments._unpack(batches(laid, size)))
+        assert sorted(map(repr, (tuple(r.values()) for x in sent for r in x.to_pylist()))) == sorted(map(repr, want))
+    plain = list(segments._unpack(batches([heads["a"], *lists["a"]], 4000)))
+    assert [len(x) for x in plain] == [700, 300]  # not a batch for each of 1,000 lists
+
+
+def test_words_of_many_documents_are_counted_together(spark, tmp_path):
+    texts = ["Été été ETE \U0001d4d0 ￮ z", "", None, "the the a", "x" * 300 + " the", "हिंदी a हिंदी"]
+    docs = spark.createDataFrame([(i, texts[i % 6]) for i in range(600)], "id int, text string").coalesce(1)
+    index = SegmentedIndex(Tables(spark, str(tmp_path)), "id", "text", shard_docs=150)
+    index.add(docs)
+    index.add(docs.filter("text is null"))  # known already
+    want = search.postings(docs, "id", "text").select("doc_id", "term", "tf", "length")
+    assert Counter(map(tuple, index.postings().collect())) == Counter(map(tuple, want.collect()))
+    assert len(index.segments()) == 1 and index.corpus().n_docs == 600
+    lists = index.lists().filter("term is not null")
+    orders = lists.groupBy("shard").agg(F.collect_list("term").alias("t")).collect()
+    assert len(orders) == 4 and all(r["t"] == sorted(r["t"]) for r in orders)
+    top = lists.filter("term = 'the'").agg(F.max("most"), F.min("shortest"), F.sum("n")).first()
+    assert tuple(top) == (2, 2, 200)
