@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +17,8 @@ WORDS = r"[^\p{L}\p{M}\p{N}]+"  # splits lower-cased text into words of any scri
 ABBREVIATIONS = ("Rs", "Mr", "Mrs", "Ms", "Dr", "No", "St", "vs")
 # A sentence ends at a line end, and after . ! ? or a danda before white space.
 _END = ".!?\u0964"
-SENTENCE_END = rf"\n|(?<=[{_END}])(?<!\b(?:{'|'.join(ABBREVIATIONS)})\.)(?=\s)"
+# What comes next is looked at first; it rules out most places.
+SENTENCE_END = rf"(?=\s)(?:\n|(?<=[{_END}])(?<!\b(?:{'|'.join(ABBREVIATIONS)})\.))"
 
 
 @dataclass(frozen=True)
@@ -95,6 +97,19 @@ def only(words: Column, lexicon: Sequence[str]) -> Column:
     return F.filter(words, lambda w: w.isin(*lexicon))
 
 
+def lexicon_words(lowered: Column, lexicon: Sequence[str]) -> Column:
+    """The same as splitting lower-cased text at ``LETTERS`` and keeping what belongs to the lexicon, without an object for every word."""
+    words = [w for w in lexicon if w and all(unicodedata.category(c)[0] in "LM" for c in w)]
+    if not words:
+        return F.array().cast("array<string>")
+    letter = r"\p{L}\p{M}"
+    first = "".join(sorted({w[0] for w in words}))
+    # A letter beyond the basic plane makes the look behind step over whole characters.
+    far = "\U00010000"
+    whole = rf"(?=[{first}])(?<![{letter}{far}])(?:{'|'.join(words)})(?![{letter}])"
+    return F.regexp_extract_all(lowered, F.lit(whole), F.lit(0))
+
+
 def hits(words: Column, lexicon: Sequence[str]) -> Column:
     return F.size(only(words, lexicon)) if lexicon else F.lit(0)
 
@@ -155,10 +170,10 @@ def sentences(text: str | Column) -> Column:
 
 
 def marked_sentences(text: str | Column, lexicon: Sequence[str]) -> Column:
-    """Array of (at, sentence, words of the lexicon in it). The text is split into words once, here."""
+    """Array of (at, sentence, words of the lexicon in it). The text is searched for words once, here."""
 
     def mark(sentence, at):
-        found = only(F.split(F.lower(sentence), LETTERS), lexicon)
+        found = lexicon_words(F.lower(sentence), lexicon)
         return F.struct(at.alias("at"), sentence.alias("sentence"), found.alias("found"))
 
     return F.transform(sentences(text), mark)

@@ -42,14 +42,15 @@ def last_n_array(df: DataFrame, key: str, order: Sequence[Column], item: Column,
     return top.groupBy(key).agg(F.transform(packed, lambda p: p["item"]).alias(name))
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
+def one_per_key(df: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
     """Each key once: of rows that share it the smallest in the order of the columns.
 
     Only keys that repeat are gathered, with partial minima; all other rows pass as they are. The repeated keys are written
-    first, so that a few of them are broadcast and no row moves.
+    first, so that a few of them are broadcast and no row moves. ``keys``: the keys of the rows, as often as they occur, where reading
+    them from the rows costs more.
     """
     others = [c for c in df.columns if c != key]
-    repeated = written_keys(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key))
+    repeated = written_keys((df if keys is None else keys).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key))
     least = df.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
     return df.join(repeated, key, "left_anti").unionByName(least.select(key, "_row.*").select(*df.columns))
 

@@ -15,7 +15,7 @@ from holdfast.operators.search import documents_of
 from holdfast.operators.segments import SegmentedIndex
 from holdfast.plans.daily import INSIGHTS, refresh, stamp
 from holdfast.sources.tables import Tables
-from holdfast.sources.workspace import fresh_dir, written_keys
+from holdfast.sources.workspace import fresh_dir, remove_folder, written_keys
 
 # A date, or a function that gives the date of each batch.
 AsOf = dt.date | str | Callable[[], dt.date]
@@ -24,17 +24,12 @@ AsOf = dt.date | str | Callable[[], dt.date]
 def new_in_batch(batch: DataFrame, done: DataFrame, key: str = "interaction_id") -> DataFrame:
     """Rows of a micro-batch that are not stored yet, each key once.
 
-    The stored keys are first cut down to those of the batch and written, so the large side is only
-    scanned for one column, a few known keys are broadcast and no text is shuffled.
+    The keys of the batch are written, as a stream reads its rows whole each time. The stored keys are first cut down to
+    these, so the large side is only scanned for one column, a few known keys are broadcast and no text is shuffled.
     """
-    known = written_keys(done.select(key).join(batch.select(key), key, "left_semi"))
-    return one_per_key(batch, key).join(known, key, "left_anti")
-
-
-def _written(rows: DataFrame) -> DataFrame:
-    path = fresh_dir(rows.sparkSession, "batch")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    keys = written_keys(batch.select(key))
+    known = written_keys(done.select(key).join(keys, key, "left_semi"))
+    return one_per_key(batch, key, keys).join(known, key, "left_anti")
 
 
 def batch_step(
@@ -59,9 +54,14 @@ def batch_step(
             rows = one_per_key(rows, "interaction_id")
         enriched = enrich(rows, rules, keep=() if index is None else ("content",)).withColumn("enriched_at", stamp(clock()))
         if index is not None:
-            enriched = _written(enriched)  # with the texts, once; the insights and every step of the index read the same rows
+            # With the texts, once; the insights and every step of the index read the same rows.
+            path = fresh_dir(tables.spark, "batch")
+            enriched.write.parquet(path)
+            enriched = tables.spark.read.parquet(path)
             index.add(documents_of(enriched), stored=True)
         tables.append(INSIGHTS, enriched.drop("content"))
+        if index is not None:
+            remove_folder(tables.spark, path)
         if as_of is not None:
             refresh(tables, as_of() if callable(as_of) else as_of)
 

@@ -277,3 +277,27 @@ def test_words_of_many_documents_are_counted_together(spark, tmp_path):
     assert len(orders) == 4 and all(r["t"] == sorted(r["t"]) for r in orders)
     top = lists.filter("term = 'the'").agg(F.max("most"), F.min("shortest"), F.sum("n")).first()
     assert tuple(top) == (2, 2, 200)
+
+
+def test_words_of_a_lexicon_are_found_without_splitting_the_text(spark):
+    lexicon = ("that", "thatin", "than", "don't", "x2", "é", "\U0001d4d0b")
+    texts = [
+        "that thatin xthat thatx that2 2that that_than THAT",
+        "\U0001d400that \U0001f600that that\U0001f600 that\U0001d400",
+        "that́ ́that",
+        "don't x2 é éé \U0001d4d0b a\U0001d4d0b",
+        "that\u0085that than",
+        "thatthat than-than.than",
+        "",
+        None,
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(X.lexicon_words(F.lower("t"), lexicon).alias("found"), X.only(F.split(F.lower("t"), X.LETTERS), lexicon).alias("want")).collect()
+    assert [r["found"] for r in found] == [r["want"] for r in found] and sum(len(r["found"] or []) for r in found) == 17
+    assert rows.select(X.lexicon_words(F.col("t"), ()).alias("f")).first()["f"] == []
+    ends = "Mr. A. b!\n\nc। d.e f.  \n g? \nh"
+    old = r"\n|(?<=[.!?" + "।" + r"])(?<!\b(?:" + "|".join(X.ABBREVIATIONS) + r")\.)(?=\s)"
+    split = spark.createDataFrame([(ends,)], "t string").select(F.split("t", X.SENTENCE_END).alias("a"), F.split("t", old).alias("b")).first()
+    assert split["a"] == split["b"] and len(split["a"]) > 6
+    plan = rows.select(X.marked_sentences("t", lexicon).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1  # into sentences only
